@@ -1,22 +1,48 @@
-"""A corpus pipeline over `documents`; its stages are added with their operators."""
+"""A corpus pipeline over `documents`: toxic documents go, one of each near-duplicate group stays, benchmark
+passages go, sources are mixed to their weights, and what is left is written as token-id files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import near_dedup
+from corvane.llm import decontaminate, mixing, near_dedup, token_output, toxicity
 from corvane.llm.common import table, work_path
+from corvane.llm.queries import TOKENIZER
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.one_of_each(docs, k=5, percent=80)
 
 
-STAGES = [("near_dedup", near_dedup_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_only(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_output.token_files(docs, TOKENIZER)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_output", token_stage),
+]
+#: A trained classifier, min-max hashing and a tokenizer can't be stated in SQL; tests use a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written to the shared folder and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = work_path(spark, name)

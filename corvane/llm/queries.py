@@ -4,19 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import decontaminate, mixing, near_dedup, token_output, toxicity
 from .common import table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
 
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_files(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {"op9_minmax_near_dedup": op9_minmax_near_dedup}
-    return dict(sorted(found.items()))
+    return {
+        "op3_subword_toxicity": op3_subword_toxicity,
+        "op5_source_mixing": op5_source_mixing,
+        "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
+        "op9_minmax_near_dedup": op9_minmax_near_dedup,
+        "op10_token_files": op10_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
