@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import keep, mix, shingles, word_hashes
 
 BAND_VALUES = 4
+BLOCK = 256
+COMMON = 32  # sets that hold an element before it counts as common; any value gives the same groups
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, 512, dtype=np.uint64)
@@ -136,8 +138,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # What stars could not settle: an exact join over the members of buckets that are still mixed.
     rest = keep(_mixed(rows, labels).select("node", "label").distinct(), "rest")
     sets = keep(source.join(rest.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_setter(k), "node long, elements array<long>"), "sets")
-    pairs = keep(_prefix_pairs(rest, sets, percent), "pairs")
-    links.append(_confirmed(sets, pairs, percent))
+    links += _settled(rest, sets, percent)
     labels = components(reduce(DataFrame.unionByName, links))
     # Rows that repeat an id, and classes, join the components of the links.
     final = members.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
@@ -166,18 +167,101 @@ def _sets(source: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return keep(source.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(k), "node long, elements array<long>"), "sets")
 
 
-def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair across components that could pass, by prefix filtering (no pair is lost).
+def _settled(rest: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Links between the components of `rest` (node, label), exact as to what is connected with what.
 
     With the elements of all sets in one order, rarest first, two sets that pass share an element among
-    the first n - ceil(percent * n / 100) + 1 of each. Documents that only share a common passage
-    don't meet. Pairs within the most frequent component of an element are not made."""
+    the first n - ceil(percent * n / 100) + 1 of each, their prefix. There are two cases.
+    - They share a rare element of their prefixes: pairs are made for elements of less than COMMON sets.
+    - They share only common elements. Then the overlap depends on the sets' common parts alone. Sets of
+      equal common parts form a class; for these the best partner is the smallest set, in the own class or
+      in another. So classes meet by their smallest sets, block against block, and each other set meets its
+      own class's and that of the class which admits the largest sets: texts around one passage give a star."""
     elements = sets.dropDuplicates(["node"]).select("node", F.size("elements").alias("n"), F.explode("elements").alias("e"))
-    counts = elements.groupBy("e").agg(F.count("*").alias("c"))
+    counts = elements.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
+    elements = keep(elements.join(counts, "e", "left").withColumn("c", F.coalesce("c", F.lit(1))), "elements")
     order = Window.partitionBy("node").orderBy("c", "e")
-    prefix = elements.join(counts.where("c > 1"), "e", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("at", F.row_number().over(order))
-    prefix = prefix.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("c > 1")
-    prefix = keep(prefix.join(rest, "node").select("e", "node", "n", "label"), "prefix")
+    prefix = elements.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    prefix = keep(prefix.where("c > 1").join(rest, "node").select("e", "c", "node", "n", "label"), "prefix")
+    rare = keep(_meet(prefix.where(F.col("c") < COMMON), percent), "pairs")
+
+    touched = prefix.where(F.col("c") >= COMMON).select("node", "n", "label").distinct()
+    parts = elements.where(F.col("c") >= COMMON).join(touched.select("node"), "node", "left_semi").groupBy("node")
+    parts = parts.agg(F.struct(F.count("*"), F.sum(F.xxhash64("e").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "e"))).alias("part"))
+    members = touched.join(parts, "node")
+    least = members.groupBy("part").agg(F.min(F.struct("n", "node", "label")).alias("least"))
+    members = keep(members.join(least, "part"), "classes")
+    star = members.where("node <> least.node AND label <> least.label").select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"))
+    heads = members.where("node = least.node").select("node", "n", "label")
+    shared = prefix.where(F.col("c") >= COMMON).join(heads.select("node"), "node", "left_semi").select("e", "node")
+    first = shared.groupBy("e").agg(F.min("node").alias("b"))
+    groups = components(shared.join(first, "e").select(F.col("node").alias("a"), "b"))
+    common = elements.where(F.col("c") >= COMMON).join(groups, "node").groupBy("node", "component").agg(F.collect_list("e").alias("common"))
+    met = keep(_blocks(common.join(heads, "node"), percent), "blocks")
+    classes = met.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    admits = met.where("NOT linked").groupBy("a").agg(F.max(F.struct("t", "b")).alias("best"))
+    others = members.where("node <> least.node").join(admits, F.col("least.node") == F.col("a")).where(F.col("n") * percent <= F.col("best.t"))
+    others = others.select(F.least("node", "best.b").alias("a"), F.greatest("node", "best.b").alias("b"))
+    pairs = keep(rare.unionByName(classes).unionByName(star).unionByName(others).distinct(), "pairs")
+    return [_confirmed(sets, pairs, percent)]
+
+
+def _blocks(heads: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, t) for heads (node, n, label, component, common) of one group, block by block.
+
+    Blocks of about BLOCK sets meet within their group and their overlaps come from one matrix product;
+    a pair of blocks returns at most a spanning forest of links, and each head's best partner."""
+    count = heads.groupBy("component").agg(F.count("*").alias("k")).where("k > 1")
+    rows = heads.join(count, "component").withColumn("parts", F.ceil(F.col("k") / BLOCK)).withColumn("i", F.pmod(F.xxhash64("node"), "parts"))
+    packed = rows.groupBy("component", "parts", "i").agg(*(F.collect_list(F.struct("node", "n", "label", "common")).alias("sets"),))
+    left = packed.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("parts") - 1)))
+    right = packed.select("component", F.col("i").alias("j"), F.col("sets").alias("others"))
+    return left.join(right, ["component", "j"]).select("sets", "others", (F.col("i") == F.col("j")).alias("same")).mapInArrow(_block_pairs(percent), "a long, b long, linked boolean, t long")
+
+
+def _block_pairs(percent: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = row["sets"], row["sets"] if row["same"] else row["others"]
+                vocab = {e: i for i, e in enumerate({e for s in (*x, *y) for e in s["common"]})}
+                mx, my = (np.zeros((len(z), len(vocab)), np.float32) for z in (x, y))
+                for m, z in ((mx, x), (my, y)):
+                    for i, s in enumerate(z):
+                        m[i, [vocab[e] for e in s["common"]]] = 1
+                overlap = np.rint(mx @ my.T).astype(np.int64)
+                nx, ny = (np.array([s["n"] for s in z], np.int64) for z in (x, y))
+                lx, ly = (np.array([s["label"] for s in z], np.int64) for z in (x, y))
+                passes = ((100 + percent) * overlap >= percent * (nx[:, None] + ny[None, :])) & (lx[:, None] != ly[None, :])
+                root: dict[int, int] = {}
+
+                def find(v, root=root):
+                    while root.get(v, v) != v:
+                        v = root[v]
+                    return v
+
+                out = []
+                for i, j in zip(*np.nonzero(passes), strict=True):
+                    p, q = find(int(lx[i])), find(int(ly[j]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        out.append((x[i]["node"], y[j]["node"], True, 0))
+                room = (100 + percent) * overlap  # percent * n of the largest set that a partner admits, plus the partner's own
+                for nodes, mates, t in ((x, y, room - percent * ny[None, :]), (y, x, room.T - percent * nx[None, :])):
+                    if row["same"]:
+                        np.fill_diagonal(t, -1)
+                    best = t.argmax(1)
+                    out += [(nodes[i]["node"], mates[j]["node"], False, int(t[i, j])) for i, j in enumerate(best) if t[i, j] >= 0]
+                cols = list(zip(*out, strict=True)) or [[]] * 4
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "linked", "t"])
+
+    return run
+
+
+def _meet(prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that share an element here and whose sizes allow a link. Pairs within the
+    most frequent component of an element are never made, so one large component costs no square."""
     most = prefix.groupBy("e", "label").agg(F.count("*").alias("c")).groupBy("e").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels"))
     most = most.where("labels > 1").select("e", F.col("most.label").alias("most"))
     x, y = prefix.join(most, "e").where("label <> most").alias("x"), prefix.alias("y")
