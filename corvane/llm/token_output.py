@@ -13,10 +13,13 @@ ascending order of doc_id, and so are the documents of a shard.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,74 +32,93 @@ from pyspark.sql import functions as F
 from .common import keep, remove, work_path
 
 END_ID = 1
-CACHED = 300_000
+CACHED = 250_000
+PART = 1 << 18
 FRAME_IDS = 1 << 20
+SHARD_IDS = 1 << 22
 NULL_ID = -(2**63)
 _HEAD = np.dtype([("magic", "S4"), ("docs", "<u4"), ("control", "<u8"), ("data", "<u8")])
 
 
 # --- tokenizer ----------------------------------------------------------------------------------
 class Encoder:
-    """A tokenizers-library tokenizer with a bounded memory of the pieces it has met.
+    """A tokenizers-library tokenizer with a bounded memory of the units it has met.
 
-    Only for tokenizers that never join text across white space, which the constructor checks. Pieces of
-    plain letters and punctuation go to the library's model directly; all others, and texts with control
-    characters that count as space in Python only, go through the library's whole pipeline."""
+    Where the tokenizer is known to lower-case and to cut texts by UNITS before its model runs, texts of plain
+    characters are cut here and each new unit goes to the library's model once; all other texts, and all texts
+    under other tokenizers, go through the library's whole pipeline."""
 
-    PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
-    ODD_SPACE = re.compile("[\x1c-\x1f]")
+    #: The normalizer and pattern of the tokenizer that this holds for.
+    PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+    #: Of these characters NFC changes none, and Python's lower() does what the library does.
+    PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    #: The pattern for lower-case plain characters.
+    UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.size = max(self.tokenizer.get_vocab().values()) + 1
-        self.pieces: dict[str, bytes] = {}
+        self.dtype, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Bytes that print stand for themselves, the others for code points from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in shown]
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(other)}
-        probe = "Ab\u00c9c. d!? \u00fcber -- x"
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        apart = b"".join(self._full(p) for p in probe.split())
-        self.split = np.frombuffer(apart, self.dtype).tolist() == whole
-        self.direct = self.split and b"".join(self._plain(*self.PLAIN.fullmatch(p).groups()) for p in probe.split()) == apart
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        parts = json.loads(self.tokenizer.to_str())
+        kinds = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+        cuts = [c.get("pattern", {}).get("Regex") for c in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.direct = kinds == self.NORMALIZERS and cuts == [self.PATTERN, None] and sys.byteorder == "little"
+        if self.direct:  # and only if a probe agrees
+            probe = "Ab\u00c9c. d!?'s \u00fcber--x 12 it's |*** e<b>"
+            self.direct = self.encode(probe) == self._full(probe)
 
     def _full(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _unit(self, unit: str) -> bytes:
-        found = self.units.get(unit)
+    def _new(self, unit: str) -> bytes:
+        found = self.older.get(unit)
         if found is None:
-            shown = unit if unit.isascii() else "".join(self.byte_chars[b] for b in unit.encode())
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.dtype).tobytes()
-            if len(self.units) >= CACHED:
-                self.units.clear()
-            self.units[unit] = found
-        return found
-
-    def _plain(self, letters: str, marks: str) -> bytes:
-        return (self._unit(letters.lower()) if letters else b"") + (self._unit(marks) if marks else b"")
-
-    def _piece(self, piece: str) -> bytes:
-        plain = self.PLAIN.fullmatch(piece) if self.direct else None
-        found = self._plain(*plain.groups()) if plain else self._full(piece)
-        if len(self.pieces) >= CACHED:
-            self.pieces.clear()
-        self.pieces[piece] = found
+            shown = unit if unit.isascii() else "".join([self.byte_chars[b] for b in unit.encode()])
+            found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        if len(self.units) >= CACHED:
+            self.older, self.units = self.units, {}
+        self.units[unit] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian integers of `dtype`."""
         if not text:
             return b""
-        if not self.split or self.ODD_SPACE.search(text):
+        if not self.direct or not self.PLAIN.fullmatch(text) or any(t in text for t in self.added):
             return self._full(text)
-        get, make = self.pieces.get, self._piece
-        return b"".join([get(p) or make(p) for p in text.split()])
+        out = []
+        for at in range(0, len(text), PART):  # a very long text is cut at spaces, where no unit goes on
+            end = at + PART
+            out.append(self._cut(text, at, end))
+        return b"".join(out)
+
+    def _cut(self, text: str, at: int, end: int) -> bytes:
+        start = 0 if at == 0 else _space(text, at)
+        stop = len(text) if end >= len(text) else _space(text, end)
+        new = self._new
+        known = self.units
+        units = self.UNITS.findall(text[start:stop].lower())
+        found = [known.get(u) for u in units]
+        if None in found:
+            found = [new(u) if f is None else f for f, u in zip(found, units, strict=True)]
+        return b"".join(found)
+
+
+def _space(text: str, at: int) -> int:
+    """The place of the first blank from `at` on."""
+    found = text.find(" ", at)
+    return len(text) if found < 0 else found
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -112,15 +134,21 @@ def encoder(path: str) -> Encoder:
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of u32 values."""
+def pack(values: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(control bytes, data bytes) by document of u32 values that follow each other, `counts` each."""
     v = np.ascontiguousarray(values, "<u4")
     codes = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    four = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    four[: len(v)] = codes
-    control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    used = np.arange(4)[None, :] <= codes[:, None]
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    room = -(-counts // 4) * 4
+    four = np.zeros(int(room.sum()), np.uint8)
+    four[np.arange(len(v)) + np.repeat(np.cumsum(room) - room - np.cumsum(counts) + counts, counts)] = codes
+    control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
+    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8)[None, :] <= codes[:, None]].tobytes()
+    size = np.r_[0, np.cumsum(codes.astype(np.int64) + 1)]
+    ends = np.cumsum(counts)
+    at, cut = size[ends - counts].tolist(), size[ends].tolist()
+    c_end = np.cumsum(room // 4).tolist()
+    c_at = [0, *c_end[:-1]]
+    return [control[i:j] for i, j in zip(c_at, c_end, strict=True)], [data[i:j] for i, j in zip(at, cut, strict=True)]
 
 
 def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -187,19 +215,16 @@ def _count(dtype: str, size: int):
     return run
 
 
-def _code(dtype: str, rank_of: np.ndarray):
+def _code(dtype: str, rank_of: np.ndarray, cuts: np.ndarray):
     def run(batches):
+        width = np.dtype(dtype).itemsize
         for batch in batches:
-            n, tie, controls, datas = [], [], [], []
-            for x in batch.column(1):
-                raw = x.as_py()
-                values = rank_of[np.frombuffer(raw, dtype)]
-                c, d = pack(values)
-                n.append(len(values))
-                tie.append(zlib.crc32(raw))
-                controls.append(c)
-                datas.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(tie, pa.int64()), pa.array(controls, pa.binary()), pa.array(datas, pa.binary())], ["doc_id", "n", "tie", "control", "data"])
+            raw = batch.column(1).to_pylist()
+            counts = np.array([len(x) // width for x in raw], np.int64)
+            controls, datas = pack(rank_of[np.frombuffer(b"".join(raw), dtype)], counts)
+            part = [0 if d is None else int(np.searchsorted(cuts, d, "left")) for d in batch.column(0).to_pylist()]
+            tie = [zlib.crc32(x) for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(tie, pa.int64()), pa.array(controls, pa.binary()), pa.array(datas, pa.binary()), pa.array(part, pa.int32())], ["doc_id", "n", "tie", "control", "data", "part"])
 
     return run
 
@@ -260,9 +285,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     rank_of[by_rank] = np.arange(enc.size, dtype=np.uint32)
     with fs.open_output_stream(f"{base}/ranks.bin") as out:
         out.write(by_rank.tobytes())
-    coded = raw.mapInArrow(_code(enc.dtype, rank_of), "doc_id long, n long, tie long, control binary, data binary")
-    order = ["doc_id", "tie", "n"]
-    ordered = coded.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Shards are ranges of doc_id of about equally many rows; equal ids are never parted.
+    shards = max(1, min(-(-int(total.sum()) // SHARD_IDS), 100_000))
+    steps = [i / shards for i in range(1, shards)]
+    cuts = np.unique(raw.approxQuantile("doc_id", steps, 0.1 / shards)).astype(np.int64) if steps else np.empty(0, np.int64)
+    coded = raw.mapInArrow(_code(enc.dtype, rank_of, cuts), "doc_id long, n long, tie long, control binary, data binary, part int")
+    ordered = coded.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("doc_id", "tie", "n")
     manifest = keep(ordered.mapInArrow(_write(folder), "shard long, docs long, ids long"), "manifest")
     remove(spark, raw_path)
     return manifest
