@@ -24,6 +24,7 @@ from .common import keep, mix, shingles, word_hashes
 
 BAND_VALUES = 4
 BLOCK = 256
+MAP_BITS = 1 << 24
 COMMON = 32  # sets that hold an element before it counts as common; any value gives the same groups
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,15 +67,39 @@ def _signer(k: int, bands: int):
     return run
 
 
-def _setter(k: int):
+def _setter(k: int, bits: int, marked: np.ndarray):
+    """Sets of the documents whose id's bit is marked: all that are wanted, and a few more."""
+
     def run(batches):
         for batch in batches:
-            sets = [shingles(word_hashes(t.as_py())[0], k).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "elements"])
+            place = np.asarray(batch.column(2))
+            rows = np.flatnonzero(marked[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1))
+            texts = batch.column(1)
+            sets = [shingles(word_hashes(texts[i].as_py())[0], k).view(np.int64) for i in rows.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sets, pa.list_(pa.int64()))], ["node", "elements"])
 
     return run
 
 
+def _sets(source: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, elements): full shingle sets of at least the documents in `wanted` (doc_id).
+
+    A bit map of their hashed ids, of MAP_BITS at most, goes to the workers, so that texts aren't shuffled
+    and sets are made where the texts are read. A map too small for its ids only lets more sets through."""
+    n = wanted.count()
+    bits = max(1 << 16, min(MAP_BITS, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64(F.lit("map"), "doc_id"), F.lit(bits))
+    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m")).toArrow()
+    marked = np.zeros(bits // 64, np.uint64)
+    marked[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+    found = source.where("doc_id IS NOT NULL").withColumn("place", place).mapInArrow(_setter(k, bits, marked), "node long, elements array<long>")
+    return keep(found, "sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
@@ -133,11 +158,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
         tested.append(pairs)
-        links.append(_confirmed(_sets(source, pairs, k), pairs, percent))
+        links.append(_confirmed(_sets(source, _ends(pairs), k), pairs, percent))
         labels = components(reduce(DataFrame.unionByName, links))
     # What stars could not settle: an exact join over the members of buckets that are still mixed.
     rest = keep(_mixed(rows, labels).select("node", "label").distinct(), "rest")
-    sets = keep(source.join(rest.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_setter(k), "node long, elements array<long>"), "sets")
+    sets = _sets(source, rest.select(F.col("node").alias("doc_id")), k)
     links += _settled(rest, sets, percent)
     labels = components(reduce(DataFrame.unionByName, links))
     # Rows that repeat an id, and classes, join the components of the links.
@@ -161,12 +186,6 @@ def _mixed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return now.join(mixed, "key")
 
 
-def _sets(source: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Full shingle sets of the documents in the pairs."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return keep(source.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(k), "node long, elements array<long>"), "sets")
-
-
 def _settled(rest: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
     """Links between the components of `rest` (node, label), exact as to what is connected with what.
 
@@ -177,7 +196,7 @@ def _settled(rest: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
       equal common parts form a class; for these the best partner is the smallest set, in the own class or
       in another. So classes meet by their smallest sets, block against block, and each other set meets its
       own class's and that of the class which admits the largest sets: texts around one passage give a star."""
-    elements = sets.dropDuplicates(["node"]).select("node", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    elements = sets.join(rest.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", F.size("elements").alias("n"), F.explode("elements").alias("e"))
     counts = elements.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
     elements = keep(elements.join(counts, "e", "left").withColumn("c", F.coalesce("c", F.lit(1))), "elements")
     order = Window.partitionBy("node").orderBy("c", "e")

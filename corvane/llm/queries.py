@@ -6,21 +6,91 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, token_output, toxicity
-from .common import table
+from . import decontaminate, html_text, language, mixing, near_dedup, substring_dedup, token_counts, token_output, topk, toxicity
+from .common import table, work_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_chunk_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op7_rollup_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in under the first tokenizer; the second is added for all; documents labelled toxic
+    are taken down; those of low quality are revised to their text without repeated lines. The last batch is
+    sent twice and counts once."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels")
+    rollup = token_counts.Rollup(spark, work_path(spark, "rollup"))
+    first, second = token_counts.VERSIONS
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    rollup.commit("ingest", token_counts.changes(docs, 1, first))
+    rollup.commit("second-tokenizer", token_counts.changes(docs, 1, second))
+    rollup.commit("takedown", token_counts.changes(docs.join(toxic, "doc_id", "left_semi"), -1, first, second))
+    before = docs.join(poor, "doc_id", "left_semi")
+    after = before.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    for _ in range(2):
+        rollup.commit("revision", token_counts.revision(before, after, first, second))
+    return rollup.totals()
+
+
+OP7_SQL = r"""
+WITH toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+poor AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0 AND doc_id NOT IN (SELECT doc_id FROM toxic)),
+state AS (
+  SELECT source, lang,
+         CASE WHEN doc_id IN (SELECT doc_id FROM poor)
+              THEN array_to_string(list_transform(list_sort(list_transform(list_distinct(string_split(text, chr(10))), lambda l: struct_pack(p := list_position(string_split(text, chr(10)), l), l := l))), lambda s: s.l), chr(10))
+              ELSE text END AS text
+  FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM toxic)
+), counted AS (
+  SELECT source, lang, 'words-1' AS tokenizer, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n FROM state
+  UNION ALL
+  SELECT source, lang, 'runs-2', coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]+')), 0) FROM state
+)
+SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+FROM counted GROUP BY source, lang, tokenizer
+"""
+
+
 def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,14 +104,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op3_subword_toxicity": op3_subword_toxicity,
-        "op5_source_mixing": op5_source_mixing,
-        "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
-        "op9_minmax_near_dedup": op9_minmax_near_dedup,
-        "op10_token_files": op10_token_files,
-    }
+    found = (
+        op1_html_main_text,
+        op2_compression_language,
+        op3_subword_toxicity,
+        op4_pivot_topk,
+        op5_source_mixing,
+        op6_chunk_substring_dedup,
+        op7_rollup_token_counts,
+        op8_spaced_seed_decontamination,
+        op9_minmax_near_dedup,
+        op10_token_files,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_pivot_topk": OP4_SQL, "op7_rollup_token_counts": OP7_SQL}
