@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import registry
+from . import graph_queries, registry  # noqa: F401  registers its queries
 
 FLAGSHIP = "project_l2_edges"
 
