@@ -122,13 +122,13 @@ def code(spark: SparkSession, sf_dir: str) -> Code:
 
 
 CODE_SQL = """
-elements AS (
+elements AS MATERIALIZED (
   SELECT DISTINCT 'supplier-' || l_suppkey || '.part-' || l_partkey AS id, 'supplier-' || l_suppkey AS component_id, 'nation-' || s_nationkey AS container_id,
          p_name AS name, p_brand || '.' || p_name AS qualified_name,
          ['class', 'interface', 'function', 'struct', 'enum'][CAST(l_partkey % 5 + 1 AS INTEGER)] AS kind,
          ['public', 'internal', 'private'][p_size % 3 + 1] AS visibility
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
-refs AS (
+refs AS MATERIALIZED (
   SELECT DISTINCT 'supplier-' || a.l_suppkey || '.part-' || a.l_partkey AS element_id, p_name AS target_name,
          CASE WHEN a.l_returnflag = 'R' THEN p_brand || '.' || p_name END AS target_qualified,
          CASE WHEN a.l_linestatus = 'O' THEN 'extends' ELSE 'uses' END AS kind

@@ -137,3 +137,35 @@ def _code(spark, sf_dir):
 
     c = adapters.code(spark, sf_dir)
     return c.elements, codemodel.links(codemodel.resolve(c.elements, c.references))
+
+
+RESOLVE_SQL = f"""{CODE_SQL},
+q0 AS (SELECT component_id, qualified_name AS q, min(id) AS t, count(*) AS n FROM elements GROUP BY ALL),
+q1 AS (SELECT container_id, qualified_name AS q, min(id) AS t, count(*) AS n FROM elements GROUP BY ALL),
+q2 AS (SELECT component_id, name AS q, min(id) AS t, count(*) AS n FROM elements GROUP BY ALL),
+q3 AS (SELECT container_id, name AS q, min(id) AS t, count(*) AS n FROM elements GROUP BY ALL),
+resolved AS MATERIALIZED (
+  SELECT r.element_id, e.component_id, e.container_id, r.target_name, r.target_qualified, r.kind,
+    coalesce(q0.t, q1.t, q2.t, q3.t) AS target_id,
+    CASE WHEN q0.t IS NOT NULL THEN 'qualified-component' WHEN q1.t IS NOT NULL THEN 'qualified-container'
+         WHEN q2.t IS NOT NULL THEN 'name-component' WHEN q3.t IS NOT NULL THEN 'name-container' ELSE 'unresolved' END AS resolved_by,
+    coalesce(q0.n, q1.n, q2.n, q3.n, 0) AS collisions
+  FROM refs r JOIN elements e ON e.id = r.element_id
+  LEFT JOIN q0 ON q0.component_id = e.component_id AND q0.q = r.target_qualified
+  LEFT JOIN q1 ON q1.container_id = e.container_id AND q1.q = r.target_qualified
+  LEFT JOIN q2 ON q2.component_id = e.component_id AND q2.q = r.target_name
+  LEFT JOIN q3 ON q3.container_id = e.container_id AND q3.q = r.target_name)
+"""
+L4 = f"""WITH {RESOLVE_SQL},
+links AS (SELECT element_id AS source, target_id AS target, CASE kind WHEN 'extends' THEN 'inherits' ELSE kind END AS kind FROM resolved WHERE target_id IS NOT NULL),
+good AS (SELECT l.*, a.component_id, b.component_id AS tc FROM links l JOIN elements a ON a.id = l.source JOIN elements b ON b.id = l.target),
+far AS (SELECT * FROM (SELECT *, row_number() OVER () AS n FROM good) WHERE component_id <> tc)  -- the window keeps the filter out of the joins
+"""
+from .registry import ORACLES  # noqa: E402
+
+ORACLES["project_l4_edges"] = L4 + "SELECT component_id, source || '->' || target || ':' || kind AS id, source, target, kind, kind AS label FROM good"
+ORACLES["project_l4_vertices"] = L4 + """
+SELECT DISTINCT component_id, component_id AS id, 'boundary' AS kind, false AS cross_component FROM elements
+UNION ALL SELECT component_id, id, 'element', false FROM elements
+UNION ALL SELECT DISTINCT component_id, tc, 'boundary', true FROM far
+UNION ALL SELECT DISTINCT component_id, target, 'element', true FROM far"""
