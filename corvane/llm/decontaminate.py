@@ -137,13 +137,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return spark.createDataFrame([], schema) if found is None else found
 
 
+def _touches(index: Index):
+    @F.pandas_udf("boolean")
+    def touches(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(overlaps(word_hashes(t)[0], index)) for t in texts], dtype=bool)
+
+    return touches
+
+
 def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the documents that overlap with a benchmark item."""
     for index in indexes(benchmark):
-
-        @F.pandas_udf("boolean")
-        def touched(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([bool(overlaps(word_hashes(t)[0], index)) for t in texts], dtype=bool)
-
-        docs = docs.where(~touched(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+        docs = docs.where(~_touches(index)(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return docs

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import keep, remove, work_path
 
 END_ID = 1
-CACHED = 250_000
+CACHED = 350_000
 PART = 1 << 18
 FRAME_IDS = 1 << 20
 SHARD_IDS = 1 << 22
@@ -52,7 +52,7 @@ class Encoder:
     PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
     NORMALIZERS = ["NFC", "Replace", "Lowercase"]
     #: Of these characters NFC changes none, and Python's lower() does what the library does.
-    PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
     #: The pattern for lower-case plain characters.
     UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
 
@@ -95,7 +95,7 @@ class Encoder:
         """The ids of a whole text as little-endian integers of `dtype`."""
         if not text:
             return b""
-        if not self.direct or not self.PLAIN.fullmatch(text) or any(t in text for t in self.added):
+        if not self.direct or not self._plain(text):
             return self._full(text)
         out = []
         for at in range(0, len(text), PART):  # a very long text is cut at spaces, where no unit goes on
@@ -103,14 +103,19 @@ class Encoder:
             out.append(self._cut(text, at, end))
         return b"".join(out)
 
+    def _plain(self, text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, self.PLAIN) and not any(t in text for t in self.added)
+        except UnicodeEncodeError:
+            return False
+
     def _cut(self, text: str, at: int, end: int) -> bytes:
         start = 0 if at == 0 else _space(text, at)
         stop = len(text) if end >= len(text) else _space(text, end)
-        new = self._new
-        known = self.units
         units = self.UNITS.findall(text[start:stop].lower())
-        found = [known.get(u) for u in units]
+        found = list(map(self.units.get, units))
         if None in found:
+            new = self._new
             found = [new(u) if f is None else f for f, u in zip(found, units, strict=True)]
         return b"".join(found)
 
@@ -146,9 +151,9 @@ def pack(values: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[byte
     size = np.r_[0, np.cumsum(codes.astype(np.int64) + 1)]
     ends = np.cumsum(counts)
     at, cut = size[ends - counts].tolist(), size[ends].tolist()
-    c_end = np.cumsum(room // 4).tolist()
-    c_at = [0, *c_end[:-1]]
-    return [control[i:j] for i, j in zip(c_at, c_end, strict=True)], [data[i:j] for i, j in zip(at, cut, strict=True)]
+    c_end = np.cumsum(room // 4)
+    c_at = c_end - room // 4
+    return [control[i:j] for i, j in zip(c_at.tolist(), c_end.tolist(), strict=True)], [data[i:j] for i, j in zip(at, cut, strict=True)]
 
 
 def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
