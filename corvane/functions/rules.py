@@ -113,11 +113,15 @@ def mapped(c: Column, table: dict[str, str], default: Column | None = None) -> C
     return out
 
 
+def _matches(pattern: str):
+    return lambda value: value.rlike(pattern)
+
+
 def framework(deps: Column) -> Column:
     """The first framework, in the table's order, that any dependency matches."""
     out = F.lit(None).cast("string")
     for pattern, name in reversed(FRAMEWORKS):
-        out = F.when(F.exists(deps, lambda d, p=pattern: F.lower(d).rlike(p)), name).otherwise(out)
+        out = F.when(F.exists(F.transform(deps, F.lower), _matches(pattern)), name).otherwise(out)
     return out
 
 

@@ -52,3 +52,112 @@ def container_diagram(model, projection) -> DataFrame:
     for p in parts[1:]:
         lines = lines.unionByName(p)
     return joined(lines, [], "diagram")
+
+
+def context_diagram(model, projection) -> DataFrame:
+    """The level-1 diagram as one text."""
+    name, one = F.col("name"), model.actors.sparkSession.range(1)
+    seen = model.externals.where(~F.col("is_library"))
+    parts = [
+        _row(one, 0, F.lit(""), F.lit("# Context diagram")),
+        _row(model.actors, 1, "id", shape("id", F.concat(name, F.lit(BREAK + "[Person]")))),
+        _row(one, 2, F.lit(""), F.lit('system: "System\\n[Software System]"')),
+        _row(seen, 3, "id", shape("id", F.concat(name, F.lit(BREAK + "[External System]")))),
+        _row(projection.edges, 4, F.concat("source", F.lit(" -> "), "target"), connection(diagram_id("source"), diagram_id("target"), F.col("label"))),
+    ]
+    return joined(_union(parts), [], "diagram")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def component_diagrams(projection) -> DataFrame:
+    """container_id, diagram: the level-3 diagram of each container. Local components stand inside the boundary,
+    references outside. Ends are local if the view has them as components."""
+    v = projection.vertices
+    local = v.where("kind = 'component'").select("container_id", "id", F.lit(True).alias("local"))
+    edges = projection.edges
+    for c in ("source", "target"):
+        edges = edges.join(local.select("container_id", F.col("id").alias(c), F.col("local").alias(c + "_local")), ["container_id", c], "left")
+    inside = lambda c: F.concat(F.when(F.col(c + "_local"), F.concat(diagram_id("container_id"), F.lit("."))).otherwise(""), diagram_id(c))
+    row = lambda df, section, k, line: df.select("container_id", F.lit(section).alias("section"), k.alias("k"), line.alias("line"))
+    label = F.concat("id", F.lit(BREAK + "["), "kind", F.lit("]"))
+    boundary = v.where("kind = 'boundary'")
+    return joined(
+        _union(
+            [
+                row(boundary, 0, F.lit(""), F.concat(diagram_id("id"), F.lit(": "), quoted(label), F.lit(" {"))),
+                row(v.where("kind = 'component'"), 1, F.col("id"), shape("id", label, "  ")),
+                row(boundary, 2, F.lit(""), F.lit("}")),
+                row(v.where("kind LIKE 'reference-%'"), 3, F.col("id"), shape("id", label)),
+                row(edges, 4, F.concat("source", F.lit(" -> "), "target"), connection(inside("source"), inside("target"), F.concat("label", F.lit(" ["), "technology", F.lit("]")))),
+            ]
+        ),
+        ["container_id"],
+        "diagram",
+    )
+
+
+def code_diagrams(projection, hidden_kinds: tuple[str, ...] = ()) -> DataFrame:
+    """component_id, diagram: the level-4 diagram of each component; edges within it come before those that leave
+    it. A language profile may hide kinds of edges."""
+    v, e = projection.vertices, projection.edges.where(~F.col("kind").isin(*hidden_kinds)) if hidden_kinds else projection.edges
+    far = v.where("kind = 'element' AND cross_component").select("component_id", F.col("id").alias("target"), F.lit(True).alias("far"))
+    e = e.join(far, ["component_id", "target"], "left")
+    row = lambda df, section, k, line: df.select("component_id", section.alias("section"), k.alias("k"), line.alias("line"))
+    near = v.where("kind = 'element' AND NOT cross_component")
+    section = F.when(F.col("far"), 4).otherwise(3)
+    return joined(
+        _union(
+            [
+                row(v.where("kind = 'boundary' AND NOT cross_component"), F.lit(0), F.lit(""), F.concat(F.lit("# "), "id")),
+                row(near, F.lit(1), F.col("id"), shape("id", F.col("id"))),
+                row(v.where("kind = 'element' AND cross_component"), F.lit(2), F.col("id"), shape("id", F.concat("id", F.lit(BREAK + "[cross-component]")))),
+                row(e, section, F.col("id"), connection(diagram_id("source"), diagram_id("target"), F.col("label"))),
+            ]
+        ),
+        ["component_id"],
+        "diagram",
+    )
+
+
+def cells(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, value, style, parent, source, target of a diagram's cells. vertices: id, kind, parent_id. A vertex with
+    a child is a boundary; every cell carries the managed mark."""
+    parents = vertices.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("id")).distinct().withColumn("has_child", F.lit(True))
+    rows = vertices.join(parents, "id", "left")
+    none = F.lit(None).cast("string")
+    style = F.concat(F.when(F.col("has_child"), "boundary").otherwise(F.col("kind")), F.lit(";managed=1"))
+    v = rows.select("id", F.col("id").alias("value"), style.alias("style"), F.coalesce("parent_id", F.lit("1")).alias("parent"), none.alias("source"), none.alias("target"))
+    e = edges.select(F.concat(F.lit("edge:"), "source", F.lit("->"), "target").alias("id"), F.col("label").alias("value"), F.lit("edge;managed=1").alias("style"), F.lit("1").alias("parent"), "source", "target")
+    return v.unionByName(e)
+
+
+def escaped(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def cells_xml(rows: DataFrame) -> DataFrame:
+    """The cells as one XML text in id order, vertices first."""
+    is_edge = F.col("source").isNotNull()
+    attribute = lambda n, c: F.concat(F.lit(f' {n}="'), escaped(c), F.lit('"'))
+    ends = F.when(is_edge, F.concat(F.lit(' edge="1"'), attribute("source", "source"), attribute("target", "target"))).otherwise(F.lit(' vertex="1"'))
+    line = F.concat(F.lit("<mxCell"), attribute("id", "id"), attribute("value", F.coalesce("value", F.lit(""))), attribute("style", "style"), attribute("parent", "parent"), ends, F.lit("/>"))
+    lines = rows.select(F.when(is_edge, 2).otherwise(1).alias("section"), F.col("id").alias("k"), line.alias("line"))
+    frame = rows.sparkSession.range(1)
+    return joined(_union([_row(frame, 0, F.lit(""), F.lit("<root>")), lines, _row(frame, 3, F.lit(""), F.lit("</root>"))]), [], "xml")
+
+
+def inject_once(document: Column | str, snippet: str, before: str = "</svg>") -> Column:
+    """`snippet` before the closing tag, unless the document has it already or lacks the tag."""
+    c = F.col(document) if isinstance(document, str) else document
+    at = F.length(c) - F.length(F.substring_index(c, before, -1)) - len(before)
+    added = F.concat(F.substr(c, F.lit(1), at), F.lit(snippet), F.substr(c, at + 1))
+    return F.when(F.contains(c, F.lit(snippet)) | ~F.contains(c, F.lit(before)), c).otherwise(added)
