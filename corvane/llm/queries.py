@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, language, mixing, near_dedup, substring_dedup, token_counts, token_output, topk, toxicity
-from .common import table, work_path
+from .common import keep, table, work_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -57,16 +57,19 @@ def op7_rollup_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in under the first tokenizer; the second is added for all; documents labelled toxic
     are taken down; those of low quality are revised to their text without repeated lines. The last batch is
     sent twice and counts once."""
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rollup = token_counts.Rollup(spark, work_path(spark, "rollup"))
     first, second = token_counts.VERSIONS
+    shorter = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    rows = docs.select("doc_id", "source", "lang", token_counts.tokens(F.col("text"), first, second).alias("tokens"), token_counts.tokens(shorter, first, second).alias("revised"))
+    rows = keep(rows, "counted")
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    rollup.commit("ingest", token_counts.changes(docs, 1, first))
-    rollup.commit("second-tokenizer", token_counts.changes(docs, 1, second))
-    rollup.commit("takedown", token_counts.changes(docs.join(toxic, "doc_id", "left_semi"), -1, first, second))
-    before = docs.join(poor, "doc_id", "left_semi")
-    after = before.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    rollup.commit("ingest", token_counts.changes(rows, 1, first))
+    rollup.commit("second-tokenizer", token_counts.changes(rows, 1, second))
+    rollup.commit("takedown", token_counts.changes(rows.join(toxic, "doc_id", "left_semi"), -1, first, second))
+    before = rows.join(poor, "doc_id", "left_semi")
+    after = before.select("doc_id", "source", "lang", F.col("revised").alias("tokens"))
     for _ in range(2):
         rollup.commit("revision", token_counts.revision(before, after, first, second))
     return rollup.totals()

@@ -21,15 +21,21 @@ VERSIONS = {"words-1": WORD, "runs-2": r"[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]+
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
-def count(text: str, version: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(VERSIONS[version])), F.lit(0)).cast("long")
+def tokens(text: Column, *versions: str) -> Column:
+    """{version: number of tokens} of a text."""
+    return F.create_map(*(x for v in versions for x in (F.lit(v), F.coalesce(F.regexp_count(text, F.lit(VERSIONS[v])), F.lit(0)).cast("long"))))
 
 
-def changes(docs: DataFrame, sign: int, *versions: str) -> DataFrame:
-    """source, lang, tokenizer, n_docs, n_tokens: one signed row per row of docs and version; texts are read once."""
-    each = F.array(*(F.struct(F.lit(v).alias("tokenizer"), (count("text", v) * sign).alias("n_tokens")) for v in versions))
-    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.explode(each).alias("c"))
-    return rows.select("source", "lang", "c.tokenizer", F.lit(sign).cast("long").alias("n_docs"), "c.n_tokens")
+def counted(docs: DataFrame, *versions: str) -> DataFrame:
+    """doc_id, source, lang, tokens: what batches are made of. Counting comes before any join, so that only these
+    small rows are shuffled and never the texts."""
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), tokens(F.col("text"), *versions).alias("tokens"))
+
+
+def changes(rows: DataFrame, sign: int, *versions: str) -> DataFrame:
+    """source, lang, tokenizer, n_docs, n_tokens: one signed row per counted row and version."""
+    each = F.array(*(F.struct(F.lit(v).alias("tokenizer"), (F.col("tokens")[v] * sign).alias("n_tokens")) for v in versions))
+    return rows.select("source", "lang", F.explode(each).alias("c")).select("source", "lang", "c.tokenizer", F.lit(sign).cast("long").alias("n_docs"), "c.n_tokens")
 
 
 def revision(before: DataFrame, after: DataFrame, *versions: str) -> DataFrame:

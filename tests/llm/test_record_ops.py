@@ -130,15 +130,17 @@ def test_chunks_resist_insertions():
 def test_rollup_is_idempotent(spark, tmp_path):
     rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
     assert rollup.totals().count() == 0
-    df = docs(spark, [(1, "a b c", "s"), (2, None, "s"), (3, "x.y", None), (3, "x.y", None)])
+    of = lambda rows: token_counts.counted(docs(spark, rows), "words-1", "runs-2")
+    df = of([(1, "a b c", "s"), (2, None, "s"), (3, "x.y", None), (3, "x.y", None)])
     assert rollup.commit("b1", token_counts.changes(df, 1, "words-1"))
     assert not rollup.commit("b1", token_counts.changes(df, 1, "words-1"))
-    assert rollup.commit("b2", token_counts.revision(df.where("doc_id = 1"), docs(spark, [(1, "a", "s")]), "words-1"))
+    assert rollup.commit("b2", token_counts.revision(df.where("doc_id = 1"), of([(1, "a", "s")]), "words-1"))
     (tmp_path / "r" / "b3").mkdir()  # an interrupted commit
     got = sorted((str(r.source), r.n_docs, r.n_tokens) for r in token_counts.Rollup(spark, f"file://{tmp_path}/r").totals().collect())
     assert got == [("None", 2, 2), ("s", 2, 1)]
-    rollup.commit("b4", token_counts.changes(docs(spark, [(3, "x.y", None), (3, "x.y", None)]), -1, "words-1"))
+    rollup.commit("b4", token_counts.changes(of([(3, "x.y", None), (3, "x.y", None)]), -1, "words-1"))
     assert [r.source for r in rollup.totals().collect()] == ["s"]
+    assert {r.n_tokens for r in token_counts.changes(of([(5, "x.y", "s")]), 1, "words-1", "runs-2").collect()} == {1, 3}
     with pytest.raises(ValueError):
         rollup.commit("../x", token_counts.changes(df, 1, "words-1"))
 
