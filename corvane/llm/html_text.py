@@ -104,7 +104,7 @@ def boilerplate(name: str, attributes: str, in_main: bool) -> bool:
         return True
     if name == "header":
         return not in_main
-    if name in ("html", "body", *MAIN) or not attributes:
+    if name in ("html", "body", "main") or not attributes:
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
@@ -129,21 +129,31 @@ def content_name(attributes: str) -> bool:
     return False
 
 
-def _holds_main(stream: list) -> set[int]:
-    """Places of start tags whose element holds an article or main element: such wrappers are no boilerplate."""
+def _primary(stream: list) -> tuple[int, set[int]]:
+    """Place of the start tag of the main element, or else of the article with the most text, and the places of
+    those around it: neither it nor a wrapper of it is boilerplate by its name."""
     stack: list[tuple[str, int]] = []
-    found: set[int] = set()
+    held: dict[int, tuple[bool, int, set[int]]] = {}
     for place, (kind, name, _) in enumerate(stream):
-        if kind == "open" and name not in VOID:
+        if kind == "text":
+            size = len(name.split())
+            for n, p in stack:
+                if n in MAIN:
+                    is_main, total, around = held[p]
+                    held[p] = (is_main, total + size, around)
+        elif kind == "open" and name not in VOID:
             if name in MAIN:
-                found.update(p for _, p in stack)
+                held[place] = (name == "main", 0, {p for _, p in stack})
             stack.append((name, place))
         elif kind == "close":
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
                     break
-    return found
+    if not held:
+        return -1, set()
+    best = max(held, key=lambda p: (held[p][0] and held[p][1] > 0, held[p][1], -p))
+    return best, held[best][2]
 
 
 def sequence(page: str | None) -> list[tuple[str, str]]:
@@ -152,7 +162,7 @@ def sequence(page: str | None) -> list[tuple[str, str]]:
     if not page:
         return []
     stream = list(tokens(page))
-    wrappers = _holds_main(stream)
+    primary, wrappers = _primary(stream)
     stack: list[tuple[str, bool, bool]] = []
     out: list[tuple[str, str]] = []
     skip = main = near = links = headings = 0
@@ -175,7 +185,7 @@ def sequence(page: str | None) -> list[tuple[str, str]]:
         if kind == "open":
             if value in VOID:
                 if not skip:
-                    out.append((" " if value == "br" else "t:" + value, ""))
+                    out.append((" " if value == "br" else "t:" + ("m:" if near else "") + value, ""))
                 continue
             while stack and value in SELF_CLOSED_BY.get(stack[-1][0], ()):
                 leave(stack.pop())
@@ -189,12 +199,11 @@ def sequence(page: str | None) -> list[tuple[str, str]]:
                         break
                     if name not in INLINE:
                         break
-            boiler = (place not in wrappers or value in ("nav", "footer", "form")) and boilerplate(value, attributes or "", main > 0)
-            boiler = boiler and not (value == "form" and place in wrappers)
+            boiler = place != primary and place not in wrappers and boilerplate(value, attributes or "", main > 0)
             if not skip:
                 if not inline or boiler:
                     out.append(("|", ""))
-                out.append(("x" if boiler else "t:" + value, ""))
+                out.append(("x" if boiler else "t:" + ("m:" if near else "") + value, "") if not (boiler and near) else ("t:m:x", ""))
             content = value in MAIN or not boiler and value not in ("html", "body") and bool(attributes) and content_name(attributes)
             stack.append((value, boiler, content))
             skip, main, near = skip + boiler, main + (value in MAIN), near + content
@@ -248,9 +257,10 @@ def labelled_pages() -> list[str]:
         "comments": f'<div class="comments"><p>{sentence}</p><p>{sentence}</p></div>',
         "small": "<div><span>Log in</span> <span>Sign up</span></div>",
     }
+    advert = boxes["ad"]
     bodies = [
         "\x02" + "".join(f"<p>{sentence} {sentence}.</p>" for _ in range(5)) + "\x03",
-        f"\x02<h1>{sentence}</h1><p>{sentence}</p>\x03",
+        f"\x02<h1>{sentence}</h1><p>{sentence}</p>{advert}<p>{sentence}</p>\x03",
         f"\x02<h1>{sentence}</h1><p><b>{sentence}<br></p>" + f"<p>{sentence} <a href='/z'>see</a> {sentence}</p>" * 3 + "\x03",
         f"\x02<h2>{sentence}</h2><div>{sentence}</div><ul>" + f"<li>{sentence}</li>" * 3 + f"</ul><p>{sentence}</p>\x03",
     ]

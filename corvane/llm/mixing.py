@@ -107,12 +107,6 @@ def _key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds `nth`, which tells rows of one doc_id apart: by source, then by text; equal rows are alike."""
-    same = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"))
-    return docs.withColumn("nth", F.row_number().over(same))
-
-
 def _base(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("tie"))
@@ -164,9 +158,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """`docs` as the mix takes them: a document once for each pass that takes words of it, whole."""
+    """`docs` as the mix takes them: a document once for each pass that takes words of it, whole, with all of its
+    columns. Documents without words are in no block and go."""
     mixed, _, _ = pieces(_base(docs))
     copies = mixed.select("doc_id", "nth", "again").distinct()
-    rows = _numbered(docs)
-    match = rows["doc_id"].eqNullSafe(copies["doc_id"]) & (rows["nth"] == copies["nth"])
-    return rows.join(copies, match).select(*(rows[c] for c in docs.columns))
+    same = Window.partitionBy("_id").orderBy("_source", "_tie")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), F.xxhash64("text").alias("_tie"))
+    rows = rows.withColumn("_nth", F.row_number().over(same))
+    return rows.join(copies, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_nth") == F.col("nth"))).select("_row.*")

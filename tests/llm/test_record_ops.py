@@ -94,6 +94,16 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixed_documents_keep_their_columns(spark):
+    rows = [(i, "some words of text " * (i % 5), "ab"[i % 2], i) for i in range(60)] + [(None, "no id", "a", -1), (3, "again", "b", 99), (3, "again", "b", 99)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, nth int")
+    out = mixing.mixed_documents(df)
+    taken = {(r.doc_id, r["size"]): r.taken for r in mixing.mix(df).collect()}
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == df.columns and set(got) <= set(rows) and len(got) > 60
+    assert all(taken[i, len(t.split())] > 0 for i, t, _, _ in got)
+
+
 def test_schedule_is_balanced_everywhere(spark):
     slots = {"a": 300, "b": 100, "c": 200, "d": 1}
     got = sorted((r.position, r.key, r["rank"]) for r in mixing.schedule(spark, slots).collect())

@@ -30,6 +30,8 @@ W = html_text.fit()
         ("<div class='cookie-notice'><p>We use cookies on this site to track you</p></div><div class='post-content'><p>real text of the post</p></div>", "real text of the post"),
         ("<article><form><input value='1'>Name</form><p>kept text</p><!-- <p>gone</p> --></article>", "kept text"),
         ("<article><p>cut off in a tag <b", "cut off in a tag"),
+        ("<article><p>the story is here</p></article><div class='related'><article><p>a teaser of another</p></article></div><article class='comment'><p>I say so</p></article>", "the story is here"),
+        ("<div class='sidebar-layout'><article><p>the story</p><p>ends.</p></article></div>", "the story\nends."),
         ("<body class='has-sidebar'><article><p>the words</p></article></body>", "the words"),
     ],
 )
