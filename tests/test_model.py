@@ -164,3 +164,11 @@ def test_line_churn_keeps_repeats(spark):
     schema = "key string, line string"
     out = history.line_churn(spark.createDataFrame([("k", "a"), ("k", "a"), ("k", "b")], schema), spark.createDataFrame([("k", "b"), ("k", "c")], schema)).first()
     assert (out.added, out.removed, out.churn) == (1, 2, 1.0)
+
+
+def test_repaired_yaml(spark):
+    from corvane.operators import outputs
+
+    text = 'actors:\n  - id: a - id: b\n    name: "cut of'
+    out = outputs.repaired_yaml(spark.createDataFrame([(1, text), (2, "a: b\n")], "id int, content string"))
+    assert rows(out) == [(1, "actors:\n  - id: a\n  - id: b"), (2, "a: b\n")]
