@@ -38,6 +38,7 @@ class Settings:
     steps: int = 60
     rate: float = 0.3
     damping: float = 1e-4
+    leak: float = 0.05  # share of toxic labels that no word explains; keeps wrong labels from blaming rare words
 
 
 @dataclass(frozen=True)
@@ -117,7 +118,8 @@ def train(texts: list[str], toxic: np.ndarray, s: Settings = Settings()) -> Mode
         z = np.add.reduceat((e @ d)[buckets], starts) * inverse + (bias[1] - bias[0])
         soft, sigmoid = np.logaddexp(0, z), 1 / (1 + np.exp(-z))
         total = np.bincount(doc, soft[doc_word], len(bags))
-        pull = np.where(toxic, -1 / np.expm1(np.clip(total, 1e-4, 50)), 1.0) * weight
+        none = (1 - s.leak) * np.exp(-np.clip(total, 1e-4, 50))
+        pull = np.where(toxic, -none / (1 - none), 1.0) * weight
         gz = np.bincount(doc_word, pull[doc], len(names)) * sigmoid / len(bags)
         gs = np.bincount(buckets, (gz * inverse)[word], len(used)).astype(np.float32)
         gd, gb = e.T @ gs, np.float32(gz.sum())
@@ -139,7 +141,7 @@ def _calibrate(top: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Logistic regression of the label on the strongest span's logit, by Newton steps with a small penalty."""
     x = np.stack([top, np.ones_like(top)], 1)
     beta = np.zeros(2)
-    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
+    weight = np.full(len(toxic), 1 / len(toxic))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-4 * np.eye(2)
