@@ -166,7 +166,9 @@ def top_k(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     places = F.create_map(*(x for d, b in per_dim.items() for x in (F.lit(d), F.array(*(F.lit(v).cast("long") for v in b)))))
     candidates = source.mapInArrow(_pack(sample, k, False), block).drop("start")
     candidates = candidates.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS))).withColumn("block", F.explode(places[F.col("dim")]))
-    met = candidates.join(asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), ["dim", "block", "salt"])
+    # The queries grow with the table, so their blocks are shuffled and never broadcast.
+    spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    met = candidates.join(spread.hint("merge"), ["dim", "block", "salt"])
     found = met.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
