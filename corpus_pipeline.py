@@ -27,7 +27,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output.token_files(docs, TOKENIZER)
+    return token_output.token_files(docs, TOKENIZER, cached=100_000)  # the workers hold other stages' state too
 
 
 STAGES = [

@@ -70,6 +70,13 @@ def crc_mod(column: str, n: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))
 
 
+def small(batches, rows: int = 1024):
+    """Arrow batches in slices of at most `rows` rows, so that a worker's memory doesn't follow the batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 # --- word hashing -------------------------------------------------------------------------------
 # A word's hash is sum(T[byte] * R**i) mod 2**64 over its bytes, got for all words of a text at once
 # from prefix sums, then mixed. T and R come from a fixed seed, so every executor agrees.
@@ -80,7 +87,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _R = 0x9E3779B97F4A7C15
 _RINV = pow(_R, -1, 2**64)
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _POWERS: list[np.ndarray] = []
 STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

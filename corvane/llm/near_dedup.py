@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, mix, shingles, word_hashes
+from .common import keep, mix, shingles, small, word_hashes
 
 BAND_VALUES = 4
 BLOCK = 256
@@ -51,7 +51,7 @@ def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
 
 def _signer(k: int, bands: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0), batch.column(1)
             n, digests, keys = [], [], []
             for text in texts:
@@ -71,7 +71,7 @@ def _setter(k: int, bits: int, marked: np.ndarray):
     """Sets of the documents whose id's bit is marked: all that are wanted, and a few more."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             place = np.asarray(batch.column(2))
             rows = np.flatnonzero(marked[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1))
             texts = batch.column(1)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, mix, word_hashes
+from .common import keep, mix, small, word_hashes
 
 WINDOW = 4
 CUT_BITS = 2
@@ -62,7 +62,7 @@ def chunks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _chunker(full: bool):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             cols: list[list] = [[], [], [], []]
             sizes = []
             for t in batch.column(1):

@@ -29,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, remove, work_path
+from .common import keep, remove, small, work_path
 
 END_ID = 1
-CACHED = 350_000
+CACHED = 300_000
 PART = 1 << 18
 FRAME_IDS = 1 << 20
 SHARD_IDS = 1 << 22
@@ -56,7 +56,8 @@ class Encoder:
     #: The pattern for lower-case plain characters.
     UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
+        self.cached = cached  # units in each of two generations
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,7 +87,7 @@ class Encoder:
         if found is None:
             shown = unit if unit.isascii() else "".join([self.byte_chars[b] for b in unit.encode()])
             found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-        if len(self.units) >= CACHED:
+        if len(self.units) >= self.cached:
             self.older, self.units = self.units, {}
         self.units[unit] = found
         return found
@@ -126,13 +127,14 @@ def _space(text: str, at: int) -> int:
     return len(text) if found < 0 else found
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cached: int = CACHED) -> Encoder:
+    if (path, cached) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, cached] = Encoder(path, cached)
+    return _ENCODERS[path, cached]
 
 
 # --- codes --------------------------------------------------------------------------------------
@@ -197,11 +199,11 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 # --- jobs ---------------------------------------------------------------------------------------
-def _tokenize(tokenizer: str):
+def _tokenize(tokenizer: str, cached: int):
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cached)
         end = np.array([END_ID], enc.dtype).tobytes()
-        for batch in batches:
+        for batch in small(batches):
             ids = [enc.encode(t.as_py()) + end for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -211,7 +213,7 @@ def _tokenize(tokenizer: str):
 def _count(dtype: str, size: int):
     def run(batches):
         total = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for x in batch.column(0):
                 total += np.bincount(np.frombuffer(x.as_py(), dtype), minlength=size)
         at = np.flatnonzero(total)
@@ -223,7 +225,7 @@ def _count(dtype: str, size: int):
 def _code(dtype: str, rank_of: np.ndarray, cuts: np.ndarray):
     def run(batches):
         width = np.dtype(dtype).itemsize
-        for batch in batches:
+        for batch in small(batches):
             raw = batch.column(1).to_pylist()
             counts = np.array([len(x) // width for x in raw], np.int64)
             controls, datas = pack(rank_of[np.frombuffer(b"".join(raw), dtype)], counts)
@@ -250,7 +252,7 @@ def _write(folder: str):
                 for x in held:
                     x.clear()
 
-        for batch in batches:
+        for batch in small(batches):
             stream = stream or fs.open_output_stream(scratch)
             for doc, n, control, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
                 for x, v in zip(held, (NULL_ID if doc is None else doc, n, control, data), strict=True):
@@ -267,17 +269,17 @@ def _write(folder: str):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, cached: int = CACHED) -> DataFrame:
     """Write the documents' ids below `folder`; returns the manifest: shard, docs, ids (one row a shard).
 
     docs: doc_id, text. A null text has the end id only; null doc_ids come first. Rows that repeat a doc_id
     follow each other in an order that depends on their ids alone. `tokenizer` must exist on every worker."""
     spark = docs.sparkSession
-    enc = encoder(tokenizer)
+    enc = encoder(tokenizer, cached)
     fs, base = filesystem(folder)
     fs.create_dir(base, recursive=True)
     raw_path = work_path(spark, "ids")
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer), "doc_id long, ids binary")
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer, cached), "doc_id long, ids binary")
     raw.write.option("compression", "zstd").parquet(raw_path)
     raw = spark.read.schema(raw.schema).parquet(raw_path)
     # One row per id of the vocabulary at most comes to the driver.
@@ -333,8 +335,9 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFr
     return each.mapInArrow(_read(folder), schema)
 
 
-def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write `docs` to token files in the shared folder and return what reading them back gives."""
+def token_files(docs: DataFrame, tokenizer: str, cached: int = CACHED) -> DataFrame:
+    """Write `docs` to token files in the shared folder and return what reading them back gives. `cached` bounds
+    the units that a worker remembers, twice; fewer take less memory and more time."""
     spark = docs.sparkSession
     folder = work_path(spark, "tokens")
-    return read_tokens(spark, write_tokens(docs, tokenizer, folder), folder)
+    return read_tokens(spark, write_tokens(docs, tokenizer, folder, cached), folder)

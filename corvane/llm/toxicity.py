@@ -167,11 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable, s: Settings = Settings()) ->
 
 
 _CACHE: dict[int, tuple[str, dict[str, float]]] = {}
-CACHED_WORDS = 400_000
+CACHED_WORDS = 50_000
 
 
 def scorer(model: Model):
-    """A pandas UDF: score in 0..1 by text. Each worker remembers up to 400,000 words' logits."""
+    """A pandas UDF: score in 0..1 by text. Each worker remembers up to 50,000 words' logits."""
     shared = model
     mark = hash((model.word_scores.tobytes(), model.bias, model.slope, model.shift))
 
