@@ -101,7 +101,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable from each node that has an edge.
+    """(node, component): the smallest node reachable, for each node that reaches a smaller one; roots have no row.
 
     Large-star and small-star rounds on the edge list, each a keyed minimum and a join, until every edge
     leads to the root of a star. No node's neighbours are ever gathered in one row or one task."""
@@ -216,6 +216,7 @@ def _settled(rest: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
     shared = prefix.where(F.col("c") >= COMMON).join(heads.select("node"), "node", "left_semi").select("e", "node")
     first = shared.groupBy("e").agg(F.min("node").alias("b"))
     groups = components(shared.join(first, "e").select(F.col("node").alias("a"), "b"))
+    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
     common = elements.where(F.col("c") >= COMMON).join(groups, "node").groupBy("node", "component").agg(F.collect_list("e").alias("common"))
     met = keep(_blocks(common.join(heads, "node"), percent), "blocks")
     classes = met.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

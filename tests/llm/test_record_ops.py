@@ -227,6 +227,30 @@ def test_common_elements_meet_in_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 4, 80)
 
 
+def test_settled_links_the_smallest_head(spark, monkeypatch):
+    """Two heads whose common parts differ, and random sets: everything that brute force connects."""
+    monkeypatch.setattr(near_dedup, "COMMON", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    rng = random.Random(6)
+    sets = {1: {*range(20), 50, 90}, 2: {*range(20), 51}, 3: {50, 51, *range(300, 321)}}
+    for node in range(4, 44):  # variants of three passages with tails of their own
+        passage = [*range(1000 + 20 * (node % 3), 1020 + 20 * (node % 3))]
+        sets[node] = {*rng.sample(passage, rng.randint(17, 20)), *range(100 * node + 5000, 100 * node + 5000 + rng.randint(0, 4))}
+    rest = spark.createDataFrame([(i, i) for i in sets], "node long, label long")
+    (links,) = near_dedup._settled(rest, spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, elements array<long>"), 80)
+    pairs = {(r.a, r.b) for r in links.collect()}
+    passes = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+
+    def roots(edges):
+        root = {i: i for i in sets}
+        for _ in sets:
+            for i, j in edges:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    assert (1, 2) in passes and pairs <= passes and roots(pairs) == roots(passes)
+
+
 def test_near_duplicate_edges(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (6, None), (7, ""), (8, "x y z u v w"), (None, "a b c d e f"), (9, "A b C d e f"), (8, "other text of this id")]
     out = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(docs(spark, rows), 4, 80).collect())
