@@ -2,8 +2,12 @@
 
 Fixed masks select some of a window's words and ignore the others. The hashes of the selected words of
 every window of every document are looked up among those of the benchmark; a mask that skips a substituted
-word still matches. Around each hit, document and item are laid over each other and the best run of words
-is scored: 1 for a match, -4 for a difference, so that a run has at least 80 % matches.
+word still matches. Around each hit, document and item are laid over each other, and of all runs of words
+with at least 80 % matches the one of the most matches counts: a match scores 1, a difference -4, and a run
+has 80 % if its sum isn't negative.
+
+Four masks of five words meet every such run of 15 words or more. For items of 5, 6, 10 or 11 words, where
+differences can leave less than a mask needs, masks of four words are looked up as well.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import STEP, WORD, mix, word_hashes
 
 MASKS = ("11111", "1111011", "1101111", "1110111")
+SHORT_MASKS = ("1111", "11101", "11011", "10111")
+SHORT_ITEMS = (5, 6, 10, 11)
 MISMATCH = -4
 MIN_WORDS = 12
 SLICE_WORDS = 500_000
@@ -48,11 +54,12 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def build(rows: list[tuple]) -> Index:
-    """rows: (item_id, text). Items of fewer than five words can't be told from chance and take no part."""
+    """rows: (item_id, text). Items of fewer than five words can't be told from chance and take no part.
+    Masks that no item needs have no keys."""
     pairs = [(i, w) for i, t in rows if len(w := word_hashes((t or "").encode())[0]) >= len(MASKS[0])]
     keys, places = [], []
-    for mask in MASKS:
-        found = [(seeds(w, mask), at) for at, (_, w) in enumerate(pairs)]
+    for mask in (*MASKS, *SHORT_MASKS):
+        found = [(seeds(w, mask), at) for at, (_, w) in enumerate(pairs) if mask in MASKS or len(w) in SHORT_ITEMS]
         k = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.uint64)
         p = np.concatenate([np.stack([np.full(len(f), at), np.arange(len(f))], 1) for f, at in found]) if found else np.empty((0, 2), np.int64)
         order = np.argsort(k, kind="stable")
@@ -66,10 +73,23 @@ def build(rows: list[tuple]) -> Index:
     return Index([i for i, _ in pairs], [w for _, w in pairs], keys, places, bits, table)
 
 
+def best_run(same: np.ndarray) -> tuple[int, int, int]:
+    """(matches, start, end) of the run of the most matches among the runs with at least 80 % matches."""
+    hits = np.r_[0, np.cumsum(same)]
+    score = np.r_[0, np.cumsum(np.where(same, 1, MISMATCH))]
+    # For each end the earliest start whose score isn't higher: longer runs hold no fewer matches.
+    start = np.searchsorted(-np.minimum.accumulate(score), -score, "left")
+    end = int(np.argmax(hits - hits[start]))
+    inside = np.flatnonzero(same[start[end] : end]) + start[end]
+    return (len(inside), int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0, 0)
+
+
 def overlaps(words: np.ndarray, index: Index) -> list[tuple]:
     """(item, first word, end word, matching words) of the best run of each item found in the words."""
     hits = []
-    for mask, keys, places in zip(MASKS, index.keys, index.places, strict=True):
+    for mask, keys, places in zip((*MASKS, *SHORT_MASKS), index.keys, index.places, strict=True):
+        if not len(keys):
+            continue
         h = seeds(words, mask)
         at = np.flatnonzero(index.table[(h >> np.uint64(64 - index.bits)).astype(np.int64)])
         if not len(at):
@@ -87,13 +107,9 @@ def overlaps(words: np.ndarray, index: Index) -> list[tuple]:
         other = index.words[item]
         first, end = max(0, shift), min(len(words), shift + len(other))
         same = words[first:end] == other[first - shift : end - shift]
-        score = np.cumsum(np.where(same, 1, MISMATCH))
-        before = np.minimum.accumulate(np.r_[0, score[:-1]])
-        stop = int(np.argmax(score - before))
-        start = int(np.flatnonzero(np.r_[0, score[:-1]][: stop + 1] == before[stop])[-1])
-        matched = int(same[start : stop + 1].sum())
+        matched, start, stop = best_run(same)
         if matched >= min(MIN_WORDS, -(-4 * len(other) // 5)):
-            best[item] = max(best.get(item, (0, 0, 0)), (matched, first + start, first + stop + 1))
+            best[item] = max(best.get(item, (0, 0, 0)), (matched, first + start, first + stop))
     return [(index.items[i], s, e, m) for i, (m, s, e) in sorted(best.items())]
 
 
@@ -124,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     document), matching_words.
 
     They overlap if a run of aligned words has at least 80 % matches and 12 of them (for items of less than
-    15 words, 80 % of the item). A-Z count as a-z. Null and empty texts overlap with nothing; repeated
+    15 words, 80 % of the item); items of less than five words are left out. A-Z count as a-z. Null and empty texts overlap with nothing; repeated
     documents are listed each, repeated items once per item row of another id; clashing extra columns aren't
     looked at. Each document is looked at by itself: nothing is shuffled."""
     spark = docs.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import zlib
@@ -174,6 +175,29 @@ def test_decontamination(spark):
     assert decontaminate.contamination(df, bench.limit(0)).count() == 0 and decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+def test_best_run_equals_brute_force():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 15, 24):
+        for _ in range(60):
+            same = rng.random(n) < 0.8
+            runs = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if 5 * same[i:j].sum() >= 4 * (j - i)]
+            matched, start, end = decontaminate.best_run(same)
+            assert matched == max([same[i:j].sum() for i, j in runs], default=0)
+            assert not matched or ((start, end) in runs and same[start:end].sum() == matched)
+
+
+def test_every_item_at_80_percent_is_found():
+    for n in range(5, 21):
+        item = [f"w{i}" for i in range(n)]
+        index, need = decontaminate.build([(7, " ".join(item))]), min(12, -(-4 * n // 5))
+        for changed in [c for k in range(4) for c in itertools.combinations(range(n), k)]:
+            text = " ".join("x" if i in changed else w for i, w in enumerate(item))
+            same = np.array([i not in changed for i in range(n)])
+            matched = max((int(same[i:j].sum()) for i in range(n) for j in range(i + 1, n + 1) if 5 * same[i:j].sum() >= 4 * (j - i)), default=0)
+            found = decontaminate.overlaps(common.word_hashes(("a b c " + text + " d").encode())[0], index)
+            assert [f[3] for f in found] == ([matched] if matched >= need else []), (n, changed)
+
+
 # --- near-dedup ----------------------------------------------------------------------------------
 def brute_components(rows, k, percent):
     sets = []
