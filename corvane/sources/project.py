@@ -28,9 +28,12 @@ CONFIG_MOST_BYTES = 10 * 1024
 ENTRY_POINTS = ("__main__.py", "app.py", "main.py")
 
 
-def read_tree(spark: SparkSession, root: str, most_bytes: int = 1 << 20) -> DataFrame:
-    """path (relative), content, length of the files below root. The size filter reaches the listing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= most_bytes)
+def read_tree(spark: SparkSession, root: str, most_bytes: int | None = None) -> DataFrame:
+    """path (relative), content, length of the files below root, of `most_bytes` at most if given. The size
+    filter reaches the listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if most_bytes is not None:
+        files = files.where(F.col("length") <= most_bytes)
     below = F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/")
     start = "/" + root.split(":", 1)[-1].strip("/") + "/"
     return files.select(F.substr(below, F.lit(len(start) + 1)).alias("path"), F.decode("content", "UTF-8").alias("content"), "length")

@@ -45,6 +45,18 @@ def test_discover_and_classify(tree):
     assert len(TREE) == files.count()
 
 
+def test_large_sources_are_read(spark, tmp_path):
+    (tmp_path / "pom.xml").write_text("<project/>")
+    (tmp_path / "Big.java").write_text("package a.b;\nimport c.D;\npublic class Big {\n" + "// generated\n" * 100_000 + "}\n")
+    (tmp_path / "big.yaml").write_text("x" * 20_000)
+    files = project.read_tree(spark, str(tmp_path))
+    projects = project.discover(files)
+    owned = project.owned_files(files, projects)
+    assert [(r.module, r.exports) for r in project.modules(project.sources(owned, projects)).collect()] == [("a.b", ["Big"])]
+    assert [r.file for r in project.config_files(owned).collect()] == ["pom.xml"]
+    assert project.read_tree(spark, str(tmp_path), 1 << 20).count() == 2
+
+
 def test_dependencies(tree):
     assert rows(project.dependencies(tree[2])) == [
         ("services/order", "fastapi", False),
