@@ -29,7 +29,6 @@ class Settings:
 
     docs_per_language: int = 96
     chars_per_doc: int = 1200
-    most_languages: int = 200
     block: int = 8192
     level: int = 6
     margin: float = 0.01
@@ -42,15 +41,15 @@ def letters(text: str | None) -> str:
 
 def training_rows(docs: DataFrame, s: Settings = Settings()) -> dict[str, list[str]]:
     """Sample texts by language. Counts by language come first; they give the share of ids, by hash, that
-    suffices for each language, so that the sample is bounded by the settings however large the table is."""
+    suffices for each language, so that the sample of a language is bounded by the settings however large the
+    table is. Every language has one: the sample grows with their number, not with the rows."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod("doc_id", 4) != 2)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.most_languages).collect()
-    picked = F.lit(False)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
+    shares = [int(min(1.0, 2.0 * s.docs_per_language / r.n) * (1 << 30)) + 1 for r in counts]
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array([r.lang for r in counts], pa.string()), "share": pa.array(shares, pa.int64())}))
     place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30))
-    for r in counts:
-        share = min(1.0, 2.0 * s.docs_per_language / r.n)
-        picked = picked | ((F.col("lang") == r.lang) & (place < int(share * (1 << 30)) + 1))
-    sample = known.where(picked).select("lang", "doc_id", F.substring("text", 1, s.chars_per_doc).alias("text"), place.alias("place"))
+    sample = known.select("lang", "doc_id", F.substring("text", 1, s.chars_per_doc).alias("text"), place.alias("place"))
+    sample = sample.join(shares, "lang").where("place < share")
     out: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r.lang, r.place, r.doc_id, r.text)):
         texts = out.setdefault(r.lang, [])
@@ -102,8 +101,8 @@ _MADE: dict[int, Classifier] = {}
 def identify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, lang_pred, score, rejected.
 
-    Only text and lang of documents whose crc32 modulo 4 is not 2 are learnt from; a prediction looks at the
-    text alone, whole. Null texts and texts without a letter are `und` with score 0, and so is every text if
+    Only text and lang of documents whose crc32 modulo 4 is not 2 are learnt from, and every language of these
+    is learnt; a prediction looks at the text alone, whole, once with each language. Null texts and texts without a letter are `und` with score 0, and so is every text if
     nothing could be learnt. Ties go to the first language by code point. Repeated rows are predicted each;
     an empty table gives an empty table."""
     dicts = dictionaries(training_rows(docs, s))

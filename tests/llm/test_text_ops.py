@@ -78,6 +78,17 @@ def test_language_edges(spark):
     assert language.identify(unlabelled).first().lang_pred == "und"
 
 
+def test_every_language_is_learnt(spark):
+    rng = np.random.default_rng(4)
+    vocabularies = [["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(12)] for _ in range(230)]
+    learnt = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2][:460]
+    rows = [(i, " ".join(vocabularies[n // 2]), f"l{n // 2:03d}", "s", 1, 0.0) for n, i in enumerate(learnt)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert set(language.training_rows(df)) == {r[2] for r in rows}
+    got = {(r.doc_id, r.lang_pred) for r in language.identify(df).collect()}
+    assert got == {(r[0], r[2]) for r in rows}
+
+
 @needs_data
 def test_language_accuracy(spark):
     got = queries.op2_compression_language(spark, str(DATA)).where("held_out").select("doc_id", "lang_pred")
