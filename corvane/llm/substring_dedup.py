@@ -2,8 +2,8 @@
 
 A gear rolling hash runs over the words of a text: each step shifts the hash by 16 bits and adds the word's
 own gear value, so it depends on the last four words. Where its top bits are zero a chunk ends; an insertion
-moves the cuts near it and no others. Chunks are compared by digest. Neighbouring chunks that other documents
-have too form a run, and runs of enough words are reported as repeated passages.
+moves the cuts near it and no others. Windows of neighbouring chunks, just long enough for a passage, are
+compared by digest. Those that other documents have as a whole are reported, joined where they overlap.
 """
 
 from __future__ import annotations
@@ -53,29 +53,48 @@ def chunks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     since = np.arange(n) - np.maximum.accumulate(np.where(starts, np.arange(n), 0))
     first = np.flatnonzero(since % MOST_WORDS == 0)
     last = np.r_[first[1:], n]
-    power, inverse = _powers(n)
-    total = np.zeros(n + 1, np.uint64)
+    return first, last - first, _digests(words, first, last)
+
+
+def _digests(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    power, inverse = _powers(len(words))
+    total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * power, out=total[1:])
-    digest = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
-    return first, last - first, digest.view(np.int64)
+    return mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)).view(np.int64)
+
+
+def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, number of words, digest) of the shortest runs of chunks of `least` words or more: from each
+    chunk on, and up to each chunk. They cover a longer run to its ends, and each of its cuts is inside of one:
+    two neighbours that are long enough alone make one more. Equal runs of chunks have equal windows."""
+    first, n, _ = chunks(words)
+    last, c = first + n, len(first)
+    if not c or last[-1] < least:
+        return first[:0], first[:0], first[:0]
+    i = np.arange(c)
+    stop, start = np.searchsorted(last, first + least, "left"), np.searchsorted(first, last - least, "right") - 1
+    long = np.flatnonzero((n[:-1] >= least) & (n[1:] >= least))
+    found = np.unique(np.concatenate([(i * c + stop)[stop < c], (start * c + i)[start >= 0], long * c + long + 1]))
+    first, last = first[found // c], last[found % c]
+    return first, last - first, _digests(words, first, last)
 
 
-def _chunker(full: bool):
+def _cutter(full: bool, least: int):
     def run(batches):
         for batch in small(batches):
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], []]
             sizes = []
             for t in batch.column(1):
                 text = t.as_py()
-                first, n, digest = chunks(word_hashes(text)[0])
+                first, n, digest = windows(word_hashes(text)[0], least)
                 sizes.append(len(first))
-                for c, v in zip(cols, (first, n, digest, np.arange(len(first))), strict=True):
+                for c, v in zip(cols, (first, n, digest), strict=True):
                     c.append(v)
             row = np.repeat(np.arange(len(sizes)), sizes)
             ids = batch.column(0).take(pa.array(row))
-            first, n, digest, at = (pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in cols)
+            first, n, digest = (pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in cols)
             if full:
-                yield pa.RecordBatch.from_arrays([ids, batch.column(2).take(pa.array(row)), at.cast(pa.int32()), first.cast(pa.int32()), n.cast(pa.int32()), digest], ["doc_id", "tie", "at", "first", "n", "digest"])
+                yield pa.RecordBatch.from_arrays([ids, batch.column(2).take(pa.array(row)), first.cast(pa.int32()), n.cast(pa.int32()), digest], ["doc_id", "tie", "first", "n", "digest"])
             else:
                 yield pa.RecordBatch.from_arrays([ids, digest], ["doc_id", "digest"])
 
@@ -85,19 +104,19 @@ def _chunker(full: bool):
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_RUN) -> DataFrame:
     """One row per repeated passage of a document: doc_id, first_word, end_word, n_words, owner_id, is_first.
 
-    A passage is a run of neighbouring chunks that documents of other ids have too, of `least_words` words or
-    more. A passage of 50 words that repeats holds whole equal chunks of 36 words on average; its run misses
+    A passage is a run of neighbouring chunks made of overlapping windows of `least_words` words or more, each
+    of which documents of other ids have as a whole. A passage of 50 words that repeats holds whole equal chunks of 36 words on average; its run misses
     the words before its first cut and after its last. owner_id is the smallest doc_id that has all of the
-    run's first chunk; is_first tells that the document owns all its chunks, so that the other copies can go
+    run's first window; is_first tells that the document owns all its windows, so that the other copies can go
     and this one stay. A-Z count as a-z. Null, empty and short texts have no passages; rows that repeat an id
     with the same text count once; null ids take no part; an empty table gives an empty one."""
     source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tie"))
-    pairs = source.select("doc_id", "text").mapInArrow(_chunker(False), "doc_id long, digest long")
+    pairs = source.select("doc_id", "text").mapInArrow(_cutter(False, least_words), "doc_id long, digest long")
     owners = pairs.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last").select("digest", "owner")
     owners = keep(owners, "owners")
-    rows = source.mapInArrow(_chunker(True), "doc_id long, tie long, at int, first int, n int, digest long").join(owners, "digest").dropDuplicates(["doc_id", "tie", "at"])
-    run = F.col("at") - F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("at"))
-    runs = rows.withColumn("run", run).groupBy("doc_id", "tie", "run")
-    runs = runs.agg(F.min("first").alias("first_word"), F.sum("n").cast("long").alias("n_words"), F.min_by("owner", "at").alias("owner_id"), F.min(F.col("owner") == F.col("doc_id")).alias("is_first"))
-    runs = runs.where(F.col("n_words") >= least_words).withColumn("first_word", F.col("first_word").cast("long"))
-    return runs.select("doc_id", "first_word", (F.col("first_word") + F.col("n_words")).alias("end_word"), "n_words", "owner_id", "is_first")
+    rows = source.mapInArrow(_cutter(True, least_words), "doc_id long, tie long, first int, n int, digest long").join(owners, "digest").dropDuplicates(["doc_id", "tie", "first", "n"])
+    order = Window.partitionBy("doc_id", "tie").orderBy("first", "n")
+    apart = F.coalesce(F.col("first") >= F.lag(F.col("first") + F.col("n")).over(order), F.lit(False))
+    runs = rows.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(order)).groupBy("doc_id", "tie", "run")
+    runs = runs.agg(F.min("first").cast("long").alias("first_word"), F.max(F.col("first") + F.col("n")).cast("long").alias("end_word"), F.min_by("owner", F.struct("first", "n")).alias("owner_id"), F.min(F.col("owner") == F.col("doc_id")).alias("is_first"))
+    return runs.select("doc_id", "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "owner_id", "is_first")

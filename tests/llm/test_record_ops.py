@@ -129,6 +129,27 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_runs_occur_elsewhere_as_a_whole(spark):
+    """Chunks that other documents have one by one, in other places, make no passage."""
+    rng = random.Random(3)
+    text = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)]
+    first, n, _ = substring_dedup.chunks(common.word_hashes(" ".join(text).encode())[0])
+    noise = lambda i: " ".join(f"n{i}x{j}" for j in range(30))
+    rows = [(0, " ".join(text))] + [(i + 1, noise(2 * i) + " " + " ".join(text[max(0, a - 5) : a + m]) + " " + noise(2 * i + 1)) for i, (a, m) in enumerate(zip(first.tolist(), n.tolist(), strict=True)) if m < 10]
+    assert len(rows) > 6 and substring_dedup.repeated_passages(docs(spark, rows)).count() == 0
+    both = substring_dedup.repeated_passages(docs(spark, [(1, " ".join(text)), (2, " ".join(text))])).collect()
+    assert sorted((r.doc_id, r.first_word, r.end_word, r.n_words, r.owner_id, r.is_first) for r in both) == [(1, 0, 60, 60, 1, True), (2, 0, 60, 60, 1, False)]
+
+
+def test_windows_cover_runs():
+    for size in (40, 300):
+        for values in (2**63, 2):
+            h = np.random.default_rng(size).integers(0, values, size, dtype=np.uint64)
+            first, n, _ = substring_dedup.windows(h, 16)
+            end = np.maximum.accumulate(first + n)
+            assert first[0] == 0 and end[-1] == size and (first[1:] < end[:-1]).all() and (n >= 16).all()
+
+
 def test_chunks_resist_insertions():
     h = np.random.default_rng(0).integers(0, 2**63, 400, dtype=np.uint64)
     a, b = substring_dedup.chunks(h)[2], substring_dedup.chunks(np.r_[h[:100], h[7:10], h[100:]])[2]
