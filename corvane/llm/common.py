@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one is set only where none is configured."""
+    """The cluster's shared checkpoint folder. Where none is configured a local master gets a temporary one; a
+    cluster's executors couldn't see that, so it is an error there."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corvane-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -38,6 +43,11 @@ def work_path(spark: SparkSession, name: str) -> str:
 _made: list[tuple[SparkSession, str]] = []
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store and path of a folder, for readers and writers in Python workers."""
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", uri).replace("s3a://", "s3://", 1))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, remove, small, work_path
+from .common import filesystem, keep, remove, small, work_path
 
 END_ID = 1
 CACHED = 300_000
@@ -194,10 +193,6 @@ def frames(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         yield ids, counts, unpack(control, data, counts)
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", uri).replace("s3a://", "s3://", 1))
-
-
 # --- jobs ---------------------------------------------------------------------------------------
 def _tokenize(tokenizer: str, cached: int):
     def run(batches):

@@ -5,23 +5,28 @@ Distances of every vector to a set of pivots are computed once. For a query q an
 2 q.c = |q|^2 + |c|^2 - d(q, c)^2. Candidates are evaluated in the order of their bounds until the bound
 falls below the k-th best score so far; the rest are never evaluated, and the result is exact.
 
-Queries and candidates meet block by block. A query starts with the k-th best score of a bounded sample.
+Query blocks lie in the shared folder; each task holds a block of candidates and streams them past it. A query
+starts with the k-th best score of a bounded sample.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import filesystem, work_path
 
 SCALE = 1024
 PIVOTS = 24
 SAMPLE = 512
-BLOCK = 4096
-SALTS = 32
+BLOCK = 4096  # queries
+HELD = 32_768  # candidates at a time, fewer if they are wide
+HELD_BYTES = 64 << 20
 STEP = 128
 
 
@@ -66,39 +71,40 @@ def pick_pivots(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
-def _pack(sample: dict, k: int, queries: bool):
-    """Blocks of (dim, n, ids, vectors, pivot distances[, first bounds])."""
-    pivots = {d: pick_pivots(v, PIVOTS) for d, (_, v) in sample.items()}
-
-    def rows(d, ids, x):
-        p = pivots.get(d, np.zeros((0, d)))
-        for at in range(0, len(ids), BLOCK):
-            i, v = ids[at : at + BLOCK], x[at : at + BLOCK]
-            start = []
-            if queries:
-                near_ids, near = sample.get(d, (np.empty(0, np.int64), np.zeros((0, d))))
-                for qi, q in zip(i, v, strict=True):
-                    s = np.sort(scores(near, q)[near_ids != qi]) if len(near) else np.empty(0, np.int64)
-                    start.append(int(s[-k]) if len(s) >= k else -(2**63))
-            yield d, len(i), i.tobytes(), v.tobytes(), distances(v, p).tobytes(), np.array(start, np.int64).tobytes()
+def _queries(sample: dict, k: int, block: int):
+    """Blocks of queries: dim, block, ids, vectors, and each one's first bound, the k-th best score in the sample."""
 
     def run(batches):
-        held: dict[int, list] = {}
-        names = ["dim", "n", "ids", "vectors", "table", "start"]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        out = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
-        for batch in batches:
-            for d, (ids, x) in _rows(batch).items():
-                held.setdefault(d, []).append((ids, x))
-                if sum(len(i) for i, _ in held[d]) >= BLOCK:
-                    parts = held.pop(d)
-                    yield out(list(rows(d, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))))
-        for d, parts in held.items():
-            yield out(list(rows(d, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))))
+        for d, ids, x in _blocks(batches, block):
+            near_ids, near = sample.get(d, (np.empty(0, np.int64), np.zeros((0, d))))
+            start = []
+            for qi, q in zip(ids, x, strict=True):
+                s = np.sort(scores(near, q)[near_ids != qi]) if len(near) else np.empty(0, np.int64)
+                start.append(int(s[-k]) if len(s) >= k else -(2**63))
+            row = [d, uuid.uuid4().hex, ids.tobytes(), x.tobytes(), np.array(start, np.int64).tobytes()]
+            kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], ["dim", "block", "ids", "vectors", "start"])
 
     return run
 
 
+def _blocks(batches, rows: int):
+    """(dimension, ids, vectors) of up to `rows` rows and HELD_BYTES of one dimension at a time."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for d, found in _rows(batch).items():
+            held.setdefault(d, []).append(found)
+            if (n := sum(len(i) for i, _ in held[d])) >= rows or n * d * 8 >= HELD_BYTES:
+                parts = held.pop(d)
+                ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                for at in range(0, len(ids), rows):
+                    yield d, ids[at : at + rows], x[at : at + rows]
+    for d, parts in held.items():
+        ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        for at in range(0, len(ids), rows):
+            yield d, ids[at : at + rows], x[at : at + rows]
+
+
 def search(q: np.ndarray, tq: np.ndarray, own: int, start: int, ids: np.ndarray, x: np.ndarray, norms: np.ndarray, table: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of at least the query's best k among x that reach `start`."""
     low = np.abs(table - tq).max(1) if table.shape[1] else np.zeros(len(x))
@@ -120,55 +126,57 @@ def search(q: np.ndarray, tq: np.ndarray, own: int, start: int, ids: np.ndarray,
     return best_ids[fits], best[fits]
 
 
-def _meet(k: int):
+def _meet(sample: dict, folder: str, k: int, held: int):
+    """Each task holds a block of candidates and streams the query blocks past it, so candidates are never
+    shuffled, and of each block at most k rows a query go on."""
+
     def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                d = r["dim"]
-                qi, ci = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c = np.frombuffer(r["q_vectors"]).reshape(len(qi), d), np.frombuffer(r["vectors"]).reshape(len(ci), d)
-                tq, tc = np.frombuffer(r["q_table"]).reshape(len(qi), -1), np.frombuffer(r["table"]).reshape(len(ci), -1)
-                norms, start = (c * c).sum(1), np.frombuffer(r["start"], np.int64)
-                found = [(np.full(len(i), own), i, s) for own, v, t, b in zip(qi, q, tq, start, strict=True) for i, s in [search(v, t, own, int(b), ci, c, norms, tc, k)]]
-                cols = [np.concatenate([f[j] for f in found]).astype(np.int64) if found else np.empty(0, np.int64) for j in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", "vec_id", "score"])
+        pivots = {d: pick_pivots(v, PIVOTS) for d, (_, v) in sample.items()}
+        for d, ci, c in _blocks(batches, held):
+            p = pivots.get(d, np.zeros((0, d)))
+            tc, norms = distances(c, p), (c * c).sum(1)
+            for row in _stored(folder, d):
+                qi, start = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["start"], np.int64)
+                q = np.frombuffer(row["vectors"]).reshape(len(qi), d)
+                tq = distances(q, p)
+                found = [(np.full(len(i), n), i, s) for n, (own, v, t, b) in enumerate(zip(qi, q, tq, start, strict=True)) for i, s in [search(v, t, own, int(b), ci, c, norms, tc, k)]]
+                n, ids, score = (np.concatenate([f[j] for f in found]).astype(np.int64) for j in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(n), pa.string()), pa.array(n), pa.array(qi[n]), pa.array(ids), pa.array(score)], ["block", "n", "query_id", "vec_id", "score"])
 
     return run
 
 
+def _stored(folder: str, d: int):
+    """The query blocks of a dimension, one at a time, from the shared folder."""
+    fs, base = filesystem(folder)
+    for part in ds.dataset(base, format="parquet", filesystem=fs).get_fragments():
+        for group in part.split_by_row_group():
+            for batch in group.to_batches(filter=ds.field("dim") == d, batch_size=1, batch_readahead=1, fragment_readahead=1):
+                yield from batch.to_pylist()
+
+
 def top_k(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query, ties to the smaller vec_id.
 
     Queries are rows whose vec_id is divisible by `every`; candidates are all rows of another vec_id and the
     query's dimension. Components count as floor(1024 * x). Rows with a null id, a null vector or a null or
-    non-finite component take no part. A query id that repeats is answered once, by one of its vectors (the
-    least); candidates that repeat are candidates each. Without queries or candidates the result is empty.
-    Scores beyond 64 bits are set to the nearest 64-bit value."""
+    non-finite component take no part. Query rows that repeat are queries each, and so are candidates. Without
+    usable queries or candidates the result is empty; an empty vector scores 0 with every other empty one.
+    Scores beyond 64 bits are set to the nearest 64-bit value. Other columns aren't looked at."""
+    spark = embeddings.sparkSession
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     source = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    n = source.where(F.col("vec_id") % every == 0).count()
-    if not n:
-        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    source = source.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(~bad)
     # A bounded sample gives the pivots and first bounds of the queries.
-    near = source.where("vec_id IS NOT NULL AND embedding IS NOT NULL").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    near = source.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     sample: dict = {}
     for part in near.to_batches():
         for d, (i, v) in _rows(part).items():
             old = sample.get(d)
             sample[d] = (i, v) if old is None else (np.concatenate([old[0], i]), np.concatenate([old[1], v]))
-    block = "dim int, n int, ids binary, vectors binary, table binary, start binary"
-    asked = source.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = asked.repartition(max(1, -(-n // BLOCK)), "vec_id").mapInArrow(_pack(sample, k, True), block)
-    asked = keep(asked.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("table").alias("q_table"), "start", F.xxhash64("ids", "dim").alias("block")), "queries")
-    blocks = [(r.dim, r.block) for r in asked.select("dim", "block").collect()]  # a number per 4096 queries
-    per_dim: dict[int, list[int]] = {}
-    for d, b in blocks:
-        per_dim.setdefault(d, []).append(b)
-    places = F.create_map(*(x for d, b in per_dim.items() for x in (F.lit(d), F.array(*(F.lit(v).cast("long") for v in b)))))
-    candidates = source.mapInArrow(_pack(sample, k, False), block).drop("start")
-    candidates = candidates.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS))).withColumn("block", F.explode(places[F.col("dim")]))
-    # The queries grow with the table, so their blocks are shuffled and never broadcast.
-    spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    met = candidates.join(spread.hint("merge"), ["dim", "block", "salt"])
-    found = met.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    folder = work_path(spark, "queries")
+    asked = source.where(F.col("vec_id") % every == 0).mapInArrow(_queries(sample, k, BLOCK), "dim int, block string, ids binary, vectors binary, start binary")
+    asked.write.parquet(folder)
+    found = source.mapInArrow(_meet(sample, folder, k, HELD), "block string, n long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("block", "n").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -69,6 +69,24 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.where("vec_id = 1")).count() == 0
 
 
+def test_topk_repeated_and_unusable_queries(spark):
+    rows = [(100, None), (100, [1.0, 2.0]), (100, [-1.0, 0.5]), (200, [float("nan"), 1.0]), (1, [0.25, 0.25]), (2, [1.0, 0.0]), (2, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df).collect())
+    m = 1024 * 1024
+    assert got == sorted([(100, 1, 2, m), (100, 2, 2, m), (100, 3, 1, m * 3 // 4), (100, 1, 1, -m // 8), (100, 2, 2, -m), (100, 3, 2, -m)])
+    assert topk.top_k(df.where("vec_id = 200 OR vec_id < 100")).count() == 0  # a query, but none that is usable
+
+
+def test_topk_in_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(900)], "vec_id long, embedding array<float>").repartition(3)
+    whole = sorted(map(tuple, topk.top_k(df, 10).collect()))
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "HELD", 50)
+    assert sorted(map(tuple, topk.top_k(df, 10).collect())) == whole and len(whole) == 900
+
+
 def test_topk_large_values_are_exact():
     c, q = np.array([[2.0**40, 3.0], [2.0**40, 4.0]]), np.array([2.0**20, 1.0])
     assert topk.scores(c, q).tolist() == [2**60 + 3, 2**60 + 4]
