@@ -319,10 +319,37 @@ def test_near_duplicate_edges(spark):
     out = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(docs(spark, rows), 4, 80).collect())
     assert out == [(0, 3, 0, True), (5, 3, 5, True), (5, 3, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 2, 8, True), (8, 3, 8, True), (9, 3, 5, False)]
     one = near_dedup.one_of_each(docs(spark, rows))
-    assert sorted(r.doc_id or 0 for r in one.collect()) == [0, 5, 6, 7, 8]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in one.collect())
+    assert kept == [(0, "a b c d e f"), (5, "a b c d e f"), (6, ""), (7, ""), (8, "other text of this id"), (8, "x y z u v w")]
+    assert one.columns == docs(spark, rows).columns and near_dedup.one_of_each(docs(spark, [])).count() == 0
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_all_texts_of_a_repeated_id_are_compared(spark):
+    rows = near_rows(7, n_groups=5, copies=6)
+    rows = [(i % 70, t) for i, t in rows]  # ids repeat with other texts
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs(spark, rows), 4, 80).collect()}
+    root = {i: i for i, _ in rows}
+    nodes = [(j, t) for j, (_, t) in enumerate(rows)]
+    groups = [(rows[j][0], rows[c][0]) for j, n, c in brute_components(nodes, 4, 80) if n]
+    for _ in root:
+        for a, b in groups:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {i for (i, t) in rows if words(t)}
+    assert {(i, c) for i, c in got if i in linked and c != i} == {(i, root[i]) for i in linked if root[i] != i}
+    one = near_dedup.one_of_each(docs(spark, rows), 4, 80)
+    assert one.count() == len({c for _, n, c in brute_components(nodes, 4, 80) if n}) + len({(i, t) for i, t in rows if not words(t)})
+
+
+def test_overlap_in_slices(monkeypatch):
+    monkeypatch.setattr(near_dedup, "VOCABULARY", 7)
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(60, rng.integers(0, 40), replace=False) for _ in range(12)]
+    whose, flat = np.repeat(np.arange(12), [len(s) for s in sets]), np.concatenate(sets)
+    out = near_dedup._overlap(whose, flat, 12, whose, flat, 12)
+    assert out.tolist() == [[len(set(a) & set(b)) for b in sets] for a in sets]
+
+
 def test_min_max_estimates_jaccard():
     rng = np.random.default_rng(0)
     x = common.mix(rng.integers(0, 2**63, 1500, dtype=np.uint64))
