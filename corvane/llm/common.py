@@ -87,6 +87,50 @@ def small(batches, rows: int = 1024):
             yield batch.slice(at, rows)
 
 
+# --- Bloom filters ------------------------------------------------------------------------------
+_SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def filter_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The places of each hash in a filter of `bits` bits, a power of two; a row a place."""
+    down = np.uint64(64 - bits.bit_length() + 1)
+    return np.stack([(hashes * np.uint64(s)) >> down for s in _SPREAD]).astype(np.int64)
+
+
+def passing(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Indices of the hashes that the filter, an array of 64-bit words, lets through."""
+    at = np.arange(len(hashes))
+    for s in _SPREAD:
+        if not len(at):
+            break
+        row = ((hashes[at] * np.uint64(s)) >> np.uint64(58 - len(table).bit_length() + 1)).astype(np.int64)
+        at = at[(table[row >> 6] >> (row & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
+    return at
+
+
+def _times(h, factor: int):
+    """h * factor modulo 2**64, by 16-bit parts of h, since ANSI arithmetic refuses to overflow."""
+    low, out = (1 << 32) - 1, None
+    for i in range(4):
+        part = F.shiftrightunsigned(h, 16 * i).bitwiseAND(F.lit(0xFFFF))
+        f = (factor << (16 * i)) % 2**64
+        lower, upper = part * F.lit(f & low), part * F.lit(f >> 32)  # both below 2**48
+        out = (lower, upper) if out is None else (out[0] + lower, out[1] + upper)
+    upper = (out[1] + F.shiftrightunsigned(out[0], 32)).bitwiseAND(F.lit(low))
+    return F.shiftleft(upper, 32).bitwiseOR(out[0].bitwiseAND(F.lit(low)))
+
+
+def bloom(df: DataFrame, column: str, most_bits: int) -> np.ndarray:
+    """A filter of the long column's values, about 32 bits each and `most_bits` in all, a power of two: its words
+    are made on the executors and come to the driver. A full one only lets more through."""
+    bits = max(1 << 16, min(most_bits, 1 << (32 * df.count()).bit_length()))
+    places = F.array(*(F.shiftrightunsigned(_times(F.col(column), s), 64 - bits.bit_length() + 1) for s in _SPREAD))
+    words = df.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+    return table
+
+
 # --- word hashing -------------------------------------------------------------------------------
 # A word's hash is sum(T[byte] * R**i) mod 2**64 over its bytes, got for all words of a text at once
 # from prefix sums, then mixed. T and R come from a fixed seed, so every executor agrees.

@@ -1,45 +1,37 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks select some of a window's words and ignore the others. The hashes of the selected words of
-every window of every document are looked up among those of the benchmark; a mask that skips a substituted
-word still matches. Around each hit, document and item are laid over each other, and of all runs of words
-with at least 80 % matches the one of the most matches counts: a match scores 1, a difference -4, and a run
-has 80 % if its sum isn't negative.
+Fixed masks select some of a window's words and ignore the others, so a mask that skips a substituted word
+still matches. The hashes of the selected words of every window of every document are tested against a Bloom
+filter of the benchmark's; the few that pass are joined with the benchmark's hashes. Around each hit, document
+and item are laid over each other, and of all runs of words with at least 80 % matches the one of the most
+matches counts: a match scores 1, a difference -4, and a run has 80 % if its sum isn't negative.
 
 Four masks of five words meet every such run of 15 words or more. For items of 5, 6, 10 or 11 words, where
-differences can leave less than a mask needs, masks of four words are looked up as well.
+differences can leave less than a mask needs, masks of four words are looked up as well. Shorter items, which
+a long text holds by chance, are compared whole.
+
+Places of equal hashes travel as lists, a list a document and one an item, never as pairs. Where these lists
+stand for more pairs than there are ways to lay the two texts over each other, all of these ways are tried.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, WORD, mix, word_hashes
+from .common import STEP, bloom, keep, mix, passing, small, word_hashes
 
 MASKS = ("11111", "1111011", "1101111", "1110111")
 SHORT_MASKS = ("1111", "11101", "11011", "10111")
 SHORT_ITEMS = (5, 6, 10, 11)
+LEAST_WORDS = 5
 MISMATCH = -4
 MIN_WORDS = 12
-SLICE_WORDS = 500_000
-
-
-@dataclass(frozen=True)
-class Index:
-    """The hashes of a slice of the benchmark; a bit table answers most look-ups."""
-
-    items: list
-    words: list[np.ndarray]
-    keys: list[np.ndarray]
-    places: list[np.ndarray]
-    bits: int
-    table: np.ndarray
+FILTER_BITS = 1 << 28
+BROADCAST_WORDS = 1_000_000
+CELLS = 1 << 22
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -53,24 +45,24 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
-def build(rows: list[tuple]) -> Index:
-    """rows: (item_id, text). Items of fewer than five words can't be told from chance and take no part.
-    Masks that no item needs have no keys."""
-    pairs = [(i, w) for i, t in rows if len(w := word_hashes((t or "").encode())[0]) >= len(MASKS[0])]
-    keys, places = [], []
-    for mask in (*MASKS, *SHORT_MASKS):
-        found = [(seeds(w, mask), at) for at, (_, w) in enumerate(pairs) if mask in MASKS or len(w) in SHORT_ITEMS]
-        k = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.uint64)
-        p = np.concatenate([np.stack([np.full(len(f), at), np.arange(len(f))], 1) for f, at in found]) if found else np.empty((0, 2), np.int64)
-        order = np.argsort(k, kind="stable")
-        keys.append(k[order])
-        places.append(p[order])
-    total = sum(map(len, keys))
-    bits = max(16, min(26, (16 * total).bit_length()))
-    table = np.zeros(1 << bits, bool)
-    for k in keys:
-        table[(k >> np.uint64(64 - bits)).astype(np.int64)] = True
-    return Index([i for i, _ in pairs], [w for _, w in pairs], keys, places, bits, table)
+def whole(words: np.ndarray) -> np.ndarray:
+    """One hash of a text of less than five words."""
+    return mix((words * STEP[: len(words)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(1024 + len(words)))
+
+
+def placed(words: np.ndarray, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of a text under the masks, or of the whole of a short one."""
+    if 0 < len(words) < LEAST_WORDS:
+        return whole(words), np.zeros(1, np.int64)
+    found = [seeds(words, m) for m in masks]
+    return np.concatenate([words[:0], *found]), np.concatenate([np.empty(0, np.int64), *(np.arange(len(f)) for f in found)])
+
+
+def _lists(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Distinct hashes and the list of places of each."""
+    order = np.argsort(hashes, kind="stable")
+    values, first = np.unique(hashes[order], return_index=True)
+    return values.view(np.int64), pa.ListArray.from_arrays(pa.array(np.r_[first, len(hashes)], pa.int32()), pa.array(places[order], pa.int32()))
 
 
 def best_run(same: np.ndarray) -> tuple[int, int, int]:
@@ -84,85 +76,140 @@ def best_run(same: np.ndarray) -> tuple[int, int, int]:
     return (len(inside), int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0, 0)
 
 
-def overlaps(words: np.ndarray, index: Index) -> list[tuple]:
-    """(item, first word, end word, matching words) of the best run of each item found in the words."""
-    hits = []
-    for mask, keys, places in zip((*MASKS, *SHORT_MASKS), index.keys, index.places, strict=True):
-        if not len(keys):
-            continue
-        h = seeds(words, mask)
-        at = np.flatnonzero(index.table[(h >> np.uint64(64 - index.bits)).astype(np.int64)])
-        if not len(at):
-            continue
-        low, high = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
-        n = high - low
-        if not n.any():
-            continue
-        pick = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        hits.append(np.stack([places[pick, 0], np.repeat(at, n) - places[pick, 1]], 1))
-    if not hits:
-        return []
-    best: dict[int, tuple] = {}
-    for item, shift in np.unique(np.concatenate(hits), axis=0).tolist():
-        other = index.words[item]
-        first, end = max(0, shift), min(len(words), shift + len(other))
-        same = words[first:end] == other[first - shift : end - shift]
-        matched, start, stop = best_run(same)
-        if matched >= min(MIN_WORDS, -(-4 * len(other) // 5)):
-            best[item] = max(best.get(item, (0, 0, 0)), (matched, first + start, first + stop))
-    return [(index.items[i], s, e, m) for i, (m, s, e) in sorted(best.items())]
-
-
-def indexes(benchmark: DataFrame, slice_words: int = SLICE_WORDS):
-    """Indexes over slices of the benchmark of about `slice_words` words: what goes to the workers is bounded,
-    and a larger benchmark takes more passes. One item of any length is a slice at least."""
-    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    total = items.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
-    n = -(-total // slice_words)
-    for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
-        yield build(sorted(map(tuple, part.collect()), key=repr))
-
-
-def _finder(index: Index, kind: pa.DataType):
+def shifts(n: int, m: int, lists: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Ways to lay an item of m words over a document of n, from places of equal hashes: all ways, if the places
+    stand for more pairs than there are."""
+    if sum(len(p) * len(q) for p, q in lists) > n + m:
+        return np.arange(1 - m, n)
+    return np.unique(np.concatenate([(p[:, None] - q[None, :]).ravel() for p, q in lists])) if lists else np.empty(0, np.int64)
+
+
+def overlap(words: np.ndarray, item: np.ndarray, ways: np.ndarray) -> tuple[int, int, int] | None:
+    """(matching words, first word, end word) of the best run over all ways, the earliest of equals; None if it
+    is below what the item asks for."""
+    m = len(item)
+    need = min(MIN_WORDS, -(-4 * m // 5))
+    if m < LEAST_WORDS:
+        return (m, 0, m) if np.array_equal(words, item) else None
+    other = next(np.uint64(x) for x in range(m + 1) if not (item == x).any())  # in no item: beyond the ends nothing matches
+    edge = np.full(m - 1, other, np.uint64)
+    views = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, words, edge]), m)
+    step = max(1, CELLS // m)
+    totals = np.concatenate([np.empty(0, np.int64), *((views[ways[at : at + step] + m - 1] == item).sum(1) for at in range(0, len(ways), step))])
+    best = None
+    for i in np.lexsort((ways, -totals)).tolist():  # a run has no more matches than its whole way
+        if totals[i] < need or best and totals[i] <= best[0]:
+            break
+        way = int(ways[i])
+        matched, start, end = best_run(views[way + m - 1] == item)
+        if matched >= need and (not best or matched > best[0]):
+            best = (matched, way + start, way + end)
+    return best
+
+
+def _hashed(lists: bool):
+    """Benchmark rows (iid, item_id, text) as words, or as hashes with their places."""
+
     def run(batches):
         for batch in batches:
-            rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in overlaps(word_hashes(t.as_py())[0], index)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (batch.column(0).type, kind, pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "first_word", "end_word", "matching_words"])
+            for iid, item, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                words = word_hashes(text.as_py())[0]
+                if not lists:
+                    values = pa.array([words.view(np.int64)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([iid.as_py()]), pa.array([item.as_py()], pa.int64()), values, pa.array([len(words)], pa.int64())], ["iid", "item_id", "item", "n"])
+                    continue
+                masks = MASKS + SHORT_MASKS if len(words) in SHORT_ITEMS else MASKS
+                hashes, places = _lists(*placed(words, masks))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([iid.as_py()] * len(hashes), pa.int64()), places], ["hash", "iid", "places"])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and benchmark item that overlap: doc_id, item_id, first_word, end_word (of the
-    document), matching_words.
+def _scanned(table: np.ndarray, masks: tuple[str, ...]):
+    """Documents (rid, doc_id, tie, text) with a window that the filter lets through: their words, and these hashes with places."""
+    kind = pa.list_(pa.struct([("hash", pa.int64()), ("positions", pa.list_(pa.int32()))]))
 
-    They overlap if a run of aligned words has at least 80 % matches and 12 of them (for items of less than
-    15 words, 80 % of the item); items of less than five words are left out. A-Z count as a-z. Null and empty texts overlap with nothing; repeated
-    documents are listed each, repeated items once per item row of another id; clashing extra columns aren't
-    looked at. Each document is looked at by itself: nothing is shuffled."""
+    def run(batches):
+        for batch in small(batches):
+            rows, words_of, hits = [], [], []
+            for i, text in enumerate(batch.column(3)):
+                words = word_hashes(text.as_py())[0]
+                hashes, places = placed(words, masks)
+                at = passing(hashes, table)
+                if len(at):
+                    values, lists = _lists(hashes[at], places[at])
+                    rows.append(i)
+                    words_of.append(words.view(np.int64))
+                    hits.append(pa.StructArray.from_arrays([pa.array(values), lists], ["hash", "positions"]))
+            if rows:
+                ends = np.r_[0, np.cumsum([len(h) for h in hits])]
+                found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(hits)).cast(kind)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in range(3)), pa.array(words_of, pa.list_(pa.int64())), found], ["rid", "doc_id", "tie", "words", "hits"])
+
+    return run
+
+
+def _verified(batches):
+    numbers = lambda x: x.values.to_numpy(zero_copy_only=False)
+    for batch in batches:
+        rows = []
+        for doc, tie, words, item_id, item, places in zip(*(batch.column(i) for i in range(6)), strict=True):
+            words, item = numbers(words).view(np.uint64), numbers(item).view(np.uint64)
+            pairs = places.values
+            lists = [(p, q) for p, q in zip(map(_int64, pairs.field("positions")), map(_int64, pairs.field("places")), strict=True)]
+            best = overlap(words, item, shifts(len(words), len(item), lists))
+            if best:
+                rows.append((doc.as_py(), tie.as_py(), item_id.as_py(), best[1], best[2], best[0]))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.binary(), *[pa.int64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "tie", "item_id", "first_word", "end_word", "matching_words"])
+
+
+def _int64(x: pa.ListScalar) -> np.ndarray:
+    return x.values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+_SCHEMA = "doc_id long, tie binary, item_id long, first_word long, end_word long, matching_words long"
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, tie) -> DataFrame:
+    """One row per document row and benchmark row that overlap, with the document's `tie`."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    schema = "doc_id long, item_id long, first_word long, end_word long, matching_words long"
-    found = None
-    for index in indexes(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")):
-        part = source.mapInArrow(_finder(index, pa.int64()), schema)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], schema) if found is None else found
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
+    items = keep(items.withColumn("iid", F.monotonically_increasing_id()), "items").select("iid", "item_id", "text")
+    known = keep(items.mapInArrow(_hashed(False), "iid long, item_id long, item array<long>, n long"), "item_words").where("n > 0")
+    total, short = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.bool_or(F.col("n").isin(*SHORT_ITEMS)), F.lit(False))).first()
+    if not total:
+        return spark.createDataFrame([], _SCHEMA)
+    index = keep(items.mapInArrow(_hashed(True), "hash long, iid long, places array<int>"), "seeds")
+    table = bloom(index, "hash", FILTER_BITS)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), F.col("text").cast("binary").alias("text"))
+    source = source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "tie", "text")
+    scanned = source.mapInArrow(_scanned(table, MASKS + SHORT_MASKS if short else MASKS), "rid long, doc_id long, tie binary, words array<long>, hits array<struct<hash:long,positions:array<int>>>")
+    scanned = keep(scanned, "hits")
+    met = scanned.select("rid", F.explode("hits").alias("h")).select("rid", "h.hash", "h.positions").join(index, "hash")
+    met = met.groupBy("rid", "iid").agg(F.collect_list(F.struct("positions", "places")).alias("at"))
+    met = met.join(F.broadcast(known) if total <= BROADCAST_WORDS else known, "iid").join(scanned.select("rid", "doc_id", "tie", "words"), "rid")
+    return met.select("doc_id", "tie", "words", "item_id", "item", "at").mapInArrow(_verified, _SCHEMA)
 
 
-def _touches(index: Index):
-    @F.pandas_udf("boolean")
-    def touches(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(overlaps(word_hashes(t)[0], index)) for t in texts], dtype=bool)
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and benchmark item that overlap: doc_id, item_id, first_word, end_word (of the
+    document), matching_words.
 
-    return touches
+    They overlap if a run of aligned words has at least 80 % matches and 12 of them (for items of less than
+    15 words, 80 % of the item). Items of less than five words overlap with documents of just these words. A-Z
+    count as a-z. Null, empty and word-less texts and items overlap with nothing; repeated documents and items are
+    listed each, with null ids as null; columns of other names aren't looked at; an empty table gives an empty
+    one. Only hits are shuffled, and the words of documents that have some."""
+    return _found(docs, benchmark, F.lit(b"")).drop("tie")
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that overlap with a benchmark item."""
-    for index in indexes(benchmark):
-        docs = docs.where(~_touches(index)(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    return docs
+    """`docs` without the documents that overlap with a benchmark item, found as in `contamination`.
+
+    It's the text that decides, so of rows that repeat an id only those go whose text overlaps, and null ids need
+    no care. Null and empty texts stay; an empty benchmark leaves all rows and an empty table gives an empty one."""
+    tie = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    bad = keep(_found(docs, benchmark, tie).select(F.col("tie").alias("_tie")).distinct(), "overlapping")
+    return docs.join(bad, tie == F.col("_tie"), "left_anti")
