@@ -152,7 +152,7 @@ def test_runs_occur_elsewhere_as_a_whole(spark):
     """Chunks that other documents have one by one, in other places, make no passage."""
     rng = random.Random(3)
     text = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)]
-    first, n, _ = substring_dedup.chunks(common.word_hashes(" ".join(text).encode())[0])
+    first, n = substring_dedup.chunks(common.word_hashes(" ".join(text).encode())[0])
     noise = lambda i: " ".join(f"n{i}x{j}" for j in range(30))
     rows = [(0, " ".join(text))] + [(i + 1, noise(2 * i) + " " + " ".join(text[max(0, a - 5) : a + m]) + " " + noise(2 * i + 1)) for i, (a, m) in enumerate(zip(first.tolist(), n.tolist(), strict=True)) if m < 10]
     assert len(rows) > 6 and substring_dedup.repeated_passages(docs(spark, rows)).count() == 0
@@ -162,21 +162,63 @@ def test_runs_occur_elsewhere_as_a_whole(spark):
 
 def test_windows_cover_runs():
     for size in (40, 300):
-        for values in (2**63, 2):
+        for values in (2**63, 2, 1):
             h = np.random.default_rng(size).integers(0, values, size, dtype=np.uint64)
-            first, n, _ = substring_dedup.windows(h, 16)
+            first, n, _, _ = substring_dedup.windows(h, 36)
             end = np.maximum.accumulate(first + n)
-            assert first[0] == 0 and end[-1] == size and (first[1:] < end[:-1]).all() and (n >= 16).all()
+            assert first[0] == 0 and end[-1] == size and (first[1:] < end[:-1]).all() and (n >= 36).all()
 
 
 def test_chunks_resist_insertions():
     h = np.random.default_rng(0).integers(0, 2**63, 400, dtype=np.uint64)
-    a, b = substring_dedup.chunks(h)[2], substring_dedup.chunks(np.r_[h[:100], h[7:10], h[100:]])[2]
-    assert len(set(a) - set(b)) <= 4
-    first, n, _ = substring_dedup.chunks(h)
+    words = lambda h: {tuple(h[f : f + n]) for f, n in zip(*substring_dedup.chunks(h), strict=True)}
+    assert len(words(h) - words(np.r_[h[:100], h[7:10], h[100:]])) <= 4
+    first, n = substring_dedup.chunks(h)
     assert first[0] == 0 and (first[1:] == first[:-1] + n[:-1]).all() and first[-1] + n[-1] == 400
 
 
+def _common_runs(a, b):
+    """Length of the longest run of words that both texts hold, by brute force."""
+    best, row = 0, {}
+    for x in a:
+        now = {}
+        for j, y in enumerate(b):
+            if x == y:
+                now[j] = row.get(j - 1, 0) + 1
+                best = max(best, now[j])
+        row = now
+    return best
+
+
+def test_passages_against_brute_force(spark):
+    """Recall of passages of more than 50 words and precision below the least length."""
+    rng = random.Random(31)
+    noise = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n)]
+    rows = [noise(rng.randint(30, 120)) for _ in range(40)]
+    for n in (20, 30, 35, 51, 51, 51, 52, 55, 60, 80):
+        passage = noise(n)
+        rows += [noise(20) + passage + noise(15), noise(3) + passage + noise(40), noise(60) + passage]
+    got = {r.doc_id for r in substring_dedup.repeated_passages(docs(spark, [(i, " ".join(x)) for i, x in enumerate(rows)])).collect()}
+    longest = [max(_common_runs(x, y) for j, y in enumerate(rows) if j != i) for i, x in enumerate(rows)]
+    assert {i for i, n in enumerate(longest) if n > 50} <= got <= {i for i, n in enumerate(longest) if n >= 36}
+
+
+def test_without_passages(spark):
+    rng = random.Random(17)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    p, q = noise(70), noise(80)
+    rows = [(1, noise(30) + " " + p), (2, noise(9) + "\n" + p + "\n" + noise(12) + " " + q), (3, q + " " + noise(20)), (4, noise(50)), (5, None), (None, p), (6, p + " " + noise(5) + " " + p)]
+    df = docs(spark, rows)
+    out = {r.doc_id: r.text for r in substring_dedup.without_passages(df).collect()}
+    texts = dict(rows)
+    assert out[1] == texts[1] and out[4] == texts[4] and out[5] is None and out[None] == p
+    assert len(words(out[2])) < 9 + 12 + 80 + 12 and q in out[2] and len(words(out[3])) < 20 + 12 and len(words(out[6])) < 5 + 24
+    assert substring_dedup.without_passages(df).columns == df.columns and substring_dedup.without_passages(df.limit(0)).count() == 0
+    alone = docs(spark, [(7, p + " " + noise(8) + " " + p)])
+    assert substring_dedup.repeated_passages(alone).count() == 0
+    assert sorted(r.is_first for r in substring_dedup.repeated_passages(alone, within=True).collect()) == [False, True]
+
+
 # --- counts --------------------------------------------------------------------------------------
 def test_rollup_is_idempotent(spark, tmp_path):
     rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
