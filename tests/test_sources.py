@@ -15,7 +15,7 @@ TREE = {
     "libs/math/CMakeLists.txt": "add_library(m m.c)",
     "libs/math/include/math_ops.h": "int add(int a, int b);",
     "libs/math/src/m.c": '#include "math_ops.h"\n#include <stdio.h>\nstatic int hid(struct Node *n) {\n}\nint add(int a, int b) {\n}\n',
-    "web/tsconfig.json": "{}",
+    "web/tsconfig.json": '{"compilerOptions": {"rootDir": "src"}}',
     "web/package.json": '{"dependencies": {"express": "^4", "shared": "file:../shared"}, "devDependencies": {"jest": "1"}}',
     "web/src/routes/index.ts": "import express from 'express';\nimport { u } from './users';\nexport class Router extends Base {\n}\nexport function go() {}\n",
     "web/big.yaml": "x" * 20_000,
@@ -58,7 +58,7 @@ def test_large_sources_are_read(spark, tmp_path):
 
 
 def test_dependencies(tree):
-    assert rows(project.dependencies(tree[2])) == [
+    assert rows(project.dependencies(tree[2]).select("project", "name", "internal")) == [
         ("services/order", "fastapi", False),
         ("services/order", "sqlalchemy", False),
         ("services/user", "org.postgresql:postgresql", False),
@@ -67,6 +67,56 @@ def test_dependencies(tree):
     ]
 
 
+def test_dependency_versions(spark):
+    files = [
+        ("a", "pom.xml", "<dependency><groupId>g</groupId><artifactId>x</artifactId><version>1.2</version></dependency>"),
+        ("b", "build.gradle", "dependencies {\n  implementation 'g:y:2.0'\n  api(\"g:z\")\n  implementation 't:t:1'\n  testImplementation 't:t:1'\n}"),
+        ("c", "requirements.txt", "# note\n-r other.txt\nflask==2.0\n requests \n"),
+        ("d", "package.json", '{"dependencies": {"express": "^4.1", "w": "workspace:*", "l": "link:../l"}}'),
+    ]
+    owned = spark.createDataFrame(files, "project string, rel string, content string")
+    got = rows(project.dependencies(owned))
+    assert got == [("a", "g:x", False, "1.2"), ("b", "g:y", False, "2.0"), ("b", "g:z", False, None), ("c", "flask", False, "2.0"), ("c", "requests", False, None), ("d", "express", False, "4.1"), ("d", "l", True, None), ("d", "w", False, "*")]
+
+
+def test_source_roots_and_applications(spark):
+    files = {
+        "web/tsconfig.json": '{ // where\n "compilerOptions": {"rootDir": "./app/"}, /* x */ "include": ["src/**"] }',
+        "web/package.json": '{"name": "@x/web", "dependencies": {"express": "1", "@nestjs/core": "2", "shared": "file:../shared"}}',
+        "web/app/routes/a.ts": "import e from 'express/lib';\nimport n from '@nestjs/core';",
+        "web/app/main.ts": "import k from 'koa';",
+        "web/src/other.ts": "import e from 'express';",
+        "web/app/types.d.ts": "export const x = 1;",
+        "two/tsconfig.json": '{"compilerOptions": {"rootDir": "none"}, "include": ["src/*"]}',
+        "two/src/x/y.ts": "export class Y {}",
+        "three/tsconfig.json": "not json",
+        "three/z.ts": "",
+        "j/settings.gradle": "rootProject.name = 'all'\ninclude ':core', ':web:api'\nproject(':core').projectDir = file('lib')",
+        "j/build.gradle": "group 'com.j'",
+        "j/lib/build.gradle.kts": "group = \"com.j\"\ndependencies { implementation(project(\":web:api\")) }",
+        "j/web/api/build.gradle": "dependencies { api project(':core') }",
+        "m/pom.xml": "<project><parent><artifactId>top</artifactId></parent><artifactId>shop</artifactId></project>",
+    }
+    tree = spark.createDataFrame([(k, v, len(v)) for k, v in files.items()], "path string, content string, length int")
+    projects = project.discover(tree)
+    owned = project.owned_files(tree, projects)
+    assert rows(project.source_roots(owned, projects)) == [("three", ""), ("two", "src"), ("web", "app")]
+    found = project.sources(owned, projects)
+    assert sorted((r.project, r.rel, r.module) for r in found.where("language = 'typescript'").collect()) == [("three", "z.ts", "three"), ("two", "src/x/y.ts", "x"), ("web", "app/main.ts", "web"), ("web", "app/routes/a.ts", "routes")]
+    assert rows(project.ts_frameworks(found, project.dependencies(owned))) == [("web", "routes", "Express,NestJS")]
+    apps = {r.project: (r.app_id, r.name, r.published_as) for r in project.applications(owned, projects).collect()}
+    assert apps["web"] == ("web", "@x/web", "@x/web") and apps["m"] == ("m", "shop", None)
+    assert apps["j"] == ("j", "all", "com.j:all") and apps["j/lib"] == ("j-lib", "core", "com.j:core") and apps["j/web/api"][1] == "api"
+    assert rows(project.internal_imports(owned, projects)) == [("j/lib", "j/web/api"), ("j/web/api", "j/web/core"), ("web", "shared")]
+
+
+def test_c_structure_and_system_headers(spark):
+    files = [("l", "c", "inc/stdio.h", "inc", ""), ("l", "c", "src/a.c", "src", '#include <stdio.h>\n#include "stdio.h"\n#include "inc/stdio.h"\n#include "gone.h"'), ("l", "c", "b.c", "", "")]
+    df = spark.createDataFrame(files, "project string, language string, rel string, module string, content string")
+    assert sorted((r.path, r.name, r.headers, r.sources) for r in project.c_structure(df).collect()) == [(".", "l", [], ["b.c"]), ("inc", "inc", ["inc/stdio.h"], []), ("src", "src", [], ["src/a.c"])]
+    assert rows(project.module_imports(df).select("source", "is_external")) == [("gone.h", True), ("inc/stdio.h", False), ("stdio.h", True)]
+
+
 def test_modules_and_imports(tree):
     files = project.sources(tree[2], tree[1])
     mods = {(r.project, r.module): r for r in project.modules(files).collect()}
@@ -92,14 +142,76 @@ def test_config_files(tree):
 
 def test_elements(tree):
     found = {(r.name, r.kind): r for r in elements.elements(project.sources(tree[2], tree[1])).collect()}
-    assert found["Order", "class"].members == ["id", "total"] and found["Order", "class"].refs == ["Base", "int", "Tax"]
+    names = lambda r: [m.name for m in r.members]
+    refs = lambda r: [(x.name, x.kind) for x in r.refs]
+    assert names(found["Order", "class"]) == ["total"] and refs(found["Order", "class"]) == [("Base", "extends"), ("Tax", "uses")]
     assert found["_hidden", "function"].visibility == "private"
-    assert found["hid", "function"].visibility == "private" and found["hid", "function"].refs == ["Node"]
-    assert found["UserController", "class"].members == ["get"]
-    assert found["Router", "class"].refs == ["Base"]
+    assert found["hid", "function"].visibility == "private" and refs(found["hid", "function"]) == [("Node", "uses")]
+    assert names(found["UserController", "class"]) == ["r", "get"] and found["UserController", "class"].refs[0].qualified_name == "com.ex.repo.UserRepository"
+    assert refs(found["Router", "class"]) == [("Base", "extends")]
     assert [r.error.split(":")[0] for r in found.values() if r.error] == ["SyntaxError"]
 
 
+def _java(text):
+    return {e["name"]: e for e in elements.java_elements(text)}
+
+
+def test_java_elements():
+    found = _java(
+        "package p.q;\nimport o.Repo;\nimport w.*;\n// class No {\n@A(\"class X {\")\npublic class B<T extends F> extends Base<T> implements I, J<K> {\n"
+        "  private final Repo repo = new Repo() { int q; };\n  int[] a = {1, 2};\n  Map<String, List<Bar>> m;\n  public B(Qux... q) { if (x) { go(); } }\n"
+        "  @Get(v = \"x\")\n  public List<Item> get(@P String id, Opt o) throws E { return null; }\n  static { init(); }\n  enum Color { RED; Foo f; }\n}\n"
+        "interface I extends C<D> { Res find(Key k); int MAX = 3; }\nclass Z { private void zed() {} }\n"
+    )
+    assert [(m["name"], m["kind"], m["signature"], m["visibility"]) for m in found["B"]["members"]] == [
+        ("repo", "field", "repo: Repo", "private"),
+        ("a", "field", "a: int[]", "internal"),
+        ("m", "field", "m: Map<String, List<Bar>>", "internal"),
+        ("get", "method", "get(@P String id, Opt o): List<Item>", "public"),
+    ]
+    assert [(r["name"], r["qualified_name"], r["kind"]) for r in found["B"]["refs"]] == [
+        ("Base", "p.q.Base", "extends"), ("I", "p.q.I", "implements"), ("J", "p.q.J", "implements"), ("Repo", "o.Repo", "uses"), ("Map", "p.q.Map", "uses"),
+        ("List", "p.q.List", "uses"), ("Bar", "p.q.Bar", "uses"), ("Qux", "p.q.Qux", "uses"), ("Item", "p.q.Item", "uses"), ("Opt", "p.q.Opt", "uses"),
+    ]
+    assert found["B"]["qualified_name"] == "p.q.B" and found["B"]["visibility"] == "public" and "No" not in found and "X" not in found
+    assert [m["name"] for m in found["I"]["members"]] == ["find"] and [(r["name"], r["kind"]) for r in found["I"]["refs"]] == [("C", "extends"), ("Res", "uses"), ("Key", "uses")]
+    assert found["Color"]["members"] == [] and found["Color"]["refs"] == [] and [m["name"] for m in found["Z"]["members"]] == ["zed"]
+    assert _java("class A { void a() {} }\nclass B { void b() {} }")["A"]["members"][0]["name"] == "a"
+    assert _java("class A {") and not _java("") and len(_java("".join(f"class C{i} {{ void m{i}() {{}} }}\n" for i in range(3000)))) == 3000
+
+
+def test_typescript_elements():
+    found = {e["name"]: e for e in elements.typescript_elements(
+        "export abstract class Svc<T> extends Base<T> implements A, ns.B {\n  private repo: Repo;\n  static count = 0\n  run = (e: Event) => { return 1; }\n"
+        "  constructor(private readonly db: Db, log: Log, protected x = 3) { super(); }\n  async find(id: string, f?: Filter): Promise<Item[]> { return q({a: 1}); }\n}\n"
+        "interface Shape extends Other { area(): number; kind: Kind | null\n  w: Map<string, Widget> }\nexport type Id = string | Foo;\nasync function main(a: X) {}\nconst f = function () {};\n"
+    )}
+    assert [(m["name"], m["kind"], m["visibility"]) for m in found["Svc"]["members"]] == [
+        ("repo", "field", "private"), ("count", "field", "public"), ("run", "field", "public"), ("db", "field", "private"), ("x", "field", "internal"), ("constructor", "method", "public"), ("find", "method", "public"),
+    ]
+    assert found["Svc"]["members"][-1]["signature"] == "find(id: string, f?: Filter): Promise<Item[]>"
+    assert [(r["name"], r["kind"]) for r in found["Svc"]["refs"]] == [("Base", "extends"), ("A", "implements"), ("B", "implements"), ("Repo", "uses"), ("Db", "uses"), ("Log", "uses"), ("Filter", "uses"), ("Item", "uses")]
+    assert [m["name"] for m in found["Shape"]["members"]] == ["area", "kind", "w"] and [r["name"] for r in found["Shape"]["refs"]] == ["Other", "Kind", "Widget"]
+    assert found["Id"]["kind"] == "type" and found["main"]["kind"] == "function" and set(found) == {"Svc", "Shape", "Id", "main"}
+
+
+def test_c_elements(spark):
+    text = (
+        "#include <stdio.h>\n#define M(a) do { \\\n } while (0)\ntypedef struct node { int v; struct node *next; Tree *t; Color c[3]; } Node;\ntypedef unsigned long ulong_t;\ntypedef int (*fn)(int);\n"
+        "int add(int a, int b);\nint add(int a, int b) { if (a) { return add(1, 2); } return a; }\nstatic Node *make(struct point *p, const Conf *c) { return 0; }\nint table[] = {1, 2};\n"
+    )
+    found = {e["name"]: e for e in elements.c_elements(text)}
+    assert {n: (e["kind"], e["visibility"], e["line"]) for n, e in found.items()} == {"node": ("struct", "public", 4), "Node": ("typedef", "public", 4), "ulong_t": ("typedef", "public", 5), "add": ("function", "public", 8), "make": ("function", "private", 9)}
+    assert [m["signature"] for m in found["node"]["members"]] == ["v: int", "next: struct node", "t: Tree", "c: Color"]
+    assert [(r["name"], r["kind"]) for r in found["node"]["refs"]] == [("node", "contains"), ("Tree", "contains"), ("Color", "contains")]
+    assert [r["name"] for r in found["make"]["refs"]] == ["Node", "point", "Conf"]
+    files = [("l", "src", r, "c", c) for r, c in (("a.h", "int add(int a);"), ("z.c", "int add(int a) { return a; }\nstatic int own(void) { return 1; }"), ("y.c", "static int own(void) { return 2; }"))]
+    df = spark.createDataFrame([*files, ("p", "m", "x.py", "python", "def ("), ("p", "m", "y.py", "python", "def (")], "project string, module string, rel string, language string, content string")
+    parsed = elements.elements(df)
+    assert rows(elements.merged_c(parsed).select("rel", "name")) == [("y.c", "own"), ("z.c", "add"), ("z.c", "own")]
+    assert rows(elements.failures(parsed, df)) == [("c", 3, 0, False), ("python", 2, 2, True)]
+
+
 def test_package_type(spark):
     df = spark.createDataFrame([('{"scripts": {"start": "node server.js"}}',), ('{"scripts": {"dev": "vitest app"}}',), ('{"bin": "x"}',), ("not json",)], "c string")
     from pyspark.sql import functions as F
