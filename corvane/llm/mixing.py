@@ -25,6 +25,8 @@ WEIGHTS = (3, 1, 2)
 MOST = 2
 BLOCK_WORDS = 1024
 BUCKET_ROWS = 20_000
+PART_WORDS = 1 << 22
+MOST_PARTS = 100_000  # beyond, parts grow; they are sorted with spilling
 CHUNK = 1 << 16
 BROADCAST_SOURCES = 10_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -115,7 +117,7 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def pieces(base: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, dict, dict]:
-    """The mix as (position, doc_id, nth, again, from_word, words), with sizes and targets by source.
+    """The mix as (position, doc_id, nth, size, again, from_word, words), with sizes and targets by source.
 
     base: doc_id, nth, source, size. `again` is false for the first pass over a source and true for the
     second; a piece is the part of a document that lies in the block of a slot."""
@@ -135,34 +137,70 @@ def pieces(base: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, dict,
     both = both.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("take"))).where("at < end")
     cut = both.withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))))
     first, last = F.greatest("at", F.col("rank") * block), F.least("end", (F.col("rank") + 1) * block)
-    cut = cut.select("key", "rank", "doc_id", "nth", "again", (first - F.col("at")).alias("from_word"), (last - first).alias("words"))
+    cut = cut.select("key", "rank", "doc_id", "nth", "size", "again", (first - F.col("at")).alias("from_word"), (last - first).alias("words"))
     slots = schedule(spark, {k: -(-n // block) for k, n in words.items()})
-    return cut.join(slots, ["key", "rank"]).select("position", "doc_id", "nth", "again", "from_word", "words"), sizes, goal
+    return cut.join(slots, ["key", "rank"]).select("position", "doc_id", "nth", "size", "again", "from_word", "words"), sizes, goal
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, source): doc_id, size, source_size, target, taken.
-
-    size counts words (null: 0); taken counts the words that the mix takes of the row, repeats included, at
-    most twice its size. The words taken of a source are its target, rounded. Rows that repeat a doc_id are
-    mixed each; a null source is a source of its own and a null doc_id a row like others; an empty table
-    gives an empty table. Reruns agree: the shuffle depends on the ids only."""
+    """One row per row of `docs` (doc_id, text, source): doc_id, size, source_size, target, taken, first_position,
+    n_pieces.
+
+    size counts words (null: 0). The schedule deals the slots; taken sums the words of the row's pieces in all
+    slots that it got, repeats included, at most twice its size; first_position is the first of these slots
+    (null: none) and n_pieces their number. The words taken of a source are its target, rounded. Rows that
+    repeat a doc_id are mixed each; a null source is a source of its own and a null doc_id a row like others; an
+    empty table gives an empty table. Other columns aren't looked at. Reruns agree: the shuffle depends on the
+    ids only."""
     spark = docs.sparkSession
     base = _base(docs)
     mixed, sizes, goal = pieces(base)
-    taken = mixed.groupBy("doc_id", "nth").agg(F.sum("words").alias("taken"))
+    taken = mixed.groupBy("doc_id", "nth").agg(F.sum("words").alias("taken"), F.min("position").alias("first_position"), F.count("*").alias("n_pieces"))
     known = [(("s" + s) if s is not None else "n", sizes[s], float(goal[s])) for s in sizes]
     out = base.withColumn("key", _key()).join(_by_source(spark, known, "key string, source_size long, target double"), "key")
     match = out["doc_id"].eqNullSafe(taken["doc_id"]) & (out["nth"] == taken["nth"])
-    return out.join(taken, match, "left").select(out["doc_id"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    none = F.lit(0).cast("long")
+    return out.join(taken, match, "left").select(out["doc_id"], "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), "first_position", F.coalesce("n_pieces", none).alias("n_pieces"))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word; all of it, if it has no more words."""
+    gap = r"[\x20\x09-\x0D]+"
+    limit = n + 1 + text.rlike("^" + gap).cast("int")
+    parts = F.split(text, gap, limit)
+    cut = F.substr(text, F.lit(1), F.length(text) - F.length(F.element_at(parts, -1)))
+    return F.when(F.size(parts) < limit, text).otherwise(F.regexp_replace(cut, gap + "$", ""))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """`docs` as the mix takes them: a document once for each pass that takes words of it, whole, with all of its
-    columns. Documents without words are in no block and go."""
-    mixed, _, _ = pieces(_base(docs))
-    copies = mixed.select("doc_id", "nth", "again").distinct()
-    same = Window.partitionBy("_id").orderBy("_source", "_tie")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), F.xxhash64("text").alias("_tie"))
-    rows = rows.withColumn("_nth", F.row_number().over(same))
-    return rows.join(copies, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_nth") == F.col("nth"))).select("_row.*")
+    """`docs` in the order of the mix, partition after partition: a document once for each pass that takes words
+    of it, at the first slot it got, with all of its columns.
+
+    A document is whole, but for the last one of a source, of which the mix takes a part: its text ends after the
+    words taken (and n_chars, where there is such a column, follows). So a source's words are its target, rounded,
+    and any stretch of the result is near the weights, up to the length of a document and a few blocks a source.
+    Documents without words are in no block and go, nulls among them. Null ids and sources, and rows that repeat
+    an id, are mixed like others; an empty table gives an empty table. The result keeps its order when it is
+    written to files, one per partition."""
+    base = _base(docs)
+    mixed, _, _ = pieces(base)
+    copies = mixed.groupBy("doc_id", "nth", "again").agg(F.min("position").alias("position"), F.sum("words").alias("words"), F.first("size").alias("size"))
+    copies = keep(copies.select(F.col("doc_id").alias("_copy"), "nth", "position", "words", "size"), "copies")
+    whole = copies.agg(F.sum("words").alias("words"), F.max("position").alias("last")).first()
+    parts = max(1, min(-(-(whole.words or 0) // PART_WORDS), MOST_PARTS))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    match = F.col("_id").eqNullSafe(F.col("_copy"))
+    if base.where("nth > 1").limit(1).count():  # only then are texts sorted
+        same = Window.partitionBy("_id").orderBy(F.col("_row.source").cast("string"), F.xxhash64("_row.text"))
+        rows = rows.withColumn("_nth", F.row_number().over(same))
+        match = match & (F.col("_nth") == F.col("nth"))
+    found = rows.join(copies, match)
+    # Slots are equally long, so ranges of them are partitions of about equally many words.
+    found = found.withColumn("_part", F.floor(F.col("position") * parts / ((whole.last or 0) + 1)).cast("int"))
+    found = found.repartitionById(parts, "_part").sortWithinPartitions("position", "_id", "nth")
+    part = F.col("words") < F.col("size")
+    text = F.when(part, first_words(F.col("_row.text"), F.col("words").cast("int"))).otherwise(F.col("_row.text"))
+    shown = {c: F.col("_row")[c] for c in docs.columns} | {"text": text}
+    if "n_chars" in docs.columns:
+        shown["n_chars"] = F.when(part, F.length(text)).otherwise(F.col("_row.n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return found.select(*(shown[c].alias(c) for c in docs.columns))

@@ -114,14 +114,90 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def brute_mix(rows, block):
+    """{(doc_id, nth): (pieces by position)} of rows (doc_id, nth, source, size) by walking slot after slot."""
+    sizes = {}
+    for _, _, source, size in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    goal = mixing.targets(sizes)
+    key = lambda s: "n" if s is None else "s" + s
+    take = {s: min(round(goal[s]), 2 * sizes[s]) for s in sizes}
+    slots = {s: -(-take[s] // block) for s in sizes if take[s]}
+    names = sorted(slots, key=key)
+    total, edges = sum(slots.values()), []
+    for s in names[:-1]:
+        edges.append(((edges[-1][0] if edges else 0) + slots[s], s))
+    order, done, i = [], dict.fromkeys(names, 0), 0
+    while any(done[s] < slots[s] for s in names):
+        point = (i + 1) * 0x9E3779B97F4A7C15 % 2**64
+        s = names[sum(point >= (e << 64) // total for e, _ in edges)]
+        if done[s] < slots[s]:
+            order.append((i, s, done[s]))
+            done[s] += 1
+        i += 1
+    return goal, take, order
+
+
+def test_mix_follows_the_schedule(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 400)), rng.choice(["a", "a", "b", None])) for i in range(150)]
+    df = docs(spark, rows)
+    base = mixing._base(df)
+    mixed, sizes, goal = mixing.pieces(base, 64)
+    found = mixed.collect()
+    source = {r.doc_id: r.source for r in base.collect()}
+    expected_goal, take, order = brute_mix([(r.doc_id, r.nth, r.source, r["size"]) for r in base.collect()], 64)
+    assert goal == expected_goal
+    by_slot = {}
+    for r in found:
+        by_slot.setdefault((r.position, source[r.doc_id]), []).append(r.words)
+    assert {k: sum(v) for k, v in by_slot.items()} == {(p, s): min(64, take[s] - 64 * n) for p, s, n in order}
+    out = {r.doc_id: r for r in mixing.mix(df).collect()}  # blocks of the usual size
+    assert all((r.first_position is None) == (r.taken == 0) == (r.n_pieces == 0) for r in out.values())
+
+
 def test_mixed_documents_keep_their_columns(spark):
     rows = [(i, "some words of text " * (i % 5), "ab"[i % 2], i) for i in range(60)] + [(None, "no id", "a", -1), (3, "again", "b", 99), (3, "again", "b", 99)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, nth int")
     out = mixing.mixed_documents(df)
-    taken = {(r.doc_id, r["size"]): r.taken for r in mixing.mix(df).collect()}
+    taken = {}
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
     got = [tuple(r) for r in out.collect()]
-    assert out.columns == df.columns and set(got) <= set(rows) and len(got) > 60
-    assert all(taken[i, len(t.split())] > 0 for i, t, _, _ in got)
+    assert out.columns == df.columns and len(got) > 60
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], []).append(r)
+    mine = {}
+    for i, t, s, n in got:
+        assert any(t == x[1] or x[1].startswith(t) for x in texts[i] if (s, n) == x[2:])
+        mine[i] = mine.get(i, 0) + len(t.split())
+    assert mine == {i: n for i, n in taken.items() if n}
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def test_stretches_of_the_mix_are_near_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_WORDS", 5000)
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{j}" for j in range(rng.randint(1, 60))), rng.choice("aaabc")) for i in range(3000)]
+    df = docs(spark, rows)
+    kept = common.keep(mixing.mixed_documents(df), "mixed")
+    placed = kept.select("source", "text", "n_chars", "_metadata.file_path", "_metadata.row_index").toPandas().sort_values(["file_path", "row_index"])
+    assert placed.file_path.nunique() > 5
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    goal = {s: float(t) for s, t in mixing.targets(sizes).items()}
+    share, seen, n = {s: t / sum(goal.values()) for s, t in goal.items()}, dict.fromkeys("abc", 0), 0
+    for s, t in zip(placed.source, placed.text, strict=True):
+        seen[s] += len(t.split())
+        n += len(t.split())
+        assert all(abs(seen[x] - share[x] * n) < 4 * mixing.BLOCK_WORDS + 120 for x in "abc")
+    assert all(abs(seen[x] - goal[x]) <= 1 for x in "abc")
+
+
+@pytest.mark.parametrize("text, n, expected", [("a b c", 2, "a b"), ("  a\tb  c ", 2, "  a\tb"), ("a b", 2, "a b"), ("a b ", 5, "a b "), ("x", 1, "x"), ("é\u00a0ü b", 1, "é\u00a0ü")])
+def test_first_words(spark, text, n, expected):
+    df = spark.createDataFrame([(text, n)], "t string, n int")
+    assert df.select(mixing.first_words(F.col("t"), F.col("n"))).first()[0] == expected
 
 
 def test_schedule_is_balanced_everywhere(spark):
