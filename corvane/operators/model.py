@@ -146,8 +146,8 @@ def merge_externals(declared: DataFrame, detected: DataFrame) -> DataFrame:
 # --- relationships -------------------------------------------------------------------------------
 def derive_relationships(phases: list[DataFrame]) -> DataFrame:
     """Candidates by phase (source, target, label, technology, ord) -> one relationship per pair: that of the
-    first phase which has it, then of the least ord. Pairs of equal ends go."""
-    rows = reduce(DataFrame.unionByName, (p.select("source", "target", "label", "technology", F.struct(F.lit(i).alias("phase"), F.col("ord").cast("string").alias("ord")).alias("o")) for i, p in enumerate(phases)))
+    first phase which has it, then of the least ord, in the ordinals' own type. Pairs of equal ends go."""
+    rows = reduce(DataFrame.unionByName, (p.select("source", "target", "label", "technology", F.struct(F.lit(i).alias("phase"), "ord").alias("o")) for i, p in enumerate(phases)))
     first = rows.where("source <> target").groupBy("source", "target").agg(F.min(F.struct("o", "label", "technology")).alias("f"))
     return first.select("source", "target", "f.label", "f.technology")
 
@@ -179,7 +179,11 @@ def remapped(relationships: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def override(relationships: DataFrame, updates: DataFrame) -> DataFrame:
-    """Labels and technologies from updates (source, target, new_label, new_technology); empty ones don't count."""
-    rows = relationships.join(updates, ["source", "target"], "left")
+    """Labels and technologies from updates (source, target, new_label, new_technology[, ord]); empty ones don't
+    count, and of several updates of a pair the last by ord that says something."""
+    place = F.col("ord") if "ord" in updates.columns else F.lit(0)
+    last = lambda c: F.max(F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.struct(place.alias("o"), F.col(c).alias("v"))))["v"].alias(c)
+    once = updates.groupBy("source", "target").agg(last("new_label"), last("new_technology"))
+    rows = relationships.join(once, ["source", "target"], "left")
     pick = lambda new, old: F.coalesce(F.nullif(F.col(new), F.lit("")), F.col(old)).alias(old)
     return rows.select("source", "target", pick("new_label", "label"), pick("new_technology", "technology"))

@@ -1,5 +1,6 @@
-"""Graph views of an architecture model at four levels. Edges are taken in (source, target) order: where
-several fall together, the first one's label and technology stay."""
+"""Graph views of an architecture model at four levels. Edges are taken in (source, target) order, equal ones by
+their `ord` where relationships have one: where several fall together, the first one's label and technology
+stay."""
 
 from __future__ import annotations
 
@@ -20,8 +21,9 @@ SYSTEM = "system"
 
 
 def _first_by_pair(edges: DataFrame) -> DataFrame:
-    """edges: s, t (new ids), source, target, label, technology -> one edge per (s, t)."""
-    first = edges.groupBy("s", "t").agg(F.min(F.struct("source", "target", "label", "technology")).alias("e"))
+    """edges: s, t (new ids), source, target, label, technology[, ord] -> one edge per (s, t)."""
+    place = ["ord"] if "ord" in edges.columns else []
+    first = edges.groupBy("s", "t").agg(F.min(F.struct("source", "target", *place, "label", "technology")).alias("e"))
     return first.select(F.col("s").alias("source"), F.col("t").alias("target"), "e.label", "e.technology")
 
 

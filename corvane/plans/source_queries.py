@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import build
 from ..sources import elements, project
+from ..sources.store import stored
 from . import trees
 from .registry import register
 from .trees import SUPPLIERS_SQL
@@ -15,7 +17,7 @@ class _Tree:
     """The files of the trees, their projects, and the files with their project."""
 
     def __init__(self, spark, sf_dir):
-        self.files = trees.files(spark, sf_dir)
+        self.files = stored(trees.files(spark, sf_dir), "files")
         self.projects = project.discover(self.files)
         self.owned = project.owned_files(self.files, self.projects)
 
@@ -156,3 +158,67 @@ register(
     _on(lambda t: elements.failures(elements.elements(t.sources), t.sources)),
     _sql(_FILES + "SELECT ['java', 'python', 'typescript', 'c'][n % 4 + 1] AS language, count(*) AS files, count(*) FILTER (rel = 'bad.py') AS failed, count(*) = count(*) FILTER (rel = 'bad.py') AS systemic FROM x GROUP BY n % 4"),
 )
+
+
+# Models built from the trees: container projects are applications, library projects are libraries.
+def _built(part, granularity="balanced"):
+    def query(t):
+        spark = t.files.sparkSession
+        kinds = project.classify(t.projects, t.owned)
+        main = t.projects.join(kinds.where("type = 'container'").select("path"), "path", "left_semi")
+        shared = project.applications(t.owned, t.projects).join(kinds.where("type = 'library'").select(F.col("path").alias("project")), "project", "left_semi")
+        declared = spark.createDataFrame([("Redis", "Cache", ["apps-n4", "ghost"], 0)], "name string, technology string, used_by array<string>, ord int")
+        main, owned = stored(main, "projects"), stored(t.owned, "owned")
+        scan = build.scan_tree(owned.join(main.select(F.col("path").alias("project")), "project", "left_semi"), main)
+        return getattr(build.Builder(scan, declared, shared.select(F.col("app_id").alias("id"), "name", "language"), granularity), part)
+
+    return _on(query)
+
+
+_MODEL = _FILES + """, app AS (SELECT n, project, 'apps-n' || n AS id, ['java', 'python', 'typescript', 'c'][n % 4 + 1] AS language, CASE WHEN n % 8 = 0 THEN 'Svc ' || n WHEN n % 4 = 2 THEN '@org/n' || n ELSE 'N' || n END AS shown,
+  NOT (n % 16 = 8 OR n % 8 = 5 OR n % 8 = 3) AS main FROM nat),
+m AS (SELECT x.n, a.id AS container_id, a.language, x.project, x.module, a.id || '-' || replace(x.module, '.', '-') AS id, string_split(x.module, '.')[-1] AS last,
+  bool_or(coalesce(x.k % 3 = 0, false)) AS fast, bool_or(coalesce(x.k % 2 = 0, false)) AS even FROM x JOIN app a ON a.n = x.n AND a.main GROUP BY ALL)
+"""
+register(
+    "build_model_containers",
+    _built("containers"),
+    _sql(_MODEL + """SELECT id, id AS application_id, shown AS name, shown || ' application' AS description, upper(language[1:1]) || language[2:] || CASE language WHEN 'python' THEN ' / FastAPI' WHEN 'typescript' THEN ' / Express' ELSE '' END AS technology,
+  project AS path FROM app WHERE main"""),
+)
+register(
+    "build_model_components",
+    _built("components"),
+    _sql(_MODEL + """SELECT id, container_id, upper(last[1:1]) || last[2:] AS name, CASE language WHEN 'java' THEN 'Business logic service for ' ELSE '' END || upper(last[1:1]) || last[2:] || CASE language WHEN 'java' THEN '' ELSE ' module' END AS description,
+  CASE WHEN language = 'java' THEN 'Java Service' WHEN language = 'python' THEN CASE WHEN fast THEN 'fastapi' ELSE 'Python' END WHEN language = 'typescript' THEN CASE WHEN even THEN 'Express' ELSE 'Typescript' END ELSE 'C' END AS technology,
+  [id] AS module_ids FROM m"""),
+)
+register(
+    "build_model_overview",
+    _built("components", "overview"),
+    _sql(_MODEL + """SELECT m.container_id || '-core' AS id, m.container_id, shown AS name, 'Core logic of ' || shown AS description,
+  upper(a.language[1:1]) || a.language[2:] || CASE a.language WHEN 'python' THEN ' / FastAPI' WHEN 'typescript' THEN ' / Express' ELSE '' END AS technology, list(m.id ORDER BY module) AS module_ids FROM m JOIN app a ON a.id = m.container_id GROUP BY ALL"""),
+)
+register(
+    "build_model_externals",
+    _built("externals"),
+    _sql(_MODEL + """SELECT 'redis' AS id, 'Redis' AS name, 'External cache' AS description, 'Cache' AS technology, false AS is_library
+  UNION ALL SELECT 'postgresql', 'PostgreSQL', 'Database used by the system', 'PostgreSQL', false WHERE EXISTS (FROM app WHERE main AND n % 8 = 0)
+  UNION ALL SELECT 'apache-kafka', 'Apache Kafka', 'Message Broker used by the system', 'Apache Kafka', false WHERE EXISTS (FROM app WHERE main AND n % 4 = 1)
+  UNION ALL SELECT id, shown, 'Shared ' || language || ' library', language, true FROM app WHERE NOT main"""),
+)
+register(
+    "build_model_relationships",
+    _built("relationships"),
+    _sql(_MODEL + """, used AS (SELECT x.n, a.id AS container_id, a.id || '-' || replace(x.module, '.', '-') AS source,
+    CASE WHEN x.n % 4 = 0 THEN CASE WHEN nn = x.n THEN 'com.n' || nn || '.p' || (nk % 3) END ELSE CASE WHEN EXISTS (SELECT 1 FROM sup WHERE sup.n = x.n AND sup.k % 2 = x.nk % 2) THEN 'pkg' || (nk % 2) END END AS name
+    FROM x JOIN app a ON a.n = x.n AND a.main WHERE x.n % 4 IN (0, 1) AND x.k IS NOT NULL),
+named AS (SELECT module AS name, arg_max(id, project || '|' || module) AS target, arg_max(container_id, project || '|' || module) AS target_container FROM m GROUP BY module),
+calls AS (SELECT DISTINCT source, target, container_id, target_container FROM used JOIN named USING (name) WHERE source <> target)
+SELECT source, target, 'Uses' AS label, CAST(NULL AS VARCHAR) AS technology FROM calls
+UNION SELECT container_id, target_container, 'Uses', NULL FROM calls WHERE container_id <> target_container
+UNION SELECT a.id, b.id, 'Uses', NULL FROM app a JOIN app b ON b.n = a.n + 4 AND b.main WHERE a.main AND (a.n % 4 = 2 OR a.n % 8 = 4)
+UNION SELECT unnest(['apps-n4', 'ghost']), 'redis', 'Uses Redis', 'Cache'
+UNION SELECT id, 'postgresql', 'Reads/writes data in', 'PostgreSQL' FROM app WHERE main AND n % 8 = 0
+UNION SELECT id, 'apache-kafka', 'Publishes/consumes messages via', 'Apache Kafka' FROM app WHERE main AND n % 4 = 1"""),
+)
