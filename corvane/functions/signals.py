@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,42 +99,92 @@ def toml_keys(text_lines: DataFrame) -> DataFrame:
     return keyed.select("file", "line", key.alias("key"), config_value("text", F.lit("toml")).alias("value"))
 
 
-def yaml_keys(files: DataFrame) -> DataFrame:
-    """file, line, key of every keyed YAML line, with its enclosing keys.
-
-    A fold over a file's lines keeps the stack of open keys; a key closes those of the same or a greater
-    indent. List items and lines without a key own no key and close none."""
-    pattern = r"^(\s*)([\w.$-]+)\s*:(\s|$)"
-    stack = "array<struct<indent:int,key:string>>"
-    start = F.struct(F.array().cast(stack).alias("open"), F.array().cast("array<struct<line:int,key:string>>").alias("out"), F.lit(0).alias("line"))
+# Patterns of a line's own key, by format.
+_OWN = {
+    "yaml": re.compile(r"\s*([\w.-]+)\s*:", re.A),
+    "json": re.compile(r"""\s*"([\w.-]+)"\s*:""", re.A),
+    "xml": re.compile(r"[^<]*<([\w.-]+)[\s>]|.*?<([\w.-]+)[\s>]", re.A),
+    "properties": re.compile(r"\s*([\w.-]+)\s*[=:]", re.A),
+    "toml": re.compile(r"\s*([\w.-]+)\s*=", re.A),
+}
+_SECTION = re.compile(r"\[([\w.-]+)\]", re.A)
+_ITEM = re.compile(r"\s*-\s")
+
+
+def paths_of(content: str, fmt: str) -> Iterator[tuple[int, str]]:
+    """(line from 1, dotted key path) of the lines that have one.
+
+    Where indentation nests keys (YAML, JSON, XML) a stack holds the keys still open: a line lies in those of a
+    smaller indent, and a key closes those of its own indent or more. List items have no key of their own. In
+    TOML and INI the last section header counts."""
+    own = _OWN["toml" if fmt == "ini" else fmt]
+    stack: list[tuple[int, str]] = []
+    section = None
+    for number, line in enumerate(content.split("\n"), 1):
+        bare = line.strip()
+        if not bare:
+            continue
+        if fmt in ("toml", "ini"):
+            header, found = _SECTION.fullmatch(bare), own.match(line)
+            if found:
+                yield number, f"{section}.{found[1]}" if section else found[1]
+            section = header[1] if header else section
+            continue
+        found = own.match(bare if fmt == "xml" else line)
+        key = next(filter(None, found.groups()), None) if found else None
+        if fmt == "properties":
+            if key:
+                yield number, key
+            continue
+        indent = len(line) - len(line.lstrip())
+        shown = key if not (fmt == "yaml" and _ITEM.match(line)) else None
+        path = [k for i, k in stack if i < indent] + [shown] * bool(shown)
+        if path:
+            yield number, ".".join(path)
+        if key and not (fmt == "xml" and bare.startswith(("</", "<?"))):
+            while stack and stack[-1][0] >= indent:
+                stack.pop()
+            stack.append((indent, key))
+
+
+def key_paths(files: DataFrame) -> DataFrame:
+    """file, line, key: the key paths of the lines of files (file, content, format). Each file is read by itself, in
+    one pass; null contents have no lines."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(f, n, k) for f, text, fmt in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if text is not None for n, k in paths_of(text, fmt)]
+            cols = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string()), strict=True)], ["file", "line", "key"])
+
+    return files.select("file", "content", "format").mapInArrow(run, "file string, line int, key string")
 
-    def step(acc: Column, text: Column) -> Column:
-        key, indent = F.regexp_extract(text, pattern, 2), F.length(F.regexp_extract(text, pattern, 1))
-        opened = F.concat(F.filter(acc["open"], lambda s: s["indent"] < indent), F.array(F.struct(indent.cast("int").alias("indent"), key.alias("key"))))
-        path = F.array_join(F.transform(opened, lambda s: s["key"]), ".")
-        line = acc["line"] + 1
-        keyed = key != ""
-        return F.struct(
-            F.when(keyed, opened).otherwise(acc["open"]).alias("open"),
-            F.when(keyed, F.concat(acc["out"], F.array(F.struct(line.alias("line"), path.alias("key"))))).otherwise(acc["out"]).alias("out"),
-            line.alias("line"),
-        )
 
-    folded = F.aggregate(F.split("content", "\r?\n"), start, step, lambda a: a["out"])
-    return files.select("file", F.explode(folded).alias("k")).select("file", "k.line", "k.key")
+def yaml_keys(files: DataFrame) -> DataFrame:
+    """file, line, key of every keyed YAML line, with its enclosing keys."""
+    paths = key_paths(files.withColumn("format", F.lit("yaml")))
+    keyed = lines(files).where(F.col("text").rlike(r"^\s*[\w.-]+\s*:") & ~F.col("text").rlike(r"^\s*-\s")).select("file", "line")
+    return paths.join(keyed, ["file", "line"], "left_semi")
 
 
-def signal_summary(text_lines: DataFrame, signals: DataFrame) -> DataFrame:
-    """file, summary: the sorted distinct `value` lines of a file's signals, one text a file."""
-    hit = text_lines.join(signals.select("file", "line").distinct(), ["file", "line"], "left_semi")
-    shown = hit.select("file", config_value("text", file_format("file")).alias("value")).where("value <> ''").distinct()
-    return shown.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("value")), "\n").alias("summary"))
+def signal_summary(files: DataFrame, signals: DataFrame) -> DataFrame:
+    """file, summary: `key: value` of each line of a file (file, content) with a signal, by key and line; the whole
+    content, if no such line has a key. Files without signals have no row."""
+    hit = signals.select("file", "line").distinct()
+    texts = files.join(hit.select("file").distinct(), "file", "left_semi").withColumn("format", file_format("file"))
+    rows = key_paths(texts).join(hit, ["file", "line"], "left_semi").join(lines(texts), ["file", "line"])
+    shown = F.struct("key", "line", F.concat("key", F.lit(": "), config_value("text", file_format("file"))).alias("shown"))
+    found = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda r: r["shown"]), "\n").alias("found"))
+    return texts.join(found, "file", "left").select("file", F.coalesce("found", "content").alias("summary"))
 
 
 def condense(text_lines: DataFrame) -> DataFrame:
-    """app, file, line, text -> app, condensed: of equal trimmed lines of an app the first by file and line,
-    joined in that order. Blank lines go."""
+    """app, file, line, text -> app, condensed: of equal trimmed lines of an app the first by file and line, under a
+    header with the name of its file, in that order. Blank lines go, and so do files of which nothing is left."""
     trimmed = text_lines.withColumn("text", F.trim("text")).where("text <> ''")
     first = trimmed.groupBy("app", "text").agg(F.min(F.struct("file", "line")).alias("at"))
-    ordered = first.groupBy("app").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("rows"))
-    return ordered.select("app", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("condensed"))
+    parts = first.groupBy("app", F.col("at.file").alias("file")).agg(F.array_sort(F.collect_list(F.struct(F.col("at.line").alias("line"), "text"))).alias("rows"))
+    head = F.concat(F.lit("# "), F.substring_index(F.col("file").cast("string"), "/", -1), F.lit("\n"))
+    parts = parts.select("app", "file", F.concat(head, F.array_join(F.transform("rows", lambda r: r["text"]), "\n")).alias("part"))
+    ordered = parts.groupBy("app").agg(F.array_sort(F.collect_list(F.struct("file", "part"))).alias("parts"))
+    return ordered.select("app", F.array_join(F.transform("parts", lambda r: r["part"]), "\n").alias("condensed"))

@@ -90,9 +90,14 @@ KINDS = ("class", "interface", "function", "struct", "enum")
 VISIBILITIES = ("public", "internal", "private")
 
 
+def _part_name() -> Column:
+    return F.concat("p_name", F.lit("-"), (F.col("p_partkey") % 211).cast("string"))
+
+
 def code(spark: SparkSession, sf_dir: str) -> Code:
     """Each part that a supplier sold is an element of it; neighbouring lines of an order are references, by
-    name, and where returned by qualified name too. Names are shared by many parts."""
+    name, and where returned by qualified name too. Names are shared by some parts, so a container may lack one;
+    what third lines refer to is nowhere."""
     t = lambda n: table(spark, sf_dir, n)
     line = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")
     part = t("part").select("p_partkey", "p_name", "p_brand", "p_size")
@@ -104,18 +109,20 @@ def code(spark: SparkSession, sf_dir: str) -> Code:
         F.concat(F.lit("supplier-"), "l_suppkey", F.lit(".part-"), "l_partkey").alias("id"),
         F.concat(F.lit("supplier-"), "l_suppkey").alias("component_id"),
         F.concat(F.lit("nation-"), "s_nationkey").alias("container_id"),
-        F.col("p_name").alias("name"),
-        F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"),
+        _part_name().alias("name"),
+        F.concat_ws(".", F.col("p_brand"), _part_name()).alias("qualified_name"),
         pick(KINDS, F.col("l_partkey")).alias("kind"),
         pick(VISIBILITIES, F.col("p_size")).alias("visibility"),
     )
     nxt = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("other"))
-    named = part.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("target_name"), F.concat_ws(".", "p_brand", "p_name").alias("q"))
+    named = part.select(F.col("p_partkey").alias("other"), _part_name().alias("known"), F.concat_ws(".", F.col("p_brand"), _part_name()).alias("q"))
     refs = line.join(nxt, ["l_orderkey", "l_linenumber"]).join(named, "other")
+    gone = F.col("l_linenumber") % 3 == 0
+    refs = refs.withColumn("target_name", F.when(gone, F.concat(F.lit("Gone"), F.col("other") % 5)).otherwise(F.col("known")))
     refs = refs.select(
         F.concat(F.lit("supplier-"), "l_suppkey", F.lit(".part-"), "l_partkey").alias("element_id"),
         "target_name",
-        F.when(F.col("l_returnflag") == "R", F.col("q")).alias("target_qualified"),
+        F.when((F.col("l_returnflag") == "R") & ~gone, F.col("q")).alias("target_qualified"),
         F.when(F.col("l_linestatus") == "O", "extends").otherwise("uses").alias("kind"),
     )
     return Code(elements, refs.distinct())
@@ -124,13 +131,14 @@ def code(spark: SparkSession, sf_dir: str) -> Code:
 CODE_SQL = """
 elements AS MATERIALIZED (
   SELECT DISTINCT 'supplier-' || l_suppkey || '.part-' || l_partkey AS id, 'supplier-' || l_suppkey AS component_id, 'nation-' || s_nationkey AS container_id,
-         p_name AS name, p_brand || '.' || p_name AS qualified_name,
+         p_name || '-' || (p_partkey % 211) AS name, p_brand || '.' || p_name || '-' || (p_partkey % 211) AS qualified_name,
          ['class', 'interface', 'function', 'struct', 'enum'][CAST(l_partkey % 5 + 1 AS INTEGER)] AS kind,
          ['public', 'internal', 'private'][p_size % 3 + 1] AS visibility
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
 refs AS MATERIALIZED (
-  SELECT DISTINCT 'supplier-' || a.l_suppkey || '.part-' || a.l_partkey AS element_id, p_name AS target_name,
-         CASE WHEN a.l_returnflag = 'R' THEN p_brand || '.' || p_name END AS target_qualified,
+  SELECT DISTINCT 'supplier-' || a.l_suppkey || '.part-' || a.l_partkey AS element_id,
+         CASE WHEN a.l_linenumber % 3 = 0 THEN 'Gone' || (b.l_partkey % 5) ELSE p_name || '-' || (p_partkey % 211) END AS target_name,
+         CASE WHEN a.l_returnflag = 'R' AND a.l_linenumber % 3 <> 0 THEN p_brand || '.' || p_name || '-' || (p_partkey % 211) END AS target_qualified,
          CASE WHEN a.l_linestatus = 'O' THEN 'extends' ELSE 'uses' END AS kind
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1 JOIN part ON b.l_partkey = p_partkey)
 """

@@ -64,7 +64,7 @@ SELECT source, target, 'source' AS missing FROM relationships WHERE source NOT I
 
 def _owners(spark, sf_dir):
     m, c = adapters.graph(spark, sf_dir), adapters.code(spark, sf_dir)
-    return validate.owner_mismatches(c.elements.where("NOT id LIKE '%0'"), m.components.where("NOT id LIKE '%7'").withColumnRenamed("id", "component_id"))
+    return validate.owner_mismatches(c.elements, m.components.where("NOT id LIKE '%7'").withColumnRenamed("id", "component_id"))
 
 
 register(
@@ -72,7 +72,7 @@ register(
     _owners,
     f"""WITH {GRAPH_SQL}, {CODE_SQL}, known AS (SELECT * FROM components WHERE NOT id LIKE '%7')
 SELECT e.id, CASE WHEN k.id IS NULL THEN 'unknown component' ELSE 'other container' END AS problem FROM elements e LEFT JOIN known k ON k.id = e.component_id
-WHERE NOT e.id LIKE '%0' AND (k.id IS NULL OR k.container_id <> e.container_id)""",
+WHERE (k.id IS NULL OR k.container_id <> e.container_id)""",
 )
 register(
     "validate_shapes",

@@ -56,21 +56,75 @@ def _yaml(spark, sf_dir):
     return signals.yaml_keys(files.select(F.concat(F.lit("c-"), "conv_id", F.lit(".yaml")).alias("file"), "content"))
 
 
-register("yaml_key_paths", _yaml)
-register("config_summary", _on(lambda c: signals.signal_summary(c, signals.detect(c))), None)
+register(
+    "yaml_key_paths",
+    _yaml,
+    """WITH l AS (SELECT conv_id, turn, role, row_number() OVER w AS line, last_value(CASE WHEN turn % 2 = 0 THEN role END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS above FROM conversations WHERE role IS NOT NULL
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn, CASE WHEN turn % 2 = 0 THEN '' ELSE '  ' END || role))
+SELECT 'c-' || conv_id || '.yaml' AS file, CAST(line AS INTEGER) AS line, CASE WHEN turn % 2 <> 0 AND above IS NOT NULL THEN above || '.' ELSE '' END || role AS key FROM l""",
+)
+
+
+def _contents(lines):
+    """file, content of lines (file, line, text)."""
+    rows = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("rows"))
+    return rows.select("file", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("content"))
+
+
+register(
+    "config_summary",
+    _on(lambda c: signals.signal_summary(_contents(c), signals.detect(c))),
+    f"""WITH {_SIGNALS}, keyed AS (SELECT file, line, text, regexp_extract(text, '^\\s*([\\w.-]+)\\s*[=:]', 1) AS name, instr(text, '=') AS e, instr(text, ':') AS c,
+    last_value(nullif(regexp_extract(text, '^\\[([\\w.-]+)\\]$', 1), '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING) AS section FROM config),
+k AS (SELECT file, line, CASE WHEN file LIKE '%.toml' THEN CASE WHEN section IS NULL THEN name ELSE section || '.' || name END ELSE name END AS key,
+    CASE WHEN file LIKE '%.toml' THEN regexp_replace(trim(text[e + 1:]), '^["'']|["'']$', '') ELSE trim(text[CASE WHEN e > 0 AND c > 0 THEN least(e, c) ELSE greatest(e, c) END + 1:]) END AS value
+  FROM keyed WHERE (file LIKE '%.toml' OR file LIKE '%.properties') AND name <> '' AND (file, line) IN (SELECT (file, line) FROM signals)),
+joined AS (SELECT file, string_agg(key || ': ' || value, chr(10) ORDER BY key, line) AS found FROM k GROUP BY file),
+whole AS (SELECT file, string_agg(text, chr(10) ORDER BY line) AS content FROM config WHERE file IN (SELECT file FROM signals) GROUP BY file)
+SELECT file, coalesce(found, content) AS summary FROM whole LEFT JOIN joined USING (file)""",
+)
+
+
+# Every pattern and every noise rule, by lines of their kinds.
+_EACH = (
+    "a: jdbc:postgresql://h{n}/db", "b=jdbc:mysql://h{n}/db", "c: jdbc:oracle:thin:@h{n}", "jdbc:sqlite:f{n}.db", "jdbc:h2:mem:m{n}", "mongodb+srv://m{n}/x", "k{n}.local:9092", "topic: orders.{n}", "destination=q{n}",
+    "amqps://r{n}/v", "rediss://c{n}:1", "cache-{n}:6379", "mem{n}: 11211", "es-{n}:9200", "s3.eu-{n}.amazonaws.com", "bucket = 'b-{n}'", "https://api.{n}.example.com/v1", "server.port={n}", "listen: 80{n}", "${DB_URL}", "${ KAFKA_HOST }",
+    "http://www.w3.org/{n}", "http://xmlns.jcp.org/{n}", "http://schemas.x.org/{n}", "https://xml.apache.org/{n}", "https://repo.maven.apache.org/{n}", "https://repo1.maven.org/{n}", "https://plugins.gradle.org/{n}",
+    "https://registry.npmjs.org/{n}", "https://docs.x.org/{n}", "https://javadoc.io/{n}", "https://tools.ietf.org/{n}", "http://www.oracle.com/{n}/x.dtd", "http://hibernate.org/dtd/{n}", "https://a{n}.io/actuator", "https://a{n}.io/health",
+    "https://a{n}.io/info", "http://localhost:{n}", "http://127.0.0.1:{n}", "http://0.0.0.0/{n}", "http://[::1]:{n}", "# jdbc:mysql://no/{n}", "! https://no.{n}", "<!-- https://no.{n} -->", "   ", "JDBC:MYSQL://UP{n}/x", "plain words {n}",
+)
+
+
+def _each(spark, sf_dir):
+    text = F.replace(F.element_at(F.array(*map(F.lit, _EACH)), (F.col("event_id") % len(_EACH) + 1).cast("int")), F.lit("{n}"), (F.col("event_id") % 9).cast("string"))
+    return signals.detect(table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("file"), F.col("event_id").cast("int").alias("line"), text.alias("text")))
+
+
+_quote = lambda x: "'" + x.replace("'", "''") + "'"
+register(
+    "config_signals_each",
+    _each,
+    f"""WITH p(ord, pattern, type, re) AS (VALUES {", ".join(f"({i}, {_quote(n)}, {_quote(t)}, {_quote('(?i)' + r)})" for i, (n, t, r) in enumerate(signals.PATTERNS))}),
+l AS (SELECT 'u' || user_id AS file, CAST(event_id AS INTEGER) AS line, replace([{", ".join(map(_quote, _EACH))}][CAST(event_id % {len(_EACH)} + 1 AS INTEGER)], '{{n}}', CAST(event_id % 9 AS VARCHAR)) AS text FROM events),
+f AS (SELECT file, line, type, pattern, ord, regexp_extract(text, re) AS value FROM l, p WHERE NOT regexp_matches(text, '^\\s*([#!]|<!--)') AND trim(text) <> '' AND regexp_extract(text, re) <> '')
+SELECT file, line, type, pattern, value FROM f WHERE NOT regexp_matches(value, {_quote("(?i)" + "|".join(signals.NOISE))}) QUALIFY row_number() OVER (PARTITION BY file, type, value ORDER BY line, ord) = 1""",
+)
 
 
 def _condense(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("app"), F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    """Documents as configuration files of applications of fifty documents each."""
+    app = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 50).cast("string")).alias("app")
+    docs = table(spark, sf_dir, "documents").select(app, F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return signals.condense(docs)
 
 
 register(
     "condense_config",
     _condense,
-    """WITH l AS (SELECT source AS app, doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, string_split(text, chr(10)) AS parts FROM documents),
-t AS (SELECT app, doc_id, i, trim(parts[i]) AS line FROM l), f AS (SELECT * FROM t WHERE line <> '' QUALIFY row_number() OVER (PARTITION BY app, line ORDER BY doc_id, i) = 1)
-SELECT app, string_agg(line, chr(10) ORDER BY doc_id, i) AS condensed FROM f GROUP BY app""",
+    """WITH l AS (SELECT source || '-' || (doc_id // 50) AS app, doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, string_split(text, chr(10)) AS parts FROM documents),
+t AS (SELECT app, doc_id, i, trim(parts[i]) AS line FROM l), f AS (SELECT * FROM t WHERE line <> '' QUALIFY row_number() OVER (PARTITION BY app, line ORDER BY doc_id, i) = 1),
+s AS (SELECT app, doc_id, '# ' || doc_id || chr(10) || string_agg(line, chr(10) ORDER BY i) AS part FROM f GROUP BY app, doc_id)
+SELECT app, string_agg(part, chr(10) ORDER BY doc_id) AS condensed FROM s GROUP BY app""",
 )
 
 

@@ -97,7 +97,14 @@ SELECT name, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'),
   CASE WHEN contains(name, '.') THEN string_split(name, '.')[-1] WHEN contains(name, '/') THEN string_split(name, '/')[-1] ELSE name END AS last_segment
 FROM names""",
 )
-register("wrap_labels", lambda s, d: adapters.table(s, d, "benchmark").select("item_id", text.wrap("text", 22, 99, "<br>").alias("wrapped"), text.wrap("text").alias("short")))
+_WRAP = "coalesce(list_reduce(words, lambda a, w: CASE WHEN length(string_split(a, chr(1))[-1]) + 1 + length(w) <= {} THEN a || ' ' || w ELSE a || chr(1) || w END), '')"
+register(
+    "wrap_labels",
+    lambda s, d: adapters.table(s, d, "benchmark").select("item_id", text.wrap("text", 22, 99, "<br>").alias("wrapped"), text.wrap("text").alias("short")),
+    f"""WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS words FROM benchmark),
+l AS (SELECT item_id, CASE WHEN len(words) = 0 THEN [''] ELSE string_split({_WRAP.format(22)}, chr(1)) END AS a, CASE WHEN len(words) = 0 THEN [''] ELSE string_split({_WRAP.format(50)}, chr(1)) END AS b FROM b)
+SELECT item_id, array_to_string(a[1:99], '<br>') || CASE WHEN len(a) > 99 THEN '...' ELSE '' END AS wrapped, array_to_string(b[1:2], chr(10)) || CASE WHEN len(b) > 2 THEN '...' ELSE '' END AS short FROM l""",
+)
 
 
 def _rendered(spark, sf_dir):

@@ -156,15 +156,17 @@ register("macro_f1", lambda s, d: history.macro_f1(_metrics(s, d)), _METRICS + "
 
 
 def _churn(spark, sf_dir):
+    """All documents before, and after an edit of the lines of every third."""
     lines = table(spark, sf_dir, "documents").select(F.col("source").alias("key"), "doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return history.line_churn(lines.where("doc_id % 2 = 0"), lines.where("doc_id % 3 = 0"))
+    return history.line_churn(lines, lines.withColumn("line", F.when(F.col("doc_id") % 3 == 0, F.concat("line", F.lit(" edited"))).otherwise(F.col("line"))))
 
 
 register(
     "line_churn",
     _churn,
     """WITH l AS (SELECT source AS key, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-n AS (SELECT key, line, count(*) FILTER (doc_id % 2 = 0) AS nb, count(*) FILTER (doc_id % 3 = 0) AS na FROM l WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY ALL),
+b AS (SELECT key, line, 1 AS b, 0 AS a FROM l UNION ALL SELECT key, CASE WHEN doc_id % 3 = 0 THEN line || ' edited' ELSE line END, 0, 1 FROM l),
+n AS (SELECT key, line, sum(b) AS nb, sum(a) AS na FROM b GROUP BY ALL),
 s AS (SELECT key, CAST(sum(CASE WHEN nb = 0 THEN na ELSE 0 END) AS BIGINT) AS added, CAST(sum(CASE WHEN na = 0 THEN nb ELSE 0 END) AS BIGINT) AS removed, greatest(sum(nb), sum(na)) AS most FROM n GROUP BY key)
 SELECT key, added, removed, round((added + removed) / most, 6) AS churn FROM s""",
 )
