@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import slug
+
 
 def visible(elements: DataFrame, include_private: bool = False) -> DataFrame:
     """Public elements; internal ones and those of no stated visibility go too, unless all are wanted."""
     return elements if include_private else elements.where("visibility <=> 'public'")
 
 
+def visible_members(members: Column, include_private: bool = False) -> Column:
+    """Members but for private ones; those of no stated visibility stay."""
+    return members if include_private else F.filter(members, lambda m: ~m["visibility"].eqNullSafe(F.lit("private")))
+
+
 def enough(elements: DataFrame, least: int = 2) -> DataFrame:
     """Elements of components that have at least `least` of them."""
     n = elements.groupBy("component_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -56,10 +63,15 @@ def unresolved_breakdown(elements: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def disambiguated(elements: DataFrame) -> DataFrame:
     """id, unique_id: a plain id (component and name) that several elements share gets a suffix on each of them,
-    the slug of the qualified name; those that still clash are numbered in id order from the second on."""
+    the slug of the qualified name, else of the file's directory and stem (`file`, where there is one); those that
+    still clash are numbered in id order from the second on."""
     plain = F.concat_ws(".", "component_id", F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-"))
     rows = elements.withColumn("plain", plain).withColumn("n", F.count("*").over(Window.partitionBy("plain")))
     suffix = F.regexp_replace(F.lower("qualified_name"), "[^a-z0-9]+", "-")
+    if "file" in elements.columns:
+        stem = slug(F.regexp_replace(F.substring_index("file", "/", -1), r"(?<=.)\.[^.]*$", ""))
+        parent = slug(F.regexp_extract("file", "([^/]*)/[^/]*$", 1))
+        suffix = F.coalesce(suffix, F.concat_ws("-", F.nullif(parent, F.lit("")), stem))
     rows = rows.withColumn("u", F.when(F.col("n") > 1, F.concat_ws("-", "plain", suffix)).otherwise(F.col("plain")))
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("u").orderBy("id")))
     return rows.select("id", F.when(F.col("rn") > 1, F.concat_ws("-", "u", F.col("rn").cast("string"))).otherwise(F.col("u")).alias("unique_id"))
@@ -70,3 +82,27 @@ def dominant(elements: DataFrame, group: str, value: str, ties: list[str]) -> Da
     order = F.array_position(F.array(*map(F.lit, ties)), F.col(value))
     counts = elements.groupBy(group, value).agg(F.count("*").alias("n"))
     return counts.groupBy(group).agg(F.max_by(value, F.struct("n", -order)).alias("dominant"), F.max("n").alias("n"))
+
+
+# Languages in the order that settles ties, and those that a kind of element gives away.
+LANGUAGES = ("java", "typescript", "python", "c")
+KIND_LANGUAGES = {"struct": "c", "typedef": "c", "type": "typescript", "enum": "java"}
+UNKNOWN_LANGUAGE = "java"
+
+
+def dominant_language(components: DataFrame, elements: DataFrame, module_files: DataFrame) -> DataFrame:
+    """components (component_id, module_ids), elements (component_id, language, kind), module_files (module_id,
+    language, files) -> component_id, language, source: the most frequent language of the component's elements, else of
+    its modules' files, else of the languages that kinds of elements give away, else Java. Ties go by LANGUAGES."""
+    one = elements.where(F.col("language").isin(*LANGUAGES)).groupBy("component_id", "language").agg(F.count("*").alias("n"))
+    members = components.select("component_id", F.explode("module_ids").alias("module_id"))
+    two = members.join(module_files.where("files > 0"), "module_id").where(F.col("language").isin(*LANGUAGES)).groupBy("component_id", "language").agg(F.sum("files").alias("n"))
+    told = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in KIND_LANGUAGES.items()))
+    three = elements.select("component_id", told.alias("language")).where("language IS NOT NULL").groupBy("component_id", "language").agg(F.count("*").alias("n"))
+    order = F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("language"))
+    rows = components.select("component_id").distinct()
+    for name, counts in (("elements", one), ("files", two), ("kinds", three)):
+        best = counts.groupBy("component_id").agg(F.max_by("language", F.struct("n", -order)).alias(name))
+        rows = rows.join(best, "component_id", "left")
+    source = F.when(F.col("elements").isNotNull(), "elements").when(F.col("files").isNotNull(), "files").when(F.col("kinds").isNotNull(), "kinds").otherwise("default")
+    return rows.select("component_id", F.coalesce("elements", "files", "kinds", F.lit(UNKNOWN_LANGUAGE)).alias("language"), source.alias("source"))

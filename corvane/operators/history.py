@@ -3,7 +3,7 @@ removals are returned as plans."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,20 @@ def content_hash(files: DataFrame) -> DataFrame:
     return rows.groupBy("project").agg(F.sha2(text, 256).alias("hash"))
 
 
+def mixed(hashes: DataFrame, fingerprint: Column) -> DataFrame:
+    """project, hash -> project, checksum: the hash of a fingerprint of the settings and the sources' hash, so that
+    equal sources under other settings differ."""
+    return hashes.select("project", F.concat(F.lit("sha256:"), F.sha2(F.concat(fingerprint, F.lit("\n"), F.col("hash")), 256)).alias("checksum"))
+
+
+def stale_levels(now: DataFrame, before: DataFrame) -> DataFrame:
+    """project, scan_stale, model_stale: whether the scan's and the model's checksum (scan, model) differ from those
+    kept; both are for a project without any."""
+    kept = before.select("project", F.col("scan").alias("old_scan"), F.col("model").alias("old_model"))
+    rows = now.join(kept, "project", "left")
+    return rows.select("project", (~F.col("scan").eqNullSafe(F.col("old_scan"))).alias("scan_stale"), (~F.col("model").eqNullSafe(F.col("old_model"))).alias("model_stale"))
+
+
 def cache_key(hashes: DataFrame, by: str) -> DataFrame:
     """by, key: the number of hashes and the sorted hashes, so that no separator can be mistaken."""
     return hashes.groupBy(by).agg(F.concat(F.count("*").cast("string"), F.lit(":"), F.array_join(F.array_sort(F.collect_list("hash")), ",")).alias("key"))

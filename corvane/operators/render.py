@@ -137,6 +137,63 @@ def cells(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return v.unionByName(e)
 
 
+def code_cells(projection) -> DataFrame:
+    """component_id, id, value, style, parent, source, target: the level-4 cells of each component. Boundaries hold
+    the elements of their component; what belongs to another one is drawn with a dotted stroke."""
+    v, none = projection.vertices, F.lit(None).cast("string")
+    style = F.concat(F.when(F.col("kind") == "boundary", "boundary").otherwise("element"), F.lit(";managed=1"), F.when(F.col("cross_component"), ";dashed=2").otherwise(""))
+    vertices = v.select("component_id", "id", F.col("id").alias("value"), style.alias("style"), F.lit("1").alias("parent"), none.alias("source"), none.alias("target"))
+    edges = projection.edges.select("component_id", F.concat("source", F.lit("->"), "target", F.lit(":"), "label").alias("id"), F.col("label").alias("value"), F.lit("edge;managed=1").alias("style"), F.lit("1").alias("parent"), "source", "target")
+    return vertices.unionByName(edges)
+
+
+KEY_LIMIT = 518
+
+
+def member_line(signature: Column | str) -> Column:
+    """A member as a quoted line: quotes and backslashes escaped, line breaks as spaces, and no longer than diagram
+    text allows; a cut one ends in dots and never on half an escape."""
+    c = F.col(signature) if isinstance(signature, str) else signature
+    text = F.regexp_replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), "\r?\n", " ")
+    head = F.substring(text, 1, KEY_LIMIT - 3)
+    odd = F.length(F.regexp_extract(head, r"(\\+)$", 1)) % 2 == 1
+    cut = F.concat(F.when(odd, F.substring(text, 1, KEY_LIMIT - 4)).otherwise(head), F.lit("..."))
+    return F.concat(F.lit('"'), F.when(F.length(text) <= KEY_LIMIT, text).otherwise(cut), F.lit('"'))
+
+
+def c_bucket(kind: Column, visibility: Column) -> Column:
+    """Where the C profile draws an element: Types, Public API or Internal; null for other kinds."""
+    hidden = visibility.eqNullSafe(F.lit("private"))
+    return F.when(kind.isin("struct", "typedef"), "Types").when(kind == "function", F.when(hidden, "Internal").otherwise("Public API"))
+
+
+def c_diagrams(elements: DataFrame, edges: DataFrame) -> DataFrame:
+    """component_id, diagram of C components: elements by bucket, structs with their members (array of signatures),
+    and edges (component_id, id, source, target, kind, label), but for inheritance, which C hasn't."""
+    rows = elements.withColumn("bucket", c_bucket(F.col("kind"), F.col("visibility"))).where("bucket IS NOT NULL")
+    place = F.array_position(F.array(F.lit("Types"), F.lit("Public API"), F.lit("Internal")), F.col("bucket")).cast("int")
+    key = F.element_at(F.array(F.lit("types"), F.lit("public"), F.lit("internal")), place)
+    row = lambda df, section, k, line: df.select("component_id", section.alias("section"), k.alias("k"), line.alias("line"))
+    frames = rows.select("component_id", "bucket", place.alias("place"), key.alias("key")).distinct()
+    members = F.when(F.col("kind") == "struct", F.transform(F.coalesce("members", F.array().cast("array<string>")), lambda m: F.concat(F.lit("    "), member_line(m))))
+    body = F.concat(F.lit(" {\n    shape: class\n"), F.array_join(F.concat(F.coalesce(members, F.array().cast("array<string>")), F.array(F.lit("  }"))), "\n"))
+    shown = F.concat(shape("id", F.col("name"), "  "), F.when(F.col("bucket") == "Types", body).otherwise(""))
+    links = edges.where(~F.col("kind").isin("inherits", "implements"))
+    return joined(
+        _union(
+            [
+                row(elements.select("component_id").distinct(), F.lit(0), F.lit(""), F.concat(F.lit("# Component: "), "component_id")),
+                row(frames, F.col("place") * 3, F.lit(""), F.concat("key", F.lit(": "), "bucket", F.lit(" {"))),
+                row(rows.withColumn("place", place), F.col("place") * 3 + 1, F.col("id"), shown),
+                row(frames, F.col("place") * 3 + 2, F.lit(""), F.lit("}")),
+                row(links, F.lit(12), F.col("id"), connection(diagram_id("source"), diagram_id("target"), F.col("label"))),
+            ]
+        ),
+        ["component_id"],
+        "diagram",
+    )
+
+
 def escaped(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):

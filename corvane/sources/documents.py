@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 import yaml
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 
 _S = T.StringType()
+_text = lambda *names: [T.StructField(c, _S) for c in names]
+_MEMBER = T.StructType(_text("name", "kind", "signature", "visibility"))
 MODEL = {
-    "actors": T.StructType([T.StructField(c, _S) for c in ("id", "name", "description")]),
-    "external_systems": T.StructType([*(T.StructField(c, _S) for c in ("id", "name", "description", "technology")), T.StructField("tags", T.ArrayType(_S))]),
-    "containers": T.StructType([T.StructField(c, _S) for c in ("id", "application_id", "name", "description", "technology", "path")]),
-    "components": T.StructType([*(T.StructField(c, _S) for c in ("id", "container_id", "name", "description", "technology")), T.StructField("module_ids", T.ArrayType(_S))]),
-    "relationships": T.StructType([T.StructField(c, _S) for c in ("source_id", "target_id", "label", "technology")]),
+    "system": T.StructType(_text("name", "description")),
+    "actors": T.StructType(_text("id", "name", "description")),
+    "external_systems": T.StructType([*_text("id", "name", "description", "technology"), T.StructField("tags", T.ArrayType(_S))]),
+    "containers": T.StructType(_text("id", "application_id", "name", "description", "technology", "path")),
+    "components": T.StructType([*_text("id", "container_id", "name", "description", "technology"), T.StructField("module_ids", T.ArrayType(_S))]),
+    "relationships": T.StructType(_text("source_id", "target_id", "label", "technology")),
+    "code_elements": T.StructType(
+        [*_text("id", "component_id", "container_id", "name", "qualified_name", "language", "visibility", "kind", "signature"), T.StructField("tags", T.ArrayType(_S)), T.StructField("members", T.ArrayType(_MEMBER))]
+    ),
+    "code_relationships": T.StructType(_text("source_id", "target_id", "target_name", "kind", "label")),
+}
+# What a row of each collection must state, and the kinds of code elements and links.
+REQUIRED = {
+    "system": ("name",),
+    "actors": ("id", "name"),
+    "external_systems": ("id", "name"),
+    "containers": ("id", "application_id", "name"),
+    "components": ("id", "container_id", "name"),
+    "relationships": ("source_id", "target_id", "label"),
+    "code_elements": ("id", "component_id", "container_id", "kind", "name"),
+    "code_relationships": ("source_id", "target_id", "kind"),
 }
+CONTAINER_KINDS = frozenset("class interface enum struct".split())
+SYMBOL_KINDS = frozenset("type typedef function".split())
+LINK_KINDS = frozenset("inherits implements uses contains".split())
 
 
 def _camel(name: str) -> str:
@@ -22,44 +47,120 @@ def _camel(name: str) -> str:
     return head + "".join(w.title() for w in rest)
 
 
+def _snake(name: str) -> str:
+    return re.sub("[A-Z]", lambda m: "_" + m[0].lower(), name)
+
+
+def _problems(rows: dict[str, list[dict]]) -> Iterator[str]:
+    """What is wrong with a model's rows, in order."""
+    for name, found in rows.items():
+        known = set(MODEL[name].fieldNames())
+        first: dict[str, int] = {}
+        for i, row in enumerate(found):
+            if unknown := sorted(set(row) - known):
+                yield f"{name}[{i}]: unknown fields {unknown}"
+            if missing := [c for c in REQUIRED[name] if row.get(c) is None]:
+                yield f"{name}[{i}]: lacks {missing}"
+            if "id" in known and row.get("id") is not None:
+                if row["id"] in first:
+                    yield f"{name}[{i}]: id {row['id']} is taken by {name}[{first[row['id']]}]"
+                first.setdefault(row["id"], i)
+    home = {r.get("id"): r.get("container_id") for r in rows["components"]}
+    for i, e in enumerate(rows["code_elements"]):
+        if e.get("component_id") not in home:
+            yield f"code_elements[{i}]: unknown component {e.get('component_id')}"
+        elif home[e["component_id"]] != e.get("container_id"):
+            yield f"code_elements[{i}]: component {e['component_id']} is not in container {e.get('container_id')}"
+        if e.get("kind") not in CONTAINER_KINDS | SYMBOL_KINDS:
+            yield f"code_elements[{i}]: unknown kind {e.get('kind')}"
+        elif e.get("members" if e["kind"] in SYMBOL_KINDS else "signature") is not None:
+            yield f"code_elements[{i}]: a {e['kind']} has no {'members' if e['kind'] in SYMBOL_KINDS else 'signature'}"
+    ids = {e.get("id") for e in rows["code_elements"]}
+    for i, r in enumerate(rows["code_relationships"]):
+        for end in ("source_id", "target_id"):
+            if r.get(end) not in ids:
+                yield f"code_relationships[{i}]: unknown {end} {r.get(end)}"
+        if r.get("kind") not in LINK_KINDS:
+            yield f"code_relationships[{i}]: unknown kind {r.get('kind')}"
+
+
 def load_model(spark: SparkSession, text: str) -> dict[str, DataFrame]:
-    """The collections of a model in YAML. Missing collections are empty; an unknown key is an error."""
+    """The collections of a model in YAML, code elements and links among them. Missing collections are empty. Unknown
+    keys and rows that break the model's rules are an error that names all of them."""
     data = yaml.safe_load(text) or {}
-    known = {_camel(c): c for c in MODEL} | {"system": "system", "codeElements": "", "codeRelationships": "", "version": ""}
-    if unknown := set(data) - set(known):
+    if not isinstance(data, dict):
+        raise ValueError("the model is no mapping")
+    known = {_camel(c) for c in MODEL} | {"version"}
+    if unknown := set(data) - known:
         raise ValueError(f"unknown keys in the model: {sorted(unknown)}")
+    rows = {}
+    for name in MODEL:
+        found = data.get(_camel(name)) or []
+        found = [found] if isinstance(found, dict) else found
+        rows[name] = [{_snake(k): [{_snake(x): y for x, y in m.items()} for m in v] if k == "members" and v is not None else v for k, v in r.items()} for r in found]
+    if problems := list(_problems(rows)):
+        raise ValueError("the model is invalid:\n" + "\n".join(problems))
     out = {}
     for name, schema in MODEL.items():
-        rows = [tuple(r.get(_camel(f.name)) for f in schema) for r in data.get(_camel(name)) or []]
-        out[name] = spark.createDataFrame(rows, schema)
+        values = [tuple([tuple(m.get(c) for c in _MEMBER.fieldNames()) for m in r["members"]] if f.name == "members" and r.get("members") is not None else r.get(f.name) for f in schema) for r in rows[name]]
+        out[name] = spark.createDataFrame(values, schema)
     return out
 
 
 def dump_model(collections: dict[str, DataFrame]) -> str:
-    """A model as YAML text; it is small by nature and comes to the driver."""
-    data = {}
+    """A model as YAML text; it is small by nature and comes to the driver. Empty code collections are left out."""
+    data: dict = {"version": 1}
+    plain = lambda v: [plain(x) for x in v] if isinstance(v, list) else {_camel(k): plain(x) for k, x in v.asDict().items() if x is not None} if isinstance(v, Row) else v
     for name, df in collections.items():
-        data[_camel(name)] = [{_camel(k): v for k, v in r.asDict().items() if v is not None} for r in df.collect()]
-    return yaml.safe_dump(data, sort_keys=False, allow_unicode=True)
+        rows = [plain(r) for r in df.collect()]
+        if name == "system":
+            data["system"] = rows[0] if rows else None
+        elif rows or not name.startswith("code_"):
+            data[_camel(name)] = rows
+    return yaml.safe_dump({k: v for k, v in data.items() if v is not None}, sort_keys=False, allow_unicode=True)
+
+
+_CELL = [(c, pa.string()) for c in ("file", "id", "value", "tooltip", "style", "parent", "source", "target")]
+_CELL += [("is_edge", pa.bool_()), *((c, pa.float64()) for c in ("x", "y", "width", "height")), ("points", pa.string()), ("managed", pa.bool_()), ("error", pa.string())]
+
+
+def _cells_of(file: str, content: str) -> Iterator[dict]:
+    """The cells of a diagram. A wrapper gives its cell the id, the label and a tooltip, and wins over a plain cell
+    of the same id."""
+    found: dict[str, tuple[int, dict]] = {}
+    for parent in ElementTree.fromstring(content).iter():
+        for cell in parent:
+            if cell.tag != "mxCell":
+                continue
+            wrapped = parent.tag == "UserObject"
+            head = parent if wrapped else cell
+            name, style = head.get("id"), cell.get("style")
+            if not name or (name in found and (found[name][0] or not wrapped)):
+                continue
+            box = cell.find("mxGeometry")
+            number = lambda k, box=box: float(box.get(k)) if box is not None and box.get(k) not in (None, "") else None
+            points = [f"{p.get('x')},{p.get('y')}" for p in box.iterfind("Array[@as='points']/mxPoint")] if box is not None else []
+            row = {"file": file, "id": name, "value": head.get("label" if wrapped else "value"), "tooltip": head.get("tooltip"), "style": style, "parent": cell.get("parent"), "source": cell.get("source"), "target": cell.get("target")}
+            row |= {"is_edge": cell.get("edge") == "1", "x": number("x"), "y": number("y"), "width": number("width"), "height": number("height"), "points": " ".join(points) or None}
+            managed = "managed=1" in (style or "").split(";") or head.get("managed") == "1" or cell.get("managed") == "1"
+            found[name] = (int(wrapped), row | {"managed": managed, "error": None})
+    for _, row in found.values():
+        yield row
 
 
 def diagram_cells(files: DataFrame) -> DataFrame:
-    """file, content (diagram XML) -> file, id, value, style, parent, source, target, is_edge, x, y, managed.
-
-    Cells in a UserObject take its id, label and tooltip and win over plain cells of the same id."""
-    attribute = lambda text, name: F.nullif(F.regexp_extract(text, rf'\b{name}="([^"]*)"', 1), F.lit(""))
-    wrapped = F.regexp_extract_all("content", F.lit(r"(?s)<UserObject\b.*?</UserObject>"), F.lit(0))
-    rest = F.regexp_replace("content", r"(?s)<UserObject\b.*?</UserObject>", "")
-    plain = F.regexp_extract_all(rest, F.lit(r"(?s)<mxCell\b(?:[^>]*/>|.*?</mxCell>)"), F.lit(0))
-    rows = files.select("file", F.explode(F.concat(F.transform(wrapped, lambda c: F.struct(F.lit(0).alias("rank"), c.alias("c"))), F.transform(plain, lambda c: F.struct(F.lit(1).alias("rank"), c.alias("c"))))).alias("r"))
-    c, cell = F.col("r.c"), F.regexp_extract("r.c", r"(?s)<mxCell\b[^>]*>", 0)
-    head = F.regexp_extract("r.c", r"(?s)^<\w+\b[^>]*>", 0)
-    text = F.when(F.col("r.rank") == 0, attribute(head, "label")).otherwise(attribute(head, "value"))
-    style = attribute(cell, "style")
-    rows = rows.select(
-        "file", F.col("r.rank").alias("rank"), attribute(head, "id").alias("id"), text.alias("value"), style.alias("style"), attribute(cell, "parent").alias("parent"),
-        attribute(cell, "source").alias("source"), attribute(cell, "target").alias("target"), (F.coalesce(attribute(cell, "edge"), F.lit("0")) == "1").alias("is_edge"),
-        attribute(c, "x").cast("double").alias("x"), attribute(c, "y").cast("double").alias("y"), F.coalesce(F.contains(style, F.lit("managed=1")), F.lit(False)).alias("managed"),
-    )
-    best = rows.where("id IS NOT NULL").groupBy("file", "id").agg(F.min(F.struct("rank", *(x for x in rows.columns if x not in ("file", "id", "rank")))).alias("b"))
-    return best.select("file", "id", "b.*").drop("rank")
+    """file, content (diagram XML) -> file, id, value, tooltip, style, parent, source, target, is_edge, x, y, width,
+    height, points, managed, error. Null and empty files have no cells; one that isn't XML gives a row with its error."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                try:
+                    rows += _cells_of(r["file"], r["content"]) if r["content"] else []
+                except (ElementTree.ParseError, ValueError) as x:
+                    rows.append({"file": r["file"], "error": f"{type(x).__name__}: {x}"})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(_CELL))
+
+    kinds = {pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double"}
+    return files.select("file", "content").mapInArrow(run, ", ".join(f"{c} {kinds[t]}" for c, t in _CELL))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from corvane.sources import documents, elements, project
@@ -229,6 +231,35 @@ def test_model_round_trip(spark):
     loaded = documents.load_model(spark, text)
     assert loaded["containers"].first().application_id == "a" and loaded["components"].count() == 0
     assert documents.load_model(spark, documents.dump_model(loaded))["actors"].first().name == "U"
+    text += "system: {name: S, description: d}\ncomponents:\n- {id: p, containerId: c, name: P, moduleIds: [m]}\n"
+    text += "codeElements:\n- {id: e, componentId: p, containerId: c, kind: class, name: E, members: [{name: f, kind: field, visibility: public}]}\n- {id: g, componentId: p, containerId: c, kind: function, name: G, signature: g()}\n"
+    text += "codeRelationships:\n- {sourceId: e, targetId: g, kind: uses}\n"
+    loaded = documents.load_model(spark, text)
+    again = documents.load_model(spark, documents.dump_model(loaded))
+    for name in documents.MODEL:
+        assert loaded[name].collect() == again[name].collect()
+    assert again["code_elements"].first().members[0].name == "f" and again["system"].first().name == "S" and again["code_relationships"].count() == 1
+
+
+@pytest.mark.parametrize(
+    "text, problem",
+    [
+        ("containers:\n- {id: c, applicationId: a, name: C}\n- {id: c, applicationId: a, name: D}\n", "containers[1]: id c is taken by containers[0]"),
+        ("actors:\n- {id: a}\n", "actors[0]: lacks ['name']"),
+        ("actors:\n- {id: a, name: A, age: 3}\n", "actors[0]: unknown fields ['age']"),
+        ("codeElements:\n- {id: e, componentId: p, containerId: c, kind: class, name: E}\n", "unknown component p"),
+        ("components:\n- {id: p, containerId: d, name: P}\ncodeElements:\n- {id: e, componentId: p, containerId: c, kind: class, name: E}\n", "component p is not in container c"),
+        ("components:\n- {id: p, containerId: c, name: P}\ncodeElements:\n- {id: e, componentId: p, containerId: c, kind: function, name: E, members: []}\n", "a function has no members"),
+        ("codeRelationships:\n- {sourceId: e, targetId: g, kind: uses}\n", "unknown source_id e"),
+        ("- a\n- b\n", "no mapping"),
+    ],
+)
+def test_invalid_models(spark, text, problem):
+    with pytest.raises(ValueError, match=re.escape(problem)):
+        documents.load_model(spark, text)
+
+
+def test_model_keys(spark):
     with pytest.raises(ValueError):
         documents.load_model(spark, "actrs: []")
 
@@ -237,6 +268,13 @@ def test_diagram_cells(spark):
     xml = '<root><mxCell id="a" value="A" style="s;managed=1" vertex="1" parent="1"><mxGeometry x="1" y="2"/></mxCell><UserObject id="a" label="B"><mxCell style="t" vertex="1" parent="1"/></UserObject><mxCell id="e" edge="1" source="a" target="b"/></root>'
     got = {r.id: r for r in documents.diagram_cells(spark.createDataFrame([("f", xml)], "file string, content string")).collect()}
     assert got["a"].value == "B" and not got["a"].managed and got["e"].is_edge and got["e"].target == "b"
+    more = [("g", '<m><mxCell id="p" value="A &amp;lt; &quot;B&quot;&#10;c" style="x;managed=1" vertex="1"><mxGeometry x="1" y="2.5" width="30" height="4"/></mxCell>'
+             '<UserObject id="u" label="L" tooltip="t &lt;"><mxCell edge="1" source="p" target="q"><mxGeometry><Array as="points"><mxPoint x="1" y="2"/><mxPoint x="3" y="4"/></Array></mxGeometry></mxCell></UserObject></m>'),
+            ("h", "<root><mxCell"), ("i", None), ("j", "")]
+    got = {(r.file, r.id): r for r in documents.diagram_cells(spark.createDataFrame(more, "file string, content string")).collect()}
+    assert got["g", "p"].value == 'A &lt; "B"\nc' and (got["g", "p"].x, got["g", "p"].width, got["g", "p"].managed) == (1.0, 30.0, True)
+    assert (got["g", "u"].tooltip, got["g", "u"].points, got["g", "u"].is_edge) == ("t <", "1,2 3,4", True)
+    assert got["h", None].error.startswith("ParseError") and len(got) == 3
 
 
 def test_stream_equals_batch(spark, tmp_path):
