@@ -24,24 +24,33 @@ def enough(elements: DataFrame, least: int = 2) -> DataFrame:
     return elements.join(n.select("component_id"), "component_id", "left_semi")
 
 
+def _index(elements: DataFrame, name: str, n: int) -> DataFrame:
+    """By container and name: the least id and the number of elements, and both by component in a map."""
+    own = elements.where(F.col(name).isNotNull()).groupBy("container_id", name, "component_id").agg(F.min("id").alias("t"), F.count("*").alias("n"))
+    each = F.map_from_entries(F.collect_list(F.struct("component_id", F.struct("t", "n"))))
+    return own.groupBy(F.col("container_id").alias(f"at{n}"), F.col(name).alias(f"wanted{n}")).agg(F.min("t").alias(f"t{n}"), F.sum("n").alias(f"n{n}"), each.alias(f"own{n}"))
+
+
 def resolve(elements: DataFrame, references: DataFrame) -> DataFrame:
     """references plus component_id, container_id, target_id, resolved_by, collisions.
 
     A target is looked up by qualified name in the element's component, then in its container, then by name in
     the component, then in the container; a miss falls through. Of several candidates the smallest id is
-    taken and their number is kept. The indexes are reduced to one row a key before they are joined."""
+    taken and their number is kept. There is one index by qualified name and one by name, a row a container
+    and name that knows its components too, so two joins do."""
     refs = references.join(elements.select(F.col("id").alias("element_id"), "component_id", "container_id"), "element_id")
-    levels = (("qualified_name", "component_id", "target_qualified"), ("qualified_name", "container_id", "target_qualified"), ("name", "component_id", "target_name"), ("name", "container_id", "target_name"))
-    for i, (name, scope, wanted) in enumerate(levels):
-        index = elements.groupBy(F.col(scope), F.col(name).alias(wanted)).agg(F.min("id").alias(f"t{i}"), F.count("*").alias(f"n{i}"))
-        refs = refs.join(index, [scope, wanted], "left")
+    for n, (name, wanted) in enumerate((("qualified_name", "target_qualified"), ("name", "target_name"))):
+        index = _index(elements, name, n)
+        refs = refs.join(index, (F.col("container_id") == F.col(f"at{n}")) & (F.col(wanted) == F.col(f"wanted{n}")), "left")
+    own = [F.try_element_at(f"own{n}", F.col("component_id")) for n in range(2)]
+    levels = [(own[0]["t"], own[0]["n"]), (F.col("t0"), F.col("n0")), (own[1]["t"], own[1]["n"]), (F.col("t1"), F.col("n1"))]
     by = F.lit("unresolved")
-    for i, label in reversed(list(enumerate(("qualified-component", "qualified-container", "name-component", "name-container")))):
-        by = F.when(F.col(f"t{i}").isNotNull(), label).otherwise(by)
-    hits = F.coalesce(*(F.when(F.col(f"t{i}").isNotNull(), F.col(f"n{i}")) for i in range(4)), F.lit(0).cast("long"))
+    for (target, _), label in reversed(list(zip(levels, ("qualified-component", "qualified-container", "name-component", "name-container"), strict=True))):
+        by = F.when(target.isNotNull(), label).otherwise(by)
+    hits = F.coalesce(*(n for _, n in levels), F.lit(0).cast("long"))
     return refs.select(
         "element_id", "component_id", "container_id", "target_name", "target_qualified", "kind",
-        F.coalesce("t0", "t1", "t2", "t3").alias("target_id"), by.alias("resolved_by"), hits.alias("collisions"),
+        F.coalesce(*(t for t, _ in levels)).alias("target_id"), by.alias("resolved_by"), hits.alias("collisions"),
     )
 
 

@@ -48,6 +48,19 @@ def roll_up(apps: DataFrame) -> DataFrame:
     return first.join(deps, "parent", "left").select(F.col("parent").alias("path"), "children", "language", "published_as", "deps")
 
 
+def shell_children(apps: DataFrame, modules: DataFrame) -> DataFrame:
+    """app_id, into: applications (app_id, path) that lie directly below one without modules, which takes them in. The
+    root takes in nothing."""
+    shells = apps.where("path <> '.'").join(modules.select("app_id").distinct(), "app_id", "left_anti").select(F.col("app_id").alias("into"), F.col("path").alias("above"))
+    return apps.withColumn("above", parent("path")).join(shells, "above").select("app_id", "into")
+
+
+def rolled_up(rows: DataFrame, children: DataFrame, key: str = "app_id") -> DataFrame:
+    """Rows of any list of an application (modules, dependencies, configuration files) under the one that took it in."""
+    moved = rows.join(children.select(F.col("app_id").alias(key), "into"), key, "left")
+    return moved.withColumn(key, F.coalesce("into", key)).drop("into").select(*rows.columns)
+
+
 def ancestors(path: Column | str) -> Column:
     """All proper prefixes of a path, by whole segments."""
     parts = F.split(path, "/")

@@ -1,4 +1,5 @@
-"""Diagram text. Lines carry a section and a key; one aggregate joins them in that order."""
+"""Diagram text. Lines carry a section and a key. A diagram of a whole system comes as its lines, which any number of
+tasks make; `joined` makes one text of them where that is wanted, and always does of the small diagrams by group."""
 
 from __future__ import annotations
 
@@ -28,11 +29,21 @@ def _row(df: DataFrame, section: int, key: Column | str, line: Column) -> DataFr
     return df.select(F.lit(section).alias("section"), (F.col(key) if isinstance(key, str) else key).alias("k"), line.alias("line"))
 
 
-def container_diagram(model, projection) -> DataFrame:
-    """The level-2 diagram as one text: people, the system with its containers, external systems, edges."""
+def container_diagram(model, projection, links: DataFrame | None = None) -> DataFrame:
+    """The level-2 diagram as one text; see `container_lines`."""
+    return joined(container_lines(model, projection, links), [], "diagram")
+
+
+def container_lines(model, projection, links: DataFrame | None = None) -> DataFrame:
+    """section, k, line of the level-2 diagram: people, the system with its containers, external systems, edges.
+    links (id, submodule, component) lead from a container to its own documents, else to its components."""
     name = F.col("name")
     one = model.actors.sparkSession.range(1)
     used = model.containers.join(projection.vertices.where("kind = 'container'").select("id"), "id", "left_semi")
+    box = shape("id", F.concat(name, F.lit(BREAK + "[Container]")), "  ")
+    if links is not None:
+        used = used.join(links.select("id", F.coalesce("submodule", "component").alias("link")), "id", "left")
+        box = F.concat(box, F.coalesce(F.concat(F.lit(' { link: "'), "link", F.lit('" }')), F.lit("")))
     kind = F.when(F.col("is_library"), BREAK + "[Library]").otherwise(BREAK + "[External System]")
     ids = projection.vertices.where("kind = 'container'").select(F.col("id").alias("cid"))
     inner = lambda c: F.when(F.col(c + "_in"), "system.").otherwise("")
@@ -43,19 +54,21 @@ def container_diagram(model, projection) -> DataFrame:
         _row(one, 0, F.lit(""), F.lit("# Container diagram")),
         _row(model.actors, 1, "id", shape("id", F.concat(name, F.lit(BREAK + "[Person]")))),
         _row(one, 2, F.lit(""), F.lit('system: "System\\n[Software System]" {')),
-        _row(used, 3, "id", shape("id", F.concat(name, F.lit(BREAK + "[Container]")), "  ")),
+        _row(used, 3, "id", box),
         _row(one, 4, F.lit(""), F.lit("}")),
         _row(model.externals, 5, "id", shape("id", F.concat(name, kind))),
         _row(edges, 6, F.concat("source", F.lit(" -> "), "target"), connection(F.concat(inner("source"), diagram_id("source")), F.concat(inner("target"), diagram_id("target")), F.concat("label", F.lit(" ["), "technology", F.lit("]")))),
     ]
-    lines = parts[0]
-    for p in parts[1:]:
-        lines = lines.unionByName(p)
-    return joined(lines, [], "diagram")
+    return _union(parts)
 
 
 def context_diagram(model, projection) -> DataFrame:
     """The level-1 diagram as one text."""
+    return joined(context_lines(model, projection), [], "diagram")
+
+
+def context_lines(model, projection) -> DataFrame:
+    """section, k, line of the level-1 diagram."""
     name, one = F.col("name"), model.actors.sparkSession.range(1)
     seen = model.externals.where(~F.col("is_library"))
     parts = [
@@ -65,7 +78,7 @@ def context_diagram(model, projection) -> DataFrame:
         _row(seen, 3, "id", shape("id", F.concat(name, F.lit(BREAK + "[External System]")))),
         _row(projection.edges, 4, F.concat("source", F.lit(" -> "), "target"), connection(diagram_id("source"), diagram_id("target"), F.col("label"))),
     ]
-    return joined(_union(parts), [], "diagram")
+    return _union(parts)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -203,13 +216,18 @@ def escaped(c: Column | str) -> Column:
 
 def cells_xml(rows: DataFrame) -> DataFrame:
     """The cells as one XML text in id order, vertices first."""
+    return joined(cell_lines(rows), [], "xml")
+
+
+def cell_lines(rows: DataFrame) -> DataFrame:
+    """section, k, line of the cells' XML."""
     is_edge = F.col("source").isNotNull()
     attribute = lambda n, c: F.concat(F.lit(f' {n}="'), escaped(c), F.lit('"'))
     ends = F.when(is_edge, F.concat(F.lit(' edge="1"'), attribute("source", "source"), attribute("target", "target"))).otherwise(F.lit(' vertex="1"'))
     line = F.concat(F.lit("<mxCell"), attribute("id", "id"), attribute("value", F.coalesce("value", F.lit(""))), attribute("style", "style"), attribute("parent", "parent"), ends, F.lit("/>"))
     lines = rows.select(F.when(is_edge, 2).otherwise(1).alias("section"), F.col("id").alias("k"), line.alias("line"))
     frame = rows.sparkSession.range(1)
-    return joined(_union([_row(frame, 0, F.lit(""), F.lit("<root>")), lines, _row(frame, 3, F.lit(""), F.lit("</root>"))]), [], "xml")
+    return _union([_row(frame, 0, F.lit(""), F.lit("<root>")), lines, _row(frame, 3, F.lit(""), F.lit("</root>"))])
 
 
 def inject_once(document: Column | str, snippet: str, before: str = "</svg>") -> Column:

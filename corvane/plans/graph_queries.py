@@ -114,9 +114,7 @@ def _rendered(spark, sf_dir):
 
 _Q = "CASE WHEN regexp_matches({0}, '[{{}}:;|#\\[\\]()''\"\\\\]') THEN '\"' || replace({0}, '\"', '\\\"') || '\"' ELSE {0} END"
 _ID = "replace(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '-', '_')"
-register(
-    "render_l2_d2",
-    _rendered,
+_LINES = (
     L2
     + f""", used AS (SELECT c.* FROM containers c WHERE id IN (SELECT source FROM edges UNION SELECT target FROM edges)),
 lines AS (
@@ -129,8 +127,23 @@ lines AS (
   UNION ALL SELECT 6, source || ' -> ' || target,
     CASE WHEN source IN (SELECT id FROM used) THEN 'system.' ELSE '' END || {_ID.format("source")} || ' -> ' || CASE WHEN target IN (SELECT id FROM used) THEN 'system.' ELSE '' END || {_ID.format("target")}
     || ': ' || {_Q.format("label || ' [' || technology || ']'")} FROM edges)
-SELECT string_agg(line, chr(10) ORDER BY section, k) || chr(10) AS diagram FROM lines""",
+"""
 )
+register("render_l2_d2", _rendered, _LINES + "SELECT string_agg(line, chr(10) ORDER BY section, k) || chr(10) AS diagram FROM lines")
+
+
+def _linked(spark, sf_dir):
+    """The lines, with links to own documents for some containers and to components for others."""
+    m = adapters.graph(spark, sf_dir)
+    p = projection.container(m.actors, m.externals, m.containers, m.components, m.relationships)
+    n = F.regexp_extract("id", "([0-9]+)$", 1).cast("int")
+    own = F.when(n % 3 == 0, F.concat("path", F.lit("/docs/index.svg")))
+    links = m.containers.where(n % 5 != 4).select("id", own.alias("submodule"), F.when(n % 2 == 0, F.concat(F.lit("containers/"), "id")).alias("component"))
+    return render.container_lines(m, p, links)
+
+
+_LINK = "CASE WHEN CAST(regexp_extract(k, '([0-9]+)$', 1) AS INTEGER) % 5 = 4 THEN NULL WHEN CAST(regexp_extract(k, '([0-9]+)$', 1) AS INTEGER) % 3 = 0 THEN (SELECT path FROM containers WHERE id = k) || '/docs/index.svg' WHEN CAST(regexp_extract(k, '([0-9]+)$', 1) AS INTEGER) % 2 = 0 THEN 'containers/' || k END"
+register("render_l2_links", _linked, _LINES + f"SELECT section, k, line || CASE WHEN section = 3 THEN coalesce(' {{ link: \"' || {_LINK} || '\" }}', '') ELSE '' END AS line FROM lines")
 register(
     "project_l4_edges",
     lambda s, d: projection.code(*_code(s, d)).edges,

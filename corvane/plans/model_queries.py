@@ -73,6 +73,18 @@ SELECT a.parent AS path, a.children, a.language, a.published_as, d.deps FROM
 )
 
 
+def _shells(spark, sf_dir):
+    """Nations without modules take their customers in; those with modules, every third, don't."""
+    apps = _apps(spark, sf_dir).select(F.col("path").alias("app_id"), "path")
+    nations = apps.select(model.parent("path").alias("path")).distinct().select(F.col("path").alias("app_id"), "path")
+    modules = nations.where(F.regexp_extract("path", "([0-9]+)$", 1).cast("int") % 3 == 0).select("app_id").unionByName(apps.select("app_id"))
+    deps = _apps(spark, sf_dir).select(F.col("path").alias("app_id"), F.explode("deps").alias("name"))
+    return model.rolled_up(deps, model.shell_children(apps.unionByName(nations), modules)).distinct()
+
+
+register("shell_children", _shells, _APPS + "SELECT DISTINCT CASE WHEN CAST(regexp_extract(parent, '([0-9]+)$', 1) AS INTEGER) % 3 = 0 THEN path ELSE parent END AS app_id, name FROM (SELECT parent, path, unnest(deps) AS name FROM apps)")
+
+
 def _tree(spark, sf_dir):
     apps = _apps(spark, sf_dir).select("path")
     up = apps.select(model.parent("path").alias("path")).distinct()

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables, and again with its rows in another order."""
+"""Every registered query of the library against its SQL on the smallest tables."""
 
 from __future__ import annotations
 
