@@ -1,9 +1,13 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score by their surroundings and are mostly positive, tags are
-negative; the weights are log-odds learnt from labelled pages. A linear scan finds the contiguous region of
-the greatest sum, and its blocks are the article. Elements that never belong to one (menus, adverts, forms,
-comments ...) count as a single tag and are left out even inside the region.
+A page is a sequence of words and tags. Words score by their surroundings and by themselves and are mostly
+positive, tags are negative; the weights are log-odds learnt from labelled pages. A linear scan finds the
+contiguous region of the greatest sum, and its blocks are the article.
+
+An element that a page sets apart (by its tag, class, id or role) may be a box that belongs to no article, even
+in the middle of one. A logistic model over its tag, the parts of its names, its role, its paragraphs, its share of
+links and its place, learnt from the same pages, tells; no name or tag decides alone. Such a box counts as a
+single tag and is left out.
 
 The labelled pages are made from a rule: layouts times filling times kinds of boilerplate, each with its
 content marked. `fit` accepts others.
@@ -25,16 +29,10 @@ from pyspark.sql import functions as F
 RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-DROPPED = frozenset("nav footer aside form script style noscript template iframe button select textarea svg canvas object head title dialog menu noembed noframes xmp map audio video datalist fieldset".split())
+UNSEEN = frozenset("script style noscript template iframe textarea svg canvas object head title datalist noembed noframes xmp map audio video".split())
+APART = frozenset("nav footer aside form header menu dialog button select fieldset address figure section table ul ol".split())
 MAIN = frozenset("article main".split())
 CONTENT_NAMES = frozenset("article content post entry story maincontent articlebody postbody entrycontent".split())
-BOILER_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "header masthead topbar footer sidebar aside widget widgets rail cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay newsletter "
-    "subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond "
-    "discussion form search pagination pager toolbar skip copyright legal".split()
-)
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SELF_CLOSED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
     "li": frozenset(["li"]),
@@ -51,6 +49,7 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
+BARE = re.compile(r"[^\W\d_]+|\u00a9")
 
 
 def tokens(page: str):
@@ -99,27 +98,33 @@ def tokens(page: str):
             yield "close", name, None
 
 
-def boilerplate(name: str, attributes: str, in_main: bool) -> bool:
-    if name in DROPPED:
-        return True
-    if name == "header":
-        return not in_main
-    if name in ("html", "body", "main") or not attributes:
+def hidden(attributes: str) -> bool:
+    """Whether a browser wouldn't show the element."""
+    if not attributes:
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id"):
-            for word in value.split():
-                parts = {p.lower() for p in NAME_PART.findall(word)}
-                if parts & BOILER_NAMES and not parts & CONTENT_NAMES:
-                    return True
-        elif key == "role" and value.lower() in ROLES:
-            return True
-        elif key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?=\s|$|/)", ATTRIBUTE.sub("", attributes)))
 
 
+def box_features(name: str, attributes: str, in_main: bool, words: int, linked: int, paragraphs: int) -> list[str]:
+    """What tells a box from content: tag, name parts (l: the last of a name, f: those before), role, paragraphs, links."""
+    found = ["t:" + name, "in" if in_main else "out", f"a:{0 if not linked else 1 if 3 * linked < words else 2}"]
+    if paragraphs:
+        found.append("p:1" if paragraphs == 1 else "p:2")
+    for key, *values in ATTRIBUTE.findall(attributes or ""):
+        key, value = key.lower(), next((v for v in values if v), "")
+        if key in ("class", "id"):
+            for word in value.split():
+                parts = [p.lower() for p in NAME_PART.findall(word)]
+                found += ["f:" + p for p in parts[:-1]] + ["l:" + p for p in parts[-1:]]
+        elif key == "role":
+            found.append("r:" + value.lower())
+    return list(dict.fromkeys(found))
+
+
 def content_name(attributes: str) -> bool:
     """Whether a class, id or itemprop names the content."""
     for key, *values in ATTRIBUTE.findall(attributes):
@@ -129,47 +134,59 @@ def content_name(attributes: str) -> bool:
     return False
 
 
-def _primary(stream: list) -> tuple[int, set[int]]:
-    """Place of the start tag of the main element, or else of the article with the most text, and the places of
-    those around it: neither it nor a wrapper of it is boilerplate by its name."""
-    stack: list[tuple[str, int]] = []
-    held: dict[int, tuple[bool, int, set[int]]] = {}
-    for place, (kind, name, _) in enumerate(stream):
+def _measured(stream: list) -> dict[int, tuple[int, int, int, int]]:
+    """By place of a start tag: words, linked words and paragraphs inside of it, and the place of its end. One
+    pass with running totals, so nesting costs nothing."""
+    stack: list[tuple[str, int, int, int, int]] = []
+    open_names: Counter = Counter()
+    words = linked = paragraphs = 0
+    out = {}
+    for place, (kind, name, _) in enumerate([*stream, ("end", "", None)]):
         if kind == "text":
-            size = len(name.split())
-            for n, p in stack:
-                if n in MAIN:
-                    is_main, total, around = held[p]
-                    held[p] = (is_main, total + size, around)
+            n = len(name.split())
+            words += n
+            linked += n if open_names["a"] else 0
         elif kind == "open" and name not in VOID:
-            if name in MAIN:
-                held[place] = (name == "main", 0, {p for _, p in stack})
-            stack.append((name, place))
-        elif kind == "close":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            paragraphs += name == "p"
+            stack.append((name, place, words, linked, paragraphs))
+            open_names[name] += 1
+        elif kind == "end" or kind == "close" and open_names[name]:
+            while stack:
+                top, at, w, a, p = stack.pop()
+                open_names[top] -= 1
+                out[at] = (words - w, linked - a, paragraphs - p, place)
+                if top == name and kind == "close":
                     break
+    return out
+
+
+def _primary(stream: list, sizes: dict) -> tuple[int, int]:
+    """Place of the start tag of the main element, or else of the article with the most text, and of its end."""
+    held = [(name == "main" and sizes[p][0] > 0, sizes[p][0], -p) for p, (kind, name, _) in enumerate(stream) if kind == "open" and name in MAIN]
     if not held:
-        return -1, set()
-    best = max(held, key=lambda p: (held[p][0] and held[p][1] > 0, held[p][1], -p))
-    return best, held[best][2]
+        return -1, -1
+    place = -max(held)[2]
+    return place, sizes[place][3]
 
 
-def sequence(page: str | None) -> list[tuple[str, str]]:
-    """The page as (feature, text): words runs as ('w:<context>', text), tags as ('t:<name>', ''), block ends as
-    ('|', ''), and each boilerplate element as one ('x', '')."""
+def sequence(page: str | None, judge=None) -> list[tuple[str, str]]:
+    """The page as (feature, text): word runs as ('w:<context>', text), tags as ('t:<name>', ''), block ends as
+    ('|', ''), and each box that isn't content as one ('x', ''). `judge` gets the features of an element that
+    is set apart and its place; it tells whether it is such a box."""
     if not page:
         return []
     stream = list(tokens(page))
-    primary, wrappers = _primary(stream)
+    sizes = _measured(stream)
+    primary, primary_end = _primary(stream, sizes)
     stack: list[tuple[str, bool, bool]] = []
+    open_names: Counter = Counter()
     out: list[tuple[str, str]] = []
     skip = main = near = links = headings = 0
 
     def leave(entry) -> None:
         nonlocal skip, main, near, links, headings
         name, boiler, content = entry
+        open_names[name] -= 1
         skip -= boiler
         near -= content
         main -= name in MAIN
@@ -179,7 +196,8 @@ def sequence(page: str | None) -> list[tuple[str, str]]:
     for place, (kind, value, attributes) in enumerate(stream):
         if kind == "text":
             if not skip:
-                out.append((f"w:{'m' if near else '-'}{'a' if links else '-'}{'h' if headings else '-'}{'p' if any(e[0] in ('p', 'li', 'td', 'blockquote', 'pre', 'dd') for e in stack[-3:]) else '-'}", value))
+                where = "m" if near else "o" if primary >= 0 else "-"
+                out.append((f"w:{where}{'a' if links else '-'}{'h' if headings else '-'}{'p' if any(e[0] in ('p', 'li', 'td', 'blockquote', 'pre', 'dd') for e in stack[-3:]) else 'l' if len(value.split()) > LONG else '-'}", value))
             continue
         inline = value in INLINE
         if kind == "open":
@@ -189,7 +207,7 @@ def sequence(page: str | None) -> list[tuple[str, str]]:
                 continue
             while stack and value in SELF_CLOSED_BY.get(stack[-1][0], ()):
                 leave(stack.pop())
-            if not inline:  # an open <p> ends before a block even with inline elements open inside it
+            if not inline and open_names["p"]:  # an open <p> ends before a block even with inline elements open inside it
                 for i in range(len(stack) - 1, -1, -1):
                     name = stack[i][0]
                     if value in SELF_CLOSED_BY.get(name, ()) and name == "p":
@@ -199,17 +217,21 @@ def sequence(page: str | None) -> list[tuple[str, str]]:
                         break
                     if name not in INLINE:
                         break
-            boiler = place != primary and place not in wrappers and boilerplate(value, attributes or "", main > 0)
+            around = place <= primary < sizes[place][3] and primary_end <= sizes[place][3]
+            boiler = value in UNSEEN or hidden(attributes)
+            if not boiler and not around and not skip and judge and value not in ("html", "body") and (value in APART or value in MAIN or attributes):
+                boiler = judge(box_features(value, attributes, main > 0, *sizes[place][:3]), place)
             if not skip:
                 if not inline or boiler:
                     out.append(("|", ""))
                 out.append(("x" if boiler else "t:" + ("m:" if near else "") + value, "") if not (boiler and near) else ("t:m:x", ""))
             content = value in MAIN or not boiler and value not in ("html", "body") and bool(attributes) and content_name(attributes)
             stack.append((value, boiler, content))
+            open_names[value] += 1
             skip, main, near = skip + boiler, main + (value in MAIN), near + content
             links, headings = links + (value == "a"), headings + (value[0] == "h" and value[1:].isdigit())
         else:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_names[value] else ():
                 if stack[i][0] == value:
                     for e in reversed(stack[i:]):
                         leave(e)
@@ -222,77 +244,188 @@ def sequence(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def _mark(page: str, start: str = "\x02", end: str = "\x03") -> tuple[list[tuple[str, str]], np.ndarray, np.ndarray]:
-    """A labelled page's sequence without marks, and by entry the words inside and outside of the content."""
+LONG = 15  # words of a run outside of paragraphs that count as many
+START, END = "\x02", "\x03"
+
+
+def _unmarked(text: str) -> str:
+    return text.translate({2: None, 3: None})
+
+
+def _mark(page: str, judge) -> tuple[list[tuple[str, str]], np.ndarray, np.ndarray]:
+    """A labelled page's sequence without marks, and by entry the words inside and outside of the content. A tag is
+    inside if content comes before and after it: a region holds the boxes in its middle."""
     inside, seq, within, without = False, [], [], []
-    for feature, text in sequence(page):
+    for feature, text in sequence(page, judge):
         n_in = n_out = 0
-        for piece in re.split(f"([{start}{end}])", text):
-            if piece in (start, end):
-                inside = piece == start
+        for piece in re.split(f"([{START}{END}])", text):
+            if piece in (START, END):
+                inside = piece == START
             elif inside:
                 n_in += len(piece.split())
             else:
                 n_out += len(piece.split())
-        if feature[0] != "w":
-            n_in, n_out = int(inside), int(not inside)
-        seq.append((feature, text.translate({ord(start): None, ord(end): None})))
+        seq.append((feature, _unmarked(text)))
         within.append(n_in)
         without.append(n_out)
-    return seq, np.array(within), np.array(without)
+    within, without = np.array(within), np.array(without)
+    before = np.cumsum(within)
+    for i, (feature, _) in enumerate(seq):
+        if feature[0] != "w":
+            within[i] = 0 < before[i] < before[-1]
+            without[i] = not within[i]
+    return seq, within, without
+
+
+def _boxes(page: str) -> list[tuple[list[str], bool]]:
+    """(features, holds no content) of the elements of a labelled page that are set apart."""
+    stream, inside, before = list(tokens(page)), False, [0]
+    for kind, text, _ in stream:  # words of the content so far
+        n = 0
+        if kind == "text":
+            for piece in re.split(f"([{START}{END}])", text):
+                inside = piece == START if piece in (START, END) else inside
+                n += len(piece.split()) if inside and piece not in (START, END) else 0
+        before.append(before[-1] + n)
+    sizes, found = _measured(stream), []
+    sequence(page, lambda features, place: found.append((features, before[sizes[place][3]] == before[place])) or False)
+    return found
+
+
+#: By kind of box: names and tags under which pages have it, and what it says. Labels of the pages made below.
+_KINDS = {
+    "nav": ("nav navbar navigation menu menubar breadcrumb breadcrumbs toolbar topnav skip pagination pager", "nav div ul", "Home News Sport Weather About us Contact Archive Next page Previous"),
+    "head": ("header masthead topbar banner brand", "header div", "The Daily Site your news every day since 1990"),
+    "foot": ("footer copyright colophon imprint bottom legal", "footer div", "© 2024 Example Ltd. All rights reserved. Privacy policy. Terms of use."),
+    "side": ("sidebar aside rail widget widgets complementary", "aside div", "Most read this week Popular stories About the author Follow us"),
+    "ad": ("ad ads advert adverts advertisement advertising adsense promo promotion sponsor sponsored", "div aside", "Buy one now and save. Sponsored offer, shop today."),
+    "notice": ("cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay", "div section dialog", "We use cookies on this site to improve your experience. Accept all cookies or manage settings in our privacy policy."),
+    "form": ("newsletter subscribe subscription signup login form search searchbox share sharing social", "form div", "Subscribe to our newsletter. Enter your email address. Sign up. Log in. Share this."),
+    "more": ("related recommended recommendations teaser teasers trending popular", "div section aside", "You may also like. Read more stories. Recommended for you."),
+    "comments": ("comment comments commentlist disqus reply replies respond discussion", "section div ol", "Great article, thanks for sharing! I totally agree with this. Reply"),
+}
+_ROLES = {"nav": "navigation menu menubar toolbar", "head": "banner", "foot": "contentinfo", "side": "complementary", "notice": "dialog alert alertdialog", "form": "search form"}
+_FRONT = "site page main top post article js c".split()
+_PLAIN = "clearfix x2 a1 row left wide css-1a".split()
+_HEADS = "analysis results data history chapter part section body text intro summary lead table figure report review details block row col container wrapper inner box x2 a1".split()
 
 
 def labelled_pages() -> list[str]:
-    """Labelled pages by rule; the content lies between \\x02 and \\x03."""
-    sentence = "Lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod"
-    items = "".join(f'<li><a href="/{i}">Topic {i}</a></li>' for i in range(7))
-    boxes = {
-        "nav": f"<nav><ul>{items}</ul></nav>",
-        "list": f"<ul>{items}</ul>",
-        "ad": '<div class="ad">Buy one now and save</div>',
-        "top": "<header><a href='/'>Site name</a><p>Your daily read</p></header>",
-        "side": f'<div class="sidebar"><h3>More</h3><p>{sentence}</p></div>',
-        "links": "".join(f'<div><a href="/x{i}">{sentence}</a></div>' for i in range(4)),
-        "foot": "<footer>&copy; Site name</footer>",
-        "comments": f'<div class="comments"><p>{sentence}</p><p>{sentence}</p></div>',
-        "small": "<div><span>Log in</span> <span>Sign up</span></div>",
-    }
-    advert = boxes["ad"]
-    bodies = [
-        "\x02" + "".join(f"<p>{sentence} {sentence}.</p>" for _ in range(5)) + "\x03",
-        f"\x02<h1>{sentence}</h1><p>{sentence}</p>{advert}<p>{sentence}</p>\x03",
-        f"\x02<h1>{sentence}</h1><p><b>{sentence}<br></p>" + f"<p>{sentence} <a href='/z'>see</a> {sentence}</p>" * 3 + "\x03",
-        f"\x02<h2>{sentence}</h2><div>{sentence}</div><ul>" + f"<li>{sentence}</li>" * 3 + f"</ul><p>{sentence}</p>\x03",
-    ]
-    frames = ["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', "<div><div>{}</div></div>"]
-    before = [("nav", "ad"), ("top", "list"), ("links", "small"), ("nav", "top", "side")]
-    after = [("foot",), ("comments", "foot"), ("side", "links", "foot"), ("list", "small")]
-    whole = "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>{}</body></html>"
-    return [
-        whole.format("".join(boxes[x] for x in pre) + frame.format(body) + "".join(boxes[x] for x in post))
-        for body, frame, pre, post in itertools.product(bodies, frames, before, after)
-    ]
+    """Labelled pages by rule, the same ones always; the content lies between \\x02 and \\x03."""
+    rng = np.random.default_rng(19)
+    pick = lambda values: values[int(rng.integers(len(values)))]
+    prose = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor invidunt ut labore et dolore magna aliquyam erat voluptua".split()
+    prose += "the of and to in a is that for it as was with be by on not at are this have from or an we you all our use your i one can now after about more may also like day week read most page site here us out up no who new use improve experience manage example great article agree totally address author story stories follow since every enter save shop today offer next home news sport weather thanks".split()
+    sentence = lambda n: " ".join(pick(prose) for _ in range(n)).capitalize() + "."
+    names = {k: v[0].split() for k, v in _KINDS.items()}
+
+    def boiler(kind: str) -> str:
+        tag, says = pick(_KINDS[kind][1].split()), _KINDS[kind][2]
+        part = pick(names[kind])
+        name = pick([part, part, f"{pick(_FRONT)}-{part}", f"{part}-{pick(['list', 'container', 'wrapper', 'box', 'inner', 'bar', 'item', part])}", f"{part}_{pick(names[kind])}"])
+        given = pick([f' class="{name}"', f' id="{name}"', f' class="{name} {pick(_PLAIN)}"', "" if tag not in ("div", "section", "ul", "ol") else f' class="{name}"'])
+        if kind in _ROLES and rng.random() < 0.3:
+            given = f' role="{pick(_ROLES[kind].split())}"'
+        if rng.random() < 0.1:
+            given = f' class="{pick(_PLAIN)}"'
+        words = says.split()
+        if rng.random() < 0.4:
+            says = sentence(int(rng.integers(1, 30)))
+        if kind in ("nav", "more"):
+            body = "<ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in words) + "</ul>" if kind == "nav" or rng.random() < 0.5 else f"<p>{says}</p>" + "".join(f'<p><a href="/{i}">{sentence(5)}</a></p>' for i in range(3))
+        elif kind == "comments":
+            body = "".join(f"<p>{pick([says, sentence(9)])}</p>" for _ in range(int(rng.integers(1, 5))))
+        else:
+            body = pick([f"<p>{says}</p>", says, f"<span>{says}</span>", f"<h3>{' '.join(words[:3])}</h3><p>{says}</p>"])
+        return f"<{tag}{given}>{body}</{tag}>"
+
+    def content_box() -> str:
+        """A part of the article that is set apart, now and then under a name that boilerplate has as well."""
+        tag, part = pick(["div", "section", "table", "ul", "ol", "div", "header", "figure", "div", "blockquote"]), pick(_HEADS)
+        name = f"{pick(names[pick(list(names))])}-{part}" if rng.random() < 0.4 else pick([part, f"{pick(_HEADS)}-{part}", pick(sorted(CONTENT_NAMES))])
+        given = pick([f' class="{name}"', f' id="{name}"', f' class="{name} {pick(_PLAIN)}"', f' class="{pick(_FRONT)}-{part}"', f' class="{pick(_PLAIN)}"', ""])
+        item = lambda: f"<li>{sentence(int(rng.integers(1, 12)))}</li>"
+        inner = {"ol": lambda: "".join(item() for _ in range(int(rng.integers(1, 6)))), "table": lambda: "<tr>" + "".join(f"<td>{sentence(4)}</td>" for _ in range(4)) + "</tr>", "ul": lambda: "".join(item() for _ in range(int(rng.integers(1, 6)))), "header": lambda: f"<h1>{sentence(6)}</h1>", "figure": lambda: f"<figcaption>{sentence(7)}</figcaption>"}
+        return f"<{tag}{given}>{inner.get(tag, lambda: ''.join(f'<p>{sentence(int(rng.integers(5, 40)))}</p>' for _ in range(int(rng.integers(1, 4)))))()}</{tag}>"
+
+    frames = ["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', "<div><div>{}</div></div>", '<article class="post">{}</article>', "<main><article>{}</article></main>", '<div id="story">{}</div>', "<section>{}</section>", '<div class="x2">{}</div>', "{}"]
+    pages = []
+    for n in range(360):
+        style = rng.random() < 0.35  # without <p>
+        parts = [f"<h1>{sentence(6)}</h1>"] if rng.random() < 0.7 else []
+        for _ in range(int(rng.integers(1, 7))):
+            plain = f"<p>{sentence(int(rng.integers(3, 40)))} " + (f'<a href="/z">{sentence(2)}</a> ' if rng.random() < 0.3 else "") + f"{sentence(int(rng.integers(3, 30)))}</p>"
+            bare = f"<div>{sentence(int(rng.integers(8, 120)))}</div>"
+            parts.append(content_box() if rng.random() < 0.25 else bare if style else plain)
+        inner = list(names)
+        if rng.random() < 0.4:  # boxes in the middle of an article
+            parts.insert(int(rng.integers(1, len(parts) + 1)), END + boiler(pick(["ad", "form", "more", "notice", "ad"])) + START)
+        if rng.random() < 0.2:
+            parts.append(END + boiler("comments") + START)
+        body = frames[n % len(frames)].format(START + "".join(parts) + END)
+        pre = "".join(boiler(k) for k in rng.permutation(["nav", "head", "ad", "notice", "side"])[: int(rng.integers(0, 4))])
+        post = "".join(boiler(k) for k in rng.permutation([k for k in inner if k != "head"])[: int(rng.integers(0, 5))])
+        if rng.random() < 0.3:  # boxes without any name
+            pre += f"<div>{_KINDS['notice'][2]}</div>"
+            post += pick(["<div>{}</div>", "<p>{}</p>"]).format(_KINDS["foot"][2])
+        pages.append(f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>{pre}{body}{post}</body></html>")
+    return pages
+
+
+def _logistic(rows: list[tuple[list[str], bool]], penalty: float = 0.5) -> dict[str, float]:
+    """Weights of features by penalised logistic regression, in Newton steps; 'l:?' and 'f:?' stand for other names."""
+    counts = Counter(f for features, _ in rows for f in features)
+    rare = lambda f: f[:2] + "?" if counts[f] < 3 and f[:2] in ("l:", "f:") else f
+    known = {f: i for i, f in enumerate(sorted({rare(f) for features, _ in rows for f in features}), 1)}
+    x = np.zeros((len(rows), len(known) + 1))
+    x[:, 0] = 1
+    for i, (features, _) in enumerate(rows):
+        x[i, [known[rare(f)] for f in features]] = 1
+    y = np.array([float(label) for _, label in rows])
+    beta = np.zeros(x.shape[1])
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + penalty * np.eye(len(beta))
+        beta -= np.clip(np.linalg.solve(h, x.T @ (p - y) + penalty * beta), -3, 3)
+    return {"": float(beta[0])} | {f: float(beta[i]) for f, i in known.items()}
+
+
+def _judge(weights: dict[str, float]):
+    """Whether an element's features speak for a box, by the weights 'b:...'."""
+    value = lambda f: weights.get("b:" + f, weights.get("b:" + f[:2] + "?", 0.0) if f[:2] in ("l:", "f:") else 0.0)
+    return lambda features, _: weights["b:"] + sum(map(value, features)) > 0
 
 
 def fit(pages: list[str] | None = None) -> dict[str, float]:
-    """Weights by feature: the log-odds of lying inside the content, words bounded to -3..2 and tags to -2..-0.1."""
-    inside, outside = Counter(), Counter()
-    for page in labelled_pages() if pages is None else pages:
-        for (feature, _), i, o in zip(*_mark(page), strict=True):
+    """Weights by feature, all learnt from labelled pages: 'b:' of boxes; log-odds of lying inside the content of
+    words by surroundings ('w:', bounded to -3..2), of tags ('t:', 'x', bounded to -2..-0.1), and of words by
+    themselves ('v:', bounded to -2..0, those that content has too have none)."""
+    pages = labelled_pages() if pages is None else pages
+    weights = {"b:" + f: w for f, w in _logistic([row for page in pages for row in _boxes(page)]).items()}
+    inside, outside, words_in, words_out = Counter(), Counter(), Counter(), Counter()
+    for page in pages:
+        for (feature, text), i, o in zip(*_mark(page, _judge(weights)), strict=True):
             if feature not in ("|", " "):
                 inside[feature] += i
                 outside[feature] += o
-    n_in, n_out = sum(inside.values()), sum(outside.values())
-    odds = {f: float(np.log((inside[f] + 1) / (n_in + 1)) - np.log((outside[f] + 1) / (n_out + 1))) for f in {*inside, *outside}}
-    weights = {f: (min(2.0, max(-3.0, w)) if f[0] == "w" else min(-0.1, max(-2.0, w))) for f, w in odds.items()}
-    # Words in an article or main element, and running text, are content wherever the sample had too few.
-    for f in ("w:m---", "w:m--p", "w:m-h-", "w:m-hp", "w:ma--", "w:ma-p", "w:mah-", "w:mahp"):
-        weights[f] = max(weights.get(f, 0.5), 0.5)
-    for f, w in (("w:----", -0.2), ("w:---p", 0.5), ("w:--h-", 0.2), ("w:--hp", 0.2), ("w:-a--", -1.0), ("w:-a-p", -0.5), ("w:-ah-", -0.5), ("w:-ahp", -0.5)):
-        weights.setdefault(f, w)
+            if feature[0] == "w":  # where one element's words are all inside or all outside
+                (words_in if i else words_out).update(set(_bare(text)))
+    odds = {f: float(np.log((inside[f] + 1) / (outside[f] + 1))) for f in {*inside, *outside}}
+    weights |= {f: (min(2.0, max(-3.0, w)) if f[0] == "w" else min(-0.1, max(-2.0, w))) for f, w in odds.items()}
+    most = max(words_out.values(), default=1)
+    weights |= {"v:" + w: max(-2.0, -4.0 * n / most) for w, n in words_out.items() if n > 5 and not words_in[w]}
+    # Surroundings that the labelled pages lack score like those that differ from them by one mark.
+    for f in ["w:" + "".join(c) for c in itertools.product("mo-", "a-", "h-", "pl-")]:
+        if f not in weights:
+            near = [weights[g] for i in range(3, 6) for c in "ahpl-" if (g := f[:i] + c + f[i + 1 :]) in odds]
+            weights[f] = float(np.mean(near)) if near else 0.0
     return weights
 
 
+def _bare(text: str) -> list[str]:
+    return BARE.findall(text.lower())
+
+
 def best_region(scores: np.ndarray) -> tuple[int, int]:
     """[start, end) of the contiguous entries of the greatest sum, in one pass; (0, 0) if none is positive."""
     best = total = 0.0
@@ -306,22 +439,26 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
+def score(feature: str, text: str, weights: dict[str, float]) -> float:
+    """What an entry of the sequence adds to a region."""
+    if feature in ("|", " "):
+        return 0.0
+    if feature[0] != "w":
+        return weights.get(feature, -0.3)
+    words = text.split()
+    return weights.get(feature, 0.2) * len(words) + sum(weights.get("v:" + w, 0.0) for w in _bare(text)) if words else 0.0
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    seq = sequence(page)
-    scores = np.zeros(len(seq))
-    for i, (feature, text) in enumerate(seq):
-        if feature[0] == "w":
-            scores[i] = weights.get(feature, 0.2) * len(text.split())
-        elif feature not in ("|", " "):
-            scores[i] = weights.get(feature, -0.3)
-    start, end = best_region(scores)
+    seq = sequence(page, _judge(weights))
+    start, end = best_region(np.array([score(f, t, weights) for f, t in seq]))
     blocks, now = [], []
     for feature, text in [*seq[start:end], ("|", "")]:
         if feature[0] == "w":
             now.append(text)
         elif feature == " ":
             now.append(" ")
-        elif feature == "|" and now:
+        elif feature in ("|", "x", "t:m:x") and now:
             block = SPACE.sub(" ", html.unescape("".join(now))).strip()
             if block:
                 blocks.append(block)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import time
+import unicodedata
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pytest
+import zstandard
+
+from pyspark.sql import functions as F
 
 from corvane.llm import html_text, language, queries, toxicity
 
@@ -39,6 +46,56 @@ def test_main_text(page, expected):
     assert html_text.main_text(page, W) == expected
 
 
+STORY = "<p>The first paragraph of the story with some words in it.</p><p>And a second one that goes on for a while.</p>"
+TOLD = "The first paragraph of the story with some words in it.\nAnd a second one that goes on for a while."
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<article>{STORY}<div class='legal-analysis'><p>A court has to decide on it.</p></div></article>", TOLD + "\nA court has to decide on it."),
+        (f"<article>{STORY}<table class='form-results'><tr><td>Won</td><td>Lost twice</td></tr></table></article>", TOLD + "\nWon\nLost twice"),
+        (f"<article>{STORY}</article><div class='x2'>We use cookies on this site. Accept all cookies.</div>", TOLD),
+        (f"<article>{STORY}</article><div><p>Dear reader, mind this message about things.</p></div>", TOLD),
+        (f"<div>We use cookies on this site. Accept all cookies.</div><div>{STORY}</div><div>\u00a9 2024 Some Company. All rights reserved. Terms. Privacy.</div>", TOLD),
+        (f"<article>{STORY}<section class='post-comments'><p>I liked it.</p><p>Me too, a lot.</p></section></article>", TOLD),
+        (f"<main>{STORY}<aside><p>Another story of ours.</p></aside></main>", TOLD),
+        ("<div>Only text without a tag of its own that says what it is and goes on for some time.</div>", "Only text without a tag of its own that says what it is and goes on for some time."),
+    ],
+)
+def test_no_name_decides_alone(page, expected):
+    assert html_text.main_text(page, W) == expected
+
+
+def test_extraction_equals_a_search_of_all_regions():
+    for page in html_text.labelled_pages()[:40]:
+        seq = html_text.sequence(page, html_text._judge(W))
+        sums = np.r_[0, np.cumsum([html_text.score(f, t, W) for f, t in seq])]
+        best = max((sums[j] - sums[i] for i in range(len(seq)) for j in range(i + 1, len(seq) + 1)), default=0)
+        start, end = html_text.best_region(np.array([html_text.score(f, t, W) for f, t in seq]))
+        assert abs(sums[end] - sums[start] - max(best, 0)) < 1e-6
+        kept = [t for f, t in seq[start:end] if f[0] == "w"]
+        assert "".join("".join(kept).split()) == "".join(html_text.main_text(page, W).split()) or "&" in page
+
+
+def test_labelled_pages_are_extracted():
+    right = total = 0
+    for page in html_text.labelled_pages():
+        inside = " ".join(re.findall("\x02([^\x03]*)\x03", page))
+        content = re.sub("<[^>]*>", " ", inside).split()
+        got = html_text._unmarked(html_text.main_text(page, W)).split()
+        total += max(len(content), len(got))
+        right += sum((Counter(content) & Counter(got)).values())
+    assert right / total > 0.88  # some boxes have neither a name nor words that tell them from content
+
+
+def test_nesting_costs_no_square():
+    began = time.perf_counter()
+    assert html_text.main_text("<div>" * 20_000 + "<p>some words here</p>" + "</div>" * 20_000, W) == "some words here"
+    html_text.main_text("<div>" * 20_000 + "x</p></span>" * 20_000, W)
+    assert time.perf_counter() - began < 10
+
+
 def test_best_region_is_the_maximum():
     rng = np.random.default_rng(3)
     for _ in range(50):
@@ -49,7 +106,8 @@ def test_best_region_is_the_maximum():
 
 
 def test_weights_come_from_labelled_pages():
-    assert W["w:m--p"] > 0 and W["w:-a--"] < 0 and all(v < 0 for k, v in W.items() if k[0] != "w")
+    assert W["w:m--p"] > 0 and W["w:-a--"] < 0 and all(v < 0 for k, v in W.items() if k[0] in "tx")
+    assert W["b:l:comments"] > 0 > W["b:in"] and W["v:cookies"] < 0 and W == html_text.fit()
 
 
 def test_extract_rows(spark):
@@ -65,12 +123,12 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, scor
 def test_language_edges(spark):
     en, de = "the house and the garden are with us and this that ", "der garten und das haus sind mit uns und nicht auch "
     rows = [(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de", "s", 1, 0.0) for i in range(40)]
-    rows += [(100, None, "en", "s", 0, 0.0), (101, "", None, "s", 0, 0.0), (102, "12 !?", "en", "s", 0, 0.0), (103, en * 4000, None, None, 0, 0.0), (None, de, None, None, 0, 0.0), (104, en, "en", "s", 1, 0.0), (104, en, "en", "s", 1, 0.0)]
+    rows += [(100, None, "en", "s", 0, 0.0), (101, "", None, "s", 0, 0.0), (102, "12 !?", "en", "s", 0, 0.0), (105, "\u00b2 \u00bd \u2167 \u2460 _ 7", "en", "s", 0, 0.0), (103, en * 4000, None, None, 0, 0.0), (None, de, None, None, 0, 0.0), (104, en, "en", "s", 1, 0.0), (104, en, "en", "s", 1, 0.0)]
     out = [(r.doc_id, r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(rows, DOCS)).collect()]
     assert len(out) == len(rows)
     got = dict((i, p) for i, p, _ in out)
     assert all(got[i] == ("en" if i % 2 else "de") for i in range(40))
-    assert (got[100], got[101], got[102], got[103], got[None], got[104]) == ("und", "und", "und", "en", "de", "en")
+    assert (got[100], got[101], got[102], got[105], got[103], got[None], got[104]) == ("und", "und", "und", "und", "en", "de", "en")
     assert all(0 <= s <= 1 for _, _, s in out)
     empty = spark.createDataFrame([], DOCS)
     assert language.identify(empty).count() == 0
@@ -89,6 +147,32 @@ def test_every_language_is_learnt(spark):
     assert got == {(r[0], r[2]) for r in rows}
 
 
+def test_letters_are_those_of_unicode():
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)]))
+    assert all(c.isalpha() or c == " " or unicodedata.category(c)[0] == "M" for c in language.letters(text))
+    assert language.letters("A\u00b2b \u00bd1_c") == "a b c"
+
+
+def test_dictionaries_are_of_equal_sizes():
+    dicts = language.dictionaries({"a": ["one two three"] * 3 + ["four " * 50], "b": ["x y"], "c": ["12 !"]})
+    assert set(dicts) == {"a", "b"} and len(dicts["a"]) == len(dicts["b"])
+
+
+def test_prediction_is_the_smallest_size():
+    """Against plain compression with each dictionary, and the margin of rejection."""
+    dicts = language.dictionaries({"en": ["the house and the garden are with us and this that"] * 2, "de": ["der garten und das haus sind mit uns und nicht auch"]})
+    model = language.Classifier(dicts)
+    for text in ("the garden and the house", "das haus und der garten", "xyz", "the haus and der garden und that"):
+        sizes = {}
+        for name, data in dicts.items():
+            coder = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[name] = len(coder.compress(language.letters(text).encode()))
+        best = min(sorted(sizes), key=sizes.get)
+        lang, score, rejected = model.predict(text)
+        assert lang == best and 0.5 <= score <= 1
+        assert rejected == (1 - sizes[best] / max(sizes.values()) < 0.01)
+
+
 @needs_data
 def test_language_accuracy(spark):
     got = queries.op2_compression_language(spark, str(DATA)).where("held_out").select("doc_id", "lang_pred")
@@ -113,6 +197,25 @@ def test_toxicity_learns_subwords():
     assert logit("wretchedd") > logit(words[0]) and logit("wretchd") > logit(words[0])
 
 
+def test_spans_against_brute_force():
+    model = toxicity.Model(np.random.default_rng(2).normal(0, 1, 1 << 10).astype(np.float32), -0.5, (0.7, 0.2, 0.1), 0.3)
+    for text in ("one", "one two three four five six seven one", "", None, "a b " * 40):
+        words = [w for w in re.findall(r"\w+", (text or "").lower())]
+        z = [float(toxicity.word_logits([w], model)[0]) for w in words]
+        if z:
+            width = min(toxicity.WINDOW, len(z))
+            expected = (max(z), max(np.mean(z[i : i + width]) for i in range(len(z) - width + 1)), np.mean(z))
+        else:
+            expected = (-0.5,) * 3
+        assert np.allclose(toxicity.spans(np.array(z), model.bias), expected, atol=1e-5)
+
+
+def test_repeated_labelled_ids_give_one_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "en", "s", 0, 0.0) for i in range(50)] + [(2, "b", "en", "s", 0, 0.0)], DOCS)
+    labels = spark.createDataFrame([(1, 1, 1)] * 20 + [(2, 0, 0)] * 20, "doc_id long, quality int, toxic int")
+    assert toxicity.labelled_sample(docs, labels, F.lit(True)).count() == 2
+
+
 def test_toxicity_edges(spark):
     labels = "doc_id long, quality int, toxic int"
     docs = spark.createDataFrame([(1, None, "en", "s", 0, 0.0), (2, "", "en", "s", 0, 0.0), (3, "word " * 30_000, "en", "s", 0, 0.0), (None, "x" * 5000, None, None, 0, 0.0), (4, "a", "en", "s", 0, 0.0), (4, "a", "en", "s", 0, 0.0)], DOCS)
