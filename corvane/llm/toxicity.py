@@ -1,9 +1,10 @@
 """Toxicity by subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
 A word is the bag of itself and its character 3- to 5-grams, hashed to buckets; each bucket has an
-embedding, a span's vector is the average of its bag, and a two-class linear softmax reads it. A span is
-one word, so that a single insult in a long text is not averaged away; a document is toxic if one of its
-spans is (noisy-or over spans in training, the strongest span in scoring, then a logistic calibration).
+embedding, a span's vector is the average of its words' bags, and a two-class linear softmax reads it. Spans
+are single words, windows of WINDOW words, and the document: an insult in a long text must not be averaged
+away, and a text that is mildly toxic all over has no worst word. Embeddings and softmax are trained by a
+noisy-or over word spans; a logistic layer weighs the strongest word, the strongest window and the average.
 Misspellings share most n-grams with the words they imitate, so unseen ones score like them.
 """
 
@@ -21,6 +22,7 @@ from .common import crc_mod
 
 WORDS = re.compile(r"\w+")
 WIDTH, STRIDE = 48, 40
+WINDOW = 5
 NGRAMS = (3, 4, 5)
 _M = np.random.default_rng(5).integers(1, 2**63, WIDTH + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -47,19 +49,28 @@ class Model:
 
     word_scores: np.ndarray
     bias: float
-    slope: float
+    slopes: tuple[float, ...]  # of the strongest word, the strongest window, the document
     shift: float
 
 
-def words_of(text: str | None) -> set[str]:
-    """Distinct lower-case words; one longer than 48 characters counts as overlapping pieces."""
-    found = set(WORDS.findall((text or "").lower()))
-    for w in [w for w in found if len(w) > WIDTH]:
-        found.discard(w)
-        found.update(w[at : at + WIDTH] for at in range(0, len(w), STRIDE))
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words in order; one longer than 48 characters counts as overlapping pieces."""
+    found = WORDS.findall((text or "").lower())
+    if any(len(w) > WIDTH for w in found):
+        found = [w[at : at + WIDTH] for w in found for at in range(0, len(w) if len(w) > WIDTH else 1, STRIDE)]
     return found
 
 
+def spans(logits: np.ndarray, bias: float) -> tuple[float, float, float]:
+    """Logits of the strongest word, the strongest window of words and the whole document; those of a text without
+    words are the bias. A span's logit is the average of its words', since the softmax is linear."""
+    if not len(logits):
+        return bias, bias, bias
+    sums = np.r_[0.0, np.cumsum(logits, dtype=np.float64)]
+    width = min(WINDOW, len(logits))
+    return float(logits.max()), float((sums[width:] - sums[:-width]).max() / width), float(sums[-1] / len(logits))
+
+
 def buckets_of(words: list[str], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, valid) by word: the word's own bucket, then those of its n-grams with end marks."""
     width = max((len(w) for w in words), default=0) + 2
@@ -94,11 +105,12 @@ def word_logits(words: list[str], model: Model) -> np.ndarray:
 def train(texts: list[str], toxic: np.ndarray, s: Settings = Settings()) -> Model:
     """Adam on the noisy-or loss, full batch; embeddings and softmax weights move together."""
     rng = np.random.default_rng(11)
-    bags = [sorted(words_of(t)) for t in texts]
+    ordered = [words_of(t) for t in texts]
+    bags = [sorted(set(words)) for words in ordered]
     vocab = {w: i for i, w in enumerate(sorted(set().union(*bags)))} if bags else {}
     if not vocab or toxic.all() or not toxic.any():  # nothing to tell apart
         rate = float(np.clip(toxic.mean(), 0.01, 0.99)) if len(toxic) else 0.01
-        return Model(np.zeros(s.buckets, np.float32), 0.0, 0.0, float(np.log(rate / (1 - rate))))
+        return Model(np.zeros(s.buckets, np.float32), 0.0, (0.0, 0.0, 0.0), float(np.log(rate / (1 - rate))))
     names = list(vocab)
     pairs = [(b[v], np.repeat(np.arange(at, at + len(v)), v.sum(1))) for at in range(0, len(names), 4096) for b, v in [buckets_of(names[at : at + 4096], s.buckets)]]
     buckets, word = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
@@ -131,34 +143,40 @@ def train(texts: list[str], toxic: np.ndarray, s: Settings = Settings()) -> Mode
     scores = np.zeros(s.buckets, np.float32)
     scores[used] = e @ (w[:, 1] - w[:, 0])
     z = np.add.reduceat(scores[used][buckets], starts) / per_word + (bias[1] - bias[0])
-    top = np.full(len(bags), bias[1] - bias[0])
-    np.maximum.at(top, doc, z[doc_word])
-    slope, shift = _calibrate(top.astype(float), toxic)
-    return Model(scores, float(bias[1] - bias[0]), slope, shift)
-
-
-def _calibrate(top: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the label on the strongest span's logit, by Newton steps with a small penalty."""
-    x = np.stack([top, np.ones_like(top)], 1)
-    beta = np.zeros(2)
-    weight = np.full(len(toxic), 1 / len(toxic))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-4 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (weight * (p - toxic)) + 1e-4 * beta)
-        beta -= np.clip(step, -2, 2)
-    return float(max(beta[0], 0.0)), float(beta[1])
+    base = float(bias[1] - bias[0])
+    found = np.array([spans(z[[vocab[w] for w in words]] if words else z[:0], base) for words in ordered])
+    slopes, shift = _calibrate(found, toxic)
+    return Model(scores, base, slopes, shift)
+
+
+def _calibrate(found: np.ndarray, toxic: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Logistic regression of the label on the spans' logits, by Newton steps with a small penalty. A span that
+    would speak against the label it stands for is left out."""
+    used = list(range(found.shape[1]))
+    while True:
+        x = np.concatenate([found[:, used], np.ones((len(found), 1))], 1)
+        beta = np.zeros(x.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            h = (x * (np.maximum(p * (1 - p), 1e-6) / len(x))[:, None]).T @ x + 1e-4 * np.eye(len(beta))
+            beta -= np.clip(np.linalg.solve(h, x.T @ (p - toxic) / len(x) + 1e-4 * beta), -2, 2)
+        against = [u for u, v in zip(used, beta, strict=False) if v < 0]
+        if not against:
+            slopes = dict(zip(used, beta.tolist(), strict=False))
+            return tuple(slopes.get(i, 0.0) for i in range(found.shape[1])), float(beta[-1])
+        used = [u for u in used if u != against[-1]]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable, s: Settings = Settings()) -> DataFrame:
-    """(text, toxic) of the bounded training sample. `usable` is a condition on doc_id. The chosen ids are
-    at most toxic_rows + clean_rows rows, which bounds the broadcast that finds their texts."""
+    """(doc_id, text, toxic) of the bounded training sample, a row per id and label. `usable` is a condition on doc_id.
+    The chosen ids are at most toxic_rows + clean_rows rows, which bounds the broadcast that finds their texts; of
+    several texts of an id the least counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(usable)
+    known = known.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(usable).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(s.toxic_rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(s.clean_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, s.max_chars)).where(usable)
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, s: Settings = Settings()) -> Model:
@@ -173,25 +191,23 @@ CACHED_WORDS = 50_000
 def scorer(model: Model):
     """A pandas UDF: score in 0..1 by text. Each worker remembers up to 50,000 words' logits."""
     shared = model
-    mark = hash((model.word_scores.tobytes(), model.bias, model.slope, model.shift))
+    mark = hash((model.word_scores.tobytes(), model.bias, model.slopes, model.shift))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         known = _CACHE.setdefault(0, (mark, {}))
         if known[0] != mark:
             known = _CACHE[0] = (mark, {})
-        logits, out = known[1], np.full(len(texts), shared.bias)
-        for at in range(0, len(texts), 64):
-            bags = [words_of(t) for t in texts.iloc[at : at + 64]]
-            new = list(set().union(*bags).difference(logits))
+        logits, out = known[1], np.empty((len(texts), 3))
+        for at, text in enumerate(texts):
+            words = words_of(text)
+            new = [w for w in set(words) if w not in logits]
             if len(logits) + len(new) > CACHED_WORDS:
                 logits.clear()
-                new = list(set().union(*bags))
+                new = list(set(words))
             logits.update(zip(new, word_logits(new, shared).tolist(), strict=True))
-            for i, bag in enumerate(bags):
-                if bag:
-                    out[at + i] = max(map(logits.__getitem__, bag))
-        return pd.Series(1 / (1 + np.exp(-np.clip(shared.slope * out + shared.shift, -30, 30))))
+            out[at] = spans(np.fromiter(map(logits.__getitem__, words), np.float32, len(words)), shared.bias)
+        return pd.Series(1 / (1 + np.exp(-np.clip(out @ np.array(shared.slopes) + shared.shift, -30, 30))))
 
     return score
 
@@ -200,15 +216,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
     """One row per row of `docs`: doc_id, held_out, score, predicted.
 
     Labels of ids whose crc32 modulo 5 is 0 are never used. Null and empty texts get the score of a text
-    without words. Rows that repeat an id are scored each; labels that repeat or contradict are used as
-    they come; an empty table gives an empty table; without labels of both kinds every text scores the
-    labels' share. Texts are read whole."""
+    without words. Rows that repeat an id are scored each; labels that repeat count once, those that contradict
+    each other count both; an empty table gives an empty table; without labels of both kinds every text scores
+    the labels' share. Texts are read whole; columns of other names aren't looked at."""
     model = fit(docs, labels, crc_mod("doc_id", 5) != 0, s)
     scored = docs.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), scorer(model)("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """`docs` without those scored 0.5 or more."""
+    """`docs`, with all columns, without those scored 0.5 or more; nulls, repeats and empty tables as in `toxicity`."""
     model = fit(docs, labels, crc_mod("doc_id", 5) != 0, s)
     return docs.where(scorer(model)("text") < 0.5)
