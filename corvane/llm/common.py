@@ -120,10 +120,10 @@ def _times(h, factor: int):
     return F.shiftleft(upper, 32).bitwiseOR(out[0].bitwiseAND(F.lit(low)))
 
 
-def bloom(df: DataFrame, column: str, most_bits: int) -> np.ndarray:
-    """A filter of the long column's values, about 32 bits each and `most_bits` in all, a power of two: its words
-    are made on the executors and come to the driver. A full one only lets more through."""
-    bits = max(1 << 16, min(most_bits, 1 << (32 * df.count()).bit_length()))
+def bloom(df: DataFrame, column: str, most_bits: int, each: int = 32) -> np.ndarray:
+    """A filter of the long column's values, about `each` bits a value and `most_bits` in all, a power of two: its
+    words are made on the executors and come to the driver. A full one only lets more through."""
+    bits = max(1 << 16, min(most_bits, 1 << (each * df.count()).bit_length()))
     places = F.array(*(F.shiftrightunsigned(_times(F.col(column), s), 64 - bits.bit_length() + 1) for s in _SPREAD))
     words = df.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m")).toArrow()
     table = np.zeros(bits // 64, np.uint64)

@@ -182,7 +182,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, tie) -> DataFrame:
     if not total:
         return spark.createDataFrame([], _SCHEMA)
     index = keep(items.mapInArrow(_hashed(True), "hash long, iid long, places array<int>"), "seeds")
-    table = bloom(index, "hash", FILTER_BITS)
+    table = bloom(index, "hash", FILTER_BITS, 128)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), F.col("text").cast("binary").alias("text"))
     source = source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "tie", "text")
     scanned = source.mapInArrow(_scanned(table, MASKS + SHORT_MASKS if short else MASKS), "rid long, doc_id long, tie binary, words array<long>, hits array<struct<hash:long,positions:array<int>>>")
