@@ -20,7 +20,7 @@ WINDOW = 2
 CUT_BITS = 1
 MOST_WORDS = 16
 LEAST_WORDS = 36
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 24
 _BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _POWERS: list[np.ndarray] = []
 
