@@ -83,6 +83,11 @@ def detect(text_lines: DataFrame) -> DataFrame:
     return found.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("file", "line", "type", "pattern", "value")
 
 
+def ordered(signals: DataFrame) -> DataFrame:
+    """Signals by file, line and type: a sort by ranges, for writing them out."""
+    return signals.orderBy("file", "line", "type", "pattern")
+
+
 def signal_files(files: DataFrame, signals: DataFrame) -> DataFrame:
     """Files with at least one signal."""
     return files.join(signals.select("file").distinct(), "file", "left_semi")

@@ -38,6 +38,14 @@ def reconcile_vertices(existing: DataFrame, fresh: DataFrame, layout: DataFrame)
     )
 
 
+def reconcile_warnings(existing: DataFrame, fresh: DataFrame, reconciled: DataFrame) -> DataFrame:
+    """id, warning: vertices that no layout places, and managed ones whose earlier parent is gone."""
+    lost = reconciled.where("action = 'default'").select("id", F.lit("has no place and is put at 0, 0").alias("warning"))
+    kept = existing.where("managed AND parent IS NOT NULL AND parent <> '1'").select("id", "parent").join(fresh.select("id"), "id", "left_semi")
+    moved = kept.join(fresh.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", F.concat(F.lit("leaves its parent "), "parent", F.lit(", which is gone")).alias("warning"))
+    return lost.unionByName(moved)
+
+
 def reconcile_edges(existing: DataFrame, fresh: DataFrame, vertices: DataFrame) -> DataFrame:
     """existing (id, source, target, managed, waypoints), fresh (id, source, target), reconciled vertices ->
     id, source, target, waypoints, action. Waypoints stay with a managed edge whose ends kept their places;

@@ -156,6 +156,11 @@ def merge_externals(declared: DataFrame, detected: DataFrame) -> DataFrame:
     return declared.unionByName(detected.join(declared.select("id"), "id", "left_anti"))
 
 
+def ordered_externals(externals: DataFrame) -> DataFrame:
+    """External systems by name, then id, for writing them out."""
+    return externals.orderBy("name", "id")
+
+
 # --- relationships -------------------------------------------------------------------------------
 def derive_relationships(phases: list[DataFrame]) -> DataFrame:
     """Candidates by phase (source, target, label, technology, ord) -> one relationship per pair: that of the

@@ -21,6 +21,17 @@ def shape(id_: Column | str, label: Column, indent: str = "") -> Column:
     return F.concat(F.lit(indent), diagram_id(id_), F.lit(": "), quoted(label))
 
 
+def block(id_: Column | str, label: Column, properties: Column, children: Column | None = None) -> Column:
+    """A shape or container with its properties, a map, in the order of their names, and lines of what it holds; one
+    without either is a plain shape. Values are quoted where they need it; nulls are left out."""
+    entries = F.array_sort(F.filter(F.map_entries(properties), lambda e: e["value"].isNotNull()))
+    inner = F.transform(entries, lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), quoted(e["value"])))
+    if children is not None:
+        inner = F.concat(inner, F.transform(F.coalesce(children, F.array().cast("array<string>")), lambda line: F.concat(F.lit("  "), line)))
+    head = shape(id_, label)
+    return F.when(F.size(inner) > 0, F.concat(head, F.lit(" {\n"), F.array_join(inner, "\n"), F.lit("\n}"))).otherwise(head)
+
+
 def connection(source: Column, target: Column, label: Column) -> Column:
     return F.concat(source, F.lit(" -> "), target, F.lit(": "), quoted(label))
 
@@ -220,11 +231,21 @@ def cells_xml(rows: DataFrame) -> DataFrame:
 
 
 def cell_lines(rows: DataFrame) -> DataFrame:
-    """section, k, line of the cells' XML."""
+    """section, k, line of the cells' XML. Where rows have them, tooltip wraps a cell in an object that carries id,
+    label and tooltip, and x, y, width, height give its geometry."""
     is_edge = F.col("source").isNotNull()
     attribute = lambda n, c: F.concat(F.lit(f' {n}="'), escaped(c), F.lit('"'))
     ends = F.when(is_edge, F.concat(F.lit(' edge="1"'), attribute("source", "source"), attribute("target", "target"))).otherwise(F.lit(' vertex="1"'))
-    line = F.concat(F.lit("<mxCell"), attribute("id", "id"), attribute("value", F.coalesce("value", F.lit(""))), attribute("style", "style"), attribute("parent", "parent"), ends, F.lit("/>"))
+    value, tip = F.coalesce("value", F.lit("")), F.col("tooltip") if "tooltip" in rows.columns else F.lit(None).cast("string")
+    named = F.when(tip.isNull(), F.concat(attribute("id", "id"), attribute("value", value))).otherwise("")
+    cell = F.concat(F.lit("<mxCell"), named, attribute("style", "style"), attribute("parent", "parent"), ends)
+    if "x" in rows.columns:
+        sizes = [F.concat(F.lit(f' {c}="'), F.col(c).cast("string"), F.lit('"')) for c in ("x", "y", "width", "height") if c in rows.columns]
+        box = F.concat(F.lit("><mxGeometry"), *(F.coalesce(x, F.lit("")) for x in sizes), F.lit(' as="geometry"/></mxCell>'))
+        cell = F.concat(cell, F.when(~is_edge & F.col("x").isNotNull(), box).otherwise("/>"))
+    else:
+        cell = F.concat(cell, F.lit("/>"))
+    line = F.when(tip.isNull(), cell).otherwise(F.concat(F.lit("<UserObject"), attribute("label", value), attribute("tooltip", F.coalesce(tip, F.lit(""))), attribute("id", "id"), F.lit(">"), cell, F.lit("</UserObject>")))
     lines = rows.select(F.when(is_edge, 2).otherwise(1).alias("section"), F.col("id").alias("k"), line.alias("line"))
     frame = rows.sparkSession.range(1)
     return _union([_row(frame, 0, F.lit(""), F.lit("<root>")), lines, _row(frame, 3, F.lit(""), F.lit("</root>"))])

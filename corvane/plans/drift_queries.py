@@ -210,3 +210,30 @@ register(
     f"""WITH {CODE_SQL}, e AS (SELECT * FROM elements QUALIFY row_number() OVER (PARTITION BY component_id, container_id ORDER BY id) = 1)
 SELECT id, component_id, container_id, qualified_name, 'class' AS kind, name AS member FROM e""",
 )
+
+
+_XML = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+register(
+    "cell_lines",
+    lambda s, d: render.cell_lines(_cells(s, d).where("error IS NULL").withColumn("id", F.concat("file", F.lit("/"), "id"))),
+    _CELLS + f"""SELECT 0 AS section, '' AS k, '<root>' AS line UNION ALL SELECT 3, '', '</root>'
+UNION ALL SELECT 1, file || '/' || id, '<mxCell id="' || file || '/' || id || '" value="' || {_XML.format("value")} || '" style="' || style || '" parent="1" vertex="1"><mxGeometry x="' || CAST(x AS VARCHAR) || '" y="2.5" width="30.0" height="4.0" as="geometry"/></mxCell>' FROM cells WHERE NOT is_edge
+UNION ALL SELECT 2, file || '/' || id, '<UserObject label="' || {_XML.format("value")} || '" tooltip="' || tooltip || '" id="' || file || '/' || id || '"><mxCell style="' || style || '" parent="1" edge="1" source="' || source || '" target="' || target || '"/></UserObject>' FROM cells WHERE is_edge""",
+)
+
+
+def _blocks(spark, sf_dir):
+    """Nations as containers of their suppliers, with properties."""
+    s = trees.suppliers(spark, sf_dir).groupBy("n").agg(F.array_sort(F.collect_list(F.concat(F.lit("s"), "k", F.lit(": S")))).alias("children"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), "n_name").join(s, "n", "left")
+    properties = F.create_map(F.lit("shape"), F.when(F.col("n") % 2 == 0, "box"), F.lit("link"), F.when(F.col("n") % 3 == 0, F.concat(F.lit("a#"), "n")))
+    return n.select("n", render.block(F.concat(F.lit("N "), "n"), F.col("n_name"), properties, F.col("children")).alias("text"))
+
+
+register(
+    "diagram_blocks",
+    _blocks,
+    f"""WITH {SUPPLIERS_SQL}, c AS (SELECT n, string_agg('  s' || k || ': S', chr(10) ORDER BY 's' || k || ': S') AS kids FROM sup GROUP BY n),
+x AS (SELECT CAST(n_nationkey AS BIGINT) AS n, n_name, concat_ws(chr(10), CASE WHEN n_nationkey % 3 = 0 THEN '  link: "a#' || n_nationkey || '"' END, CASE WHEN n_nationkey % 2 = 0 THEN '  shape: box' END, kids) AS inner_lines FROM nation LEFT JOIN c ON c.n = n_nationkey)
+SELECT n, 'n_' || n || ': ' || n_name || CASE WHEN inner_lines <> '' THEN ' {{' || chr(10) || inner_lines || chr(10) || '}}' ELSE '' END AS text FROM x""",
+)

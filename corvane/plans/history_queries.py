@@ -39,6 +39,19 @@ vertices AS (SELECT id, CASE WHEN fr THEN fv ELSE ev END AS value, CASE WHEN act
 register("reconcile_vertices", lambda s, d: history.reconcile_vertices(*_cells(s, d)), f"WITH {_CELLS} SELECT * FROM vertices")
 
 
+def _warned(spark, sf_dir):
+    existing, fresh, layout = _cells(spark, sf_dir)
+    return history.reconcile_warnings(existing, fresh, history.reconcile_vertices(existing, fresh, layout))
+
+
+register(
+    "reconcile_warnings",
+    _warned,
+    f"""WITH {_CELLS} SELECT id, 'has no place and is put at 0, 0' AS warning FROM vertices WHERE action = 'default'
+UNION ALL SELECT id, 'leaves its parent ' || parent || ', which is gone' FROM existing WHERE managed AND id IN (SELECT id FROM fresh) AND parent NOT IN (SELECT id FROM fresh)""",
+)
+
+
 def _lines(spark, sf_dir):
     o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("a"), F.max("l_suppkey").alias("s"))
     n = table(spark, sf_dir, "part").count()
