@@ -8,6 +8,7 @@ best hardly differ, the answer is marked as rejected.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +20,16 @@ from pyspark.sql import functions as F
 from .common import crc_mod
 
 UNKNOWN = "und"
-NO_LETTER = re.compile(r"[\W\d_]+")
+#: Numbers that `\w` has beside letters and decimal digits, such as fractions and superscripts.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+NO_LETTER, NUMBER = re.compile(r"[\W\d_]+"), re.compile(f"[{re.escape(NUMBERS)}]+")
 
 
 @dataclass(frozen=True)
 class Settings:
     """Bounds of the training sample and of the search. Per language the `docs_per_language` documents of the
-    smallest id hashes give at most `chars_per_doc` characters each to the dictionary."""
+    smallest id hashes give at most `chars_per_doc` characters each to the dictionary, from a place that the hash
+    of the id tells."""
 
     docs_per_language: int = 96
     chars_per_doc: int = 1200
@@ -36,7 +40,10 @@ class Settings:
 
 def letters(text: str | None) -> str:
     """Lower-case words of letters, one space apart; marks, digits and layout say little about a language."""
-    return NO_LETTER.sub(" ", (text or "").lower()).strip()
+    clean = NO_LETTER.sub(" ", (text or "").lower()).strip()
+    if clean.replace(" ", "").isalpha():
+        return clean
+    return " ".join(NUMBER.sub(" ", clean).split())
 
 
 def training_rows(docs: DataFrame, s: Settings = Settings()) -> dict[str, list[str]]:
@@ -48,7 +55,8 @@ def training_rows(docs: DataFrame, s: Settings = Settings()) -> dict[str, list[s
     shares = [int(min(1.0, 2.0 * s.docs_per_language / r.n) * (1 << 30)) + 1 for r in counts]
     shares = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array([r.lang for r in counts], pa.string()), "share": pa.array(shares, pa.int64())}))
     place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30))
-    sample = known.select("lang", "doc_id", F.substring("text", 1, s.chars_per_doc).alias("text"), place.alias("place"))
+    start = 1 + F.pmod(F.xxhash64(F.lit("at"), "doc_id"), F.greatest(F.length("text") - s.chars_per_doc, F.lit(0)) + 1).cast("int")
+    sample = known.select("lang", "doc_id", F.substr("text", start, F.lit(s.chars_per_doc)).alias("text"), place.alias("place"))
     sample = sample.join(shares, "lang").where("place < share")
     out: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r.lang, r.place, r.doc_id, r.text)):
@@ -59,11 +67,12 @@ def training_rows(docs: DataFrame, s: Settings = Settings()) -> dict[str, list[s
 
 
 def dictionaries(sample: dict[str, list[str]]) -> dict[str, bytes]:
-    """Raw-content dictionaries of equal sizes, so that none wins by being larger; repeated texts count once."""
+    """Raw-content dictionaries of equal sizes, so that none wins by being larger: smaller ones are repeated. Texts that
+    repeat count once; a language whose sample has no letter has no dictionary."""
     joined = {lang: " ".join(dict.fromkeys(filter(None, map(letters, texts)))).encode() for lang, texts in sample.items()}
     joined = {lang: data for lang, data in joined.items() if data}
     size = max(map(len, joined.values()), default=0)
-    return {lang: (data * -(-size // len(data)))[:size] if len(data) < size // 8 else data for lang, data in sorted(joined.items())}
+    return {lang: ((data + b" ") * -(-size // len(data)))[:size] for lang, data in sorted(joined.items())}
 
 
 class Classifier:
@@ -104,7 +113,7 @@ def identify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Only text and lang of documents whose crc32 modulo 4 is not 2 are learnt from, and every language of these
     is learnt; a prediction looks at the text alone, whole, once with each language. Null texts and texts without a letter are `und` with score 0, and so is every text if
     nothing could be learnt. Ties go to the first language by code point. Repeated rows are predicted each;
-    an empty table gives an empty table."""
+    an empty table gives an empty table; columns of other names aren't looked at."""
     dicts = dictionaries(training_rows(docs, s))
     mark = hash(tuple(dicts.items()))
 
