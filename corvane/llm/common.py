@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _lean_memory() -> None:
+    """Python workers live on between stages and beside the JVM, so what is freed must go back to the system: large
+    blocks are mapped one by one, the heap is trimmed, and Arrow takes its buffers from there too."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library has its own ways
+        pass
+
+
+_lean_memory()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,6 +71,17 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def mark() -> int:
+    """The number of tables so far, for `release`."""
+    return len(_made)
+
+
+def release(since: int) -> None:
+    """Delete the tables made since a mark but the last one, when that one is all that is still read."""
+    while len(_made) > since + 1:
+        remove(*_made.pop(since))
+
+
 def purge() -> None:
     """Delete the intermediate tables of this process. Results that still read them become invalid."""
     while _made:

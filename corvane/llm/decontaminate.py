@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, bloom, keep, mix, passing, small, word_hashes
+from .common import STEP, bloom, keep, mark, mix, passing, release, small, word_hashes
 
 MASKS = ("11111", "1111011", "1101111", "1110111")
 SHORT_MASKS = ("1111", "11101", "11011", "10111")
@@ -211,5 +211,7 @@ def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     It's the text that decides, so of rows that repeat an id only those go whose text overlaps, and null ids need
     no care. Null and empty texts stay; an empty benchmark leaves all rows and an empty table gives an empty one."""
     tie = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    since = mark()
     bad = keep(_found(docs, benchmark, tie).select(F.col("tie").alias("_tie")).distinct(), "overlapping")
+    release(since)
     return docs.join(bad, tie == F.col("_tie"), "left_anti")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keep
+from .common import WORD, keep, mark, release
 
 SHARE = Fraction(3, 2)
 WEIGHTS = (3, 1, 2)
@@ -182,15 +182,18 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Documents without words are in no block and go, nulls among them. Null ids and sources, and rows that repeat
     an id, are mixed like others; an empty table gives an empty table. The result keeps its order when it is
     written to files, one per partition."""
+    since = mark()
     base = _base(docs)
+    repeats = base.where("nth > 1").limit(1).count() > 0
     mixed, _, _ = pieces(base)
     copies = mixed.groupBy("doc_id", "nth", "again").agg(F.min("position").alias("position"), F.sum("words").alias("words"), F.first("size").alias("size"))
     copies = keep(copies.select(F.col("doc_id").alias("_copy"), "nth", "position", "words", "size"), "copies")
+    release(since)
     whole = copies.agg(F.sum("words").alias("words"), F.max("position").alias("last")).first()
     parts = max(1, min(-(-(whole.words or 0) // PART_WORDS), MOST_PARTS))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     match = F.col("_id").eqNullSafe(F.col("_copy"))
-    if base.where("nth > 1").limit(1).count():  # only then are texts sorted
+    if repeats:  # only then are texts sorted
         same = Window.partitionBy("_id").orderBy(F.col("_row.source").cast("string"), F.xxhash64("_row.text"))
         rows = rows.withColumn("_nth", F.row_number().over(same))
         match = match & (F.col("_nth") == F.col("nth"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, mix, shingles, small, word_hashes
+from .common import keep, mark, mix, release, shingles, small, word_hashes
 
 BAND_VALUES = 4
 BLOCK = 256
@@ -214,14 +214,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     shares no bucket with probability 3e-6. Links are confirmed on the full sets.
     """
     texts = _classed(docs, k, bands, F.lit(b""))
-    links = _linked(texts, k, percent)
     usable = texts.signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     members = usable.select("doc_id", "digest").join(texts.classes.select("digest", "node"), "digest").select("doc_id", "node")
     if texts.repeated:
         members = keep(members.distinct(), "members")
+    since = mark()
+    links = _linked(texts, k, percent)
+    if texts.repeated:
         first = members.groupBy("doc_id").agg(F.min("node").alias("a"))
         links.append(members.join(first, "doc_id").where("node <> a").select("a", F.col("node").alias("b")))
     labels = keep(components(reduce(DataFrame.unionByName, links)), "labels")
+    release(since)
     final = members.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     if texts.repeated:
         final = final.distinct()  # the rows of an id are in one component
@@ -286,7 +289,8 @@ def _blocks(heads: DataFrame, percent: int) -> DataFrame:
 
     Blocks of about BLOCK sets meet within their group and their overlaps come from one matrix product;
     a pair of blocks returns at most a spanning forest of links, and each head's best partner."""
-    count = heads.groupBy("component").agg(F.count("*").alias("k")).where("k > 1")
+    heads = keep(heads, "heads")
+    count = keep(heads.groupBy("component").agg(F.count("*").alias("k")).where("k > 1"), "groups")
     rows = heads.join(count, "component").withColumn("parts", F.ceil(F.col("k") / BLOCK)).withColumn("i", F.pmod(F.xxhash64("node"), "parts"))
     packed = rows.groupBy("component", "parts", "i").agg(*(F.collect_list(F.struct("node", "n", "label", "common")).alias("sets"),))
     left = packed.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("parts") - 1)))
@@ -381,7 +385,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     and null ids are in no group and stay. An empty table gives an empty table."""
     tie = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     texts = _classed(docs, k, 24, tie)
-    labels = components(reduce(DataFrame.unionByName, _linked(texts, k, percent)))
+    since = mark()
+    labels = keep(components(reduce(DataFrame.unionByName, _linked(texts, k, percent))), "labels")
+    release(since)
     roots = texts.classes.join(labels.select("node"), "node", "left_anti").select("doc_id", "digest")
     rows = texts.signed.where("doc_id IS NOT NULL").select("doc_id", "tie", "digest")
     stay = rows.where("digest IS NOT NULL").join(roots, ["doc_id", "digest"])

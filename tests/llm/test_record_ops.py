@@ -9,6 +9,7 @@ import time
 import zlib
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -588,10 +589,58 @@ def test_pipeline(spark):
     comp = brute_components([(i, texts[i]) for i in kept["toxicity"]], 5, 80)
     assert set(kept["near_dedup"]) == {c for _, _, c in comp} and len(set(kept["near_dedup"])) == len(kept["near_dedup"])
     assert set(kept["decontamination"]) <= set(kept["near_dedup"]) and max(map(kept["mixing"].count, kept["mixing"])) <= 2
+    items = [words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    bad = {i for i in kept["near_dedup"] for x in items if len(set(x) & set(words(texts[i]))) >= min(10, len(set(x))) and brute_overlap(words(texts[i]), x)}
+    assert set(kept["near_dedup"]) - set(kept["decontamination"]) == bad and bad
+    scores = {r.doc_id: r.score for r in queries.op3_subword_toxicity(spark, sf).collect()}
+    assert set(kept["toxicity"]) == {i for i in texts if scores[i] < 0.5}
     out = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id").isin(kept["mixing"]))
     assert sorted(kept["token_output"]) == sorted(kept["mixing"]) and set(kept["mixing"]) == {r.doc_id for r in out.collect()}
 
 
+def test_stages_on_odd_tables(spark):
+    """Nulls, repeated ids with other texts, empty and long texts, columns whose names operators use."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("test tables are missing")
+    rows = [(1, None), (1, "one text of this id"), (1, "quite another text of this id"), (1, "one text of this id"), (None, "no id here"), (2, ""), (3, "x y " * 5000), (4, None), (5, "  ")]
+    odd = docs(spark, rows)
+    expected = {"toxicity": rows, "near_dedup": list(set(rows)), "decontamination": rows, "mixing": None}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns and stage(spark, odd.limit(0), sf).count() == 0
+        found = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+        if expected[name] is not None:
+            assert found == sorted((i or 0, t or "") for i, t in expected[name]), name
+        else:
+            assert {i for i, _ in found} == {i or 0 for i, t in rows if words(t)} and all(any((i or 0, t) == (x, (y or "")[: len(t)]) for x, y in [(r[0] or 0, r[1]) for r in rows]) for i, t in found)
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, odd, sf).count() == len(rows) and last(spark, odd.limit(0), sf).count() == 0
+
+
+def test_mix_sizes_and_targets(spark):
+    """The columns that don't follow from the shuffle: sizes by SQL, targets by pouring word after word."""
+    sf = Path("/root/testdata/sf0.001")
+    if not sf.exists():
+        pytest.skip("test tables are missing")
+    sql = r"SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) OVER (PARTITION BY source) AS source_size, source FROM '" + str(sf) + "/documents.parquet'"
+    expected = duckdb.sql(sql).fetchall()
+    sizes = {s: int(n) for _, _, n, s in expected}
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    low, high = 0.0, float(10 * sum(sizes.values()))
+    for _ in range(200):  # the level of the water, by halving
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(mid * weight[s], 2 * sizes[s]) for s in names) < 1.5 * sum(sizes.values()) else (low, mid)
+    goal = {s: min(high * weight[s], 2 * sizes[s]) for s in names}
+    got = {r.doc_id: (r["size"], r.source_size, r.target) for r in queries.op5_source_mixing(spark, str(sf)).collect()}
+    assert len(got) == len(expected)
+    for i, n, total, s in expected:
+        assert got[i][:2] == (n, int(total)) and abs(got[i][2] - goal[s]) < 1e-3
+
+
 def test_queries_are_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
