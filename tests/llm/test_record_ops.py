@@ -558,7 +558,7 @@ def test_encoder_parts_and_specials(monkeypatch):
 
 
 def test_token_files(spark):
-    rows = [(9, "The end."), (3, None), (4, ""), (-2, "Ünïcode text"), (7, "long words " * 20_000), (None, "no id"), (4, "same id"), (4, "")]
+    rows = [(9, "The end."), (3, None), (4, ""), (-2, "Ünïcode text"), (7, "long words " * 20_000), (None, "no id"), (4, "same id"), (4, ""), (-(2**63), "least id"), (2**63 - 1, "greatest id"), (2**62 + 1, "odd")]
     out = token_output.token_files(docs(spark, rows), PATH).collect()
     expected, start = [], 0
     of = lambda t: [*TOKENIZER.encode(t or "", add_special_tokens=False).ids, 1]
@@ -569,6 +569,23 @@ def test_token_files(spark):
         start += len(ids)
     assert sorted(map(tuple, out), key=lambda r: (r[1], r[2])) == expected
     assert token_output.token_files(docs(spark, []), PATH).count() == 0
+    assert token_output.token_files(docs(spark, []), PATH, as_read=True).count() == 0
+
+
+def test_token_files_keep_the_order_of_files(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "SHARD_ROWS", 2)
+    rows = [(i * 7 % 11, f"text number {i}") for i in range(11)] + [(None, None)]
+    stored = common.keep(docs(spark, rows).coalesce(1).repartitionByRange(3, "text").sortWithinPartitions(F.desc("text")), "stored")
+    placed = stored.select("doc_id", "text", "_metadata.file_path", "_metadata.row_index").collect()
+    placed.sort(key=lambda r: (r.file_path, r.row_index))
+    out = sorted(token_output.token_files(stored, PATH, as_read=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == [r.doc_id for r in placed] and [r.doc_id for r in out] != sorted(r.doc_id or 0 for r in out)
+    start = 0
+    for r, p in zip(out, placed, strict=True):
+        ids = [*TOKENIZER.encode(p.text or "", add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert token_output.token_files(docs(spark, rows), PATH, as_read=True).count() == len(rows)
 
 
 # --- the pipeline --------------------------------------------------------------------------------
