@@ -3,12 +3,12 @@
 A batch holds signed changes: an insert adds a document's count, a delete takes it away, a revision does
 both. A batch is reduced to additive totals by source, language and tokenizer version and committed under
 its id; totals are the sums over committed batches. Committing an id again changes nothing, so a batch whose
-driver died can simply be sent again.
+driver died can simply be sent again. Compaction folds batches into a base that remembers their ids.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from .common import WORD
 KEYS = ["source", "lang", "tokenizer"]
 #: Tokenizer versions as column expressions over a text; null texts have no tokens.
 VERSIONS = {"words-1": WORD, "runs-2": r"[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]+"}
+BASE = "base-"
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -44,7 +45,9 @@ def revision(before: DataFrame, after: DataFrame, *versions: str) -> DataFrame:
 
 
 class Rollup:
-    """Totals below `folder`, one sub-folder a batch. Batch ids are letters, digits, - and _."""
+    """Totals below `folder`: one sub-folder a batch, and generations of a base that batches were folded into. Batch
+    ids are letters, digits, - and _. A folder counts once it has its name: it is written under another one and
+    renamed, so of two drivers that commit the same batch one wins and a reader sees all of it or nothing."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -54,35 +57,78 @@ class Rollup:
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def committed(self, batch: str) -> bool:
+    def _names(self) -> list[str]:
+        fs, path = self._files()
+        if not fs.exists(path(self.folder)):
+            return []
+        return sorted(s.getPath().getName() for s in fs.listStatus(path(self.folder)) if s.isDirectory())
+
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The newest base and the batches in it."""
+        bases = [n for n in self._names() if n.startswith(BASE)]
+        if not bases:
+            return None, set()
+        folded = self.spark.read.schema("batch string").parquet(f"{self.folder}/{bases[-1]}/batches").collect()  # a small row a batch
+        return bases[-1], {r.batch for r in folded}
+
+    def _put(self, name: str, write) -> bool:
+        """What `write` leaves in a fresh folder under `name`; false if that is taken."""
         fs, path = self._files()
-        return fs.exists(path(f"{self.folder}/{batch}/_SUCCESS"))
+        scratch = f"{self.folder}/.{name}-{uuid.uuid4().hex}"
+        write(scratch)
+        taken = path(f"{self.folder}/{name}")
+        done = not fs.exists(taken) and fs.rename(path(scratch), taken)
+        if not done:
+            fs.delete(path(scratch), True)
+        return done
+
+    def committed(self, batch: str) -> bool:
+        return batch in self._names() or batch in self._base()[1]
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
-        """Add a batch; false if its id is committed already. What an interrupted commit left is overwritten:
-        only the success mark of the whole write makes a batch count."""
-        if not batch.replace("-", "").replace("_", "").isalnum():
+        """Add a batch; false if its id is committed already. An interrupted commit leaves nothing that counts, so
+        it can simply be sent again."""
+        if not batch.replace("-", "").replace("_", "").isalnum() or batch.startswith(BASE):
             raise ValueError(f"not a batch id: {batch!r}")
         if self.committed(batch):
             return False
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.folder}/{batch}")
-        return True
+        return self._put(batch, lambda path: sums.write.parquet(path))
 
     def batches(self) -> list[str]:
+        """Ids of the committed batches that no base holds yet."""
+        folded = self._base()[1]
+        return [n for n in self._names() if not n.startswith((BASE, ".", "_")) and n not in folded]
+
+    def compact(self) -> bool:
+        """Fold all batches into a new base, so that totals read two tables however many batches there were. Their
+        ids stay known. What the new base holds is deleted after it counts; false if there was nothing to fold."""
+        old, folded = self._base()
+        new = self.batches()
+        if not new:
+            return False
+        sums, ids = self.totals(), self.spark.createDataFrame([(b,) for b in sorted(folded | set(new))], "batch string")
+
+        def write(path):
+            sums.write.parquet(f"{path}/totals")
+            ids.coalesce(1).write.parquet(f"{path}/batches")
+
+        if not self._put(f"{BASE}{int(old.removeprefix(BASE)) + 1 if old else 0:09d}", write):
+            return False
         fs, path = self._files()
-        if not fs.exists(path(self.folder)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.folder)) if s.isDirectory()]
-        return sorted(n for n in names if self.committed(n))
+        for name in [*new, *([old] if old else [])]:
+            fs.delete(path(f"{self.folder}/{name}"), True)
+        return True
 
     def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens over all committed batches, without groups of no documents.
+        """source, lang, tokenizer, n_docs, n_tokens over the base and all later batches, without groups of no
+        documents and tokens.
 
         Null sources and languages are groups of their own; texts that are null or empty count as documents of
         no tokens; without batches the result is empty."""
-        parts = [self.spark.read.schema(TOTALS).parquet(f"{self.folder}/{b}") for b in self.batches()]
-        if not parts:
+        base, _ = self._base()
+        paths = [f"{self.folder}/{b}" for b in self.batches()] + ([f"{self.folder}/{base}/totals"] if base else [])
+        if not paths:
             return self.spark.createDataFrame([], TOTALS)
-        sums = reduce(DataFrame.unionByName, parts).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self.spark.read.schema(TOTALS).parquet(*paths).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 OR n_tokens <> 0")

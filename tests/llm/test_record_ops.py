@@ -305,14 +305,21 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert rollup.commit("b1", token_counts.changes(df, 1, "words-1"))
     assert not rollup.commit("b1", token_counts.changes(df, 1, "words-1"))
     assert rollup.commit("b2", token_counts.revision(df.where("doc_id = 1"), of([(1, "a", "s")]), "words-1"))
-    (tmp_path / "r" / "b3").mkdir()  # an interrupted commit
+    (tmp_path / "r" / ".b3-0").mkdir()  # an interrupted commit
     got = sorted((str(r.source), r.n_docs, r.n_tokens) for r in token_counts.Rollup(spark, f"file://{tmp_path}/r").totals().collect())
     assert got == [("None", 2, 2), ("s", 2, 1)]
     rollup.commit("b4", token_counts.changes(of([(3, "x.y", None), (3, "x.y", None)]), -1, "words-1"))
     assert [r.source for r in rollup.totals().collect()] == ["s"]
     assert {r.n_tokens for r in token_counts.changes(of([(5, "x.y", "s")]), 1, "words-1", "runs-2").collect()} == {1, 3}
-    with pytest.raises(ValueError):
-        rollup.commit("../x", token_counts.changes(df, 1, "words-1"))
+    for bad in ("../x", "base-1", ""):
+        with pytest.raises(ValueError):
+            rollup.commit(bad, token_counts.changes(df, 1, "words-1"))
+    before = sorted(map(str, rollup.totals().collect()))
+    assert rollup.batches() == ["b1", "b2", "b4"] and rollup.compact() and rollup.batches() == [] and not rollup.compact()
+    assert sorted(map(str, rollup.totals().collect())) == before
+    assert not rollup.commit("b2", token_counts.changes(df, 1, "words-1")) and rollup.commit("b5", token_counts.changes(of([(9, "q r", "s")]), 1, "words-1"))
+    assert rollup.compact() and sorted((r.source, r.n_docs, r.n_tokens) for r in rollup.totals().collect()) == [("s", 3, 3)]
+    assert not rollup._put("base-000000001", lambda path: df.select("doc_id").write.parquet(path)) and sorted(p.name for p in (tmp_path / "r").iterdir() if p.name[0] != ".") == ["base-000000001"]
 
 
 # --- decontamination -----------------------------------------------------------------------------
