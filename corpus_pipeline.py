@@ -27,7 +27,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output.token_files(docs, TOKENIZER, cached=100_000)  # the workers hold other stages' state too
+    # The order of the mix is that of its files. The workers hold other stages' state too.
+    return token_output.token_files(docs, TOKENIZER, cached=150_000, as_read=True)
 
 
 STAGES = [
