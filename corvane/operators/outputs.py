@@ -26,17 +26,13 @@ def customised(lines: DataFrame, marker: str) -> DataFrame:
     return rows.where("line > _last").drop("_last")
 
 
-# What the tool leaves in a directory.
-CONFIG, CACHE, MODEL = "diagram-docs.yaml", ".diagram-docs", "architecture-model.yaml"
-
-
-def removal_candidates(containers: DataFrame, existing: DataFrame, everything: bool, output_dir: str = "docs/architecture", docs_dir: str = "docs") -> DataFrame:
-    """path of what a removal takes, of the paths that exist (path, directories among them): the settings, cache and
-    model at the root, cache and settings of each container (path), and with `everything` the outputs too."""
+def removal_candidates(containers: DataFrame, existing: DataFrame, everything: bool, settings: str, cache: str, model: str, output_dir: str = "docs/architecture", docs_dir: str = "docs") -> DataFrame:
+    """path of what a removal takes, of the paths that exist (path, directories among them): settings, cache and model
+    file at the root, cache and settings of each container (path), and with `everything` the outputs too."""
     spark = containers.sparkSession
-    root = [CONFIG, CACHE, MODEL, *([output_dir] if everything else [])]
+    root = [settings, cache, model, *([output_dir] if everything else [])]
     top = spark.createDataFrame([(p,) for p in root], "path string")
-    own = [CACHE, CONFIG, *([f"{docs_dir}/architecture"] if everything else [])]
+    own = [cache, settings, *([f"{docs_dir}/architecture"] if everything else [])]
     below = containers.where("path IS NOT NULL AND path NOT IN ('', '.')").select(F.explode(F.array(*(F.concat("path", F.lit("/" + p)) for p in own))).alias("path"))
     return top.unionByName(below).distinct().join(existing.select("path").distinct(), "path", "left_semi")
 

@@ -118,14 +118,14 @@ SELECT project, n % 2 = 0 OR n % 5 = 4 AS scan_stale, n % 3 = 0 OR n % 5 = 4 AS
 def _removal(everything):
     def query(spark, sf_dir):
         paths = table(spark, sf_dir, "nation").select(F.concat(F.lit("apps/n"), "n_nationkey").alias("path"), F.col("n_nationkey").alias("n"))
-        there = paths.select(F.explode(F.array(F.when(F.col("n") % 2 == 0, F.concat("path", F.lit("/.diagram-docs"))), F.when(F.col("n") % 3 == 0, F.concat("path", F.lit("/diagram-docs.yaml"))), F.concat("path", F.lit("/docs/architecture")))).alias("path")).where("path IS NOT NULL")
-        root = spark.createDataFrame([("diagram-docs.yaml",), ("architecture-model.yaml",), ("docs/architecture",), ("src",)], "path string")
-        return outputs.removal_candidates(paths.select("path"), there.unionByName(root), everything)
+        there = paths.select(F.explode(F.array(F.when(F.col("n") % 2 == 0, F.concat("path", F.lit("/.cache"))), F.when(F.col("n") % 3 == 0, F.concat("path", F.lit("/settings.yaml"))), F.concat("path", F.lit("/docs/architecture")))).alias("path")).where("path IS NOT NULL")
+        root = spark.createDataFrame([("settings.yaml",), ("architecture-model.yaml",), ("docs/architecture",), ("src",)], "path string")
+        return outputs.removal_candidates(paths.select("path"), there.unionByName(root), everything, "settings.yaml", ".cache", "architecture-model.yaml")
 
     return query
 
 
-_REMOVAL = "SELECT unnest(['diagram-docs.yaml', 'architecture-model.yaml'{}]) AS path UNION ALL SELECT 'apps/n' || n_nationkey || '/.diagram-docs' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'apps/n' || n_nationkey || '/diagram-docs.yaml' FROM nation WHERE n_nationkey % 3 = 0"
+_REMOVAL = "SELECT unnest(['settings.yaml', 'architecture-model.yaml'{}]) AS path UNION ALL SELECT 'apps/n' || n_nationkey || '/.cache' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'apps/n' || n_nationkey || '/settings.yaml' FROM nation WHERE n_nationkey % 3 = 0"
 register("removal_candidates", _removal(False), _REMOVAL.format(""))
 register("removal_of_everything", _removal(True), _REMOVAL.format(", 'docs/architecture'") + " UNION ALL SELECT 'apps/n' || n_nationkey || '/docs/architecture' FROM nation")
 
