@@ -81,7 +81,8 @@ class Encoder:
     #: What the pattern takes apart from letters, for lower-case plain characters.
     MARKS = "'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+"
 
-    def __init__(self, path: str, cached: int = CACHED):
+    def __init__(self, path: str, cached: int = CACHED, part: int | None = None):
+        self.part = part  # characters that go through at once, PART by default
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -119,7 +120,7 @@ class Encoder:
         """The ids of each text. Plain ones go through in groups of PART characters; a longer one is cut at blanks,
         where no unit goes on."""
         out: list[list[bytes]] = [[] for _ in texts]
-        group, whose, size = [], [], 0
+        group, whose, size, most = [], [], 0, self.part or PART
 
         def flush():
             for i, ids in zip(whose, self._units_of(group), strict=True):
@@ -135,12 +136,12 @@ class Encoder:
                 continue
             at = 0
             while at < len(text):
-                stop = _space(text, at + PART)
+                stop = _space(text, at + most)
                 group.append(text[at:stop])
                 whose.append(i)
                 size += stop - at
                 at = stop
-                if size >= PART:
+                if size >= most:
                     flush()
                     size = 0
         if group:
@@ -177,14 +178,14 @@ def _space(text: str, at: int) -> int:
     return len(text) if found < 0 else found
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, cached: int = CACHED) -> Encoder:
-    if (path, cached) not in _ENCODERS:
+def encoder(path: str, cached: int = CACHED, part: int | None = None) -> Encoder:
+    if (path, cached, part) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, cached] = Encoder(path, cached)
-    return _ENCODERS[path, cached]
+        _ENCODERS[path, cached, part] = Encoder(path, cached, part)
+    return _ENCODERS[path, cached, part]
 
 
 # --- codes --------------------------------------------------------------------------------------
@@ -252,14 +253,14 @@ def frames(stream) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
 
 
 # --- jobs ---------------------------------------------------------------------------------------
-def _tokenize(tokenizer: str, cached: int):
+def _tokenize(tokenizer: str, cached: int, part: int | None = None):
     """Ids of documents; a last row of each task has no document, but how often each id came."""
 
     def run(batches):
-        enc = encoder(tokenizer, cached)
+        enc = encoder(tokenizer, cached, part)
         end = np.array([END_ID], enc.dtype).tobytes()
         total, rest = np.zeros(enc.size, np.int64), None
-        for batch in small(batches, 4096):
+        for batch in small(batches, 4096 if part is None else max(64, part // 2048)):
             ids = [x + end for x in enc.encode_all(batch.column(1).to_pylist())]
             total += np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=enc.size)
             rest = batch.schema.names[2:], [c.type for c in batch.columns[2:]]
@@ -343,7 +344,7 @@ def _places(docs: DataFrame) -> DataFrame | None:
         return None
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, cached: int = CACHED, as_read: bool = False) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, cached: int = CACHED, as_read: bool = False, part: int | None = None) -> DataFrame:
     """Write the documents' ids below `folder`; returns the manifest: shard, docs, ids (one row a shard).
 
     docs: doc_id, text; other columns aren't looked at. A null text has the end id only; null doc_ids come first.
@@ -351,7 +352,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, cached: int = CAC
     `docs` is a table of files, documents keep the order of the files by name and of their rows instead. An empty
     table gives no shard. `tokenizer` must exist on every worker."""
     spark = docs.sparkSession
-    enc = encoder(tokenizer, cached)
+    enc = encoder(tokenizer, cached, part)
     fs, base = filesystem(folder)
     fs.create_dir(base, recursive=True)
     raw_path = work_path(spark, "ids")
@@ -360,7 +361,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, cached: int = CAC
     schema = "doc_id long, ids binary, counts binary"
     if placed is not None:
         source, schema = placed.withColumn("doc_id", F.col("doc_id").cast("long")), schema + ", file string, tie long"
-    raw = source.mapInArrow(_tokenize(tokenizer, cached), schema)
+    raw = source.mapInArrow(_tokenize(tokenizer, cached, part), schema)
     raw.write.option("compression", "zstd").parquet(raw_path)
     raw = spark.read.schema(raw.schema).parquet(raw_path)
     # One row per id of the vocabulary at most comes to the driver.
@@ -423,10 +424,10 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFr
     return each.mapInArrow(_read(folder), schema)
 
 
-def token_files(docs: DataFrame, tokenizer: str, cached: int = CACHED, as_read: bool = False) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, cached: int = CACHED, as_read: bool = False, part: int | None = None) -> DataFrame:
     """Write `docs` to token files in the shared folder and return what reading them back gives, a row per row of
-    `docs`. `cached` bounds the units that a worker remembers, and again those on probation; fewer take less memory and more
-    time."""
+    `docs`. `cached` bounds the units that a worker remembers, and again those on probation, `part` the characters that it
+    parts at once; less of them take less memory and more time."""
     spark = docs.sparkSession
     folder = work_path(spark, "tokens")
-    return read_tokens(spark, write_tokens(docs, tokenizer, folder, cached, as_read), folder)
+    return read_tokens(spark, write_tokens(docs, tokenizer, folder, cached, as_read, part), folder)
