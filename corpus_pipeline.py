@@ -28,7 +28,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The order of the mix is that of its files. The workers hold other stages' state too.
-    return token_output.token_files(docs, TOKENIZER, cached=150_000, as_read=True)
+    return token_output.token_files(docs, TOKENIZER, cached=100_000, as_read=True, part=1 << 21)
 
 
 STAGES = [
