@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, mixing, near_dedup, substring_dedup, token_counts, token_output, topk, toxicity
+from . import collocations, decontaminate, exact_dedup, html_text, language, mixing, near_dedup, substring_dedup, token_counts, token_output, topk, toxicity, whitening
 from .common import keep, table, work_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -106,6 +106,57 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.membership(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(text) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY text)
+"""
+
+
+def op12_suffix_sigma_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM w, (VALUES (1), (2), (3)) t(k)
+  ) GROUP BY ALL
+), sizes AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS p FROM f WHERE k > 1 AND a >= 10),
+parts AS (
+  SELECT lang, phrase, a, cut, array_to_string(p[1:cut], ' ') AS head, array_to_string(p[cut + 1:], ' ') AS tail
+  FROM candidates, (VALUES (1), (2)) t(cut) WHERE cut < k
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, cut, x.a AS l, y.a AS r, CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM parts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, a, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS phrase FROM candidates WHERE k = 3
+  ) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, l.a DESC, phrase) AS rank, phrase, l.a, l, r, n, score
+FROM lowest l LEFT JOIN inside i USING (lang, phrase) JOIN sizes USING (lang)
+WHERE i.a IS NULL OR 100 * i.a < 50 * l.a
+QUALIFY rank <= 2000
+"""
+
+
+def op13_chan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_html_main_text,
@@ -118,9 +169,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_spaced_seed_decontamination,
         op9_minmax_near_dedup,
         op10_token_files,
+        op11_grace_exact_dedup,
+        op12_suffix_sigma_collocations,
+        op13_chan_whitening,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pivot_topk": OP4_SQL, "op7_rollup_token_counts": OP7_SQL}
+    return {
+        "op4_pivot_topk": OP4_SQL,
+        "op7_rollup_token_counts": OP7_SQL,
+        "op11_grace_exact_dedup": OP11_SQL,
+        "op12_suffix_sigma_collocations": OP12_SQL,
+    }
