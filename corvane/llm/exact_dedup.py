@@ -22,13 +22,13 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import bloom, keep, passing, small
 
 TABLE_BYTES = 32 << 20
 OVERHEAD = 100  # of an entry besides its content
 MANY = 1024  # records of one content hash that may meet in one bucket
-PARTS = 64
 MOST_BITS = 1 << 25
 
 _FIRST = "doc_id long, key long, first long, sha binary, h long, n long, top long, top_key long, bytes long, text binary"
@@ -192,8 +192,9 @@ def _dealt(records: DataFrame, level: int, table_bytes: int, many: int) -> DataF
     spark = records.sparkSession
     size = records.agg(F.coalesce(F.sum(F.col("bytes") + OVERHEAD), F.lit(0))).first()[0]
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * size // table_bytes))
-    hot = records.groupBy("h").count().where(F.col("count") > many).select("h")
     part = F.lit(-1)
+    # Every second round only, so that there is always a next one in which contents are settled.
+    hot = records.groupBy("h").count().where((F.col("count") > many) & F.lit(level % 2 == 0)).select("h")
     if not hot.isEmpty():
         table = bloom(hot, "h", MOST_BITS)
 
@@ -204,8 +205,8 @@ def _dealt(records: DataFrame, level: int, table_bytes: int, many: int) -> DataF
                 found[passing(h, table)] = True
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "hot"])
 
-        records = records.mapInArrow(mark, records.schema.add("hot", "boolean"))
-        part = F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit(level), "key"), F.lit(PARTS))).otherwise(-1)
+        records = records.mapInArrow(mark, StructType([*records.schema.fields, StructField("hot", BooleanType())]))
+        part = F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit(level), "key"), F.lit(max(1, many // 16)))).otherwise(-1)
     # Parts are buckets too, so that a bucket holds nothing but one part's records or none of any.
     rows = records.withColumn("part", part.cast("int"))
     return rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(level), "h", "part"), F.lit(buckets)))
