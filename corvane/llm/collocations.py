@@ -145,6 +145,8 @@ def _blocks(seed: int, frequent: np.ndarray, hot: np.ndarray, groups: int):
 
     def dealt(lang, parts):
         rows = np.concatenate(parts)
+        if not len(rows):
+            return
         a, b, c = rows.T
         first, second = among(a, hot), among(b, hot)
         both = first & second
