@@ -100,3 +100,11 @@ def config_value(line: str | Column, fmt: str | Column) -> Column:
         .when(fmt == "ini", F.when(equals > 0, _after(line, "=")).otherwise(bare))
         .otherwise(F.when(either > 0, F.trim(F.substr(line, either + 1))).otherwise(bare))
     )
+
+
+def relative_path(start: Column, target: Column) -> Column:
+    """The way from a directory to a path, both below one root."""
+    a, b = F.split(start, "/"), F.split(target, "/")
+    n = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.slice(a, 1, i) == F.slice(b, 1, i)))
+    up = F.repeat(F.lit("../"), F.size(a) - n)
+    return F.concat(up, F.array_join(F.slice(b, n + 1, F.size(b)), "/"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted, relative_path
+from .render import joined
+
 
 def create_once(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """Files (path, ...) that aren't there yet; a user's file is never written again."""
@@ -19,6 +22,54 @@ def container_outputs(containers: DataFrame, excluded: DataFrame, aggregators: D
     return rows.select("id", "path", F.concat("path", F.lit(f"/{docs_dir}/"), F.lower("id")).alias("output"))
 
 
+def fragments(containers: DataFrame, components: DataFrame, relationships: DataFrame) -> DataFrame:
+    """container_id, content: the part of the model that concerns a container, as YAML: itself (id, name), its
+    components (id, container_id, name) and the relationships (source, target, label) that one of them is an end of."""
+    row = lambda df, by, section, k, line: df.select(F.col(by).alias("container_id"), F.lit(section).alias("section"), k.alias("k"), line.alias("line"))
+    entry = lambda first, *rest: F.concat_ws("\n", F.concat(F.lit(f"  - {first}: "), quoted(F.col(first))), *(F.concat(F.lit(f"    {c}: "), quoted(F.col(c))) for c in rest))
+    home = components.select(F.col("id").alias("end"), "container_id")
+    ends = relationships.withColumn("end", F.explode(F.array("source", "target"))).join(home, "end").select("container_id", "source", "target", "label").distinct()
+    one = containers.select("id", "name")
+    lines = row(one, "id", 0, F.lit(""), F.lit("containers:")).unionByName(row(one, "id", 1, F.col("id"), entry("id", "name")))
+    lines = lines.unionByName(row(one, "id", 2, F.lit(""), F.lit("components:"))).unionByName(row(components, "container_id", 3, F.col("id"), entry("id", "name")))
+    lines = lines.unionByName(row(one, "id", 4, F.lit(""), F.lit("relationships:"))).unionByName(row(ends, "container_id", 5, F.concat_ws("\u0000", "source", "target"), entry("source", "target", "label")))
+    return joined(lines, ["container_id"], "content")
+
+
+def submodule_files(outputs: DataFrame, diagrams: DataFrame, parts: DataFrame, styles: str, settings: str, root_output: str, code: DataFrame | None = None, least_elements: int = 1, docs_dir: str = "docs") -> DataFrame:
+    """path, content, once: the documents of each container.
+
+    outputs: id, name, path; diagrams: container_id, diagram; parts: container_id, content (see `fragments`); code:
+    container_id, component_id, name, diagram, n. Generated files are written anew, those that belong to the user
+    (`once`: settings, and diagrams that include the generated ones) are made where they don't exist. Components of
+    fewer than `least_elements` elements have no diagram of their own."""
+    folder = F.concat_ws("/", "path", F.lit(docs_dir), F.lit("architecture"))
+    homes = outputs.select(F.col("id").alias("container_id"), F.col("name").alias("container"), "path", folder.alias("folder"))
+    file = lambda df, path, content, once: df.select(path.alias("path"), content.alias("content"), F.lit(once).alias("once"))
+    lines = lambda *parts: F.concat_ws("\n", *(F.lit(p) if isinstance(p, str) else p for p in parts))
+    below = lambda *names: F.concat_ws("/", "folder", *(F.lit(n) if isinstance(n, str) else n for n in names))
+    whole = relative_path(F.col("folder"), F.lit(f"{root_output}/c2-container.svg"))
+    level3 = homes.join(diagrams, "container_id")
+    out = [
+        file(homes, F.concat_ws("/", "path", F.lit(settings)), F.lit("# Settings of this folder; they go before those of folders above.\n"), True),
+        file(level3, below("_generated", "c3-component.d2"), F.col("diagram"), False),
+        file(homes, below("styles.d2"), F.lit(styles), False),
+        file(level3, below("c3-component.d2"), lines(F.concat(F.lit("# Components of "), "container"), F.concat(F.lit("# The whole system: "), whole), "", "...@_generated/c3-component.d2", "...@styles.d2", "", "# Your own additions go below this line", ""), True),
+        file(homes.join(parts, "container_id"), below("architecture-model.yaml"), F.concat(F.lit("# The part of the model that concerns this folder; written anew at every run.\n"), "content"), False),
+    ]
+    if code is not None:
+        level4 = homes.join(code.where(F.col("n") >= least_elements).select("container_id", "component_id", F.col("name").alias("component"), "diagram"), "container_id")
+        at = lambda *names: below("components", F.col("component_id"), *names)
+        out += [
+            file(level4, at("_generated", "c4-code.d2"), F.col("diagram"), False),
+            file(level4, at("c4-code.d2"), lines(F.concat(F.lit("# Code of "), "component", F.lit(" in "), "container"), "", "...@_generated/c4-code.d2", "...@../../styles.d2", "", "# Your own additions go below this line", ""), True),
+        ]
+    files = out[0]
+    for f in out[1:]:
+        files = files.unionByName(f)
+    return files
+
+
 def customised(lines: DataFrame, marker: str) -> DataFrame:
     """file, line, text -> the lines after a file's last one that matches `marker` (all, if none does)."""
     hit = F.max(F.when(F.col("text").rlike(marker), F.col("line"))).over(Window.partitionBy("file"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import model
+from ..operators import hierarchy, model
 from . import adapters
 from .adapters import CODE_SQL, GRAPH_SQL, table
 from .registry import register
@@ -113,6 +113,49 @@ SELECT p.a, p.b, array_to_string(p.pa[1:max(d.n)], '/') AS owner FROM depth d JO
 )
 
 
+# A forest of parts: chains of fifty, of which every seventh part leaves out two, hang below parts of smaller numbers;
+# in some chains two parts are each other's parent.
+def _forest(spark, sf_dir):
+    k, head = F.col("p_partkey"), F.col("p_partkey") - F.col("p_partkey") % 50
+    parent = F.when(k % 50 == 0, F.floor(k / 50)).when((k % 50 == 47) & (F.floor(k / 50) % 4 == 3), k + 1).when(k % 7 == 0, F.greatest(k - 3, head)).otherwise(k - 1)
+    name = lambda c: F.concat(F.lit("part-"), c.cast("string"))
+    parts = table(spark, sf_dir, "part").select(name(k).alias("node"), name(F.when(k > 1, F.greatest(parent, F.lit(1)))).alias("parent"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
+    pairs = line.join(after, ["l_orderkey", "l_linenumber"]).select(name(F.col("l_partkey")).alias("a"), name(F.when(F.col("b") % 31 == 0, -F.col("b")).otherwise(F.col("b"))).alias("b"))
+    return hierarchy.hierarchy(parts), pairs.distinct()
+
+
+_FOREST = """RECURSIVE f AS (
+  SELECT p_partkey AS node, CASE WHEN p_partkey <= 1 THEN NULL ELSE greatest(1, CASE WHEN p_partkey % 50 = 0 THEN p_partkey // 50 WHEN p_partkey % 50 = 47 AND (p_partkey // 50) % 4 = 3 THEN p_partkey + 1
+    WHEN p_partkey % 7 = 0 THEN greatest(p_partkey - 3, p_partkey - p_partkey % 50) ELSE p_partkey - 1 END) END AS parent FROM part),
+n AS (SELECT node, parent FROM f UNION ALL SELECT DISTINCT parent, NULL FROM f WHERE parent IS NOT NULL AND parent NOT IN (SELECT node FROM f)),
+up(node, anc, d) AS (SELECT node, node, 0 FROM n UNION ALL SELECT up.node, n.parent, d + 1 FROM up JOIN n ON n.node = up.anc WHERE n.parent IS NOT NULL AND d < 400),
+deep AS (SELECT node, CASE WHEN max(d) < 400 THEN max(d) END AS depth, CASE WHEN max(d) < 400 THEN arg_max(anc, d) END AS root FROM up GROUP BY node)
+"""
+register(
+    "hierarchy_depths",
+    lambda s, d: _forest(s, d)[0].nodes.select("node", F.coalesce("depth", F.lit(-1)).alias("depth"), "root"),
+    f"WITH {_FOREST} SELECT 'part-' || node AS node, CAST(coalesce(depth, -1) AS BIGINT) AS depth, 'part-' || root AS root FROM deep",
+)
+
+
+def _owners(spark, sf_dir):
+    tree, pairs = _forest(spark, sf_dir)
+    return hierarchy.lowest_common_ancestors(pairs, tree)
+
+
+register(
+    "hierarchy_owners",
+    _owners,
+    f"""WITH {_FOREST}, pairs AS (SELECT DISTINCT x.l_partkey AS a, CASE WHEN y.l_partkey % 31 = 0 THEN -y.l_partkey ELSE y.l_partkey END AS b FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber + 1),
+s AS (SELECT a, b, CASE WHEN x.node IS NULL OR y.node IS NULL THEN 'unknown' WHEN x.depth IS NULL OR y.depth IS NULL THEN 'cycle' WHEN x.root <> y.root THEN 'apart' ELSE 'found' END AS status
+  FROM pairs LEFT JOIN deep x ON x.node = a LEFT JOIN deep y ON y.node = b),
+c AS (SELECT s.a, s.b, arg_min(x.anc, x.d) AS owner FROM s JOIN up x ON x.node = s.a JOIN up y ON y.node = s.b AND y.anc = x.anc WHERE status = 'found' GROUP BY s.a, s.b)
+SELECT 'part-' || a AS a, 'part-' || b AS b, 'part-' || owner AS owner, status FROM s LEFT JOIN c USING (a, b)""",
+)
+
+
 # Grouping: parts are modules of their brand, named by type and name.
 def _modules(spark, sf_dir):
     name = F.concat_ws(".", F.lit("com"), F.lit("shop"), F.translate("p_type", " ", "."), F.translate("p_name", " ", "."), F.col("p_partkey").cast("string"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import globs
 from ..functions.text import slug
 
 # Build files by language, in order of priority.
@@ -30,15 +31,17 @@ CONFIG_MOST_BYTES = 10 * 1024
 ENTRY_POINTS = ("__main__.py", "app.py", "main.py")
 
 
-def read_tree(spark: SparkSession, root: str, most_bytes: int | None = None) -> DataFrame:
-    """path (relative), content, length of the files below root, of `most_bytes` at most if given. The size
-    filter reaches the listing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def read_tree(spark: SparkSession, root: str, most_bytes: int | None = None, include: tuple[str, ...] = ("**",)) -> DataFrame:
+    """path (relative), content, length of the files below root that match a glob of `include`, of `most_bytes` at most
+    if given. The size filter reaches the listing, and only folders that a glob can lead to are listed."""
+    top = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{top}/{p}" if p else top for p in globs.prefixes(list(include))])
     if most_bytes is not None:
         files = files.where(F.col("length") <= most_bytes)
     below = F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/")
     start = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    return files.select(F.substr(below, F.lit(len(start) + 1)).alias("path"), F.decode("content", "UTF-8").alias("content"), "length")
+    rows = files.select(F.substr(below, F.lit(len(start) + 1)).alias("path"), F.decode("content", "UTF-8").alias("content"), "length")
+    return rows if tuple(include) == ("**",) else rows.where(globs.matches("path", list(include)))
 
 
 def directory(path: Column | str) -> Column:
@@ -64,6 +67,14 @@ def discover(files: DataFrame, exclude: str | None = None) -> DataFrame:
     return first.select(F.when(F.col("dir") == "", ".").otherwise(F.col("dir")).alias("path"), pick(1).alias("build_file"), pick(0).alias("language"))
 
 
+def discover_within(files: DataFrame, include: tuple[str, ...] = ("**",), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """`discover` among build files at the root and below the folders that the globs of `include` name, but those that a
+    glob of `exclude` matches, hidden ones too."""
+    below = [f"{g.rstrip('/')}/**/{name}" for g in include for name in dict.fromkeys(b for _, b in BUILD_FILES)]
+    wanted = globs.matches("path", below) | ~F.contains("path", F.lit("/"))
+    return discover(files.where(base("path").isin(*(b for _, b in BUILD_FILES)) & wanted & ~globs.matches("path", list(exclude), dot=True)))
+
+
 def _owned(files: DataFrame, projects: DataFrame) -> DataFrame:
     """Adds project: the nearest directory above a file that is one. Prefixes are exploded to join on equal keys."""
     parts = F.split("path", "/")

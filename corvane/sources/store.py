@@ -26,11 +26,17 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one; `purge` removes it."""
+    path = f"{folder(spark)}/corvane-tables/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read back: its lineage ends here and lost executors cost nothing of it."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/corvane-tables/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
