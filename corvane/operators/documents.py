@@ -78,6 +78,7 @@ def in_force(docs: DataFrame, targets: DataFrame, boundaries: DataFrame | None =
     if boundaries is not None:
         ends = above.join(boundaries.select(plain(F.col("dir")).alias("dir")).distinct(), "dir").groupBy("target").agg(F.max("depth").alias("_end"))
         above = above.join(ends, "target", "left").where("_end IS NULL OR depth >= _end").drop("_end")
-    found = above.join(docs.select(plain(F.col("dir")).alias("dir"), "doc"), "dir").select("target", "depth", "doc")
-    whole = rebuilt(merged(flatten(found), ["target"]), ["target"]).withColumnRenamed("target", "dir")
+    rows = flatten(docs.select(plain(F.col("dir")).alias("dir"), "doc"))
+    found = above.join(rows, "dir").select("target", "depth", "path", "value")
+    whole = rebuilt(merged(found, ["target"]), ["target"]).withColumnRenamed("target", "dir")
     return targets.select("dir").distinct().join(whole, "dir", "left").select("dir", F.coalesce("json", F.lit("{}")).alias("json"))

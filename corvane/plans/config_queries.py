@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import signals
-from ..operators import settings
+from ..operators import documents, settings
 from . import adapters
 from .adapters import CONFIG_SQL, table
 from .registry import register
@@ -181,3 +181,32 @@ register(
     """SELECT page_id, CASE WHEN contains(html, '<form') THEN 'form' WHEN regexp_matches(url, '^https?://blog\\.') THEN 'blog' WHEN regexp_matches(url, '[?&]page=') THEN 'listing'
   WHEN contains(html, '<article') THEN 'article' ELSE 'other' END AS kind FROM pages""",
 )
+
+
+# Nested documents of folders: the root's, one a region, one a nation, one a supplier.
+def _folders(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    doc = lambda df, path, json: df.select(path.alias("dir"), F.parse_json(json).alias("doc"))
+    region, nation = F.concat(F.lit("region-"), "n_regionkey"), F.concat(F.lit("nation-"), "n_nationkey")
+    n, s = F.col("n_nationkey"), F.col("s_suppkey")
+    at = t("supplier").join(t("nation"), F.col("s_nationkey") == n)
+    home = F.concat_ws("/", region, nation, F.concat(F.lit("supplier-"), s))
+    r = F.col("r_regionkey")
+    json = lambda *parts: F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    docs = doc(spark.range(1), F.lit("."), F.lit('{"scan": {"exclude": ["a", {"b": 1}], "include": ["**"]}, "levels": {"context": true, "code": false}, "output": {"dir": "docs"}, "none": {}}'))
+    docs = docs.unionByName(doc(t("region"), F.concat(F.lit("region-"), r), json(F.concat(F.lit('"output": {"dir": "region-'), r, F.lit('", "format": "svg"}')), F.when(r % 2 == 1, F.lit('"levels": "all"')))))
+    docs = docs.unionByName(doc(t("nation"), F.concat_ws("/", region, nation), json(F.when(n % 3 == 0, F.lit('"levels": {"code": true}')), F.when(n % 2 == 0, F.lit('"scan": {"exclude": []}')), F.when(n % 5 == 0, F.lit('"output": null')))))
+    docs = docs.unionByName(doc(at, home, json(F.when(s % 4 == 0, F.concat(F.lit('"output": {"extra": {"deep": {"key": '), s, F.lit("}}}"))), F.concat(F.lit('"none": {"id": '), s, F.lit("}")))))
+    return documents.in_force(docs, at.select(home.alias("dir")))
+
+
+register(
+    "settings_in_force",
+    _folders,
+    """SELECT 'region-' || n_regionkey || '/nation-' || n_nationkey || '/supplier-' || s_suppkey AS dir,
+  '{"levels":' || CASE WHEN n_regionkey % 2 = 1 AND n_nationkey % 3 = 0 THEN '{"code":true}' WHEN n_regionkey % 2 = 1 THEN '"all"' WHEN n_nationkey % 3 = 0 THEN '{"code":true,"context":true}' ELSE '{"code":false,"context":true}' END
+  || ',"none":{"id":' || s_suppkey || '},"output":' || CASE WHEN n_nationkey % 5 = 0 AND s_suppkey % 4 = 0 THEN '{"extra":{"deep":{"key":' || s_suppkey || '}}}' WHEN n_nationkey % 5 = 0 THEN 'null'
+    ELSE '{"dir":"region-' || n_regionkey || '"' || CASE WHEN s_suppkey % 4 = 0 THEN ',"extra":{"deep":{"key":' || s_suppkey || '}}' ELSE '' END || ',"format":"svg"}' END
+  || ',"scan":{"exclude":' || CASE WHEN n_nationkey % 2 = 0 THEN '[]' ELSE '["a",{"b":1}]' END || ',"include":["**"]}}' AS json
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+)
