@@ -108,3 +108,14 @@ def relative_path(start: Column, target: Column) -> Column:
     n = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.slice(a, 1, i) == F.slice(b, 1, i)))
     up = F.repeat(F.lit("../"), F.size(a) - n)
     return F.concat(up, F.array_join(F.slice(b, n + 1, F.size(b)), "/"))
+
+
+def in_locale(c: str | Column) -> Column:
+    """A column that sorts, compares and groups as readers of most languages expect: letters before their case and
+    accents, small before capital ones."""
+    return F.collate(_col(c), "UNICODE")
+
+
+def by_letters(c: str | Column) -> Column:
+    """A column in which names that differ only in case or accents are equal, also in joins and groups."""
+    return F.collate(_col(c), "UNICODE_CI_AI")

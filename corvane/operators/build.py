@@ -40,14 +40,14 @@ def scan_tree(owned: DataFrame, projects: DataFrame) -> Scan:
     files, deps = stored(project.sources(owned, projects), "sources"), stored(project.dependencies(owned), "dependencies")
     ids = apps.select("project", "app_id")
     module_id = text.slug(F.concat_ws("/", "project", "module")).alias("module_id")
-    ord_ = F.concat_ws("|", "project", "module").alias("ord")
+    ord_ = F.struct("project", "module").alias("ord")
     modules = project.modules(files).join(project.ts_frameworks(files, deps).withColumnRenamed("framework", "ts"), ["project", "module"], "left").join(ids, "project")
     modules = modules.select("app_id", module_id, F.col("module").alias("name"), "annotations", F.coalesce("ts", "framework").alias("framework"), ord_)
     imports = project.module_imports(files).join(ids, "project")
-    imports = imports.select("app_id", module_id, "source", "is_external", F.lit(None).cast("string").alias("resolved"), F.concat_ws("|", "project", "module", "source").alias("ord"))
+    imports = imports.select("app_id", module_id, "source", "is_external", F.lit(None).cast("string").alias("resolved"), F.struct("project", "module", "source").alias("ord"))
     targets = apps.select(F.col("project").alias("target"), F.col("app_id").alias("target_app"))
-    internal = project.internal_imports(owned, projects).join(targets, "target").join(ids, "project").select("app_id", "target_app", F.concat_ws("|", "project", "target").alias("ord"))
-    named = deps.where("NOT internal").join(ids, "project").select("app_id", "name", F.concat_ws("|", "project", "name").alias("ord"))
+    internal = project.internal_imports(owned, projects).join(targets, "target").join(ids, "project").select("app_id", "target_app", F.struct("project", "target").alias("ord"))
+    named = deps.where("NOT internal").join(ids, "project").select("app_id", "name", F.struct("project", "name").alias("ord"))
     return Scan(apps.select("app_id", F.col("project").alias("path"), "name", "language", F.col("project").alias("ord")), stored(modules, "modules"), stored(imports, "imports"), stored(internal, "internal"), named)
 
 
@@ -136,10 +136,12 @@ def relationships(scan: Scan, parts: DataFrame, declared: DataFrame) -> DataFram
     the configuration declares, and uses of detected systems that it doesn't declare."""
     none = F.lit(None).cast("string").alias("technology")
     apps = scan.apps.select("app_id", F.col("ord").alias("app_ord"))
-    at = lambda kind, *rest: F.struct(F.col("app_ord").cast("string").alias("app"), F.lit(kind).alias("kind"), F.concat_ws("|", *rest).alias("rest")).alias("ord")
+    # Ordinals keep their types: those of imports of applications and of modules have a place each.
+    kinds = [df.schema["ord"].dataType for df in (scan.internal, scan.imports)]
+    at = lambda kind, promoted=False: F.struct(F.col("app_ord").alias("app"), F.lit(kind).alias("kind"), *((F.col("ord") if i == kind else F.lit(None).cast(t)).alias(f"o{i}") for i, t in enumerate(kinds)), F.lit(promoted).alias("promoted")).alias("ord")
     known = scan.apps.select(F.col("app_id").alias("target_app"))
     imported = scan.internal.join(known, "target_app", "left_semi").join(apps, "app_id")
-    phase0 = imported.select(F.col("app_id").alias("source"), F.col("target_app").alias("target"), F.lit("Uses").alias("label"), none, at(0, F.col("ord").cast("string")))
+    phase0 = imported.select(F.col("app_id").alias("source"), F.col("target_app").alias("target"), F.lit("Uses").alias("label"), none, at(0))
 
     of_module = parts.select(F.col("id").alias("component"), "container_id", "ord", F.explode("module_ids").alias("module_id"))
     of_module = of_module.groupBy("module_id").agg(F.max_by(F.struct("component", "container_id"), "ord").alias("c"))
@@ -151,18 +153,17 @@ def relationships(scan: Scan, parts: DataFrame, declared: DataFrame) -> DataFram
     rows = rows.where("target_id IS NOT NULL").join(of_module.select("module_id", F.col("c").alias("s")), "module_id").join(of_module.select(F.col("module_id").alias("target_id"), F.col("c").alias("t")), "target_id")
     rows = rows.where("s.component <> t.component").join(apps, "app_id")
     rows = rows.join(role.select(F.col("component_id").alias("sc"), F.col("role").alias("sr")), F.col("s.component") == F.col("sc"), "left").join(role.select(F.col("component_id").alias("tc"), F.col("role").alias("tr")), F.col("t.component") == F.col("tc"), "left")
-    phase0 = phase0.unionByName(rows.select(F.col("s.component").alias("source"), F.col("t.component").alias("target"), rules.relationship_label(F.col("sr"), F.col("tr")).alias("label"), none, at(1, F.col("ord").cast("string"))))
+    phase0 = phase0.unionByName(rows.select(F.col("s.component").alias("source"), F.col("t.component").alias("target"), rules.relationship_label(F.col("sr"), F.col("tr")).alias("label"), none, at(1)))
     promoted = rows.where("s.container_id <> t.container_id")
-    phase0 = phase0.unionByName(promoted.select(F.col("s.container_id").alias("source"), F.col("t.container_id").alias("target"), F.lit("Uses").alias("label"), none, at(1, F.col("ord").cast("string"), F.lit("~"))))
+    phase0 = phase0.unionByName(promoted.select(F.col("s.container_id").alias("source"), F.col("t.container_id").alias("target"), F.lit("Uses").alias("label"), none, at(1, True)))
 
-    place = F.struct(F.lit("").alias("app"), F.lit(0).alias("kind"), F.col("o").cast("string").alias("rest")).alias("ord")
     used = declared.select("name", "technology", F.col("ord").alias("o"), F.explode("used_by").alias("source"))
-    phase1 = used.select("source", text.slug("name").alias("target"), F.concat(F.lit("Uses "), "name").alias("label"), "technology", place)
+    phase1 = used.select("source", text.slug("name").alias("target"), F.concat(F.lit("Uses "), "name").alias("label"), "technology", F.col("o").alias("ord"))
 
     hit = scan.dependencies.withColumn("rule", rules.external_rule(F.col("name"))).where("rule IS NOT NULL")
     hit = hit.select("app_id", rules.external_technology(F.col("rule")).alias("technology"), rules.external_type(F.col("rule")).alias("type"), F.col("ord").alias("o")).withColumn("target", text.slug("technology"))
     hit = hit.join(declared.select(text.slug("name").alias("target")).distinct(), "target", "left_anti")
-    phase2 = hit.select(F.col("app_id").alias("source"), "target", rules.mapped(F.col("type"), rules.EXTERNAL_LABELS).alias("label"), "technology", place)
+    phase2 = hit.select(F.col("app_id").alias("source"), "target", rules.mapped(F.col("type"), rules.EXTERNAL_LABELS).alias("label"), "technology", F.col("o").alias("ord"))
     return model.derive_relationships([phase0, phase1, phase2])
 
 

@@ -165,8 +165,14 @@ def ordered_externals(externals: DataFrame) -> DataFrame:
 def derive_relationships(phases: list[DataFrame]) -> DataFrame:
     """Candidates by phase (source, target, label, technology, ord) -> one relationship per pair: that of the
     first phase which has it, then of the least ord, in the ordinals' own type. Pairs of equal ends go."""
-    rows = reduce(DataFrame.unionByName, (p.select("source", "target", "label", "technology", F.struct(F.lit(i).alias("phase"), "ord").alias("o")) for i, p in enumerate(phases)))
-    first = rows.where("source <> target").groupBy("source", "target").agg(F.min(F.struct("o", "label", "technology")).alias("f"))
+    if len({p.schema["ord"].dataType for p in phases}) == 1:
+        rows = reduce(DataFrame.unionByName, (p.select("source", "target", "label", "technology", F.struct(F.lit(i).alias("phase"), "ord").alias("o")) for i, p in enumerate(phases)))
+        first = rows.where("source <> target").groupBy("source", "target").agg(F.min(F.struct("o", "label", "technology")).alias("f"))
+        return first.select("source", "target", "f.label", "f.technology")
+    # Ordinals of two types don't compare, so each phase by itself first.
+    one = lambda p: p.where("source <> target").groupBy("source", "target").agg(F.min(F.struct("ord", "label", "technology")).alias("f")).select("source", "target", "f.label", "f.technology")
+    rows = reduce(DataFrame.unionByName, (one(p).withColumn("phase", F.lit(i)) for i, p in enumerate(phases)))
+    first = rows.groupBy("source", "target").agg(F.min_by(F.struct("label", "technology"), "phase").alias("f"))
     return first.select("source", "target", "f.label", "f.technology")
 
 

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import by_letters, in_locale
+
 
 @dataclass(frozen=True)
 class Projection:
@@ -103,13 +105,20 @@ def component(actors: DataFrame, externals: DataFrame, containers: DataFrame, co
     return Projection(vertices.unionByName(refs), good.select("container_id", "source", "target", "label", "technology"), warnings)
 
 
-def code(elements: DataFrame, links: DataFrame) -> Projection:
+def code(elements: DataFrame, links: DataFrame, components: DataFrame | None = None) -> Projection:
     """Level 4 of every component at once, keyed by component_id. links: source, target, kind, label (null:
     the kind). Edges belong to the source's component; a foreign target brings itself and its component's
-    boundary, marked cross-component. Every edge's ends are vertices of its view."""
+    boundary, marked cross-component. Every edge's ends are vertices of its view. What an end is missing for is a
+    warning and no edge: an unknown source or target, or a target whose component isn't one of `components` (id), if
+    given."""
     home = elements.select("id", "component_id")
+    ends = home if components is None else home.join(components.select(F.col("id").alias("component_id")).distinct(), "component_id", "left_semi")
     rows = links.join(home.select(F.col("id").alias("source"), "component_id"), "source", "left")
-    rows = rows.join(home.select(F.col("id").alias("target"), F.col("component_id").alias("target_component")), "target", "left")
+    rows = rows.join(ends.select(F.col("id").alias("target"), F.col("component_id").alias("target_component")), "target", "left")
+    if components is None:
+        rows = rows.withColumn("known", F.lit(False))
+    else:
+        rows = rows.join(home.select(F.col("id").alias("target"), F.lit(True).alias("known")).distinct(), "target", "left")
     good = rows.where("component_id IS NOT NULL AND target_component IS NOT NULL")
     edges = good.select("component_id", F.concat("source", F.lit("->"), "target", F.lit(":"), "kind").alias("id"), "source", "target", "kind", F.coalesce("label", "kind").alias("label"))
     no = F.lit(False)
@@ -119,7 +128,10 @@ def code(elements: DataFrame, links: DataFrame) -> Projection:
     yes = F.lit(True).alias("cross_component")
     vertices = vertices.unionByName(far.select("component_id", F.col("target_component").alias("id"), F.lit("boundary").alias("kind"), yes).distinct())
     vertices = vertices.unionByName(far.select("component_id", F.col("target").alias("id"), F.lit("element").alias("kind"), yes).distinct())
-    warnings = rows.where("component_id IS NULL").select(F.concat(F.lit("L4: unknown source "), "source").alias("warning")).distinct()
+    lost = rows.where("component_id IS NULL").select(F.concat(F.lit("L4: unknown source "), "source").alias("warning"))
+    gone = rows.where("component_id IS NOT NULL AND target_component IS NULL")
+    lost = lost.unionByName(gone.select(F.concat(F.lit("L4 "), "component_id", F.when(F.coalesce("known", F.lit(False)), F.lit(": target of unknown component ")).otherwise(F.lit(": unknown target ")), "target").alias("warning")))
+    warnings = lost.distinct()
     return Projection(vertices, edges, warnings)
 
 
@@ -141,6 +153,21 @@ def hub_widths(edges: DataFrame, base: int = 160) -> DataFrame:
     return degrees(edges).select("id", F.when(F.col("fan_out") >= 2, wide).otherwise(base).cast("int").alias("width"))
 
 
+def in_order(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Adds `position` (from 1) and `first` within each group: names in the order of the locale, equal ones by bytes."""
+    locale = in_locale(name)
+    order = Window.partitionBy(*by).orderBy(locale, name)
+    first = F.min(locale).over(Window.partitionBy(*by))
+    return rows.withColumn("position", F.row_number().over(order)).withColumn("first", F.collate(first, "UTF8_BINARY"))
+
+
+def same_letters(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
+    """Pairs (name, other) of names that differ in nothing but case and accents, each pair once."""
+    a = rows.select(F.col(name).alias("name"), by_letters(name).alias("key")).distinct()
+    b = others.select(F.col(name).alias("other"), by_letters(name).alias("key")).distinct()
+    return a.join(b, "key").where("name <> other").select("name", "other")
+
+
 def first_edges(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by an explicit order."""
     return edges.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -460,7 +460,7 @@ def elements(files: DataFrame) -> DataFrame:
                     continue
                 try:
                     out += [head | e | {"error": None} for e in PARSERS[r["language"]](r["content"])]
-                except (SyntaxError, ValueError, RecursionError) as x:
+                except Exception as x:  # noqa: BLE001  whatever a file does to its parser, the others go on
                     out.append(head | dict.fromkeys(("name", "kind", "qualified_name", "visibility", "members", "refs", "line")) | {"error": f"{type(x).__name__}: {x}"})
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
