@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import re
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -53,11 +54,20 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one; `purge` removes all that this session made."""
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _own().append((spark, path))
     return path
 
 
-_made: list[tuple[SparkSession, str]] = []
+# The tables of each thread: queries that run side by side must not release each other's.
+_made: list[list[tuple[SparkSession, str]]] = []
+_thread = threading.local()
+
+
+def _own() -> list[tuple[SparkSession, str]]:
+    if not hasattr(_thread, "made"):
+        _thread.made = []
+        _made.append(_thread.made)
+    return _thread.made
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -72,24 +82,26 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def mark() -> int:
-    """The number of tables so far, for `release`."""
-    return len(_made)
+    """The number of this thread's tables so far, for `release`."""
+    return len(_own())
 
 
 def release(since: int) -> None:
-    """Delete the tables made since a mark but the last one, when that one is all that is still read."""
-    while len(_made) > since + 1:
-        remove(*_made.pop(since))
+    """Delete the tables that this thread made since a mark but the last one, when that one is all that is still read."""
+    made = _own()
+    while len(made) > since + 1:
+        remove(*made.pop(since))
 
 
 def purge() -> None:
     """Delete the intermediate tables of this process. Results that still read them become invalid."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended already
-            return
+    for made in _made:
+        while made:
+            spark, path = made.pop()
+            try:
+                remove(spark, path)
+            except Exception:  # noqa: BLE001  the session may have ended already
+                return
 
 
 atexit.register(purge)

@@ -10,6 +10,11 @@ Four masks of five words meet every such run of 15 words or more. For items of 5
 differences can leave less than a mask needs, masks of four words are looked up as well. Shorter items, which
 a long text holds by chance, are compared whole.
 
+A phrase that many items share would join each of its documents with each of these items. Under all eight masks the
+windows that meet cover at least nine matching words of any run that counts for an item of 15 words or more. So where
+windows that more than COMMON_ITEMS items have cover less than that in any WINDOW words of an item, some other window
+of it meets as well, and the common ones aren't looked up for this item.
+
 Places of equal hashes travel as lists, a list a document and one an item, never as pairs. Where these lists
 stand for more pairs than there are ways to lay the two texts over each other, all of these ways are tried.
 """
@@ -18,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import STEP, bloom, keep, mark, mix, passing, release, small, word_hashes
@@ -27,6 +32,9 @@ MASKS = ("11111", "1111011", "1101111", "1110111")
 SHORT_MASKS = ("1111", "11101", "11011", "10111")
 SHORT_ITEMS = (5, 6, 10, 11)
 LEAST_WORDS = 5
+COMMON_ITEMS = 8
+COVERED = 9  # matching words that windows cover at least, in a run of 12 to 23 matches under all masks
+WINDOW = 28  # words of a run of 23 matches; every longer run that counts holds one of 12 to 23 matches that does
 MISMATCH = -4
 MIN_WORDS = 12
 FILTER_BITS = 1 << 28
@@ -125,6 +133,36 @@ def _hashed(lists: bool):
     return run
 
 
+def _fine(batches):
+    """Benchmark rows as hashes under all masks, with places and the words of the item that the windows use."""
+    for batch in batches:
+        for iid, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            words = word_hashes(text.as_py())[0]
+            for mask in MASKS + SHORT_MASKS:
+                hashes = seeds(words, mask)
+                values, places = _lists(hashes, np.arange(len(hashes)))
+                used = np.flatnonzero(np.frombuffer(mask.encode(), np.uint8) == ord("1"))
+                covered = pa.array([np.unique(p.values.to_numpy(zero_copy_only=False)[:, None] + used) for p in places], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array([iid] * len(values), pa.int64()), places, covered], ["hash", "iid", "places", "covered"])
+
+
+def _without_common(index: DataFrame, items: DataFrame, known: DataFrame) -> tuple[DataFrame, bool]:
+    """The index, where common windows go that aren't needed, and whether it now needs all masks."""
+    common = lambda df: df.groupBy("hash").count().where(F.col("count") > COMMON_ITEMS).select("hash")
+    crowded = index.join(common(index), "hash", "left_semi").select("iid").distinct().join(known.where(f"n >= {MIN_WORDS + 3}").select("iid"), "iid", "left_semi")
+    crowded = keep(crowded, "crowded")
+    if crowded.isEmpty():
+        return index, False
+    fine = keep(items.join(crowded, "iid", "left_semi").select("iid", "item_id", "text").mapInArrow(_fine, "hash long, iid long, places array<int>, covered array<int>"), "fine_seeds")
+    hot = keep(common(fine), "common")
+    places = fine.join(hot, "hash", "left_semi").select("iid", F.explode("covered").alias("at")).distinct()
+    ahead = Window.partitionBy("iid").orderBy("at").rangeBetween(0, WINDOW - 1)
+    dense = places.withColumn("n", F.count("*").over(ahead)).groupBy("iid").agg(F.max("n").alias("n")).where(F.col("n") >= COVERED)
+    rows = fine.drop("covered").join(hot.withColumn("_hot", F.lit(True)), "hash", "left").join(dense.select("iid", F.lit(True).alias("_dense")), "iid", "left")
+    rows = rows.where("_hot IS NULL OR _dense").select("hash", "iid", "places")
+    return keep(index.join(crowded, "iid", "left_anti").select("hash", "iid", "places").unionByName(rows), "seeds"), True
+
+
 def _scanned(table: np.ndarray, masks: tuple[str, ...]):
     """Documents (rid, doc_id, tie, text) with a window that the filter lets through: their words, and these hashes with places."""
     kind = pa.list_(pa.struct([("hash", pa.int64()), ("positions", pa.list_(pa.int32()))]))
@@ -182,6 +220,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, tie) -> DataFrame:
     if not total:
         return spark.createDataFrame([], _SCHEMA)
     index = keep(items.mapInArrow(_hashed(True), "hash long, iid long, places array<int>"), "seeds")
+    index, fine = _without_common(index, items, known)
+    short = short or fine
     table = bloom(index, "hash", FILTER_BITS, 128)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), F.col("text").cast("binary").alias("text"))
     source = source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "tie", "text")

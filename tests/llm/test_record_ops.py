@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import duckdb
@@ -323,6 +324,32 @@ def test_rollup_is_idempotent(spark, tmp_path):
 
 
 # --- decontamination -----------------------------------------------------------------------------
+def test_a_phrase_of_many_items_makes_no_pairs(spark):
+    """All documents and items share words; what overlaps besides is found, also with nothing in common but runs around
+    the shared words, and items that are shared as wholes."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    phrase = "choose one of the following answers please now".split()
+    items = [[word() for _ in range(12)] + phrase[: 6 + i % 3] + [word() for _ in range(12)] for i in range(40)]
+    items += [["same", *phrase, "whole", "item", "for", "all", "of", "these", "and", "no", "other", "one"]] * 12
+    texts = [[word() for _ in range(30)] + phrase + [word() for _ in range(30)] for _ in range(120)]
+    for d in range(0, 60, 3):  # near copies of a stretch around the phrase, with a substitution now and then
+        stretch = items[d % 40][6:24]
+        texts[d][10:10] = [w if rng.random() < 0.9 else word() for w in stretch]
+    texts[1][5:5] = items[-1]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.matching_words for r in decontaminate.contamination(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), bench).collect()}
+    hashed = lambda t: common.word_hashes(" ".join(t).encode())[0]
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            a, b = hashed(text), hashed(item)
+            best = decontaminate.overlap(a, b, np.arange(1 - len(b), len(a)))
+            if best:
+                want[d, i] = best[0]
+    assert found == want and len(want) > 25
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     w = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n)]
@@ -668,3 +695,16 @@ def test_mix_sizes_and_targets(spark):
 def test_queries_are_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_queries_side_by_side(spark):
+    """Each thread owns its tables: none releases what another still reads."""
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choices([f"w{i}" for i in range(400)], k=40))
+    df = docs(spark, [(i, text(), f"s{i % 3}") for i in range(60)])
+    bench = spark.createDataFrame([(i, text()) for i in range(5)], "item_id long, text string")
+    jobs = [lambda: near_dedup.near_duplicates(df, k=4, percent=80).count(), lambda: mixing.mixed_documents(df).count(), lambda: decontaminate.clean_only(df, bench).count()]
+    alone = [job() for job in jobs]
+    for _ in range(3):
+        with ThreadPoolExecutor(len(jobs)) as pool:
+            assert [f.result() for f in [pool.submit(job) for job in jobs]] == alone
