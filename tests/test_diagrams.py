@@ -141,3 +141,8 @@ def test_order_of_the_locale(spark):
     assert [r.name for r in found] == ["a", "A", "ä", "az", "Äz", "b", "B", "E", "éa", "eb", "z", "Z"] and {r.first for r in found} == {"a"}
     df = spark.createDataFrame([("Ängel",), ("angel",), ("other",)], "name string")
     assert {tuple(r) for r in projection.same_letters(df, df, "name").collect()} == {("Ängel", "angel"), ("angel", "Ängel")}
+
+
+def test_externals_come_in_order(spark):
+    rows = spark.createDataFrame([("c", "A"), ("a", "B"), ("b", "A")], "id string, name string")
+    assert [r.id for r in model.ordered_externals(rows).collect()] == ["b", "c", "a"]
