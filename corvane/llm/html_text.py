@@ -18,7 +18,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -179,19 +179,27 @@ def sequence(page: str | None, judge=None) -> list[tuple[str, str]]:
     sizes = _measured(stream)
     primary, primary_end = _primary(stream, sizes)
     stack: list[tuple[str, bool, bool]] = []
-    open_names: Counter = Counter()
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack each name is open
+    blocks: list[int] = []  # and where what isn't inline
+    scopes: list[int] = []  # and what inline end tags don't reach beyond
     out: list[tuple[str, str]] = []
     skip = main = near = links = headings = 0
 
-    def leave(entry) -> None:
+    def close(least: int) -> None:
+        """Take all entries from a place of the stack on off it."""
         nonlocal skip, main, near, links, headings
-        name, boiler, content = entry
-        open_names[name] -= 1
-        skip -= boiler
-        near -= content
-        main -= name in MAIN
-        links -= name == "a"
-        headings -= name[0] == "h" and name[1:].isdigit()
+        while len(stack) > least:
+            name, boiler, content = stack.pop()
+            places[name].pop()
+            if name not in INLINE:
+                blocks.pop()
+            if name in SCOPES:
+                scopes.pop()
+            skip -= boiler
+            near -= content
+            main -= name in MAIN
+            links -= name == "a"
+            headings -= name[0] == "h" and name[1:].isdigit()
 
     for place, (kind, value, attributes) in enumerate(stream):
         if kind == "text":
@@ -206,17 +214,9 @@ def sequence(page: str | None, judge=None) -> list[tuple[str, str]]:
                     out.append((" " if value == "br" else "t:" + ("m:" if near else "") + value, ""))
                 continue
             while stack and value in SELF_CLOSED_BY.get(stack[-1][0], ()):
-                leave(stack.pop())
-            if not inline and open_names["p"]:  # an open <p> ends before a block even with inline elements open inside it
-                for i in range(len(stack) - 1, -1, -1):
-                    name = stack[i][0]
-                    if value in SELF_CLOSED_BY.get(name, ()) and name == "p":
-                        for e in reversed(stack[i:]):
-                            leave(e)
-                        del stack[i:]
-                        break
-                    if name not in INLINE:
-                        break
+                close(len(stack) - 1)
+            if not inline and blocks and stack[blocks[-1]][0] == "p" and value in SELF_CLOSED_BY["p"]:
+                close(blocks[-1])  # an open <p> ends before a block even with inline elements open inside it
             around = place <= primary < sizes[place][3] and primary_end <= sizes[place][3]
             boiler = value in UNSEEN or hidden(attributes)
             if not boiler and not around and not skip and judge and value not in ("html", "body") and (value in APART or value in MAIN or attributes):
@@ -226,25 +226,24 @@ def sequence(page: str | None, judge=None) -> list[tuple[str, str]]:
                     out.append(("|", ""))
                 out.append(("x" if boiler else "t:" + ("m:" if near else "") + value, "") if not (boiler and near) else ("t:m:x", ""))
             content = value in MAIN or not boiler and value not in ("html", "body") and bool(attributes) and content_name(attributes)
+            places[value].append(len(stack))
+            if not inline:
+                blocks.append(len(stack))
+            if value in SCOPES:
+                scopes.append(len(stack))
             stack.append((value, boiler, content))
-            open_names[value] += 1
             skip, main, near = skip + boiler, main + (value in MAIN), near + content
             links, headings = links + (value == "a"), headings + (value[0] == "h" and value[1:].isdigit())
         else:
-            for i in range(len(stack) - 1, -1, -1) if open_names[value] else ():
-                if stack[i][0] == value:
-                    for e in reversed(stack[i:]):
-                        leave(e)
-                    del stack[i:]
-                    break
-                if value in INLINE and stack[i][0] in SCOPES:
-                    break
+            if places[value] and not (inline and scopes and places[value][-1] < scopes[-1]):
+                close(places[value][-1])
             if not skip and not inline:
                 out.append(("|", ""))
     return out
 
 
 LONG = 15  # words of a run outside of paragraphs that count as many
+PLAIN_WORD = 0.2  # what a word adds in the second scan
 START, END = "\x02", "\x03"
 
 
@@ -449,9 +448,24 @@ def score(feature: str, text: str, weights: dict[str, float]) -> float:
     return weights.get(feature, 0.2) * len(words) + sum(weights.get("v:" + w, 0.0) for w in _bare(text)) if words else 0.0
 
 
+def plain_score(feature: str, text: str, weights: dict[str, float]) -> float:
+    """What an entry adds where a page's own layout has to do: words outside of links and beside no main element
+    are as good as any, and tags cost nothing."""
+    if feature[0] != "w":
+        return 0.0
+    words = text.split()
+    each = PLAIN_WORD if feature[2] != "o" and feature[3] != "a" else -PLAIN_WORD
+    return each * len(words) + sum(weights.get("v:" + w, 0.0) for w in _bare(text)) if words else 0.0
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """The text of the best region. On a page of short blocks alone no region is positive, or only headings are; there a
+    second scan takes the words by themselves."""
     seq = sequence(page, _judge(weights))
     start, end = best_region(np.array([score(f, t, weights) for f, t in seq]))
+    if not any(f[0] == "w" and f[4] != "h" and t.strip() for f, t in seq[start:end]):
+        again = best_region(np.array([plain_score(f, t, weights) for f, t in seq]))
+        start, end = again if again != (0, 0) else (start, end)
     blocks, now = [], []
     for feature, text in [*seq[start:end], ("|", "")]:
         if feature[0] == "w":
