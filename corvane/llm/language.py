@@ -27,8 +27,8 @@ NO_LETTER, NUMBER = re.compile(r"[\W\d_]+"), re.compile(f"[{re.escape(NUMBERS)}]
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the training sample and of the search. Per language the `docs_per_language` documents of the
-    smallest id hashes give at most `chars_per_doc` characters each to the dictionary, from a place that the hash
+    """Bounds of the training sample and of the search. Per language the `docs_per_language` ids of the
+    smallest hashes give at most `chars_per_doc` characters each to the dictionary, from a place that the hash
     of the id tells."""
 
     docs_per_language: int = 96
@@ -47,17 +47,18 @@ def letters(text: str | None) -> str:
 
 
 def training_rows(docs: DataFrame, s: Settings = Settings()) -> dict[str, list[str]]:
-    """Sample texts by language. Counts by language come first; they give the share of ids, by hash, that
-    suffices for each language, so that the sample of a language is bounded by the settings however large the
-    table is. Every language has one: the sample grows with their number, not with the rows."""
+    """Sample texts by language. The number of ids by language comes first; it gives the share of ids, by hash,
+    that suffices for each language. Rows that repeat an id count once, with the least of their parts, so that about
+    twice `docs_per_language` rows a language at most come to the driver, however large the table is and however often
+    an id repeats. Every language has a sample: it grows with their number, not with the rows."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod("doc_id", 4) != 2)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
-    shares = [int(min(1.0, 2.0 * s.docs_per_language / r.n) * (1 << 30)) + 1 for r in counts]
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy("lang").collect()
+    shares = [int(min(1.0, 2.0 * s.docs_per_language / max(1, r.n)) * (1 << 30)) + 1 for r in counts]
     shares = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array([r.lang for r in counts], pa.string()), "share": pa.array(shares, pa.int64())}))
     place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30))
     start = 1 + F.pmod(F.xxhash64(F.lit("at"), "doc_id"), F.greatest(F.length("text") - s.chars_per_doc, F.lit(0)) + 1).cast("int")
     sample = known.select("lang", "doc_id", F.substr("text", start, F.lit(s.chars_per_doc)).alias("text"), place.alias("place"))
-    sample = sample.join(shares, "lang").where("place < share")
+    sample = sample.join(shares, "lang").where("place < share").groupBy("lang", "doc_id", "place").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r.lang, r.place, r.doc_id, r.text)):
         texts = out.setdefault(r.lang, [])
