@@ -30,7 +30,7 @@ _M = np.random.default_rng(5).integers(1, 2**63, WIDTH + 2, dtype=np.uint64) * n
 @dataclass(frozen=True)
 class Settings:
     """Bounds of the training sample and the model. At most `toxic_rows` + `clean_rows` labelled documents,
-    those of the smallest id hashes, of at most `max_chars` characters each, train the model."""
+    those of the smallest id hashes, train the model with at most `max_chars` characters each."""
 
     toxic_rows: int = 1200
     clean_rows: int = 2400
@@ -169,14 +169,19 @@ def _calibrate(found: np.ndarray, toxic: np.ndarray) -> tuple[tuple[float, ...],
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable, s: Settings = Settings()) -> DataFrame:
     """(doc_id, text, toxic) of the bounded training sample, a row per id and label. `usable` is a condition on doc_id.
-    The chosen ids are at most toxic_rows + clean_rows rows, which bounds the broadcast that finds their texts; of
-    several texts of an id the least counts."""
+    Only ids that have a text are chosen; they are at most toxic_rows + clean_rows rows, which bounds the broadcast that
+    finds their texts. Of several texts of an id the least counts; of one of more than `max_chars` characters, a part of
+    that length at a place that the hash of the id tells. Ids of shorter texts come first, since a part may lack what
+    earned the label."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(usable).distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("toxic = 1").orderBy(*order).limit(s.toxic_rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(s.clean_rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, s.max_chars)).where(usable)
-    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0).where(usable)
+    known = known.join(texts.groupBy("doc_id").agg(F.min(F.length("text") > s.max_chars).alias("cut")), "doc_id")
+    order = [F.col("cut"), F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.where("toxic = 1").orderBy(*order).limit(s.toxic_rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(s.clean_rows)).drop("cut")
+    start = 1 + F.pmod(F.xxhash64(F.lit("at"), "doc_id"), F.greatest(F.length("text") - s.max_chars, F.lit(0)) + 1).cast("int")
+    part = F.substr("text", start, F.lit(s.max_chars))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(part).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, s: Settings = Settings()) -> Model:
