@@ -67,6 +67,22 @@ def test_no_name_decides_alone(page, expected):
     assert html_text.main_text(page, W) == expected
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<div>One line.</div><div>Second line of words.</div>", "One line.\nSecond line of words."),
+        ("<div>Short text here.</div>", "Short text here."),
+        ("just text", "just text"),
+        ("<h1>Title</h1><div>Short text.</div><div>More of it.</div>", "Title\nShort text.\nMore of it."),
+        ("<ul><li><a href='/a'>Home</a></li></ul><div>One line.</div>", "One line."),
+        ("<div>We use cookies on this site. Accept all cookies.</div>", ""),
+        ("<nav><a href='/'>x</a></nav>", ""),
+    ],
+)
+def test_pages_of_short_blocks(page, expected):
+    assert html_text.main_text(page, W) == expected
+
+
 def test_extraction_equals_a_search_of_all_regions():
     for page in html_text.labelled_pages()[:40]:
         seq = html_text.sequence(page, html_text._judge(W))
@@ -93,6 +109,9 @@ def test_nesting_costs_no_square():
     began = time.perf_counter()
     assert html_text.main_text("<div>" * 20_000 + "<p>some words here</p>" + "</div>" * 20_000, W) == "some words here"
     html_text.main_text("<div>" * 20_000 + "x</p></span>" * 20_000, W)
+    html_text.main_text("<b><div>" + "<span>" * 20_000 + "</b>" * 20_000, W)
+    html_text.main_text("<p>" + "<span>" * 20_000 + "<foo></foo>" * 20_000, W)
+    html_text.main_text("<p><button>" + "<span>" * 20_000 + "<div></div>" * 20_000, W)
     assert time.perf_counter() - began < 10
 
 
@@ -147,6 +166,14 @@ def test_every_language_is_learnt(spark):
     assert got == {(r[0], r[2]) for r in rows}
 
 
+def test_repeated_ids_hide_no_language(spark):
+    """A language whose rows all have one id is learnt, and a frequent id brings one row to the driver."""
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2][:401]
+    rows = [(i, f"the house and the garden {i}", "en", "s", 1, 0.0) for i in ids[:400]] + [(ids[400], f"der garten und das haus {n}", "de", "s", 1, 0.0) for n in range(4000)]
+    sample = language.training_rows(spark.createDataFrame(rows, DOCS))
+    assert len(sample["en"]) == 96 and sample["de"] == ["der garten und das haus 0"]
+
+
 def test_letters_are_those_of_unicode():
     text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)]))
     assert all(c.isalpha() or c == " " or unicodedata.category(c)[0] == "M" for c in language.letters(text))
@@ -216,6 +243,21 @@ def test_repeated_labelled_ids_give_one_sample(spark):
     assert toxicity.labelled_sample(docs, labels, F.lit(True)).count() == 2
 
 
+def test_labels_without_documents_take_no_place(spark):
+    texts = spark.createDataFrame([(i, f"text {i}", "en", "s", 0, 0.0) for i in range(200)], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0 or i >= 200)) for i in range(4200)], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample(texts, labels, F.lit(True)).toPandas()
+    assert (sample.toxic == 1).sum() == (sample.toxic == 0).sum() == 100
+
+
+def test_long_labelled_texts_are_cut(spark):
+    texts = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * 8000, "en", "s", 0, 0.0) for i in range(60)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample(texts, labels, F.lit(True)).toPandas()
+    assert len(sample) == 60 and (sample.text.str.len() == 20_000).all()
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.toxicity(texts, labels).collect())
+
+
 def test_toxicity_edges(spark):
     labels = "doc_id long, quality int, toxic int"
     docs = spark.createDataFrame([(1, None, "en", "s", 0, 0.0), (2, "", "en", "s", 0, 0.0), (3, "word " * 30_000, "en", "s", 0, 0.0), (None, "x" * 5000, None, None, 0, 0.0), (4, "a", "en", "s", 0, 0.0), (4, "a", "en", "s", 0, 0.0)], DOCS)
