@@ -55,15 +55,14 @@ def rebuilt(rows: DataFrame, by: list[str]) -> DataFrame:
     """by, path, value -> by, json: a document a group, folded from its deepest level up, keys in order. A place with
     places below it is an object, whatever its own value."""
     deepest = rows.agg(F.coalesce(F.max(F.size("path")), F.lit(0))).first()[0]
-    built = rows.select(*by, "path", F.coalesce("value", F.lit("{}")).alias("json"), F.lit(0).alias("_built"))
-    for level in range(deepest, 0, -1):
-        here = built.where(F.size("path") == level)
-        entry = F.concat(_quoted(F.element_at("path", -1)), F.lit(":"), "json")
-        fields = F.array_sort(F.collect_list(F.struct(F.element_at("path", -1).alias("k"), entry.alias("e"))))
-        inner = F.concat(F.lit("{"), F.array_join(F.transform(fields, lambda f: f["e"]), ","), F.lit("}"))
-        objects = here.groupBy(*by, F.slice("path", 1, level - 1).alias("path")).agg(inner.alias("json")).withColumn("_built", F.lit(1))
-        rest = built.where(F.size("path") < level).unionByName(objects)
-        built = rest.groupBy(*by, "path").agg(F.max_by("json", "_built").alias("json"), F.max("_built").alias("_built"))
+    built = rows.select(*by, "path", F.coalesce("value", F.lit("{}")).alias("json"))
+    for level in range(deepest, 0, -1):  # one grouping a level, which reads what is built so far once
+        here = F.size("path") == level
+        entry = F.struct(F.element_at("path", -1).alias("k"), F.concat(_quoted(F.element_at("path", -1)), F.lit(":"), "json").alias("e"))
+        moved = built.select(*by, F.when(here, F.slice("path", 1, level - 1)).otherwise(F.col("path")).alias("path"), F.when(here, entry).alias("_field"), F.when(~here, F.col("json")).alias("_own"))
+        moved = moved.groupBy(*by, "path").agg(F.array_sort(F.collect_list("_field")).alias("_fields"), F.max("_own").alias("_own"))
+        inner = F.concat(F.lit("{"), F.array_join(F.transform("_fields", lambda f: f["e"]), ","), F.lit("}"))
+        built = moved.select(*by, "path", F.when(F.size("_fields") > 0, inner).otherwise(F.col("_own")).alias("json"))
     return built.where(F.size("path") == 0).select(*by, "json")
 
 
