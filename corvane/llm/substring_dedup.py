@@ -1,10 +1,12 @@
 """Substring dedup by content-defined chunking.
 
 A gear rolling hash runs over the words of a text: each step shifts the hash by 32 bits and adds the word's
-own gear value, so it depends on the last two words. Where its top bit is zero a chunk ends; an insertion
-moves the cuts near it and no others. A passage is long if neighbouring chunks of it have LEAST_WORDS words
-together: such runs of chunks, windows, are compared by 96-bit digests. Those that other documents have as a
-whole are reported, joined where they overlap; `without_passages` leaves each in its first document only.
+own gear value, so it depends on the last two words. A chunk ends where the hash is the smallest of SPAN neighbours:
+an insertion moves the cuts near it and no others, no chunk is much longer than SPAN words, and two texts that share
+a passage cut it alike between its first and its last cut. A passage is long if neighbouring chunks of it have
+`least_words` words together: such runs of chunks, windows, are compared by 96-bit digests. Those that other
+documents have as a whole are reported, joined where they overlap; `without_passages` leaves each in its first
+document only.
 """
 
 from __future__ import annotations
@@ -17,9 +19,8 @@ from pyspark.sql import functions as F
 from .common import bloom, keep, mix, passing, small, word_hashes
 
 WINDOW = 2
-CUT_BITS = 1
-MOST_WORDS = 16
-LEAST_WORDS = 36
+SPAN = 3
+LEAST_WORDS = 16
 FILTER_BITS = 1 << 24
 _BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _POWERS: list[np.ndarray] = []
@@ -38,6 +39,24 @@ def _powers(n: int) -> list[np.ndarray]:
     return [p[:n] for p in _POWERS]
 
 
+def _cuts(hashes: np.ndarray) -> np.ndarray:
+    """Where a hash is the smallest of SPAN neighbours in some place of them; of equal ones the last counts."""
+    n = len(hashes)
+    wins = np.ones(n, np.int32)  # itself, and the neighbours in a row that it beats on either side
+    for side in (1, -1):
+        beats = np.ones(n, bool)
+        for j in range(1, SPAN):
+            later, earlier = hashes[j:], hashes[:-j] if j < n else hashes[:0]
+            if side == 1:
+                beats[j:] &= later <= earlier
+                beats[:j] = False
+            else:
+                beats[:-j] &= earlier < later
+                beats[-j:] = False
+            wins += beats
+    return wins >= SPAN
+
+
 def chunks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word, number of words) of the chunks of a sequence of word hashes."""
     n = len(words)
@@ -47,13 +66,8 @@ def chunks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     roll = gear.copy()
     for j in range(1, min(WINDOW, n)):
         roll[j:] += gear[:-j] << np.uint64(32 * j)
-    ends = mix(roll) >> np.uint64(64 - CUT_BITS) == 0
-    ends[: WINDOW - 1] = False
-    starts = np.zeros(n, bool)
-    starts[0] = True
-    starts[1:] = ends[:-1]
-    since = np.arange(n) - np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    first = np.flatnonzero(since % MOST_WORDS == 0)
+    ends = np.flatnonzero(_cuts(mix(roll[WINDOW - 1 :]))) + WINDOW
+    first = np.r_[0, ends[ends < n]]
     return first, np.diff(np.r_[first, n])
 
 
@@ -69,7 +83,7 @@ def _digests(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np
 
 def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """(first word, number of words, digests) of the shortest runs of chunks of `least` words or more from each
-    chunk on, and of the one up to the text's end. With chunks of less than half of that, neighbours overlap."""
+    chunk on, and of the one up to the text's end. No chunk is as long as that, so neighbours overlap."""
     first, n = chunks(words)
     last, c = first + n, len(first)
     if not c or last[-1] < least:
@@ -125,6 +139,8 @@ def _shared(least: int, table: np.ndarray):
 def _runs(docs: DataFrame, least: int, within: bool) -> DataFrame:
     """doc_id, tie, first_word, end_word, owner_id, is_first: runs of overlapping windows, those that the document
     owns apart from the others."""
+    if least < SPAN + WINDOW:
+        raise ValueError(f"least_words must be {SPAN + WINDOW} or more")
     source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tie"))
     pairs = source.select("doc_id", "text").mapInArrow(_windows_of(least), "doc_id long, a long, b int, twice boolean")
     owners = pairs.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.bool_or("twice").alias("twice"))
@@ -142,14 +158,15 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, within: b
     """One row per repeated passage of a document: doc_id, first_word, end_word, n_words, owner_id, is_first.
 
     A passage is a run of neighbouring chunks made of overlapping windows of `least_words` words or more, each
-    of which documents of other ids have as a whole (with `within`, also the same document elsewhere). Chunks have
-    two words on average; the run of a passage misses the few words before its first cut and after its last, so
-    with 36 words a passage of 51 is missed with probability 0.001 and a longer one less. owner_id is the smallest
-    doc_id that has all of the run's first window; is_first tells that the document owns all its windows, so that
-    the other copies can go and this one stay. A-Z count as a-z. Null, empty and short texts have no passages;
-    rows that repeat an id with the same text count once; null ids take no part; an empty table gives an empty
-    one; columns of other names aren't looked at."""
-    runs = _runs(docs, max(least_words, 2 * MOST_WORDS + 1), within)
+    of which documents of other ids have as a whole (with `within`, also the same document elsewhere): nothing shorter
+    is reported. The run of a passage misses the up to SPAN words before its first cut and after its last, so every
+    passage of least_words + 2 * SPAN words is found for certain, and a shorter one where its cuts lie well; to have all
+    of n words ask for n - 2 * SPAN. owner_id is the smallest doc_id that has all of the run's first window; is_first
+    tells that the document owns all its windows, so that the other copies can go and this one stay. A-Z count as a-z.
+    Null, empty and short texts have no passages; rows that repeat an id with the same text count once; null ids take
+    no part; an empty table gives an empty one; columns of other names aren't looked at. Windows can't be shorter than
+    the longest chunk: fewer words are an error."""
+    runs = _runs(docs, least_words, within)
     return runs.select("doc_id", "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "owner_id", "is_first")
 
 
@@ -186,7 +203,7 @@ def without_passages(docs: DataFrame, least_words: int = LEAST_WORDS, within: bo
     owner has a smaller id, and where its own words go too a smaller one still has them, so no word goes from all
     documents. Every row stays, if with an empty text; null texts and ids stay as they are; rows that repeat an id
     with the same text are cut alike; an empty table gives an empty one; all columns are kept."""
-    runs = _runs(docs, max(least_words, 2 * MOST_WORDS + 1), within).where("NOT is_first")
+    runs = _runs(docs, least_words, within).where("NOT is_first")
     runs = runs.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first_word", "end_word")).alias("_runs")).withColumnsRenamed({"doc_id": "_doc", "tie": "_tie"})
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("_text"))
     match = (F.col("_row.doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("_row.text") == F.col("_tie"))
