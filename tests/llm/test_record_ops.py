@@ -721,7 +721,7 @@ def test_mix_sizes_and_targets(spark):
 
 def test_queries_are_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_queries_side_by_side(spark):
