@@ -67,13 +67,13 @@ FROM v LEFT JOIN k USING (id) LEFT JOIN g USING (id)""",
 
 # Warnings of level 4: an element also refers to its part as the next line's supplier has it, who may not sell it.
 def _l4_warnings(spark, sf_dir):
-    elements_, links = _code(spark, sf_dir)
+    elements_, links = _code(spark, sf_dir, True)
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("next"))
     named = lambda c: F.concat(F.lit("supplier-"), c, F.lit(".part-"), "l_partkey")
     loose = line.join(after, ["l_orderkey", "l_linenumber"]).select(named("l_suppkey").alias("source"), named("next").alias("target"), F.lit("uses").alias("kind")).distinct()
     known = table(spark, sf_dir, "customer").select(F.concat(F.lit("supplier-"), "c_custkey").alias("id"))
-    return projection.code(elements_, links.select("source", "target", "kind").unionByName(loose).withColumn("label", F.lit(None).cast("string")), known).warnings
+    return projection.code(elements_, links.select("source", "target", "kind").unionByName(loose).withColumn("label", F.lit(None).cast("string")), known, keep=True).warnings
 
 
 register(

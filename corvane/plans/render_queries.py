@@ -13,9 +13,9 @@ from .graph_queries import _ID, _Q, L1, L2, L3, L4, _code, _PAIRS
 from .registry import register
 
 
-def _level(level, draw):
+def _level(level, draw, keep=False):
     def query(spark, sf_dir):
-        m = adapters.graph(spark, sf_dir)
+        m = adapters.graph(spark, sf_dir, keep)
         return draw(m, level(m.actors, m.externals, m.containers, m.components, m.relationships))
 
     return query
@@ -35,7 +35,7 @@ SELECT string_agg(line, chr(10) ORDER BY section, k) || chr(10) AS diagram FROM
 )
 register(
     "render_l3_d2",
-    _level(projection.component, lambda m, p: render.component_diagrams(p)),
+    _level(projection.component, lambda m, p: render.component_diagrams(p), keep=True),
     L3
     + f""", good AS (SELECT * FROM known WHERE foreign_id IS NULL OR kind IS NOT NULL),
 lines AS (SELECT id AS container_id, 0 AS section, '' AS k, {_ID.format("id")} || ': ' || {_Q.format("id || '\\n[boundary]'")} || ' {{' AS line FROM containers
@@ -49,7 +49,7 @@ SELECT container_id, string_agg(line, chr(10) ORDER BY section, k, line) || chr(
 )
 register(
     "render_l4_d2",
-    lambda s, d: render.code_diagrams(projection.code(*_code(s, d)), ("inherits",)),
+    lambda s, d: render.code_diagrams(projection.code(*_code(s, d, True), keep=True), ("inherits",)),
     L4
     + f""", lines AS (SELECT DISTINCT component_id, 0 AS section, '' AS k, '# ' || component_id AS line FROM elements
   UNION ALL SELECT component_id, 1, id, {_ID.format("id")} || ': ' || {_Q.format("id")} FROM elements

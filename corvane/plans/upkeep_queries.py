@@ -15,7 +15,7 @@ from .registry import register
 
 # What applications tell of themselves is there (labels that end in F), the rest is derived, for containers too.
 def _injected(spark, sf_dir):
-    m = adapters.graph(spark, sf_dir)
+    m = adapters.graph(spark, sf_dir, True)
     home = m.components.select(F.col("id").alias("part"), "container_id")
     calls = m.relationships.join(home.select(F.col("part").alias("source"), F.col("container_id").alias("s")), "source").join(home.select(F.col("part").alias("target"), F.col("container_id").alias("t")), "target")
     between = calls.where("s <> t").select(F.col("s").alias("source"), F.col("t").alias("target"), F.lit("Uses").alias("label"), F.lit(None).cast("string").alias("technology")).distinct()
