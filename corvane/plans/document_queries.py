@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import outputs, projection, render
+from ..operators.keys import joined_by
 from ..sources import files as trees_of_files
 from ..sources import project
 from ..sources.store import scratch
@@ -19,17 +20,18 @@ LEAST_ELEMENTS = 3
 
 def _documents(spark, sf_dir):
     """The documents of all containers, written twice and read back: the second time nothing differs."""
-    m, c = adapters.graph(spark, sf_dir), _code(spark, sf_dir)
-    level3 = render.component_diagrams(projection.component(m.actors, m.externals, m.containers, m.components, m.relationships))
+    m, c = adapters.graph(spark, sf_dir, keep=True), _code(spark, sf_dir, True)
+    level3 = render.component_lines(projection.component(m.actors, m.externals, m.containers, m.components, m.relationships))
     counts = c[0].groupBy("component_id").agg(F.count("*").alias("n"))
     home = m.components.select(F.col("id").alias("component_id"), "container_id", "name")
-    level4 = render.code_diagrams(projection.code(*c), ("inherits",)).join(counts, "component_id").join(home, "component_id")
-    parts = outputs.fragments(m.containers, m.components, m.relationships)
-    files = outputs.submodule_files(m.containers, level3, parts, STYLES, SETTINGS, ROOT_OUTPUT, level4, LEAST_ELEMENTS)
+    large = counts.where(F.col("n") >= LEAST_ELEMENTS).join(home, "component_id").drop("n")
+    level4 = joined_by(render.code_lines(projection.code(*c, keep=True), ("inherits",)), large, ["component_id"])
+    parts = outputs.fragment_lines(m.containers, m.components, m.relationships)
+    lines = outputs.submodule_lines(m.containers, level3, parts, STYLES, SETTINGS, ROOT_OUTPUT, level4)
     root = scratch(spark, "documents")
     for _ in range(2):
-        trees_of_files.write_tree(files, root)
-    return trees_of_files.read_files(spark, root).select("path", F.sha2("content", 256).alias("hash"))
+        trees_of_files.write_lines(lines, root)
+    return trees_of_files.read_hashes(spark, root)
 
 
 _HEAD = "c.path || '/docs/architecture/"

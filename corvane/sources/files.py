@@ -8,20 +8,25 @@ what they have staged. A job that is interrupted amid its renames is finished by
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 FORMAT = "file_tree"
 STAGING = "_staging"
 PER_FILE = 1 << 16  # what opening a file costs, in bytes
+CHUNK = 1 << 20  # what is read of a file at once
 _COMMITTED, _ABORTED, _MANIFEST = "committed", ".aborted", "manifest.jsonl"
 _BAD_PATH = re.compile(r"^/|(^|/)\.{0,2}(/|$)|\x00")
 
@@ -72,6 +77,114 @@ class Staged(WriterCommitMessage):
     kept: int
 
 
+def _chunks(fs: pafs.FileSystem, path: str):
+    with fs.open_input_stream(path) as f:
+        while part := f.read(CHUNK):
+            yield part
+
+
+def _same(fs: pafs.FileSystem, a: str, b: str) -> bool:
+    one, other = fs.get_file_info([a, b])
+    return one.type == other.type == pafs.FileType.File and one.size == other.size and all(x == y for x, y in zip(_chunks(fs, a), _chunks(fs, b), strict=True))
+
+
+def _runs(batch: pa.RecordBatch):
+    """path, once, first and the bytes of each stretch of rows of one path; a row with `first` begins a stretch too."""
+    path, content, once, first = (batch.column(c) for c in ("path", "content", "once", "first"))
+    n = batch.num_rows
+    if not n:
+        return
+    if path.null_count:
+        raise ValueError("not a path below the root: None")
+    change = np.ones(n, bool)
+    change[1:] = pc.not_equal(path.slice(1), path.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    begins = pc.fill_null(first, False).to_numpy(zero_copy_only=False)
+    text = pc.fill_null(content, "").cast(pa.large_binary())
+    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + n + 1]
+    data = memoryview(text.buffers()[2] or b"")
+    starts = np.flatnonzero(change | begins)
+    for i, j in zip(starts, [*starts[1:], n], strict=True):
+        yield path[i].as_py(), bool(once[i].as_py()), bool(begins[i]), data[at[i] : at[j]]
+
+
+class LineTreeWriter(DataSourceArrowWriter):
+    """Rows of a path follow each other and are pieces of one file, which is never held as a whole."""
+
+    def __init__(self, root: str):
+        self.root, self.job = root, uuid.uuid4().hex
+
+    def write(self, iterator) -> Staged:
+        fs, base = _store(self.root)
+        name = uuid.uuid4().hex
+        attempt, counts, manifest = f"{base}/{STAGING}/{self.job}/{name}", {"written": 0, "unchanged": 0, "kept": 0}, []
+        at, out, n = None, None, 0
+
+        def close() -> None:
+            if out is None:
+                return
+            out.close()
+            if _same(fs, f"{attempt}/{n}", f"{base}/{at}"):
+                fs.delete_file(f"{attempt}/{n}")
+                counts["unchanged"] += 1
+            else:
+                manifest.append(json.dumps([str(n), at]))
+                counts["written"] += 1
+
+        try:
+            fs.create_dir(attempt, recursive=True)
+            for batch in iterator:
+                for path, once, first, data in _runs(batch):
+                    if path == at and first:
+                        raise ValueError(f"two files of one path: {path!r}")
+                    if path != at:
+                        close()
+                        if not path or _BAD_PATH.search(path) or path.split("/")[0] == STAGING:
+                            raise ValueError(f"not a path below the root: {path!r}")
+                        at, n, out = path, n + 1, None
+                        if once and fs.get_file_info(f"{base}/{path}").type == pafs.FileType.File:
+                            counts["kept"] += 1
+                        else:
+                            out = fs.open_output_stream(f"{attempt}/{n}", buffer_size=CHUNK)
+                    if out is not None and len(data):
+                        out.write(data)
+            close()
+            if manifest:
+                _write(fs, f"{attempt}/{_MANIFEST}", "\n".join(manifest).encode())
+            else:
+                _remove(fs, attempt)
+            if _read(fs, f"{base}/{STAGING}/{self.job}{_ABORTED}") is not None:
+                raise RuntimeError("the job was aborted")
+        except BaseException:
+            _remove(fs, attempt)
+            raise
+        return Staged(name if manifest else "", **counts)
+
+    def commit(self, messages) -> None:
+        _commit(self, messages)
+
+    def abort(self, messages) -> None:
+        _abort(self)
+
+
+def _commit(writer, messages) -> None:
+    fs, base = _store(writer.root)
+    job = f"{base}/{STAGING}/{writer.job}"
+    done = [m.attempt for m in messages if m and m.attempt]
+    if done:
+        _write(fs, f"{job}/{_COMMITTED}", "\n".join(done).encode())
+        for name in done:
+            _publish(fs, base, f"{job}/{name}")
+    _remove(fs, job)
+
+
+def _abort(writer) -> None:
+    fs, base = _store(writer.root)
+    job = f"{base}/{STAGING}/{writer.job}"
+    fs.create_dir(f"{base}/{STAGING}", recursive=True)
+    _write(fs, job + _ABORTED, b"")  # a task that ends later sees it, one that ended before is removed here
+    _remove(fs, job)
+
+
 class FileTreeWriter(DataSourceArrowWriter):
     def __init__(self, root: str, names: list[str]):
         self.root, self.names, self.job = root, names, uuid.uuid4().hex
@@ -110,21 +223,10 @@ class FileTreeWriter(DataSourceArrowWriter):
         return Staged(name if n else "", n, unchanged, kept)
 
     def commit(self, messages) -> None:
-        fs, base = _store(self.root)
-        job = f"{base}/{STAGING}/{self.job}"
-        done = [m.attempt for m in messages if m and m.attempt]
-        if done:
-            _write(fs, f"{job}/{_COMMITTED}", "\n".join(done).encode())
-            for name in done:
-                _publish(fs, base, f"{job}/{name}")
-        _remove(fs, job)
+        _commit(self, messages)
 
     def abort(self, messages) -> None:
-        fs, base = _store(self.root)
-        job = f"{base}/{STAGING}/{self.job}"
-        fs.create_dir(f"{base}/{STAGING}", recursive=True)
-        _write(fs, job + _ABORTED, b"")  # a task that ends later sees it, one that ended before is removed here
-        _remove(fs, job)
+        _abort(self)
 
 
 @dataclass
@@ -137,8 +239,8 @@ class Paths(InputPartition):
 class FileTreeReader(DataSourceReader):
     """Hidden folders and empty files too, which Spark's own readers leave out; nothing that is staged."""
 
-    def __init__(self, root: str, most_bytes: int):
-        self.root, self.most_bytes = root, most_bytes
+    def __init__(self, root: str, most_bytes: int, digest: str = ""):
+        self.root, self.most_bytes, self.digest = root, most_bytes, digest
 
     def partitions(self) -> list[Paths]:
         fs, base = _store(self.root)
@@ -158,22 +260,33 @@ class FileTreeReader(DataSourceReader):
         fs, base = _store(self.root)
         for at in range(0, len(partition.paths), 100):
             paths = partition.paths[at : at + 100]
+            if self.digest:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([self._hash(fs, f"{base}/{p}") for p in paths], pa.string())], ["path", "hash"])
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([(_read(fs, f"{base}/{p}") or b"").decode(errors="replace") for p in paths], pa.string())], ["path", "content"])
 
 
+    def _hash(self, fs: pafs.FileSystem, path: str) -> str:
+        found = hashlib.new(self.digest)
+        for part in _chunks(fs, path):
+            found.update(part)
+        return found.hexdigest()
+
+
 class FileTree(DataSource):
     """`df.write.format("file_tree").mode("append").save(root)`: path and content, a row a file; files with a true
-    `once` are never written over. Read with the same format; `mostBytes` bounds what one task reads."""
+    `once` are never written over. With `first`, rows of a path are pieces of a file (see `write_lines`). Read with the
+    same format; `mostBytes` bounds what one task reads, `digest` gives a hash in place of the content."""
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
     def schema(self) -> str:
-        return "path string, content string"
+        return "path string, hash string" if self.options.get("digest") else "path string, content string"
 
     def reader(self, schema) -> FileTreeReader:
-        return FileTreeReader(self.options["path"], int(self.options.get("mostBytes", 16 << 20)))
+        return FileTreeReader(self.options["path"], int(self.options.get("mostBytes", 16 << 20)), self.options.get("digest", ""))
 
     def writer(self, schema, overwrite: bool) -> FileTreeWriter:
         if overwrite:
@@ -181,6 +294,8 @@ class FileTree(DataSource):
         names = [n for n in ("path", "content", "once") if n in schema.fieldNames()]
         if names[:2] != ["path", "content"]:
             raise ValueError("rows need path and content")
+        if "first" in schema.fieldNames():
+            return LineTreeWriter(self.options["path"])
         return FileTreeWriter(self.options["path"], names)
 
 
@@ -197,6 +312,15 @@ def write_tree(files: DataFrame, root: str) -> None:
     files.select(*columns).write.format(FORMAT).mode("append").save(root)
 
 
+def write_lines(lines: DataFrame, root: str) -> None:
+    """Write files from their pieces: path, section, k, line, end (what follows a line), once and first. A file is written
+    by one task, piece by piece in the order of section, k and line, so that memory doesn't grow with it. Its first
+    piece has a true `first`; a second such piece is another file of the path, which is an error. Otherwise as `write_tree`."""
+    lines.sparkSession.dataSource.register(FileTree)
+    rows = lines.repartition("path").sortWithinPartitions("path", "section", "k", "line")
+    rows.select("path", F.concat("line", F.coalesce("end", F.lit(""))).alias("content"), "once", "first").write.format(FORMAT).mode("append").save(root)
+
+
 def recover(root: str) -> None:
     """Finish jobs that were interrupted once they had been committed, and clear what others left."""
     fs, base = _store(root)
@@ -214,3 +338,9 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     """path (below the root), content of the files in place."""
     spark.dataSource.register(FileTree)
     return spark.read.format(FORMAT).load(root)
+
+
+def read_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """path (below the root), hash (SHA-256 of the bytes) of the files in place, read a piece at a time."""
+    spark.dataSource.register(FileTree)
+    return spark.read.format(FORMAT).option("digest", "sha256").load(root)

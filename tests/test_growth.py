@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from corvane.operators import codemodel, keys, projection
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.operators import codemodel, keys, outputs, projection, render
+from corvane.sources import files
 
 ELEMENTS = "id string, component_id string, container_id string, name string, qualified_name string"
 REFERENCES = "element_id string, target_name string, target_qualified string, kind string"
@@ -51,3 +57,40 @@ def test_kept_links_are_made_once(spark):
     for part in ("vertices", "edges", "warnings"):
         assert "Join" not in plan(getattr(kept, part)) and "Join" in plan(plain.edges)
         assert sorted(map(str, getattr(kept, part).collect())) == sorted(map(str, getattr(plain, part).collect()))
+
+
+PIECES = "path string, section int, k string, line string, end string, once boolean, first boolean"
+
+
+def test_files_from_pieces(spark, tmp_path):
+    root = str(tmp_path)
+    body = [("a/b.txt", 1, f"{i:06}", f"line {i} é", "\n", False, False) for i in range(25_000)]  # several Arrow batches
+    pieces = [*reversed(body), ("a/b.txt", 0, "", "head", "\n", False, True), ("own", -1, "", "mine", "", True, True), ("empty", -1, "", "", "", False, True)]
+    files.write_lines(spark.createDataFrame(pieces, PIECES), root)
+    whole = "head\n" + "".join(r[3] + "\n" for r in body)
+    assert (tmp_path / "a/b.txt").read_text() == whole and (tmp_path / "own").read_text() == "mine" and (tmp_path / "empty").read_text() == ""
+    times = {p: (tmp_path / p).stat().st_mtime_ns for p in ("a/b.txt", "own", "empty")}
+    changed = [r if r[0] != "own" else (*r[:3], "other", *r[4:]) for r in pieces]
+    files.write_lines(spark.createDataFrame(changed, PIECES), f"file://{root}")
+    assert times == {p: (tmp_path / p).stat().st_mtime_ns for p in times} and (tmp_path / "own").read_text() == "mine"
+    assert {r.path: r.hash for r in files.read_hashes(spark, root).collect()} == {p: hashlib.sha256(t.encode()).hexdigest() for p, t in (("a/b.txt", whole), ("own", "mine"), ("empty", ""))}
+    for bad in ([("own", -1, "", "x", "", False, True)] * 2, [("../own", -1, "", "x", "", False, True)], [(None, -1, "", "x", "", False, True)]):
+        with pytest.raises(Exception, match="two files of one path|not a path below"):
+            files.write_lines(spark.createDataFrame([("new", -1, "", "x", "", False, True), *bad], PIECES), root)
+    assert not (tmp_path / "new").exists() and (tmp_path / "own").read_text() == "mine"
+
+
+def test_documents_are_never_rows(spark):
+    s = lambda rows, schema: spark.createDataFrame(rows, schema)
+    homes, components = s([("c", "C", "apps/c")], "id string, name string, path string"), s([("p", "c", "P")], "id string, container_id string, name string")
+    level3 = s([("c", 0, "", "head"), ("c", 2, "", "tail")], "container_id string, section int, k string, line string")
+    code = s([("p", "c", "P", 0, "", "# p")], "component_id string, container_id string, name string, section int, k string, line string")
+    parts = outputs.fragment_lines(homes, components, s([("p", "x", "calls")], "source string, target string, label string"))
+    lines = outputs.submodule_lines(homes, level3, parts, "styles\n", "own.yaml", "docs", code)
+    assert "collect_list" not in plan(lines)
+    texts = {}
+    for r in sorted(lines.collect(), key=lambda r: (r.path, r.section, r.k, r.line)):
+        texts[r.path] = texts.get(r.path, "") + r.line + r.end
+    joined = lambda df, by: render.joined(df, by, "diagram")
+    old = outputs.submodule_files(homes, joined(level3, ["container_id"]), outputs.fragments(homes, components, s([("p", "x", "calls")], "source string, target string, label string")), "styles\n", "own.yaml", "docs", joined(code, ["component_id", "container_id", "name"]).withColumn("n", F.lit(1)))
+    assert texts == {r.path: r.content for r in old.collect()} and len(texts) == 7
