@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import codemodel, keys, outputs, projection, render
 from corvane.sources import files
+from corvane.streaming import incremental
 
 ELEMENTS = "id string, component_id string, container_id string, name string, qualified_name string"
 REFERENCES = "element_id string, target_name string, target_qualified string, kind string"
@@ -94,3 +95,23 @@ def test_documents_are_never_rows(spark):
     joined = lambda df, by: render.joined(df, by, "diagram")
     old = outputs.submodule_files(homes, joined(level3, ["container_id"]), outputs.fragments(homes, components, s([("p", "x", "calls")], "source string, target string, label string")), "styles\n", "own.yaml", "docs", joined(code, ["component_id", "container_id", "name"]).withColumn("n", F.lit(1)))
     assert texts == {r.path: r.content for r in old.collect()} and len(texts) == 7
+
+
+def test_state_is_shared_by_projects(spark, tmp_path):
+    """Projects of one bucket keep their own caches, over batches; each access of state serves many of them."""
+    rows = [(f"p{i}", s, f"s{(i + s // 3) % 2}", f"m{(i * s) % 3}") for i in range(300) for s in range(6)]
+    events = spark.createDataFrame(rows, "project string, seq long, scan_checksum string, model_checksum string")
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    old, incremental.BUCKETS = incremental.BUCKETS, 4
+    try:
+        incremental.use_keyed_state(spark)
+        for part in ("seq < 3", "seq >= 2"):  # the second batch repeats one of each
+            events.where(part).coalesce(1).write.mode("append").parquet(source)
+            stream = incremental.staleness(spark.readStream.schema(events.schema).parquet(source))
+            run = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            run.awaitTermination()
+        states = sum(o.numRowsTotal for o in run.lastProgress.stateOperators)
+    finally:
+        incremental.BUCKETS = old
+    assert states == 4
+    assert sorted(map(tuple, spark.read.parquet(sink).collect())) == sorted(map(tuple, incremental.staleness_of(events).collect()))
