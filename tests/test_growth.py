@@ -7,7 +7,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import codemodel, keys, outputs, projection, render
+from corvane.operators import codemodel, history, keys, outputs, projection, render
 from corvane.sources import files
 from corvane.streaming import incremental
 
@@ -115,3 +115,14 @@ def test_state_is_shared_by_projects(spark, tmp_path):
         incremental.BUCKETS = old
     assert states == 4
     assert sorted(map(tuple, spark.read.parquet(sink).collect())) == sorted(map(tuple, incremental.staleness_of(events).collect()))
+
+
+def test_dangling_reads_references_once(spark):
+    refs = spark.range(240).selectExpr("CASE WHEN id % 40 <> 7 THEN concat('f', id % 12) END AS file", "CASE WHEN id % 30 <> 1 THEN concat_ws('.', concat('a', id % 5), nullif('b', concat('b', id % 2)), concat('c', id % 4)) END AS ref")
+    refs = refs.selectExpr("file", "CASE WHEN hash(file, ref) % 3 = 0 THEN split(ref, '[.]')[0] ELSE replace(ref, '.c', '.b.c') END AS ref")
+    known = ["a0", "a1.b", "a2.b.c1", "a3.c1", None]
+    df = history.dangling(refs, spark.createDataFrame([(k,) for k in known + ["a0"]], "id string"))
+    good = lambda ref: any(".".join(ref.split(".")[:i]) in known for i in range(1, ref.count(".") + 2))
+    expected = {(r.file, r.ref) for r in refs.collect() if r.ref is None or not good(r.ref)}
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, expected)) and len(expected) > 20
+    assert plan(df).count("Range (0, 240") == 1
