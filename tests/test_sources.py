@@ -3,7 +3,10 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from corvane.operators import render
+from corvane.plans import catalog
 from corvane.sources import documents, elements, project
 from corvane.streaming.signals import stream_signals, windowed_counts
 
@@ -292,3 +295,45 @@ def test_windowed_counts(spark):
     df = spark.createDataFrame([("2024-01-01 00:10:00", "view", 1.0), ("2024-01-01 00:50:00", "view", 2.0), ("2024-01-01 01:10:00", "view", 4.0)], "ts string, event_type string, value double")
     out = windowed_counts(df.selectExpr("cast(ts AS timestamp) AS ts", "event_type", "value"))
     assert rows(out.select("n", "total")) == [(1, 4.0), (2, 3.0)]
+
+
+def test_model_in_pieces(spark):
+    """A model's text is made and read piece by piece: joined, the pieces are the model file; the driver holds none of it."""
+    text = "system: {name: S, description: 'a: b'}\nactors:\n- {id: u, name: 'é\n\n  - x', description: '3'}\ncontainers:\n- {id: c, applicationId: a, name: C}\ncomponents:\n- {id: p, containerId: c, name: P, moduleIds: [m, 'n: 1']}\n"
+    text += "codeElements:\n- {id: e, componentId: p, containerId: c, kind: class, name: E, members: [{name: f, kind: field, visibility: public}]}\n- {id: g, componentId: p, containerId: c, kind: function, name: G, signature: g()}\n"
+    text += "codeRelationships:\n- {sourceId: e, targetId: g, kind: uses}\n- {sourceId: g, targetId: e, kind: uses}\n"
+    loaded = documents.load_model(spark, text)
+    pieces = documents.dump_pieces(loaded)
+    by_row = lambda m: {name: sorted(map(str, df.collect())) for name, df in m.items()}
+    again, whole = documents.load_pieces(pieces), documents.load_model(spark, render.joined(pieces, [], "text").first().text)
+    assert by_row(loaded) == by_row(again) == by_row(whole) and loaded["actors"].first().name == "é\n- x"
+    assert all(again[name].schema == loaded[name].schema for name in documents.MODEL)
+
+
+def test_a_piece_holds_one_item(spark, monkeypatch):
+    components = spark.range(3000).selectExpr("concat('p', id) AS id", "'c' AS container_id", "concat('P', id) AS name")
+    monkeypatch.setattr(documents, "dump_model", None)  # neither text nor rows of the whole model are made
+    monkeypatch.setattr(documents, "load_model", None)
+    pieces = documents.dump_pieces({"components": components})
+    assert pieces.agg(F.max(F.length("line"))).first()[0] < 80
+    assert documents.load_pieces(pieces)["components"].exceptAll(components.selectExpr("id", "container_id", "name", "NULL AS description", "NULL AS technology", "NULL AS module_ids")).count() == 0
+    trip = catalog.queries()["model_round_trip"](spark, "/root/testdata/sf0.001")
+    assert trip.count() > 0
+
+
+@pytest.mark.parametrize(
+    "rows, problem",
+    [
+        ([(8, "c", "- {id: c, applicationId: a, name: C}"), (8, "c", "- {id: c, applicationId: a, name: D}")], "containers c: id is taken by 2 items"),
+        ([(4, "a", "- {id: a}")], "actors a: lacks ['name']"),
+        ([(4, "a", "- {id: a, name: A, age: 3}")], "actors a: unknown fields ['age']"),
+        ([(4, "", "- 5")], "actors : no mapping"),
+        ([(14, "e", "- {id: e, componentId: p, containerId: c, kind: class, name: E}")], "code_elements e: unknown component p"),
+        ([(10, "p", "- {id: p, containerId: d, name: P}"), (14, "e", "- {id: e, componentId: p, containerId: c, kind: class, name: E}")], "component p is not in container c"),
+        ([(10, "p", "- {id: p, containerId: c, name: P}"), (14, "e", "- {id: e, componentId: p, containerId: c, kind: function, name: E, members: []}")], "code_elements e: a function has no members"),
+        ([(16, "", "- {sourceId: e, targetId: g, kind: odd}")], "e -> g: unknown target_id g"),
+    ],
+)
+def test_invalid_pieces(spark, rows, problem):
+    with pytest.raises(ValueError, match=re.escape(problem)):
+        documents.load_pieces(spark.createDataFrame(rows, "section int, k string, line string"))
