@@ -126,3 +126,13 @@ def test_dangling_reads_references_once(spark):
     expected = {(r.file, r.ref) for r in refs.collect() if r.ref is None or not good(r.ref)}
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, expected)) and len(expected) > 20
     assert plan(df).count("Range (0, 240") == 1
+
+
+def test_first_of_a_pair_sorts_by_hash(spark):
+    rows = [(f"nation-{i % 3}" if i % 7 else None, f"nation-{i % 4}", f"s{i % 5}", f"t{i % 6}", f"l{i}", None) for i in range(200)]
+    edges = spark.createDataFrame(rows, "s string, t string, source string, target string, label string, technology string")
+    first = projection._first_by_pair(edges)
+    groups = {(r[0], r[1]): min((x for x in rows if x[:2] == r[:2]), key=lambda x: x[2:5])[4] for r in rows}
+    assert {(r.source, r.target): r.label for r in first.collect()} == groups and first.columns == ["source", "target", "label", "technology"]
+    sort = first._jdf.queryExecution().sparkPlan().toString().split("SortAggregate(key=[")[1]
+    assert not sort.startswith("s#")  # ids begin alike; the hash tells most of them apart
