@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import codemodel, validate
 from . import adapters
 from .adapters import CODE_SQL, GRAPH_SQL
-from .graph_queries import RESOLVE_SQL
+from .graph_queries import RESOLVE_SQL, resolved
 from .registry import register
 
 
@@ -13,10 +15,21 @@ def _on(f):
     return lambda spark, sf_dir: f(adapters.code(spark, sf_dir))
 
 
-register("resolve_references", _on(lambda c: codemodel.resolve(c.elements, c.references)), f"WITH {RESOLVE_SQL} SELECT * FROM resolved")
+def _references(spark, sf_dir):
+    rows = resolved(adapters.code_keys(spark, sf_dir))
+    ids = {c: adapters.element_text(F.col(c)) for c in ("element_id", "target_id")}
+    return rows.withColumns(ids | {"component_id": adapters.component_text(F.col("component_id")), "container_id": F.concat(F.lit("nation-"), "container_id")})
+
+
+def _breakdown(spark, sf_dir):
+    c = adapters.code_keys(spark, sf_dir)
+    return codemodel.unresolved_breakdown(c.elements, resolved(c)).withColumn("component_id", adapters.component_text(F.col("component_id")))
+
+
+register("resolve_references", _references, f"WITH {RESOLVE_SQL} SELECT * FROM resolved")
 register(
     "unresolved_breakdown",
-    _on(lambda c: codemodel.unresolved_breakdown(c.elements, codemodel.resolve(c.elements, c.references))),
+    _breakdown,
     f"""WITH {RESOLVE_SQL}, owners AS (SELECT name, min(container_id) AS c0, max(container_id) AS c1 FROM elements GROUP BY name),
 causes AS (SELECT r.component_id, CASE WHEN o.c0 IS NOT NULL AND (o.c0 <> r.container_id OR o.c1 <> r.container_id) THEN 'cross-container' ELSE 'outside' END AS cause
            FROM resolved r LEFT JOIN owners o ON o.name = r.target_name WHERE r.target_id IS NULL)

@@ -8,7 +8,7 @@ from ..operators import geometry, groups, projection
 from ..sources import analyzers, project
 from . import adapters, trees
 from .adapters import GRAPH_SQL, table
-from .graph_queries import L2, L4, _code
+from .graph_queries import L2, L4, code_links
 from .registry import register
 from .source_queries import _FILES, _sql
 
@@ -67,13 +67,15 @@ FROM v LEFT JOIN k USING (id) LEFT JOIN g USING (id)""",
 
 # Warnings of level 4: an element also refers to its part as the next line's supplier has it, who may not sell it.
 def _l4_warnings(spark, sf_dir):
-    elements_, links = _code(spark, sf_dir, True)
+    elements_, links = code_links(spark, sf_dir)
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("next"))
-    named = lambda c: F.concat(F.lit("supplier-"), c, F.lit(".part-"), "l_partkey")
-    loose = line.join(after, ["l_orderkey", "l_linenumber"]).select(named("l_suppkey").alias("source"), named("next").alias("target"), F.lit("uses").alias("kind")).distinct()
-    known = table(spark, sf_dir, "customer").select(F.concat(F.lit("supplier-"), "c_custkey").alias("id"))
-    return projection.code(elements_, links.select("source", "target", "kind").unionByName(loose).withColumn("label", F.lit(None).cast("string")), known, keep=True).warnings
+    id_ = lambda supplier: F.struct(F.col(supplier).alias("supplier"), F.col("l_partkey").alias("part"))
+    after = adapters.next_lines(line, F.col("l_suppkey"))
+    loose = after.select(id_("l_suppkey").alias("source"), id_("next.l_suppkey").alias("target")).distinct()
+    loose = loose.select("source", "target", F.lit("uses").alias("kind"), F.lit(None).cast("string").alias("label"))
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    parts = [projection.code(elements_, each, known, keep=True, text=adapters.CODE_TEXT).warnings for each in (links, loose)]
+    return parts[0].unionByName(parts[1]).distinct()
 
 
 register(

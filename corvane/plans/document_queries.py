@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import outputs, projection, render
-from ..operators.keys import joined_by
 from ..sources import files as trees_of_files
 from ..sources import project
 from ..sources.store import scratch
 from . import adapters, render_queries, trees  # noqa: F401  their SQL is part of this one
-from .graph_queries import _ID, _Q, _code
+from .adapters import table
+from .graph_queries import _ID, _Q, level4
 from .registry import ORACLES, register
 
 STYLES = "classes: {\\n  component: { shape: rectangle }\\n}\\n".replace("\\n", "\n")
@@ -20,14 +20,14 @@ LEAST_ELEMENTS = 3
 
 def _documents(spark, sf_dir):
     """The documents of all containers, written twice and read back: the second time nothing differs."""
-    m, c = adapters.graph(spark, sf_dir, keep=True), _code(spark, sf_dir, True)
+    m, code = adapters.graph(spark, sf_dir, keep=True), level4(spark, sf_dir, keep=True)
     level3 = render.component_lines(projection.component(m.actors, m.externals, m.containers, m.components, m.relationships))
-    counts = c[0].groupBy("component_id").agg(F.count("*").alias("n"))
-    home = m.components.select(F.col("id").alias("component_id"), "container_id", "name")
+    counts = code.elements.groupBy("component_id").agg(F.count("*").alias("n"))
+    home = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("component_id"), F.concat(F.lit("nation-"), "s_nationkey").alias("container_id"), F.col("s_name").alias("name"))
     large = counts.where(F.col("n") >= LEAST_ELEMENTS).join(home, "component_id").drop("n")
-    level4 = joined_by(render.code_lines(projection.code(*c, keep=True), ("inherits",)), large, ["component_id"])
+    drawn = render.code_lines(code, ("inherits",), large)
     parts = outputs.fragment_lines(m.containers, m.components, m.relationships)
-    lines = outputs.submodule_lines(m.containers, level3, parts, STYLES, SETTINGS, ROOT_OUTPUT, level4)
+    lines = outputs.submodule_lines(m.containers, level3, parts, STYLES, SETTINGS, ROOT_OUTPUT, drawn)
     root = scratch(spark, "documents")
     for _ in range(2):
         trees_of_files.write_lines(lines, root)

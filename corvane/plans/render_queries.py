@@ -9,7 +9,7 @@ from ..operators import projection, render
 from ..sources import project
 from . import adapters
 from .adapters import table
-from .graph_queries import _ID, _Q, L1, L2, L3, L4, _code, _PAIRS
+from .graph_queries import _ID, _Q, L1, L2, L3, L4, _PAIRS, level4
 from .registry import register
 
 
@@ -49,7 +49,7 @@ SELECT container_id, string_agg(line, chr(10) ORDER BY section, k, line) || chr(
 )
 register(
     "render_l4_d2",
-    lambda s, d: render.code_diagrams(projection.code(*_code(s, d, True), keep=True), ("inherits",)),
+    lambda s, d: render.code_diagrams(level4(s, d, keep=True), ("inherits",)),
     L4
     + f""", lines AS (SELECT DISTINCT component_id, 0 AS section, '' AS k, '# ' || component_id AS line FROM elements
   UNION ALL SELECT component_id, 1, id, {_ID.format("id")} || ': ' || {_Q.format("id")} FROM elements

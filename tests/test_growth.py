@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import codemodel, history, keys, outputs, projection, render
+from corvane.plans import adapters
 from corvane.sources import files
 from corvane.streaming import incremental
 
@@ -42,6 +43,26 @@ def test_resolve_carries_no_other_components(spark):
     assert "collect_list" not in plan(df) and "map_from_entries" not in plan(df)
 
 
+def test_resolution_by_keys_takes_one_shuffle(spark):
+    """Ids are compared as texts, repeats count once."""
+    s = spark.createDataFrame
+    rows = [((9, 1), 9, 1, "n", "q.n"), ((10, 1), 10, 1, "n", "q.n"), ((10, 1), 10, 1, "n", "q.n"), ((10, 2), 10, 1, "m", "q.m"), ((7, 5), 7, 2, "n", "r.n")]
+    elements = s(rows, "id struct<supplier: long, part: long>, component_id long, container_id int, name string, qualified_name string")
+    refs = s([((10, 2), 10, 1, "n", None, "uses")] * 2 + [((9, 1), 9, 1, "n", "r.n", "uses"), ((7, 5), 7, 2, "n", "q.n", "uses"), ((7, 5), 7, 2, None, None, "uses"), ((10, 2), 10, 1, "n", "q.n", "uses")],
+             "element_id struct<supplier: long, part: long>, component_id long, container_id int, target_name string, target_qualified string, kind string")
+    df = codemodel.resolve(elements, refs, nested=True, order=adapters.element_text, repeated=True)
+    found = {(r.element_id.supplier, r.target_name, r.target_qualified): (r.target_id and tuple(r.target_id), r.resolved_by, r.collisions) for r in df.collect()}
+    assert df.count() == 5 and found == {
+        (10, "n", None): ((10, 1), "name-component", 1), (9, "n", "r.n"): ((9, 1), "name-component", 1), (7, "n", "q.n"): ((7, 5), "name-component", 1),
+        (7, None, None): (None, "unresolved", 0), (10, "n", "q.n"): ((10, 1), "qualified-component", 1),
+    }
+    far = codemodel.resolve(elements, s([((10, 2), 8, 1, "n", None, "uses")], refs.schema), nested=True, order=adapters.element_text, repeated=True).first()
+    assert (tuple(far.target_id), far.collisions) == ((10, 1), 2)  # "supplier-10.part-1" stands before "supplier-9.part-1"
+    lines = s([(1, 1, 5), (1, 2, 6), (1, 2, 7), (1, 4, 8), (2, 1, 9), (None, 1, 1), (None, 2, 2), (3, None, 3)], "l_orderkey long, l_linenumber int, p int")
+    assert sorted((r.p, r.next.p) for r in adapters.next_lines(lines, F.col("p")).collect()) == [(5, 6), (5, 7)]
+    assert df._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2].count("Exchange hashpartitioning") == 1
+
+
 def test_joins_spread_rows_without_a_key(spark):
     left = spark.createDataFrame([(None if i % 2 else f"supplier-{i % 6}", i) for i in range(40)], "id string, n int")
     right = spark.createDataFrame([("supplier-0", "a"), ("supplier-2", "b"), (None, "c")], "id string, x string")
