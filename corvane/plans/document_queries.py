@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import outputs, projection, render
 from ..sources import files as trees_of_files
 from ..sources import project
-from ..sources.store import scratch
+from ..sources.store import scratch, stored
 from . import adapters, render_queries, trees  # noqa: F401  their SQL is part of this one
 from .adapters import table
 from .graph_queries import _ID, _Q, level4
@@ -27,10 +27,12 @@ def _documents(spark, sf_dir):
     large = counts.where(F.col("n") >= LEAST_ELEMENTS).join(home, "component_id").drop("n")
     drawn = render.code_lines(code, ("inherits",), large)
     parts = outputs.fragment_lines(m.containers, m.components, m.relationships)
-    lines = outputs.submodule_lines(m.containers, level3, parts, STYLES, SETTINGS, ROOT_OUTPUT, drawn)
+    # What is read by both runs and takes several shuffles is made once; diagrams of components are written where they are.
+    lines = stored(outputs.common_lines(m.containers, level3, parts, STYLES, SETTINGS, ROOT_OUTPUT, drawn), "lines")
+    placed = outputs.component_pieces(m.containers, drawn)
     root = scratch(spark, "documents")
     for _ in range(2):
-        trees_of_files.write_lines(lines, root)
+        trees_of_files.write_lines(lines, root, placed)
     return trees_of_files.read_hashes(spark, root)
 
 

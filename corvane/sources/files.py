@@ -312,12 +312,16 @@ def write_tree(files: DataFrame, root: str) -> None:
     files.select(*columns).write.format(FORMAT).mode("append").save(root)
 
 
-def write_lines(lines: DataFrame, root: str) -> None:
+def write_lines(lines: DataFrame, root: str, placed: DataFrame | None = None) -> None:
     """Write files from their pieces: path, section, k, line, end (what follows a line), once and first. A file is written
     by one task, piece by piece in the order of section, k and line, so that memory doesn't grow with it. Its first
-    piece has a true `first`; a second such piece is another file of the path, which is an error. Otherwise as `write_tree`."""
+    piece has a true `first`; a second such piece is another file of the path, which is an error. `placed` has pieces of
+    other files, all pieces of a path in one partition already, which aren't shuffled again. Otherwise as `write_tree`."""
     lines.sparkSession.dataSource.register(FileTree)
-    rows = lines.repartition("path").sortWithinPartitions("path", "section", "k", "line")
+    rows = lines.repartition("path")
+    if placed is not None:
+        rows = rows.unionByName(placed.select(*rows.columns))
+    rows = rows.sortWithinPartitions("path", "section", "k", "line")
     rows.select("path", F.concat("line", F.coalesce("end", F.lit(""))).alias("content"), "once", "first").write.format(FORMAT).mode("append").save(root)
 
 

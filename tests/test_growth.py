@@ -63,6 +63,27 @@ def test_resolution_by_keys_takes_one_shuffle(spark):
     assert df._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2].count("Exchange hashpartitioning") == 1
 
 
+def test_placed_pieces_are_not_shuffled(spark, tmp_path):
+    """Lines of level 4 stand by component, so files of components are written from there; edges keep their number."""
+    s, seen = spark.createDataFrame, []
+    elements = s([(i, i % 5) for i in range(40)], "id long, component_id long")
+    links = s([(i, (i * 7 + j) % 40, "uses", None, i % 5, (i * 7 + j) % 40 % 5) for i in range(40) for j in (0, 1, 1)], "source long, target long, kind string, label string, component_id long, target_component long")
+    text = lambda c: F.concat(F.lit("x"), c.cast("string"))
+    others = s([(i, f"k{i % 2}") for i in range(4)], "component_id long, container_id string")
+    lines = render.code_lines(projection.code(elements, links, text=(text, text)), (), others)
+    sections = {r.section: r["count"] for r in lines.groupBy("section").count().collect()}
+    assert sections[0] == 4 and sections[1] == 32 and sections[3] + sections[4] == 96
+    homes = s([("k0", "a"), ("k1", "b")], "id string, path string")
+    placed = outputs.component_pieces(homes, lines)
+    assert placed.select("path", F.spark_partition_id().alias("p")).distinct().groupBy("path").count().where("count > 1").count() == 0
+    rest = s([("own", 0, "", "one", "\n", False, True)], PIECES)
+    files.write_lines(rest, str(tmp_path / "a"), placed)
+    files.write_lines(rest.unionByName(placed.select(*rest.columns)), str(tmp_path / "b"))
+    for root in ("a", "b"):
+        seen.append({str(f.relative_to(tmp_path / root)): f.read_bytes() for f in (tmp_path / root).rglob("*") if f.is_file()})
+    assert seen[0] == seen[1] and len(seen[0]) == 5
+
+
 def test_joins_spread_rows_without_a_key(spark):
     left = spark.createDataFrame([(None if i % 2 else f"supplier-{i % 6}", i) for i in range(40)], "id string, n int")
     right = spark.createDataFrame([("supplier-0", "a"), ("supplier-2", "b"), (None, "c")], "id string, x string")
